@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agentframe.llm import media, packing
+from agentframe.llm import line_dedup, media, packing, quality
 from agentframe.llm.common import documents
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_as_media(documents(spark, sf_dir))
 
@@ -18,7 +26,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_line_dedup": op2_line_dedup,
     "op8_media": op8_media,
     "op9_packing": op9_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality.SQL,
+    "op2_line_dedup": line_dedup.SQL,
+}
