@@ -12,6 +12,7 @@ documents. An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 SEQUENCE, END_ID, GROUP_DOCS = 4096, 2, 4096
 #: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 _cache: dict[bytes, bytes] = {}
 _tokenizers: dict[str, object] = {}
 
@@ -36,27 +37,76 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _encode(words: list[bytes], path: str) -> None:
+    """Remembers the ids of lower-cased words. Words go to the tokenizer 512 at a time, parted by a mark that is always one id."""
+    encoder = _tokenizer(path)
+    encode = lambda texts: [np.array(e.ids, "<u2") for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
+    alone = [w for w in words if b"!" in w or b"<|" in w]
+    for w, ids in zip(alone, encode([w.decode() for w in alone]), strict=True):
+        _cache[w] = ids.tobytes()
+    rest = [w for w in words if not (b"!" in w or b"<|" in w)]
+    (mark,) = encode(["!"])[0]
+    for a in range(0, len(rest), 512):
+        part = rest[a : a + 512]
+        ids = encode([" ! ".join([w.decode() for w in part])])[0]
+        ends = [*np.flatnonzero(ids == mark).tolist(), len(ids)]
+        raw, start = ids.tobytes(), 0
+        for w, end in zip(part, ends, strict=True):
+            _cache[w] = raw[2 * start : 2 * end]
+            start = end + 1
+
+
+TAIL = b".,;:?)"
+_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
 def word_ids(words: set[bytes], path: str) -> dict[bytes, bytes]:
-    """Fills the worker's memory with the ids (unsigned 16 bits) of words that are new to it."""
-    new = [w for w in words if w not in _cache]
-    if len(_cache) + len(new) > CACHE_WORDS:
+    """Fills the worker's memory with the ids (unsigned 16 bits) of words that are new to it.
+
+    The tokenizer lower-cases, and parts letters and digits from the punctuation after them, so that much is shared between words.
+    """
+    if len(_cache) + len(words) > CACHE_WORDS:
         _cache.clear()
-        new = list(words)
-    for w, got in zip(new, _tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-        _cache[w] = np.array(got.ids, "<u2").tobytes()
+    parts = {}
+    for w in words:
+        if w not in _cache:
+            low = w if b"<|" in w else w.lower()
+            core = low.rstrip(TAIL)
+            parts[w] = (core, low[len(core) :]) if core and len(core) < len(low) and core[-1] in _PLAIN else (low,)
+    _encode([p for p in {p for ps in parts.values() for p in ps} if p not in _cache], path)
+    for w, ps in parts.items():
+        if w not in _cache:
+            _cache[w] = b"".join([_cache[p] for p in ps])
     return _cache
 
 
+#: A full stop or comma before white space that does not follow an ASCII letter or digit, or a letter from U+00E0 to U+00FF.
+_JOINED_STOP = re.compile(rb"(?:[^a-z0-9\s\x80-\xff]|(?<!\xc3)[\x80-\xff]|\xc3[\xb7\x80-\x9f]|\A|\s)[.,](?=\s|\Z)")
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """Words whose ids, one after another, are those of text. Lower-cased with stops set apart where that is sure to change nothing."""
+    if b"<|" in text:
+        return text.split()
+    low = text.lower() + b"\n"
+    if _JOINED_STOP.search(low):
+        return low.split()
+    for stop in (b".", b","):
+        for blank in (b" ", b"\n"):
+            low = low.replace(stop + blank, b" " + stop + blank)
+    return low.split()
+
+
 def tokenise(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids (binary, unsigned 16 bits little-endian, end id last), n_ids. The tokenizer never joins across white space, so words are encoded once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u2").tobytes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                texts = [(v.as_py() or "").encode().split() for v in part.column(1)]
-                known = word_ids({w for t in texts for w in t}, tokenizer)
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                texts = [split_words((v.as_py() or "").encode()) for v in part.column(1)]
+                known = word_ids(set().union(*texts), tokenizer)
                 ids = [b"".join(map(known.__getitem__, t)) + end for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], names=[key, "ids", "n_ids"])
 
