@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agentframe.llm import jaccard, langid, line_dedup, media, packing, quality, secrets, suffix_dedup, toxicity
+from agentframe.llm import jaccard, langid, line_dedup, media, packing, pieces, quality, secrets, suffix_dedup, toxicity
 from agentframe.llm.common import documents
 
 
@@ -33,6 +33,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_as_media(documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_media": op8_media,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
