@@ -58,6 +58,7 @@ class Vocabulary:
         self.bits = 20
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.ids = np.full(1 << self.bits, -1, np.int64)
+        self.maybe = np.zeros(1 << (self.bits + 2), bool)
         self.probes = 1
         for name, i in names.items():
             data = np.frombuffer(name, np.uint8)
@@ -66,12 +67,13 @@ class Vocabulary:
             while self.ids[at] >= 0:
                 at, tries = (at + 1) % (1 << self.bits), tries + 1
             self.keys[at], self.ids[at] = h, i
+            self.maybe[h >> (64 - self.bits - 2)] = True
             self.probes = max(self.probes, tries)
 
     def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None, back: np.ndarray | None = None) -> np.ndarray:
         if sums is None:
             sums, back = self.prefix(data)
-        return mix64((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+        return ((sums[end] - sums[start]) * back[start] ^ (end - start).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
 
     @staticmethod
     def prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,14 +81,17 @@ class Vocabulary:
         np.cumsum(BYTE_VALUES[data] * powers(_ODD, len(data)), out=sums[1:])
         return sums, powers(_BACK, len(data))
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece of each hash, or -1."""
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the hashes that are pieces, their pieces)."""
+        some = np.flatnonzero(self.maybe[(h >> np.uint64(64 - self.bits - 2)).astype(np.int64)])
+        h = h[some]
         at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         out = np.where(self.keys[at] == h, self.ids[at], -1)
         for _ in range(1, self.probes):
             at = (at + 1) & ((1 << self.bits) - 1)
             out = np.where((out < 0) & (self.keys[at] == h), self.ids[at], out)
-        return out
+        hit = out >= 0
+        return some[hit], out[hit]
 
 
 class Lattice:
@@ -98,43 +103,37 @@ class Lattice:
         data = np.frombuffer(b"".join(shown), np.uint8)
         self.first = np.cumsum(size + 1) - (size + 1)
         self.last = self.first + size
+        begin = np.repeat(np.cumsum(size) - size, size)
         unit = np.repeat(np.arange(len(units)), size)
-        place = np.arange(len(data))
-        left = np.repeat(np.cumsum(size), size) - place
+        offset = np.arange(len(data)) - begin
+        left = np.repeat(size, size) - offset
         sums, back = words.prefix(data)
         marked = np.array([u[:1] == b" " for u in units], bool)
-        offset = place - np.repeat(np.cumsum(size) - size, size)
-        free = ~(marked[unit] & (offset < 3))
-        starts, ends, ids, weights = [place[free]], [place[free] + 1], [words.bytes[data[free]]], [np.full(int(free.sum()), BYTE_WEIGHT)]
-        for n in words.lengths:
-            s = place[left >= n]
-            if not len(s):
-                break
-            found = words.find(words.hashes(data, s, s + n, sums, back))
-            hit = found >= 0
-            starts.append(s[hit])
-            ends.append(s[hit] + n)
-            ids.append(found[hit])
-            weights.append(words.weight[found[hit]])
-        start, end, ids_, weight = (np.concatenate(x) for x in (starts, ends, ids, weights))
-        depth = end - 1 - np.repeat(np.cumsum(size) - size, size)[end - 1] + 1
-        a, b = start + unit[start], end + unit[end - 1]
+        into = np.full((len(data), 1 + len(words.lengths)), -1, np.int32)
+        into[:, 0] = np.where(marked[unit] & (offset < 3), -1, words.bytes[data])
+        for k, n in enumerate(words.lengths):
+            s = np.flatnonzero(left >= n)
+            hit, found = words.find(words.hashes(data, s, s + n, sums, back))
+            into[s[hit] + n - 1, k + 1] = found
+        last, kind = np.nonzero(into >= 0)
+        self.ids = into[last, kind]
+        self.start = last + 1 + unit[last] - np.array([1, *words.lengths])[kind]
+        b = last + 1 + unit[last]
+        weight = np.where(kind == 0, BYTE_WEIGHT, words.weight[self.ids])
+        depth = (offset[last] + 1).astype(np.int16)
         order = np.argsort(depth, kind="stable")
-        a, b, ids_, weight, depth = a[order], b[order], ids_[order], weight[order], depth[order]
+        cuts = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
         forward = np.zeros(len(data) + len(units))
         forward[self.first] = 1
-        cuts = np.searchsorted(depth, np.arange(1, int(depth[-1]) + 2 if len(depth) else 1))
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            np.add.at(forward, b[x:y], forward[a[x:y]] * weight[x:y])
-        share = forward[a] * weight / forward[b]
-        order = np.argsort(b, kind="stable")
-        self.start, self.ids = a[order], ids_[order]
-        b, share = b[order], share[order]
+            own = order[x:y]
+            np.add.at(forward, b[own], forward[self.start[own]] * weight[own])
+        share = forward[self.start] * weight / forward[b]
         total = np.cumsum(share)
-        head = np.searchsorted(b, b)
-        before = np.where(head > 0, total[head - 1], 0)
-        self.bound = b + np.minimum(total - before, 1.0)
-        self.arcs_end = np.searchsorted(b, np.arange(len(forward)), "right") - 1
+        per = np.bincount(b, minlength=len(forward))
+        self.arcs_end = np.cumsum(per) - 1
+        head = self.arcs_end[b] - per[b]
+        self.bound = b + np.minimum(total - np.where(head >= 0, total[head], 0), 1.0)
 
     def sample(self, unit: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, count): pieces of each occurrence of a unit in order, and how many each has."""
