@@ -28,8 +28,8 @@ from agentframe.llm.common import materialise, mix64, shingle_hashes, slices, te
 from agentframe.llm.components import components, forest
 
 WIDTH, PERCENT = 5, 75
-#: Elements that a task holds before it deals them out; elements of a hash range, about; classes of a block; rows broadcast at most.
-HELD, RANGE, BLOCK, BROADCAST_ROWS = 1 << 21, 1 << 20, 400, 1 << 21
+#: Elements that a task holds before it deals them out; elements of a hash range, about; classes of a node range; classes of a block; rows broadcast at most.
+HELD, RANGE, NODES, BLOCK, BROADCAST_ROWS = 1 << 21, 1 << 20, 200_000, 400, 1 << 21
 ORDERS = 3
 
 
@@ -133,20 +133,57 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[two], d[two], df[two]
 
 
-def _count_shared(table: pa.Table) -> pa.Table:
-    _, d, _ = _gathered(table)
-    node, n = np.unique(d, return_counts=True)
-    return pa.table({"node": pa.array(node), "shared": pa.array(n)})
+def _node_range(nodes: np.ndarray, ranges: int) -> np.ndarray:
+    return ((nodes.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _share_elements(table: pa.Table) -> pa.Table:
-    h, d, df = _gathered(table)
-    order = np.argsort(d, kind="stable")
-    h, d, df = h[order], d[order], df[order].astype(np.int32)
-    edge = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])).tolist() if len(d) else []
-    ends = [*edge[1:], len(d)]
-    pieces = list(zip(edge, ends, strict=False)) if edge else []
-    return pa.table({"node": pa.array(d[edge] if edge else np.zeros(0, np.int64)), "hashes": pa.array([h[a:b].tobytes() for a, b in pieces], pa.binary()), "dfs": pa.array([df[a:b].tobytes() for a, b in pieces], pa.binary()), "shared": pa.array([b - a for a, b in pieces], pa.int64())})
+def _cuts(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal keys."""
+    if not len(sorted_keys):
+        return []
+    head = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])).tolist()
+    return list(zip(head, [*head[1:], len(sorted_keys)], strict=True))
+
+
+def _shared_counts(dealt: DataFrame, node_ranges: int) -> DataFrame:
+    """(node, shared): elements of each class that another class has too. Counts travel packed by node range."""
+
+    def count(table: pa.Table) -> pa.Table:
+        _, d, _ = _gathered(table)
+        node, n = np.unique(d, return_counts=True)
+        where = _node_range(node, node_ranges)
+        order = np.argsort(where, kind="stable")
+        node, n, where = node[order], n[order], where[order]
+        cuts = _cuts(where)
+        return pa.table({"part": pa.array([int(where[a]) for a, _ in cuts], pa.int64()), "nodes": pa.array([node[a:b].tobytes() for a, b in cuts], pa.binary()), "counts": pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        node, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("nodes", "counts"))
+        node, at = np.unique(node, return_inverse=True)
+        return pa.table({"node": node, "shared": np.bincount(at, n, len(node)).astype(np.int64)})
+
+    return dealt.groupBy("range").applyInArrow(count, "part long, nodes binary, counts binary").groupBy("part").applyInArrow(add, "node long, shared long")
+
+
+def _shared_elements(dealt: DataFrame, node_ranges: int) -> DataFrame:
+    """(node, hashes, dfs, shared): the elements of each class that another class has too, and in how many classes they are."""
+
+    def share(table: pa.Table) -> pa.Table:
+        h, d, df = _gathered(table)
+        where = _node_range(d, node_ranges)
+        order = np.argsort(where, kind="stable")
+        h, d, df, where = h[order], d[order], df[order].astype(np.int32), where[order]
+        cuts = _cuts(where)
+        return pa.table({"part": pa.array([int(where[a]) for a, _ in cuts], pa.int64())} | {name: pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for name, x in (("nodes", d), ("hashes", h), ("dfs", df))})
+
+    def assemble(table: pa.Table) -> pa.Table:
+        d, h, df = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("nodes", np.int64), ("hashes", np.uint64), ("dfs", np.int32)))
+        order = np.lexsort((h, d))
+        h, d, df = h[order], d[order], df[order]
+        cuts = _cuts(d)
+        return pa.table({"node": pa.array([int(d[a]) for a, _ in cuts], pa.int64()), "hashes": pa.array([h[a:b].tobytes() for a, b in cuts], pa.binary()), "dfs": pa.array([df[a:b].tobytes() for a, b in cuts], pa.binary()), "shared": pa.array([b - a for a, b in cuts], pa.int64())})
+
+    return dealt.groupBy("range").applyInArrow(share, "part long, nodes binary, hashes binary, dfs binary").groupBy("part").applyInArrow(assemble, "node long, hashes binary, dfs binary, shared long")
 
 
 def _ranges(elements: int) -> int:
@@ -156,17 +193,16 @@ def _ranges(elements: int) -> int:
 def shared_sets(df: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
     """(node, n, copies, hashes, dfs): the elements that each class shares with others, for the classes that can link."""
     one = materialise(classes.where("n > 0").groupBy("d1").agg(F.min("n").alias("n"), F.min("third").alias("third"), F.min(key).alias(key), F.count("*").alias("copies")).withColumn("slack", F.expr(f"n - ({PERCENT} * n + 99) div 100")), "classes")
-    total = one.agg(F.sum("n"), F.sum("third")).first()
-    counted = _dealt(df, text, _ranges(total[1] or 0), False).groupBy("range").applyInArrow(_count_shared, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    total = one.agg(F.sum("n"), F.sum("third"), F.count("*")).first()
+    counted = _shared_counts(_dealt(df, text, _ranges(total[1] or 0), False), max(4, total[2] // NODES))
     left = one.join(counted, one.d1 == counted.node, "left").where(F.coalesce("shared", F.lit(0)) >= F.col("third") - F.col("slack")).select(key, "d1", "n", "slack", "copies")
     left = materialise(left, "alive")
     count, elements = left.agg(F.count("*"), F.sum("n")).first()
     keys = left.select(key)
     texts = df.join(F.broadcast(keys) if count <= BROADCAST_ROWS else keys, key, "left_semi")
-    spread = _dealt(texts, text, _ranges(elements or 0), True).groupBy("range").applyInArrow(_share_elements, "node long, hashes binary, dfs binary, shared long")
-    grouped = spread.groupBy("node").agg(F.collect_list(F.struct("hashes", "dfs")).alias("parts"), F.sum("shared").alias("shared"))
-    sets = grouped.join(left, grouped.node == left.d1).where(F.col("shared") >= F.col("n") - F.col("slack"))
-    return materialise(sets.select("node", "n", "copies", "parts"), "sets")
+    found = _shared_elements(_dealt(texts, text, _ranges(elements or 0), True), max(4, (elements or 0) // RANGE))
+    sets = found.join(left, found.node == left.d1).where(F.col("shared") >= F.col("n") - F.col("slack"))
+    return materialise(sets.select("node", "n", "copies", "hashes", "dfs"), "sets")
 
 
 def _ordered(h: np.ndarray, df: np.ndarray, order: int) -> np.ndarray:
@@ -182,8 +218,8 @@ def _prefix(h: np.ndarray, df: np.ndarray, n: int, order: int) -> np.ndarray:
     return h[_ordered(h, df, order)[: max(0, size)]]
 
 
-def _unpacked(row_parts) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(p["hashes"] for p in row_parts), np.uint64), np.frombuffer(b"".join(p["dfs"] for p in row_parts), np.int32)
+def _unpacked(hashes: bytes, dfs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(hashes, np.uint64), np.frombuffer(dfs, np.int32)
 
 
 def candidate_groups(sets: DataFrame) -> DataFrame:
@@ -193,8 +229,8 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 tokens, nodes, weights = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-                for node, n, parts in zip(*(batch.slice(a, 256).column(c).to_pylist() for c in ("node", "n", "parts")), strict=True):
-                    h, df = _unpacked(parts)
+                for node, n, *packed in zip(*(batch.slice(a, 256).column(c).to_pylist() for c in ("node", "n", "hashes", "dfs")), strict=True):
+                    h, df = _unpacked(*packed)
                     prefix = _prefix(h, df, n, 0)
                     tokens.append(prefix)
                     nodes.append(np.full(len(prefix), node, np.int64))
@@ -248,17 +284,17 @@ def verified_links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     blocks = F.expr(f"cast(ceil(m / {BLOCK}) as int)")
     placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    dealt = placed.select("grp", "node", "n", "copies", "parts", "block", F.inline(meets))
+    dealt = placed.select("grp", "node", "n", "copies", "hashes", "dfs", "block", F.inline(meets))
     task = F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("grp"), F.lit(max(1, sets.count() // (2 * BLOCK))))).otherwise(F.xxhash64("grp", "i", "j"))
 
     def run(table: pa.Table) -> pa.Table:
-        columns = {c: table.column(c).to_pylist() for c in ("grp", "node", "n", "copies", "parts", "block", "i", "j")}
+        columns = {c: table.column(c).to_pylist() for c in ("grp", "node", "n", "copies", "hashes", "dfs", "block", "i", "j")}
         units: dict[tuple, list[int]] = {}
         for k, unit in enumerate(zip(columns["grp"], columns["i"], columns["j"], strict=True)):
             units.setdefault(unit, []).append(k)
         a, b, degree = [], [], []
         for (_, i, j), rows in units.items():
-            item = lambda k: (columns["n"][k], *_unpacked(columns["parts"][k]))
+            item = lambda k: (columns["n"][k], *_unpacked(columns["hashes"][k], columns["dfs"][k]))
             one = [k for k in rows if columns["block"][k] == i]
             two = [k for k in rows if columns["block"][k] == j] if i != j else one
             x, y = _block_links([item(k) for k in one], [item(k) for k in two] if i != j else None)
