@@ -1,4 +1,6 @@
-"""The queries of the package and their SQL."""
+"""The queries of the package and their SQL, gathered from the plan modules."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from agentframe.plans import agent_plans, design_plans, graph_plans, grid_plans, model_plans, random_plans, report_plans, source_plans, space_plans, statistics_plans  # noqa: F401
+from agentframe.plans.declare import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
