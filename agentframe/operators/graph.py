@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentframe.functions import rng
+from agentframe.operators.kernels import preferential, small_world
 
 
 def build_edges(requests: DataFrame, nodes: DataFrame, directed: bool = False) -> DataFrame:
@@ -62,8 +63,6 @@ def watts_strogatz(spark: SparkSession, n: int, k: int, beta: float, seeds: Data
     """(seed, src, dst) of one small world per seed; rewiring depends on the edges so far, so a graph is one task. It has n * k edges."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from agentframe.operators.kernels import small_world
-
         for batch in batches:
             for seed in batch["seed"]:
                 edges = small_world(n, k, beta, int(seed))
@@ -76,8 +75,6 @@ def barabasi_albert(spark: SparkSession, n: int, m: int, seeds: DataFrame) -> Da
     """(seed, src, dst) of one preferential-attachment graph per seed, grown from a star of m + 1 nodes."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from agentframe.operators.kernels import preferential
-
         for batch in batches:
             for seed in batch["seed"]:
                 edges = preferential(n, m, int(seed))

@@ -1,0 +1,202 @@
+"""Models whose agents act one after another, so a run is serial: small functions for one (configuration, seed), run side by side by Spark."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from agentframe.functions.chacha import Stream
+from agentframe.operators.kernels_terrain import capacities
+
+# What each model mixes into its seed when it builds its first state.
+SALTS = {"sir": 0x05105EED, "schelling": 0x05E70F5EED00, "sugarscape": 0x506A85CA9E000}
+
+
+def torus_neighbours(width: int, height: int) -> list[list[int]]:
+    """Moore neighbours of each cell on a torus."""
+    ring = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
+    return [[(y + dy) % height * width + (x + dx) % width for dx, dy in ring] for y in range(height) for x in range(width)]
+
+
+def small_world(n: int, k: int, beta: float, seed: int) -> list[tuple[int, int]]:
+    """A ring of n nodes with k links forward each, a share beta of them rewired to a node that is not yet linked; n * k edges."""
+    draw, links = Stream(seed), [set() for _ in range(n)]
+    edges = []
+    for a in range(n):
+        for d in range(1, k + 1):
+            b = (a + d) % n
+            if draw.chance(beta) or b in links[a]:
+                open_ = [c for c in range(n) if c != a and c not in links[a]]
+                b = open_[draw.below(len(open_))]
+            links[a].add(b)
+            links[b].add(a)
+            edges.append((a, b))
+    return edges
+
+
+def preferential(n: int, m: int, seed: int) -> list[tuple[int, int]]:
+    """A star of m + 1 nodes, then each new node links to m nodes drawn by degree."""
+    draw = Stream(seed)
+    edges = [(0, a) for a in range(1, m + 1)]
+    ends = [x for e in edges for x in e]
+    for new in range(m + 1, n):
+        chosen: dict[int, None] = {}
+        while len(chosen) < m:
+            chosen[ends[draw.below(len(ends))]] = None
+        for old in chosen:
+            edges.append((new, old))
+            ends += [new, old]
+    return edges
+
+
+def sir(width: int, height: int, infected: int, beta: float, gamma: float, seed: int, steps: int, near: list[list[int]] | None = None) -> list[tuple[int, int, int, int]]:
+    """(step, s, i, r) on a full torus (or on the neighbour lists near), agents acting in a fresh random order each step, until nobody is infected."""
+    n = width * height
+    start, draw = list(range(n)), Stream(seed)
+    Stream(seed ^ SALTS["sir"]).shuffle(start)
+    status = np.zeros(n, np.int8)
+    status[start[:infected]] = 1
+    near = near or torus_neighbours(width, height)
+    state = status.tolist()
+    series = [(0, n - infected, infected, 0)]
+    for step in range(1, steps + 1):
+        if 1 not in state:
+            break
+        order = list(range(n))
+        draw.shuffle(order)
+        for a in order:
+            if state[a] == 0:
+                k = sum(state[b] == 1 for b in near[a])
+                if k and draw.chance(1 - (1 - beta) ** k):
+                    state[a] = 1
+            elif state[a] == 1 and draw.chance(gamma):
+                state[a] = 2
+        series.append((step, state.count(0), state.count(1), state.count(2)))
+    return series
+
+
+def schelling(width: int, height: int, density: float, tolerance: float, seed: int, steps: int) -> list[tuple[int, float, float]]:
+    """(step, similarity, happy): unhappy agents move to a random empty cell, in random order."""
+    n = width * height
+    cells, draw = list(range(n)), Stream(seed)
+    Stream(seed ^ SALTS["schelling"]).shuffle(cells)
+    count = int(n * density + 0.5)
+    group, place, empty = [0] * n, cells[:count], cells[count:]
+    for a, c in enumerate(place):
+        group[c] = 1 + a % 2
+    near = torus_neighbours(width, height)
+
+    def likeness(c: int) -> float:
+        own = [group[b] for b in near[c] if group[b]]
+        return sum(g == group[c] for g in own) / len(own) if own else 1.0
+
+    def report(step: int) -> tuple[int, float, float]:
+        r = [likeness(c) for c in place]
+        return step, sum(r) / max(1, len(r)), sum(x >= tolerance for x in r) / max(1, len(r))
+
+    series = [report(0)]
+    for step in range(1, steps + 1):
+        if series[-1][2] == 1.0:
+            break
+        order = list(range(count))
+        draw.shuffle(order)
+        for a in order:
+            c = place[a]
+            if empty and likeness(c) < tolerance:
+                k = draw.below(len(empty))
+                place[a], empty[k], empty[-1] = empty[k], empty[-1], empty[k]
+                empty[-1] = c
+                group[place[a]], group[c] = group[c], 0
+        series.append(report(step))
+    return series
+
+
+def gini(values: list[int]) -> float:
+    total, n = sum(values), len(values)
+    return sum((2 * k - n - 1) * v for k, v in enumerate(sorted(values), 1)) / (n * total) if total else 0.0
+
+
+def sugarscape(width: int, height: int, agents: int, growback: int, seed: int, steps: int) -> list[tuple[int, int, float, float]]:
+    """(step, population, gini, mean wealth): agents go to the best free cell in sight, harvest, and starve."""
+    room = capacities(width, height)
+    sugar, first = list(room), Stream(seed ^ SALTS["sugarscape"])
+    cells = list(range(width * height))
+    first.shuffle(cells)
+    ants = [[c, 1 + first.below(6), 1 + first.below(4), 5 + first.below(21)] for c in cells[:agents]]
+    taken, draw = {a[0] for a in ants}, Stream(seed)
+    report = lambda step: (step, len(ants), gini([a[3] for a in ants]), sum(a[3] for a in ants) / max(1, len(ants)))
+    series = [report(0)]
+    for step in range(1, steps + 1):
+        if not ants:
+            break
+        order = list(range(len(ants)))
+        draw.shuffle(order)
+        for k in order:
+            cell, vision, need, wealth = ants[k]
+            ways = [(0, -1), (0, 1), (-1, 0), (1, 0)]
+            draw.shuffle(ways)
+            seen = [(-sugar[cell], 0, -1, cell)]
+            for w, (dx, dy) in enumerate(ways):
+                for d in range(1, vision + 1):
+                    x, y = cell % width + dx * d, cell // width + dy * d
+                    if not (0 <= x < width and 0 <= y < height):
+                        break
+                    if (c := y * width + x) not in taken:
+                        seen.append((-sugar[c], d, w, c))
+            goal = min(seen)[3]
+            taken.discard(cell)
+            wealth, sugar[goal] = wealth + sugar[goal], 0
+            if wealth > need:
+                taken.add(goal)
+                ants[k] = [goal, vision, need, wealth - need]
+            else:
+                ants[k] = [goal, vision, need, -1]
+        ants = [a for a in ants if a[3] >= 0]
+        sugar = [min(s + growback, r) for s, r in zip(sugar, room, strict=True)]
+        series.append(report(step))
+    return series
+
+
+def grazers(width: int, height: int, grazers_: int, wolves: int, seed: int, steps: int) -> list[tuple[int, int, int, float]]:
+    """(step, grazers, wolves, grass): grazers eat, walk and split; wolves eat what they meet; the newly born act from the next step."""
+    n, draw = width * height, Stream(seed)
+    grass, near = np.full(n, 10.0), torus_neighbours(width, height)
+    herd = [[draw.below(n), 6.0, True] for _ in range(grazers_)]
+    pack = [[draw.below(n), 20.0, False] for _ in range(wolves)]
+    everyone = herd + pack
+    series = [(0, len(herd), len(pack), float(grass.sum()))]
+    for step in range(1, steps + 1):
+        if not everyone:
+            break
+        at: dict[int, list] = {a[0]: a for a in everyone if a[2]}
+        born, order = [], list(range(len(everyone)))
+        draw.shuffle(order)
+        for k in order:
+            a = everyone[k]
+            if a[1] <= 0:
+                continue
+            if a[2]:
+                if grass[a[0]] >= 2:
+                    grass[a[0]] -= 2
+                    a[1] += 2
+                else:
+                    if at.get(a[0]) is a:
+                        del at[a[0]]
+                    a[0] = near[a[0]][draw.below(8)]
+                    at[a[0]] = a
+                    a[1] -= 0.5
+                a[1] -= 0.5
+                if a[1] >= 14:
+                    a[1] /= 2
+                    born.append([a[0], a[1], True])
+            else:
+                prey = at.pop(a[0], None)
+                if prey is not None and prey[1] > 0:
+                    prey[1] = 0.0
+                    a[1] += 8
+                else:
+                    a[0] = next((c for c in near[a[0]] if c in at), a[0])
+                a[1] -= 1
+        everyone = [a for a in everyone if a[1] > 0] + born
+        grass = np.minimum(grass + 0.5, 10.0)
+        series.append((step, sum(a[2] for a in everyone), sum(not a[2] for a in everyone), float(grass.sum())))
+    return series

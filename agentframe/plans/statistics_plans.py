@@ -1 +1,137 @@
+"""Evaluation and statistics queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from agentframe.operators import evaluate as e
+from agentframe.plans.declare import query
+from agentframe.plans.fixtures import AGENTS, CONF, ENS, GRID, agents, confusion, ensemble, grid, table
+
+_COUNTS = "count_if(truth AND pred)::BIGINT AS tp, count_if(NOT truth AND pred)::BIGINT AS fp, count_if(truth AND NOT pred)::BIGINT AS fn, count_if(truth)::BIGINT AS truth_n"
+
+
+@query(f"SELECT {_COUNTS} FROM {CONF}")
+def eval_confusion(spark, sf_dir):
+    return e.confusion(confusion(spark, sf_dir))
+
+
+@query(f"SELECT {_COUNTS} FROM {CONF} WHERE doc_id % 3 > 0")
+def eval_confusion_masked(spark, sf_dir):
+    """Counts inside a bounding mask only."""
+    return e.confusion(confusion(spark, sf_dir).where("doc_id % 3 > 0"))
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id % 5 AS part, {_COUNTS} FROM {CONF} GROUP BY 1), m AS (SELECT *, coalesce(tp / nullif(tp + fp + fn, 0), 0e0) AS iou, coalesce(tp / nullif(tp + fp, 0), 0e0) AS "precision", coalesce(tp / nullif(tp + fn, 0), 0e0) AS recall FROM c)
+    SELECT part, round(iou, 6) AS iou, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(CASE WHEN "precision" + recall > 0 THEN 2 * "precision" * recall / ("precision" + recall) ELSE 0 END, 6) AS f1, round((tp + fp) * 0.0009e0, 6) AS pred_km2, round((tp + fn) * 0.0009e0, 6) AS truth_km2 FROM m"""
+)
+def eval_metrics(spark, sf_dir):
+    out = e.metrics(e.confusion(confusion(spark, sf_dir).withColumn("part", F.col("doc_id") % 5), "part"))
+    return out.select("part", *[F.round(c, 6).alias(c) for c in ("iou", "precision", "recall", "f1", "pred_km2", "truth_km2")])
+
+
+@query(f"WITH e AS {ENS}, g AS (SELECT config, seed, CAST(range AS BIGINT) AS step FROM (SELECT DISTINCT config, seed FROM e), range(41)) SELECT config, seed, g.step, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY config, seed ORDER BY g.step), -1) AS v FROM g LEFT JOIN e USING (config, seed, step)")
+def stats_pad_locf(spark, sf_dir):
+    return e.pad_locf(ensemble(spark, sf_dir), ["config", "seed"], "v", 40).select("config", "seed", "step", F.coalesce("v", F.lit(-1.0)).alias("v"))
+
+
+@query(f"SELECT config, step, round(avg(v), 6) AS v FROM {ENS} GROUP BY ALL")
+def stats_mean_curve(spark, sf_dir):
+    return ensemble(spark, sf_dir).groupBy("config", "step").agg(F.round(F.avg("v"), 6).alias("v"))
+
+
+@query(f"WITH s AS (SELECT step, avg(v) FILTER (WHERE config = 'view') AS ma, avg(v) FILTER (WHERE config = 'click') AS mb, var_samp(v) FILTER (WHERE config = 'view') AS va, var_samp(v) FILTER (WHERE config = 'click') AS vb, count(v) FILTER (WHERE config = 'view') AS na, count(v) FILTER (WHERE config = 'click') AS nb FROM {ENS} GROUP BY step), z AS (SELECT step, CASE WHEN sqrt(va / na + vb / nb) > 0 THEN (ma - mb) / sqrt(va / na + vb / nb) ELSE 0 END AS z FROM s) SELECT step, round(z, 6) AS z, abs(z) < 1.96e0 AS pass FROM z")
+def stats_ztest(spark, sf_dir):
+    return e.z_test(ensemble(spark, sf_dir), "config", "view", "click", "v", "step").select("step", F.round("z", 6).alias("z"), "pass")
+
+
+@query(f"WITH m AS (SELECT config, step, avg(v) AS v FROM {ENS} GROUP BY ALL) SELECT a.config AS a, b.config AS b, round(max(abs(a.v - b.v)), 6) AS gap FROM m a JOIN m b USING (step) WHERE a.config < b.config GROUP BY ALL")
+def stats_curve_diff(spark, sf_dir):
+    """The greatest gap between the mean curves of two configurations."""
+    m = ensemble(spark, sf_dir).groupBy("config", "step").agg(F.avg("v").alias("v"))
+    a, b = (m.select("step", F.col("config").alias(n), F.col("v").alias(f"v{n}")) for n in "ab")
+    return a.join(b, "step").where("a < b").groupBy("a", "b").agg(F.round(F.max(F.abs(F.col("va") - F.col("vb"))), 6).alias("gap"))
+
+
+_TIMES = "(SELECT CAST(p_size % 4 AS INT) AS side, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS engine, p_retailprice AS ms FROM part)"
+
+
+@query(f"WITH m AS (SELECT side, engine, median(ms) AS ms FROM {_TIMES} GROUP BY ALL) SELECT side, round(max(ms) FILTER (WHERE engine = 'a'), 6) AS a, round(max(ms) FILTER (WHERE engine = 'b'), 6) AS b, round(max(ms) FILTER (WHERE engine = 'a') / max(ms) FILTER (WHERE engine = 'b'), 6) AS ratio FROM m GROUP BY side")
+def stats_median_pivot(spark, sf_dir):
+    times = table(spark, sf_dir, "part").select((F.col("p_size") % 4).cast("int").alias("side"), F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b").alias("engine"), F.col("p_retailprice").alias("ms"))
+    wide = times.groupBy("side").pivot("engine", ["a", "b"]).agg(F.percentile("ms", 0.5))
+    return wide.select("side", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.col("a") / F.col("b"), 6).alias("ratio"))
+
+
+_RUNS = f"(SELECT seed, config, max(v) AS v FROM {ENS} GROUP BY ALL)"
+_FULL = f"(SELECT * FROM {_RUNS} WHERE seed IN (SELECT seed FROM {_RUNS} GROUP BY seed HAVING count(*) = (SELECT count(DISTINCT config) FROM {_RUNS})))"
+_RANKED = f"(SELECT *, rank() OVER (PARTITION BY seed ORDER BY -v) + (count(*) OVER (PARTITION BY seed, v) - 1) / 2e0 AS r FROM {_FULL})"
+
+
+def _runs(spark, sf_dir):
+    runs = ensemble(spark, sf_dir).groupBy("seed", "config").agg(F.max("v").alias("v"))
+    methods = runs.select("config").distinct().count()
+    full = runs.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") == methods).select("seed")
+    return runs.join(full, "seed")
+
+
+@query(f"SELECT config, round(avg(r), 6) AS mean_rank FROM {_RANKED} GROUP BY config")
+def stats_mean_rank(spark, sf_dir):
+    ranked = e.tie_ranks(_runs(spark, sf_dir), ["seed"], -F.col("v"))
+    return ranked.groupBy("config").agg(F.round(F.avg("rank"), 6).alias("mean_rank"))
+
+
+@query(f"WITH s AS (SELECT config, sum(rank_) AS r, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY seed ORDER BY v) + (count(*) OVER (PARTITION BY seed, v) - 1) / 2e0 AS rank_ FROM {_FULL}) GROUP BY config) SELECT round(12e0 / (max(n) * count(*) * (count(*) + 1)) * sum(r * r) - 3e0 * max(n) * (count(*) + 1), 6) AS chi2, max(n) AS n, count(*) AS k FROM s")
+def stats_friedman(spark, sf_dir):
+    return e.friedman(_runs(spark, sf_dir), "seed", "config", "v").select(F.round("chi2", 6).alias("chi2"), "n", "k")
+
+
+@query(f"WITH d AS (SELECT a.config AS a, b.config AS b, a.v - b.v AS d FROM {_FULL} a JOIN {_FULL} b USING (seed) WHERE a.config < b.config AND a.v <> b.v), r AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2e0 AS r FROM d) SELECT a, b, round(least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)), 6) AS w, count(*) AS n FROM r GROUP BY ALL")
+def stats_wilcoxon(spark, sf_dir):
+    return e.wilcoxon(_runs(spark, sf_dir), "seed", "config", "v").select("a", "b", F.round("w", 6).alias("w"), "n")
+
+
+_P = f"(SELECT config, (count(*) % 97) / 2000e0 AS p FROM {ENS} GROUP BY config)"
+
+
+@query(f"SELECT config, p, max(s) OVER (ORDER BY p, config ROWS UNBOUNDED PRECEDING) AS adjusted FROM (SELECT *, least(1e0, (count(*) OVER () - row_number() OVER (ORDER BY p, config) + 1) * p) AS s FROM {_P})")
+def stats_holm(spark, sf_dir):
+    p = ensemble(spark, sf_dir).groupBy("config").agg((F.count("*") % 97 / 2000.0).alias("p"))
+    return e.holm(p, "p", "config")
+
+
+@query(f"WITH t AS (SELECT grp, idx, CAST(wealth AS DOUBLE) AS a, wealth * 0.9e0 + (idx % 1000) * 50 AS b FROM {AGENTS}), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY a, idx) AS ra, row_number() OVER (PARTITION BY grp ORDER BY b, idx) AS rb FROM t) SELECT grp, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, round(sqrt(avg((a - b) * (a - b))), 4) AS rmse, round(avg(abs(a - b)), 4) AS mae, round(avg(a - b), 4) AS bias FROM r GROUP BY grp")
+def stats_parity(spark, sf_dir):
+    t = agents(spark, sf_dir).select("grp", "idx", F.col("wealth").cast("double").alias("a"), (F.col("wealth") * 0.9 + (F.col("idx") % 1000) * 50).alias("b"))
+    out = e.parity(t, "a", "b", ["grp"], "idx")
+    return out.select("grp", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"), *[F.round(c, 4).alias(c) for c in ("rmse", "mae", "bias")])
+
+
+_VISITS = "(SELECT CAST(l_partkey % 20 AS INT) AS x, CAST(l_suppkey AS INT) AS y, l_orderkey % 12 AS run FROM lineitem)"
+
+
+@query(f"SELECT x, y, round(count(DISTINCT run) / 12e0, 6) AS p FROM {_VISITS} GROUP BY x, y")
+def eval_probability_raster(spark, sf_dir):
+    """The share of runs that visit each cell."""
+    visits = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 20).cast("int").alias("x"), F.col("l_suppkey").cast("int").alias("y"), (F.col("l_orderkey") % 12).alias("run")).distinct()
+    return visits.groupBy("x", "y").agg(F.round(F.count("*") / 12.0, 6).alias("p"))
+
+
+_SCORED = "(SELECT CAST(floor(least((o_totalprice % 1000) / 1000e0, 1e0) * 200) AS INT) AS bin, o_custkey % 3 = 0 AS truth FROM orders)"
+
+
+@query(
+    f"""WITH c AS (SELECT bin, count_if(truth) AS p, count_if(NOT truth) AS q FROM {_SCORED} GROUP BY bin), r AS (SELECT bin / 200e0 AS threshold, sum(p) OVER (ORDER BY bin DESC) / (SELECT sum(p) FROM c) AS tpr, sum(q) OVER (ORDER BY bin DESC) / (SELECT sum(q) FROM c) AS fpr FROM c),
+    t AS (SELECT *, (fpr - coalesce(lag(fpr) OVER (ORDER BY fpr, tpr), 0)) * (tpr + coalesce(lag(tpr) OVER (ORDER BY fpr, tpr), 0)) / 2 AS piece FROM r) SELECT round(sum(piece), 6) AS auc, (SELECT threshold FROM r ORDER BY round(tpr - fpr, 9) DESC, threshold DESC LIMIT 1) AS best FROM t"""
+)
+def eval_roc_auc(spark, sf_dir):
+    scored = table(spark, sf_dir, "orders").select(((F.col("o_totalprice") % 1000) / 1000.0).alias("score"), (F.col("o_custkey") % 3 == 0).alias("truth"))
+    return e.auc(e.roc(scored, "score", "truth")).select(F.round("auc", 6).alias("auc"), "best")
+
+
+@query(f"SELECT md5(string_agg(x || ',' || y || ',' || cap, ';' ORDER BY y, x)) AS digest, y % 10 AS part FROM {GRID} GROUP BY y % 10")
+def state_digest(spark, sf_dir):
+    """A digest of the sorted state of each band of rows."""
+    rows = grid(spark, sf_dir).select((F.col("y") % 10).alias("part"), F.struct("y", "x", F.concat_ws(",", "x", "y", "cap").alias("s")).alias("r"))
+    return rows.groupBy("part").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["s"]), ";")).alias("digest"))
