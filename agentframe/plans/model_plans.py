@@ -1 +1,305 @@
+"""Whole models: synchronous ones as chained steps with SQL beside them, serial ones as one task a run."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from agentframe.functions import rng
+from agentframe.operators import batch, kernels, models, rules
+from agentframe.operators import space as s
+from agentframe.operators.grid import GridSpec
+from agentframe.plans.declare import query
+from agentframe.plans.fixtures import CUSTOMERS, GRID, HEIGHT, NET, POINTS, TORUS, WIDTH, customers, grid, grid_spec, net, panel, points, table
+from agentframe.plans.random_plans import child_sql, u01
+
+_OFF = "(SELECT CAST(a.i AS INT) AS dx, CAST(b.i AS INT) AS dy FROM range(-1, 2) AS a(i), range(-1, 2) AS b(i) WHERE a.i <> 0 OR b.i <> 0)"
+_IN = f"nx >= 0 AND ny >= 0 AND nx < {WIDTH} AND ny < {HEIGHT}"
+_MOD = lambda e, n: f"((({e}) % {n} + {n}) % {n})"
+
+
+def _life_sql(steps: int) -> str:
+    parts = [f"s0 AS (SELECT x, y, cap % 3 = 0 AS alive FROM {GRID})"]
+    for k in range(steps):
+        near = f"(SELECT nx AS x, ny AS y, count(*) AS n FROM (SELECT x + dx AS nx, y + dy AS ny FROM s{k}, {_OFF} WHERE alive) GROUP BY ALL)"
+        parts.append(f"s{k + 1} AS (SELECT c.x, c.y, coalesce(n, 0) = 3 OR (alive AND coalesce(n, 0) = 2) AS alive FROM s{k} c LEFT JOIN {near} USING (x, y))")
+    return "WITH " + ", ".join(parts) + f" SELECT x, y, alive FROM s{steps}"
+
+
+def _life(spark, sf_dir, steps):
+    spec = grid_spec(spark, sf_dir)
+    start = grid(spark, sf_dir).select("x", "y", (F.col("cap") % 3 == 0).alias("alive"))
+    return models.run(start, lambda c, _: models.life_step(c, spec), steps)
+
+
+@query(_life_sql(1))
+def sched_simultaneous_life(spark, sf_dir):
+    return _life(spark, sf_dir, 1)
+
+
+@query(_life_sql(4))
+def model_life(spark, sf_dir):
+    return _life(spark, sf_dir, 4)
+
+
+_RULE = lambda key: f"CASE WHEN status = 'S' AND coalesce(k, 0) > 0 AND {u01('h')} < 1 - pow(0.8e0, coalesce(k, 0)) THEN 'I' WHEN status = 'I' AND {u01('h')} < 0.1e0 THEN 'R' ELSE status END AS status"
+
+
+def _sir_sql(steps: int) -> str:
+    parts = [f"s0 AS (SELECT x, y, CASE WHEN cap > 47 THEN 'I' ELSE 'S' END AS status FROM {GRID})"]
+    for k in range(steps):
+        near = f"(SELECT nx AS x, ny AS y, count(*) AS k FROM (SELECT {_MOD('x + dx', WIDTH)} AS nx, {_MOD('y + dy', HEIGHT)} AS ny FROM s{k}, {_OFF} WHERE status = 'I') GROUP BY ALL)"
+        drawn = child_sql(f"(SELECT *, y * {WIDTH} + x AS cell FROM s{k})", 21, str(k), "cell")
+        parts.append(f"s{k + 1} AS (SELECT c.x, c.y, {_RULE('cell')} FROM {drawn} c LEFT JOIN {near} USING (x, y))")
+    return "WITH " + ", ".join(parts) + f" SELECT x, y, status FROM s{steps}"
+
+
+@query(_sir_sql(3))
+def model_sir_sync(spark, sf_dir):
+    """Three synchronous SIR steps on the torus."""
+    spec = grid_spec(spark, sf_dir, True)
+    start = grid(spark, sf_dir).select("x", "y", F.when(F.col("cap") > 47, "I").otherwise("S").alias("status"))
+    return models.run(start, lambda c, k: models.sir_step(c, spec, k, 21, 0.2, 0.1), 3)
+
+
+def _network_sql(steps: int) -> str:
+    parts = [f"e AS (SELECT src, dst FROM {NET} UNION ALL SELECT dst, src FROM {NET})", "s0 AS (SELECT DISTINCT src AS id, CASE WHEN src % 40 = 0 THEN 'I' ELSE 'S' END AS status FROM e)"]
+    for k in range(steps):
+        drawn = child_sql(f"s{k}", 22, str(k), "id")
+        parts.append(f"s{k + 1} AS (SELECT c.id, {_RULE('id')} FROM {drawn} c LEFT JOIN (SELECT src AS id, count(*) AS k FROM e JOIN s{k} ON s{k}.id = dst WHERE status = 'I' GROUP BY src) USING (id))")
+    return "WITH " + ", ".join(parts) + f" SELECT id, status FROM s{steps}"
+
+
+@query(_network_sql(2))
+def model_network_sir_sync(spark, sf_dir):
+    one = net(spark, sf_dir).select("src", "dst")
+    edges = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    start = edges.select(F.col("src").alias("id")).distinct().withColumn("status", F.when(F.col("id") % 40 == 0, "I").otherwise("S"))
+    return models.run(start, lambda c, k: models.network_sir_step(c, edges, k, 22, 0.2, 0.1), 2)
+
+
+_START = f"(SELECT idx, CAST(idx % {WIDTH} AS INT) AS x, CAST((idx * 3) % {HEIGHT} AS INT) AS y FROM {CUSTOMERS})"
+
+
+def _walk_sql(steps: int) -> list[str]:
+    parts = [f"w0 AS {_START}"]
+    for k in range(steps):
+        drawn = child_sql(f"w{k}", 23, str(k), "idx")
+        near = f"(SELECT idx, h, {_MOD('x + dx', WIDTH)} AS nx, {_MOD('y + dy', HEIGHT)} AS ny, row_number() OVER (PARTITION BY idx ORDER BY dy, dx) - 1 AS p FROM {drawn}, {_OFF})"
+        parts.append(f"w{k + 1} AS (SELECT idx, CAST(nx AS INT) AS x, CAST(ny AS INT) AS y FROM {near} WHERE p = floor({u01('h')} * 8)::BIGINT)")
+    return parts
+
+
+def _walkers(spark, sf_dir):
+    spec = grid_spec(spark, sf_dir, True)
+    start = customers(spark, sf_dir).select("idx", (F.col("idx") % WIDTH).cast("int").alias("x"), ((F.col("idx") * 3) % spec.height).cast("int").alias("y"))
+    return spec, start
+
+
+@query("WITH " + ", ".join(_walk_sql(3)) + " SELECT idx, x, y FROM w3")
+def model_walkers(spark, sf_dir):
+    spec, start = _walkers(spark, sf_dir)
+    return models.run(start, lambda w, k: models.walk_step(w, spec, k, 23), 3)
+
+
+def _pheromone_sql() -> str:
+    parts = [*_walk_sql(2), f"f0 AS (SELECT x, y, 0e0 AS v FROM {GRID})"]
+    for k in range(2):
+        parts.append(f"d{k} AS (SELECT c.x, c.y, v + coalesce(n, 0) AS v FROM f{k} c LEFT JOIN (SELECT x, y, count(*) AS n FROM w{k + 1} GROUP BY ALL) USING (x, y))")
+        moves = f"(SELECT x, y, v, {_MOD('x + dx', WIDTH)} AS nx, {_MOD('y + dy', HEIGHT)} AS ny FROM d{k}, {_OFF})"
+        parts.append(f"f{k + 1} AS (SELECT x, y, sum(v) * (1 - 0.0513e0) AS v FROM (SELECT x, y, v FROM d{k} UNION ALL SELECT x, y, -v * 0.4711e0 / 8 FROM {moves} UNION ALL SELECT nx, ny, v * 0.4711e0 / 8 FROM {moves}) GROUP BY x, y)")
+    return "WITH " + ", ".join(parts) + " SELECT x, y, round(v, 4) + 0 AS v FROM f2"
+
+
+@query(_pheromone_sql())
+def model_diffusion(spark, sf_dir):
+    """Walkers deposit, the field diffuses and fades: two steps."""
+    spec, walkers = _walkers(spark, sf_dir)
+    field = grid(spark, sf_dir).select("x", "y", F.lit(0.0).alias("v"))
+    for k in range(2):
+        walkers = models.walk_step(walkers, spec, k, 23)
+        field = models.pheromone_step(field, walkers, spec, 0.4711, 0.0513)
+    return field.select("x", "y", (F.round("v", 4) + 0).alias("v"))
+
+
+_D = lambda c, t: f"CASE WHEN abs({t} - {c}) > 500 THEN ({t} - {c}) - 1000 * sign({t} - {c}) ELSE {t} - {c} END"
+
+
+@query(
+    f"""WITH p AS (SELECT a.idx, b.idx AS q, {_D('a.px', 'b.px')} AS tx, {_D('a.py', 'b.py')} AS ty FROM {CUSTOMERS} a, {POINTS} b), n AS (SELECT *, sqrt(tx * tx + ty * ty) AS d FROM p WHERE sqrt(tx * tx + ty * ty) <= 20),
+    b AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, q) AS k FROM n), m AS (SELECT c.idx, px + coalesce(CASE WHEN d > 3 THEN tx * 3 / d ELSE tx END, 0) AS px, py + coalesce(CASE WHEN d > 3 THEN ty * 3 / d ELSE ty END, 0) AS py FROM {CUSTOMERS} c LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (idx))
+    SELECT idx, round(px - floor(px / 1000) * 1000, 5) AS px, round(py - floor(py / 1000) * 1000, 5) AS py FROM m"""
+)
+def model_prey_kernel(spark, sf_dir):
+    """Predators step towards the nearest prey within reach."""
+    out = models.chase_step(customers(spark, sf_dir), points(spark, sf_dir), TORUS, 20.0, 3.0)
+    return out.select("idx", F.round("px", 5).alias("px"), F.round("py", 5).alias("py"))
+
+
+@query()
+def model_boids(spark, sf_dir):
+    """Three flocking steps."""
+    start = customers(spark, sf_dir).select("idx", "px", "py", (F.col("idx") % 7 - 3).cast("double").alias("vx"), (F.col("idx") % 5 - 2).cast("double").alias("vy"))
+    return models.run(start, lambda b, _: s.flock(b, TORUS, 40.0, (1.5, 1.0, 0.8), 2.0), 3)
+
+
+def _sweep(spark, values, name, kernel, columns, schema, seeds=4):
+    configs = spark.createDataFrame([(v,) for v in values], f"{name} double")
+    table_ = batch.tasks(configs, spark.range(seeds).withColumnRenamed("id", "seed"))
+    return batch.run_all(table_, kernel, [name, "seed"], columns, f"{name} double, seed long, {schema}")
+
+
+def _sir_kernel(row):
+    series = kernels.sir(20, 20, 5, float(row.get("beta", 0.08)), 0.1, int(row["seed"]), 120)
+    return [(max(i for _, _, i, _ in series), series[-1][3])]
+
+
+@query()
+def ensemble_sir(spark, sf_dir):
+    """One run a seed."""
+    return batch.run_all(spark.range(8).withColumnRenamed("id", "seed"), _sir_kernel, ["seed"], ["peak", "r_final"], "seed long, peak long, r_final long")
+
+
+@query()
+def sweep_sir(spark, sf_dir):
+    return _sweep(spark, [0.04, 0.08, 0.16], "beta", _sir_kernel, ["peak", "r_final"], "peak long, r_final long")
+
+
+@query()
+def sweep_schelling(spark, sf_dir):
+    return _sweep(spark, [0.25, 0.375, 0.5], "tolerance", lambda r: [kernels.schelling(20, 20, 0.85, float(r["tolerance"]), int(r["seed"]), 60)[-1][1:]], ["similarity", "happy"], "similarity double, happy double")
+
+
+@query()
+def sweep_sugarscape(spark, sf_dir):
+    return _sweep(spark, [1.0, 2.0], "growback", lambda r: [kernels.sugarscape(20, 20, 80, int(r["growback"]), int(r["seed"]), 40)[-1][1:3]], ["population", "gini"], "population long, gini double")
+
+
+def _series(spark, kernel, columns, schema):
+    return batch.run_all(spark.range(4).withColumnRenamed("id", "seed"), kernel, ["seed"], columns, f"seed long, {schema}")
+
+
+@query()
+def model_sir(spark, sf_dir):
+    return _series(spark, lambda r: kernels.sir(25, 25, 5, 0.08, 0.1, int(r["seed"]), 200), ["step", "s", "i", "r"], "step long, s long, i long, r long")
+
+
+@query()
+def sched_ordered(spark, sf_dir):
+    """A serial run: agents act in turn and see what was done before them in the same step."""
+    return model_sir(spark, sf_dir).groupBy("seed").agg(F.max("step").alias("steps"), F.max("i").alias("peak"))
+
+
+@query()
+def model_network_sir(spark, sf_dir):
+    """Serial SIR on small-world networks."""
+
+    def kernel(row):
+        near = [[] for _ in range(400)]
+        for a, b in kernels.small_world(400, 4, 0.1, int(row["seed"])):
+            near[a].append(b)
+            near[b].append(a)
+        return kernels.sir(20, 20, 5, 0.06, 0.1, int(row["seed"]), 200, near)
+
+    return _series(spark, kernel, ["step", "s", "i", "r"], "step long, s long, i long, r long")
+
+
+@query()
+def model_schelling(spark, sf_dir):
+    return _series(spark, lambda r: kernels.schelling(25, 25, 0.85, 0.375, int(r["seed"]), 60), ["step", "similarity", "happy"], "step long, similarity double, happy double")
+
+
+@query()
+def model_sugarscape(spark, sf_dir):
+    return _series(spark, lambda r: kernels.sugarscape(25, 25, 100, 1, int(r["seed"]), 60), ["step", "population", "gini", "mean_wealth"], "step long, population long, gini double, mean_wealth double")
+
+
+@query()
+def model_predator_prey_grid(spark, sf_dir):
+    return _series(spark, lambda r: kernels.grazers(20, 20, 80, 6, int(r["seed"]), 60), ["step", "grazers", "wolves", "grass"], "step long, grazers long, wolves long, grass double")
+
+
+_HOURS = ", ".join(f"({d}, {h}, {f!r}e0)" for d, h, f in rules.HOURLY)
+
+
+@query(f"SELECT x, y, CAST(d.range AS INT) AS day, hour, round((v / 100 + d.range) * share, 6) AS rain FROM {GRID}, range(4) d JOIN (VALUES {_HOURS}) p(pday, hour, share) ON pday = d.range")
+def rule_hourly_rain(spark, sf_dir):
+    daily = grid(spark, sf_dir).select("x", "y", F.col("v").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("day"))
+    rain = rules.hourly_rain(daily.select("x", "y", "day", (F.col("own") / 100 + F.col("day")).alias("rain")))
+    return rain.select("x", "y", "day", "hour", F.round("rain", 6).alias("rain"))
+
+
+@query(f"SELECT x, y FROM {GRID} WHERE cap / 50e0 > 0.245e0 AND x / 20e0 > 0.5e0 AND cap % 7 <> 3 AND v / 1000 > 0.916e0")
+def rule_spawn(spark, sf_dir):
+    """Cells that may start a flow; a NaN layer never passes."""
+    layer = F.when(F.col("cap") % 7 == 3, float("nan")).otherwise(F.col("v") / 1000)
+    return grid(spark, sf_dir).where(rules.can_start(F.col("cap") / 50.0, F.col("x") / 20.0, layer, 0.245, 0.916)).select("x", "y")
+
+
+_SLOPE = "(SELECT x, y, (cap - 10) / 100e0 AS slope, v / 100 AS v, cap / 50e0 AS sed FROM " + GRID + ")"
+_CL = lambda e, a, b: f"least(greatest({e}, {a}), {b})"
+
+
+@query(
+    f"""SELECT x, y, round({_CL('CASE WHEN slope > 0.01e0 THEN v + 9.81e0 * slope * ((1 - 0.033e0) * 1.97e0) ELSE v * 0.95e0 END', '0.45e0', '23.5e0')}, 9) AS copiapo,
+    round(CASE WHEN slope <= 0 THEN v * 0.95e0 ELSE {_CL('v + 9.81e0 * slope - 0.02e0 * v * v', '0.01e0', '600e0')} END, 9) AS coastal,
+    round(CASE WHEN slope <= 0 THEN v * 0.95e0 ELSE {_CL('v + 9.81e0 * (slope - 0.1e0) - 9.81e0 * v * v / 500', '0.01e0', '600e0')} END, 9) AS voellmy FROM {_SLOPE}"""
+)
+def rule_velocity(spark, sf_dir):
+    cells = grid(spark, sf_dir).select("x", "y", ((F.col("cap") - 10) / 100.0).alias("slope"), (F.col("v") / 100).alias("v"))
+    v, slope = F.col("v"), F.col("slope")
+    laws = {"copiapo": dict(friction=0.033, factor=1.97, critical=0.01, low=0.45, high=23.5), "coastal": dict(friction=0.02), "voellmy": dict(mu=0.1, xi=500.0)}
+    return cells.select("x", "y", *[F.round(rules.velocity(law, v, slope, **p), 9).alias(law) for law, p in laws.items()])
+
+
+@query(f"SELECT x, y, round(CASE WHEN slope > 0.1e0 THEN least(v * (1 + 0.3e0 * greatest(sed, 0)), 9e0 * 1.1e0) ELSE v * CASE WHEN slope > 0.01e0 THEN 0.98e0 ELSE 0.96e0 END END, 6) AS volume FROM {_SLOPE}")
+def rule_volume(spark, sf_dir):
+    cells = grid(spark, sf_dir)
+    out = rules.volume(F.col("v") / 100, F.lit(9.0), (F.col("cap") - 10) / 100.0, F.col("cap") / 50.0, 0.1, 0.3, 1.1, 0.98, 0.96)
+    return cells.select("x", "y", F.round(out, 6).alias("volume"))
+
+
+@query(f"SELECT idx, CAST(range AS INT) AS child, round(px + 2 * cos(range * (2 * pi() / 3)), 5) AS px, round(py + 2 * sin(range * (2 * pi() / 3)), 5) AS py, round((idx % 10 + 1) / 4e0, 6) AS volume, round(0.8e0 * (idx % 5), 6) AS velocity FROM {CUSTOMERS}, range(3)")
+def rule_spread(spark, sf_dir):
+    flows = customers(spark, sf_dir).withColumns({"volume": (F.col("idx") % 10 + 1).cast("double"), "velocity": (F.col("idx") % 5).cast("double")})
+    out = rules.spread(flows, 3, 2.0)
+    return out.select("idx", "child", F.round("px", 5).alias("px"), F.round("py", 5).alias("py"), F.round("volume", 6).alias("volume"), F.round("velocity", 6).alias("velocity"))
+
+
+@query("SELECT step % 24 AS hour, round(least(0.1e0 + 0.9e0 * exp(-pow(least(abs(step % 24 - 22), 24 - abs(step % 24 - 22)), 2) / (2 * 3.5e0 * 3.5e0)), 1e0), 6) AS level, count(*) AS n FROM (SELECT CAST((epoch_us(ts) - 1704067200000000) // 3600000000 AS BIGINT) AS step FROM events) GROUP BY ALL")
+def rule_activity(spark, sf_dir):
+    level = F.round(rules.activity(F.col("step") % 24, 22.0, 0.9, 3.5, 0.1), 6)
+    return panel(spark, sf_dir).groupBy((F.col("step") % 24).alias("hour"), level.alias("level")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH z AS (SELECT o_custkey AS idx, o_orderkey % 1000 * 1e0 AS zx, o_orderkey * 7 % 1000 * 1e0 AS zy, o_orderkey % 300 AS step FROM orders)
+    SELECT c.idx, round(coalesce(sum(CASE WHEN 300 - step < 168 AND sqrt(pow(px - zx, 2) + pow(py - zy, 2)) < 400 THEN (1 - (300 - step) / 168e0) * (1 - sqrt(pow(px - zx, 2) + pow(py - zy, 2)) / 400) ELSE 0 END), 0), 6) AS risk FROM {CUSTOMERS} c LEFT JOIN z USING (idx) GROUP BY c.idx"""
+)
+def rule_danger_zones(spark, sf_dir):
+    """Risk from each agent's remembered zones at hour 300."""
+    zone = F.struct((F.col("o_orderkey") % 1000).cast("double").alias("px"), (F.col("o_orderkey") * 7 % 1000).cast("double").alias("py"), (F.col("o_orderkey") % 300).alias("step"))
+    zones = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("idx")).agg(F.sort_array(F.collect_list(zone)).alias("zones"))
+    risk = rules.zone_risk(F.col("zones"), F.col("px"), F.col("py"), F.lit(300))
+    return customers(spark, sf_dir).join(zones, "idx", "left").select("idx", F.round(F.coalesce(risk, F.lit(0.0)), 6).alias("risk"))
+
+
+@query(
+    f"""WITH n AS (SELECT a.idx, count(*) - 1 AS grp FROM {CUSTOMERS} a, {CUSTOMERS} b WHERE sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) <= 50 GROUP BY a.idx), d AS (SELECT idx, CASE WHEN idx % 3 = 0 THEN idx % 500 END AS dog, CASE WHEN idx % 4 = 0 THEN idx % 40 END AS mother FROM {CUSTOMERS})
+    SELECT idx, round(least(greatest(0.26e0 * ((idx % 7) / 7e0) + 0.05e0 * ((idx % 11) / 11e0) + coalesce(-0.20e0 * (1 - dog / 500e0), 0) - 0.03e0 * least(grp / 10e0, 1) + 0.03e0 * (1 - (idx % 100) / 100e0) + CASE WHEN mother < 20 THEN -0.12e0 * (1 - mother / 20e0) ELSE 0 END, 0.02e0), 0.35e0), 6) AS p FROM n JOIN d USING (idx)"""
+)
+def rule_kill_probability(spark, sf_dir):
+    there = customers(spark, sf_dir)
+    group = s.radius_join(there, there, s.SpaceSpec(1000.0, 1000.0, 50.0), 50.0).groupBy("idx").agg((F.count("*") - 1).alias("grp"))
+    i = F.col("idx")
+    p = rules.kill_probability(0.26, (i % 7) / 7.0, (i % 11) / 11.0, F.when(i % 3 == 0, i % 500), F.col("grp"), i % 100, F.when(i % 4 == 0, i % 40))
+    return group.select("idx", F.round(p, 6).alias("p"))
+
+
+@query()
+def sched_partition_invariance(spark, sf_dir):
+    """A step dealt out over one and over eight partitions gives the same state."""
+    spec = GridSpec(40, 40, True)
+    start = spark.range(500).select(F.col("id").alias("idx"), (F.col("id") % 40).cast("int").alias("x"), (F.col("id") * 3 % 40).cast("int").alias("y"))
+    one = models.walk_step(start.repartition(1), spec, 0, 5)
+    eight = models.walk_step(start.repartition(8, rng.mix64(F.col("idx"))), spec, 0, 5)
+    return one.join(eight.withColumnsRenamed({"x": "x8", "y": "y8"}), "idx").agg(F.count("*").alias("n"), F.count_if((F.col("x") != F.col("x8")) | (F.col("y") != F.col("y8"))).alias("different"))

@@ -1 +1,44 @@
+"""Sources, sinks and raster preparation."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from agentframe.operators.streams import first_draws
+from agentframe.plans.declare import query
+from agentframe.plans.fixtures import GRID, PANEL, grid, panel
+from agentframe.sources.tables import series_lines
+from agentframe.streaming.windows import hourly_totals
+
+
+@query(f"SELECT step, concat_ws(',', step::VARCHAR, n::VARCHAR, top::VARCHAR) AS line FROM (SELECT step, count(*) AS n, CAST(round(max(value) * 100) AS BIGINT) AS top FROM {PANEL} GROUP BY step)")
+def io_series_csv(spark, sf_dir):
+    series = panel(spark, sf_dir).groupBy("step").agg(F.count("*").alias("n"), F.round(F.max("value") * 100).cast("long").alias("top"))
+    return series_lines(series, ["n", "top"])
+
+
+@query(f"SELECT min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1 FROM {GRID} WHERE cap = 17")
+def mask_window(spark, sf_dir):
+    """The half-open window around the cells of a mask."""
+    return grid(spark, sf_dir).where("cap = 17").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"))
+
+
+@query(f"WITH p AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM {GRID}) SELECT x, y, round(least(greatest((v - lo) / (hi - lo), 0), 1), 6) AS v FROM {GRID}, p")
+def raster_percentile_norm(spark, sf_dir):
+    """Values scaled between the 2nd and 98th percentiles and clipped."""
+    cells = grid(spark, sf_dir)
+    ends = cells.agg(F.percentile("v", [0.02, 0.98]).alias("q"))
+    scaled = (F.col("v") - F.get("q", 0)) / (F.get("q", 1) - F.get("q", 0))
+    return cells.crossJoin(F.broadcast(ends)).select("x", "y", F.round(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)), 6).alias("v"))
+
+
+@query()
+def rng_byte_stream(spark, sf_dir):
+    """Random bytes for outside test batteries: 64 words of exact stream per seed."""
+    return first_draws(spark.range(8).withColumnRenamed("id", "seed"), 64).select("seed", "k", F.hex("word").alias("bytes"))
+
+
+@query()
+def stream_hourly_totals(spark, sf_dir):
+    """The events table read as a stream: totals per hour behind a watermark."""
+    return hourly_totals(spark, sf_dir)
