@@ -16,6 +16,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from agentframe.llm.common import BYTE_VALUES, mix64, powers, slices, text_buffers
 
-UNIT, THETA, BYTE_WEIGHT = 40, 1.0, 1e-5
+UNIT, THETA, BYTE_WEIGHT, TEXT_BYTES = 40, 1.0, 1e-5, 4 << 20
 _UNITS = re.compile(rb" ?[^ \n]{1,%d}[\x80-\xbf]{0,3}|[ \n]" % UNIT)
 _MARK, _HIDDEN = b"\xe2\x96\x81", b"\xff\xfe\xfd"
 _ODD = 0x9E3779B97F4A7C15
@@ -173,9 +174,9 @@ def key_seeds(keys: list) -> np.ndarray:
 def encode_texts(texts: list[bytes], seeds: np.ndarray, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of the sampled pieces of each text."""
     units = [_UNITS.findall(b" " + t) if t else [] for t in texts]
-    number: dict[bytes, int] = {}
-    flat = np.fromiter((number.setdefault(u, len(number)) for us in units for u in us), np.int64)
+    number = {u: i for i, u in enumerate(dict.fromkeys(chain.from_iterable(units)))}
     per = np.array([len(us) for us in units], np.int64)
+    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(units)), np.int64, int(per.sum()))
     if not len(flat):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     index = np.arange(len(flat)) - np.repeat(np.cumsum(per) - per, per)
@@ -198,7 +199,7 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", t
         words = vocabulary(model, theta)
         for batch in batches:
             _, offsets = text_buffers(batch.column(t))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, TEXT_BYTES):
                 part = batch.slice(a, b - a)
                 ids, ends = encode_texts([(v.as_py() or "").encode() for v in part.column(t)], key_seeds(part.column(k).to_pylist()), words)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], names=[*part.schema.names, "pieces"])
@@ -227,7 +228,7 @@ def round_trip(df: DataFrame, model: str, key: str = "doc_id", text: str = "text
         words = vocabulary(model, theta)
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, TEXT_BYTES):
                 part = batch.slice(a, b - a)
                 texts = [(v.as_py() or "").encode() for v in part.column(1)]
                 ids, ends = encode_texts(texts, key_seeds(part.column(0).to_pylist()), words)
