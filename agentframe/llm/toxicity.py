@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from agentframe.llm.common import BYTE_VALUES, mix64, powers, slices, text_buffers
 from agentframe.llm.langid import held_out
 
-SIZES, BUCKETS, KEPT = (4, 5, 6, 7, 8), 1 << 22, 2000
+SIZES, BUCKETS, KEPT, LEAST_TEXTS = (4, 5, 6, 7, 8), 1 << 22, 2000, 5
 #: Labelled rows of each class that are learned from, about; and the most characters of one of them.
 SAMPLE_ROWS, SAMPLE_CHARS = 900, 8000
 THRESHOLD = 0.3
@@ -116,22 +116,24 @@ def _fit(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, n: np.ndarray) ->
     use[n] = True
     at = use[rows]
     rows, buckets = rows[at], buckets[at]
-    toxic = np.bincount(buckets, y[rows], BUCKETS)
-    clean = np.bincount(buckets, 1 - y[rows], BUCKETS)
+    total, toxic = np.bincount(buckets, minlength=BUCKETS), np.bincount(buckets, y[rows], BUCKETS)
+    seen = np.flatnonzero(total >= LEAST_TEXTS)
+    toxic, clean = toxic[seen], total[seen] - toxic[seen]
+    del total
     p, q = (toxic + 0.5) / (y[n].sum() + 1), (clean + 0.5) / ((1 - y[n]).sum() + 1)
-    ratio = np.log(p / q)
-    seen = np.flatnonzero(toxic + clean >= 5)
-    strength = np.abs(p[seen] - q[seen]) / np.sqrt((p[seen] + q[seen]) / 2)
-    kept = np.sort(seen[np.argsort(-strength, kind="stable")[:KEPT]])
+    strength = np.abs(p - q) / np.sqrt((p + q) / 2)
+    best = np.sort(np.argsort(-strength, kind="stable")[:KEPT])
+    kept, ratio = seen[best], np.log(p / q)[best]
     column = np.full(BUCKETS, -1, np.int32)
     column[kept] = np.arange(len(kept))
     number = np.full(len(y), -1, np.int64)
     number[n] = np.arange(len(n))
     x = np.zeros((len(n), len(kept)))
     ok = column[buckets] >= 0
-    x[number[rows[ok]], column[buckets[ok]]] = ratio[buckets[ok]]
+    at = column[buckets[ok]]
+    x[number[rows[ok]], at] = ratio[at]
     w, b = _logistic(x, y[n], 0.02)
-    return kept, w * ratio[kept], b
+    return kept, w * ratio, b
 
 
 def train(texts: list[str], labels: list[int], prior: float | None = None) -> NbLinear:
@@ -140,6 +142,8 @@ def train(texts: list[str], labels: list[int], prior: float | None = None) -> Nb
     if not len(y) or y.min() == y.max():
         return NbLinear(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, -30.0)
     rows, buckets = _present(texts)
+    often = (np.bincount(buckets, minlength=BUCKETS) >= LEAST_TEXTS)[buckets]
+    rows, buckets = rows[often], buckets[often]
     folds = 3
     margin = np.zeros(len(y))
     for k in range(folds):
