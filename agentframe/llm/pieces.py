@@ -2,7 +2,7 @@
 
 A text is a dummy space and itself, with spaces written as the mark U+2581; no piece but a run of marks, which is not used, crosses a mark, so the lattice splits
 into units (a mark and what follows up to the next space or line end, ``UNIT`` bytes at most). Arcs are the vocabulary's pieces, with
-weight ``(rank + 2) ** -theta`` (the model orders its pieces by merge rank), and single bytes with a small weight, so that every text has a path. The forward pass sums the weights
+weight ``(rank + 2) ** -theta`` (the model orders its pieces by merge rank), and, for characters that are no piece, their single bytes with a small weight, so that every text has a path. The forward pass sums the weights
 of all paths to each place; the backward pass samples arcs from the end with their exact posterior probabilities. Each draw is a hash of the
 row's key, the unit's number and the step, so a row gets the same pieces wherever it is computed; equal texts under other keys get other samples.
 
@@ -29,6 +29,9 @@ from agentframe.llm.common import BYTE_VALUES, mix64, powers, slices, text_buffe
 UNIT, THETA, BYTE_WEIGHT, TEXT_BYTES = 40, 1.0, 1e-5, 4 << 20
 _UNITS = re.compile(rb" ?[^ \n]{1,%d}[\x80-\xbf]{0,3}|[ \n]" % UNIT)
 _MARK, _HIDDEN = b"\xe2\x96\x81", b"\xff\xfe\xfd"
+#: Bytes of the character that a byte opens; the hidden bytes stand alone.
+_WIDTHS = np.ones(256, np.int8)
+_WIDTHS[0xC0:0xE0], _WIDTHS[0xE0:0xF0], _WIDTHS[0xF0:0xF8] = 2, 3, 4
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 
@@ -110,31 +113,51 @@ class Lattice:
         left = np.repeat(size, size) - offset
         sums, back = words.prefix(data)
         marked = np.array([u[:1] == b" " for u in units], bool)
-        into = np.full((len(data), 1 + len(words.lengths)), -1, np.int32)
-        into[:, 0] = np.where(marked[unit] & (offset < 3), -1, words.bytes[data])
-        for k, n in enumerate(words.lengths):
+        opens = (data & 0xC0) != 0x80
+        single = np.zeros(len(data), bool)
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for n in words.lengths:
             s = np.flatnonzero(left >= n)
-            hit, found = words.find(words.hashes(data, s, s + n, sums, back))
-            into[s[hit] + n - 1, k + 1] = found
-        last, kind = np.nonzero(into >= 0)
-        self.ids = into[last, kind]
-        self.start = last + 1 + unit[last] - np.array([1, *words.lengths])[kind]
-        b = last + 1 + unit[last]
-        weight = np.where(kind == 0, BYTE_WEIGHT, words.weight[self.ids])
-        depth = (offset[last] + 1).astype(np.int16)
-        order = np.argsort(depth, kind="stable")
-        cuts = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
+            hit, ids = words.find(words.hashes(data, s, s + n, sums, back))
+            at = s[hit]
+            found.append((n, at + n - 1, ids))
+            if n <= 4:
+                single[at[opens[at] & (_WIDTHS[data[at]] == n)]] = True
+        known = single[np.maximum.accumulate(np.where(opens, np.arange(len(data)), 0))]
+        alone = np.flatnonzero(~(known | (marked[unit] & (offset < 3))))
+        found.append((0, alone, words.bytes[data[alone]]))
+        per = np.zeros(len(data), np.int64)
+        for _, last, _ in found:
+            per[last] += 1
+        begin_arc = np.cumsum(per) - per
+        fill, arcs = begin_arc.copy(), int(per.sum())
+        self.ids, length, weight = np.zeros(arcs, np.int32), np.ones(arcs, np.int32), np.full(arcs, BYTE_WEIGHT)
+        for n, last, ids in found:
+            at = fill[last]
+            fill[last] = at + 1
+            self.ids[at] = ids
+            if n:
+                length[at], weight[at] = n, words.weight[ids]
+        node = np.arange(1, len(data) + 1) + unit
+        b = np.repeat(node, per)
+        self.start = b - length
         forward = np.zeros(len(data) + len(units))
         forward[self.first] = 1
+        places = np.flatnonzero(per)
+        places = places[np.argsort(offset[places].astype(np.int16), kind="stable")]
+        cuts = np.searchsorted(offset[places], np.arange(int(offset.max(initial=-1)) + 2))
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            own = order[x:y]
-            np.add.at(forward, b[own], forward[self.start[own]] * weight[own])
+            if x < y:
+                ends = places[x:y]
+                heads = np.cumsum(per[ends]) - per[ends]
+                own = np.arange(int(per[ends].sum())) + np.repeat(begin_arc[ends] - heads, per[ends])
+                forward[node[ends]] = np.add.reduceat(forward[self.start[own]] * weight[own], heads)
         share = forward[self.start] * weight / forward[b]
         total = np.cumsum(share)
-        per = np.bincount(b, minlength=len(forward))
-        self.arcs_end = np.cumsum(per) - 1
-        head = self.arcs_end[b] - per[b]
+        head = np.repeat(begin_arc, per) - 1
         self.bound = b + np.minimum(total - np.where(head >= 0, total[head], 0), 1.0)
+        self.arcs_first, self.arcs_end = np.zeros(len(forward), np.int64), np.zeros(len(forward), np.int64)
+        self.arcs_first[node], self.arcs_end[node] = begin_arc, begin_arc + per - 1
 
     def sample(self, unit: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, count): pieces of each occurrence of a unit in order, and how many each has."""
@@ -144,7 +167,11 @@ class Lattice:
         step = 0
         while len(where):
             u = (mix64(seed[where] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            arc = np.minimum(np.searchsorted(self.bound, at + u, "right"), self.arcs_end[at])
+            arc, end, u = self.arcs_first[at], self.arcs_end[at], at + u
+            on = np.flatnonzero((self.bound[arc] <= u) & (arc < end))
+            while len(on):
+                arc[on] += 1
+                on = on[(self.bound[arc[on]] <= u[on]) & (arc[on] < end[on])]
             got.append((where, self.ids[arc], step))
             count[where] += 1
             at = self.start[arc]

@@ -33,8 +33,6 @@ def test_samples_follow_the_posterior():
         for end in range(at + 1, len(unit) + 1):
             if (i := names.get(unit[at:end])) is not None:
                 walk(end, [*path, i], w * words.weight[i])
-            if end == at + 1 and at:
-                walk(end, [*path, int(words.bytes[unit[at]])], w * pieces.BYTE_WEIGHT)
 
     walk(0, [], 1.0)
     total = sum(weights.values())
