@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentframe.llm.common import materialise, mix64, shingle_hashes, slices, text_buffers, word_hashes, word_spans
+from agentframe.llm.common import materialise, mix64, shingle_hashes, slices, text_buffers, tidy, tidy_table, word_hashes, word_spans
 from agentframe.llm.components import components, forest
 
 WIDTH, PERCENT = 5, 75
 #: Elements that a task holds before it deals them out; elements of a hash range, about; classes of a node range; classes of a block; rows broadcast at most.
-HELD, RANGE, NODES, BLOCK, BROADCAST_ROWS = 1 << 21, 1 << 20, 200_000, 400, 1 << 21
+HELD, RANGE, NODES, BLOCK, BROADCAST_ROWS = 1 << 20, 1 << 20, 200_000, 400, 1 << 21
 ORDERS = 3
 
 
@@ -41,7 +41,7 @@ def needed(n: np.ndarray) -> np.ndarray:
 def sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, owner, hash, counts) of slices of texts: the distinct shingles, sorted by text and hash."""
     data, offsets = text_buffers(column)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, 1 << 20):
         raw, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, first = word_spans(raw, local)
         hashes, owner = shingle_hashes(word_hashes(raw, starts, ends), first, WIDTH)
@@ -79,7 +79,7 @@ def classes_of(df: DataFrame, key: str, text: str) -> DataFrame:
                 third = np.bincount(owner[_in_third(hashes)], minlength=len(counts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(counts)), pa.array(d1), pa.array(d2), pa.array(counts), pa.array(third)], names=[key, "d1", "d2", "n", "third"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, d1 long, d2 long, n long, third long")
+    return df.select(key, text).mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, d1 long, d2 long, n long, third long")
 
 
 def _dealt(df: DataFrame, text: str, ranges: int, whole: bool) -> DataFrame:
@@ -103,7 +103,7 @@ def _dealt(df: DataFrame, text: str, ranges: int, whole: bool) -> DataFrame:
                     if d not in seen:
                         seen.add(d)
                         new[i] = True
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 keep = new[owner] if whole else new[owner] & _in_third(h)
                 hashes.append(h[keep])
@@ -115,7 +115,7 @@ def _dealt(df: DataFrame, text: str, ranges: int, whole: bool) -> DataFrame:
         if held:
             yield deal(hashes, nodes)
 
-    return df.select(text).mapInArrow(run, "range long, hashes binary, nodes binary")
+    return df.select(text).mapInArrow(tidy(run), "range long, hashes binary, nodes binary")
 
 
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def _shared_counts(dealt: DataFrame, node_ranges: int) -> DataFrame:
         node, at = np.unique(node, return_inverse=True)
         return pa.table({"node": node, "shared": np.bincount(at, n, len(node)).astype(np.int64)})
 
-    return dealt.groupBy("range").applyInArrow(count, "part long, nodes binary, counts binary").groupBy("part").applyInArrow(add, "node long, shared long")
+    return dealt.groupBy("range").applyInArrow(tidy_table(count), "part long, nodes binary, counts binary").groupBy("part").applyInArrow(tidy_table(add), "node long, shared long")
 
 
 def _shared_elements(dealt: DataFrame, node_ranges: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _shared_elements(dealt: DataFrame, node_ranges: int) -> DataFrame:
         cuts = _cuts(d)
         return pa.table({"node": pa.array([int(d[a]) for a, _ in cuts], pa.int64()), "hashes": pa.array([h[a:b].tobytes() for a, b in cuts], pa.binary()), "dfs": pa.array([df[a:b].tobytes() for a, b in cuts], pa.binary()), "shared": pa.array([b - a for a, b in cuts], pa.int64())})
 
-    return dealt.groupBy("range").applyInArrow(share, "part long, nodes binary, hashes binary, dfs binary").groupBy("part").applyInArrow(assemble, "node long, hashes binary, dfs binary, shared long")
+    return dealt.groupBy("range").applyInArrow(tidy_table(share), "part long, nodes binary, hashes binary, dfs binary").groupBy("part").applyInArrow(tidy_table(assemble), "node long, hashes binary, dfs binary, shared long")
 
 
 def _ranges(elements: int) -> int:
@@ -237,7 +237,7 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
                     weights.append(np.full(len(prefix), float(df.sum()) / n))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(weights))], names=["token", "node", "weight"])
 
-    rows = materialise(sets.mapInArrow(run, "token long, node long, weight double"), "prefixes")
+    rows = materialise(sets.mapInArrow(tidy(run), "token long, node long, weight double"), "prefixes")
     leaders = rows.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("m")).where("m > 1").select("token", F.col("top.node").alias("a"))
     links = rows.join(leaders, "token").select("a", F.col("node").alias("b")).where("a <> b").distinct()
     return components(links).select("node", F.col("label").alias("grp"))
@@ -314,7 +314,7 @@ def verified_links(sets: DataFrame, groups: DataFrame) -> DataFrame:
                     degree += got[some].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "degree": pa.array(degree, pa.int64())})
 
-    return dealt.withColumn("task", task).groupBy("task").applyInArrow(run, "a long, b long, degree long")
+    return dealt.withColumn("task", task).groupBy("task").applyInArrow(tidy_table(run), "a long, b long, degree long")
 
 
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

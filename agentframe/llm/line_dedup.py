@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentframe.llm.common import SPACES, materialise, mix64
+from agentframe.llm.common import SPACES, materialise, mix64, tidy
 
 LIMIT, SHARD_KEYS, WAVE_KEYS, BUCKET, FLUSH = 10, 1 << 16, 1 << 22, 4, 200_000
 
@@ -118,7 +118,7 @@ def count_lines(df: DataFrame, text: str = "text") -> DataFrame:
                     yield flush()
         yield flush()
 
-    return df.select(text).mapInArrow(run, "h1 long, h2 long, refs long").groupBy("h1", "h2").agg(F.sum("refs").alias("refs"))
+    return df.select(text).mapInArrow(tidy(run), "h1 long, h2 long, refs long").groupBy("h1", "h2").agg(F.sum("refs").alias("refs"))
 
 
 @dataclass(frozen=True)
@@ -185,13 +185,13 @@ def _probe(filters: dict[int, CuckooFilter], shards: int, digests: np.ndarray) -
     return hit & (digests != 0).any(1)
 
 
-def drop_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text; every other column of docs stays."""
+def drop_lines(docs: DataFrame, index: LineIndex, text: str = "text") -> DataFrame:
+    """docs with kept_text in place of text, n_lines and n_dropped; every other column of docs stays."""
     spark = docs.sparkSession
     shards = max(1, -(-index.frequent().count() // SHARD_KEYS))
     per_wave = WAVE_KEYS // SHARD_KEYS
     built = materialise(index.filters(shards), "line-filters")
-    state = docs.withColumns({"kept_text": F.col(text), "n_lines": F.lit(None).cast("long"), "n_dropped": F.lit(0).cast("long")})
+    state = docs.withColumnRenamed(text, "kept_text").withColumns({"n_lines": F.lit(None).cast("long"), "n_dropped": F.lit(0).cast("long")})
     for a in range(0, shards, per_wave):
         wave = {r.shard: bytes(r["filter"]) for r in built.where(F.col("shard").between(a, a + per_wave - 1)).collect()}
         if a:
@@ -206,7 +206,7 @@ def drop_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", text: str
 
         wrong = index.refs.where(F.col("refs") < index.limit).select("h1", "h2").mapInArrow(false_hits, "h1 long, h2 long")
         exceptions = {np.array([r.h1, r.h2], "<i8").tobytes() for r in wrong.toLocalIterator()}
-        state = state.mapInArrow(_dropper(held, shards, exceptions, state.columns), state.schema)
+        state = state.mapInArrow(tidy(_dropper(held, shards, exceptions, state.columns)), state.schema)
     return state
 
 
@@ -240,7 +240,7 @@ def _dropper(held, shards: int, exceptions: set[bytes], names: list[str]):
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """key, n_lines, n_dropped and kept_sha256 for each row."""
     docs = df.select(F.col(key), F.col(text).alias("__text"))
-    out = drop_lines(docs, LineIndex.of(docs, "__text", limit), key, "__text")
+    out = drop_lines(docs, LineIndex.of(docs, "__text", limit), "__text")
     return out.select(key, "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 

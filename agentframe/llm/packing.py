@@ -15,15 +15,18 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agentframe.llm.common import tidy, tidy_table
+
 SEQUENCE, END_ID, GROUP_DOCS = 4096, 2, 4096
 #: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 700_000
 _cache: dict[bytes, bytes] = {}
 _tokenizers: dict[str, object] = {}
 
@@ -60,13 +63,14 @@ TAIL = b".,;:?)"
 _PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-def word_ids(words: set[bytes], path: str) -> dict[bytes, bytes]:
+def word_ids(words: set[bytes], path: str, limit: int = CACHE_WORDS) -> dict[bytes, bytes]:
     """Fills the worker's memory with the ids (unsigned 16 bits) of words that are new to it.
 
     The tokenizer lower-cases, and parts letters and digits from the punctuation after them, so that much is shared between words.
     """
-    if len(_cache) + len(words) > CACHE_WORDS:
-        _cache.clear()
+    if len(_cache) + len(words) > limit:
+        for w in list(islice(_cache, max(len(_cache) // 2, len(_cache) - limit // 2))):
+            del _cache[w]
     parts = {}
     for w in words:
         if w not in _cache:
@@ -97,7 +101,7 @@ def split_words(text: bytes) -> list[bytes]:
     return low.split()
 
 
-def tokenise(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenise(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """key, ids (binary, unsigned 16 bits little-endian, end id last), n_ids. The tokenizer never joins across white space, so words are encoded once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +110,11 @@ def tokenise(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 texts = [split_words((v.as_py() or "").encode()) for v in part.column(1)]
-                known = word_ids(set().union(*texts), tokenizer)
+                known = word_ids(set().union(*texts), tokenizer, cache_words)
                 ids = [b"".join(map(known.__getitem__, t)) + end for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], names=[key, "ids", "n_ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids binary, n_ids long")
+    return df.select(key, text).mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, ids binary, n_ids long")
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -181,7 +185,7 @@ def _powers_of_two(pieces: list[tuple[int, int, int]], load: int) -> list[list[t
     return out
 
 
-def pack_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", group_docs: int = GROUP_DOCS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     groups = max(1, -(-df.count() // group_docs))
     kind = df.schema[key].dataType.simpleString()
@@ -200,5 +204,5 @@ def pack_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
         return pa.table([keys.take(pa.array(columns[0])), *(pa.array(c) for c in columns[1:])], names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = tokenise(df, tokenizer, key, text).withColumn("grp", F.pmod(F.xxhash64(key, "ids"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = tokenise(df, tokenizer, key, text, cache_words).withColumn("grp", F.pmod(F.xxhash64(key, "ids"), F.lit(groups)))
+    return dealt.groupBy("grp").applyInArrow(tidy_table(run), f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LINE_DOCS, LINE_SHARE, MIN_WORDS, KEPT_SHARE, WINDOW = 20, 0.2, 10, 0.2, 5
+from agentframe.llm.common import materialise
+
+LINE_DOCS, LINE_SHARE, MIN_WORDS, KEPT_SHARE, WINDOW, BROADCAST_ROWS = 20, 0.2, 10, 0.2, 5, 1 << 20
 BLANK = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,21 +81,43 @@ def line_words(df: DataFrame) -> DataFrame:
     return rows.groupBy("host", "content", "line").agg(F.sum("words").alias("words"))
 
 
-def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, carry: list[str] | None = None) -> DataFrame:
-    """key, the base counts, base_failed, n_limited_words, depleted and kept for each row; carry names further columns of df to keep."""
-    docs = df.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.struct(*[F.col(c) for c in carry or []]).alias("__carry") if carry else F.lit(0).alias("__carry")).withColumn("content", F.xxhash64("text"))
+def _hosted(df: DataFrame, text: str, host: str, *others) -> DataFrame:
+    return df.select(*others, F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).withColumn("content", F.xxhash64("text"))
+
+
+def limited_words(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """(host, content, copies, n_limited_words) for the texts of docs(host, content, text) that have words in limited lines."""
     per_line = line_words(docs)
     copies = docs.groupBy("host", "content").agg(F.count("*").alias("copies"))
     hosts = copies.groupBy("host").agg(F.count("*").alias("host_docs"))
     limited = per_line.groupBy("host", "line").agg(F.count("*").alias("docs")).join(hosts, "host").where((F.col("docs") >= line_docs) & (F.col("docs") >= line_share * F.col("host_docs"))).select("host", "line")
-    lost = per_line.join(limited, ["host", "line"]).groupBy("host", "content").agg(F.sum("words").alias("lost")).join(copies, ["host", "content"]).select("host", "content", F.expr("lost div copies").alias("n_limited_words"))
-    counted = base_rules(docs).drop("text") if not carry else base_rules(docs)
-    left = F.col("n_words") - F.col("n_limited_words")
-    out = counted.join(lost, ["host", "content"], "left").withColumn("n_limited_words", F.coalesce("n_limited_words", F.lit(0)).cast("long"))
-    out = out.withColumn("depleted", (F.col("n_limited_words") > 0) & ((left < MIN_WORDS) | (left < KEPT_SHARE * F.col("n_words"))))
+    lost = per_line.join(limited, ["host", "line"]).groupBy("host", "content").agg(F.sum("words").alias("lost"))
+    return lost.join(copies, ["host", "content"]).select("host", "content", "copies", F.expr("lost div copies").alias("n_limited_words"))
+
+
+def depleted(n_words: Column, n_limited: Column) -> Column:
+    return (n_limited > 0) & ((n_words - n_limited < MIN_WORDS) | (n_words - n_limited < KEPT_SHARE * n_words))
+
+
+def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """key, the base counts, base_failed, n_limited_words, depleted and kept for each row."""
+    docs = _hosted(df, text, host, F.col(key).alias("__key"))
+    lost = limited_words(docs, line_docs, line_share).drop("copies")
+    out = base_rules(docs).drop("text").join(lost, ["host", "content"], "left").withColumn("n_limited_words", F.coalesce("n_limited_words", F.lit(0)).cast("long"))
+    out = out.withColumn("depleted", depleted(F.col("n_words"), F.col("n_limited_words")))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_limited_words", "depleted"]
-    kept = (~F.col("base_failed") & ~F.col("depleted")).alias("kept")
-    return out.select(F.col("__key").alias(key), *names, kept, *([F.col("__carry")] if carry else []))
+    return out.select(F.col("__key").alias(key), *names, (~F.col("base_failed") & ~F.col("depleted")).alias("kept"))
+
+
+def kept_documents(df: DataFrame, text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """The rows of df that quality_rules keeps, all columns. The texts do not travel: depleted contents are broadcast up to BROADCAST_ROWS of them, joined by shuffle beyond."""
+    docs = _hosted(df, text, host, F.struct(*df.columns).alias("__row"))
+    texts = docs.drop("__row")
+    words_of = line_words(texts).groupBy("host", "content").agg(F.sum("words").alias("total"))
+    lost = limited_words(texts, line_docs, line_share).join(words_of, ["host", "content"])
+    gone = materialise(lost.where(depleted(F.expr("total div copies"), F.col("n_limited_words"))).select("host", "content"), "depleted")
+    passed = base_rules(docs).where(~F.col("base_failed")).select("__row", "host", "content")
+    return passed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["host", "content"], "left_anti").select("__row.*")
 
 
 SQL = f"""

@@ -14,39 +14,55 @@ from agentframe.llm import jaccard, line_dedup, packing, quality, secrets
 from agentframe.llm.common import documents, materialise
 
 
+#: Texts that pass between Spark and Python at a time; whole rows, so results do not depend on it.
+BATCH_BYTES = "8m"
+#: Words that a Python worker remembers between stages: workers live on, and their memory stands beside that of the next stage.
+CACHE_WORDS = 100_000
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality_rules(docs, carry=docs.columns).where("kept").select("__carry.*")
+    _bounded(spark)
+    return quality.kept_documents(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many documents share."""
+    _bounded(spark)
     index = line_dedup.LineIndex.of(docs)
-    kept = line_dedup.drop_lines(docs, index).withColumn("text", F.col("kept_text"))
+    kept = line_dedup.drop_lines(docs, index).withColumnRenamed("kept_text", "text")
     return _sized(kept.select(*docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of linked documents; of rows that share that doc_id, one."""
+    _bounded(spark)
     first = jaccard.jaccard_join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     first = materialise(first, "first-of-group")
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi")
+    ids = first.select("doc_id")
+    kept = docs.join(F.broadcast(ids) if first.count() <= jaccard.BROADCAST_ROWS else ids, "doc_id", "left_semi")
     return (kept if first.where("rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked."""
+    _bounded(spark)
     detector = secrets.detector_for(docs, "doc_id", "text")
     return _sized(secrets.mask(docs, detector)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    _bounded(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=CACHE_WORDS)
 
 
 STAGES = [
