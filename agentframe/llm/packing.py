@@ -26,9 +26,9 @@ from agentframe.llm.common import tidy, tidy_table
 
 SEQUENCE, END_ID, GROUP_DOCS = 4096, 2, 4096
 #: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_200_000
 _cache: dict[bytes, bytes] = {}
-_tokenizers: dict[str, object] = {}
+_tokenizers: dict[str | tuple[str, str], object] = {}
 
 
 def _tokenizer(path: str):
@@ -40,23 +40,41 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _plain_tokenizer(path: str):
+    """The same model for words that its normaliser and its splitting would leave as they are."""
+    if (path, "plain") not in _tokenizers:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        found = Tokenizer.from_file(path)
+        found.normalizer = None
+        found.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        _tokenizers[path, "plain"] = found
+    return _tokenizers[path, "plain"]
+
+
+#: Lower-case letters of ASCII and Latin-1: composed, one run of letters.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+
 def _encode(words: list[bytes], path: str) -> None:
     """Remembers the ids of lower-cased words. Words go to the tokenizer 512 at a time, parted by a mark that is always one id."""
-    encoder = _tokenizer(path)
-    encode = lambda texts: [np.array(e.ids, "<u2") for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
-    alone = [w for w in words if b"!" in w or b"<|" in w]
-    for w, ids in zip(alone, encode([w.decode() for w in alone]), strict=True):
-        _cache[w] = ids.tobytes()
-    rest = [w for w in words if not (b"!" in w or b"<|" in w)]
-    (mark,) = encode(["!"])[0]
-    for a in range(0, len(rest), 512):
-        part = rest[a : a + 512]
-        ids = encode([" ! ".join([w.decode() for w in part])])[0]
-        ends = [*np.flatnonzero(ids == mark).tolist(), len(ids)]
-        raw, start = ids.tobytes(), 0
-        for w, end in zip(part, ends, strict=True):
-            _cache[w] = raw[2 * start : 2 * end]
-            start = end + 1
+    encode = lambda encoder, texts: [np.array(e.ids, "<u2") for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
+    plain, rest, alone = [], [], []
+    for w in words:
+        word = w.decode()
+        (plain if _LETTERS.fullmatch(word) else alone if "!" in word or "<|" in word else rest).append(word)
+    whole = _tokenizer(path)
+    for word, ids in zip(alone, encode(whole, alone), strict=True):
+        _cache[word.encode()] = ids.tobytes()
+    (mark,) = encode(whole, ["!"])[0]
+    for encoder, group in ((_plain_tokenizer(path), plain), (whole, rest)):
+        for a in range(0, len(group), 512):
+            part = group[a : a + 512]
+            ids = encode(encoder, [" ! ".join(part)])[0]
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(part, [*np.flatnonzero(ids == mark).tolist(), len(ids)], strict=True):
+                _cache[word.encode()] = raw[2 * start : 2 * end]
+                start = end + 1
 
 
 TAIL = b".,;:?)"

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from agentframe.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = [None, "", "Hello  world don't", "naïve É́ test x Σς ΑΣ\x1cb", "<|endoftext|> a<|startoftext|>b", "word " * 9000, "x" * 3000, "same text", "same text", "日本語 テキスト 123 45ⅷ", "A.B, c!d! (x). y?. 3.14. <|x|> <|ENDOFTEXT|> it's. IT'S, été. été, ...; a.) x.. y. e,. f ., g .\n. ÷. ©. c. !! ! b!"]
+TEXTS = [None, "", "Hello  world don't", "naïve É́ test x Σς ΑΣ\x1cb", "<|endoftext|> a<|startoftext|>b", "word " * 9000, "x" * 3000, "same text", "same text", "straße ÿ æther þorn ñandú œuvre e\u0301te ﬁn", "日本語 テキスト 123 45ⅷ", "A.B, c!d! (x). y?. 3.14. <|x|> <|ENDOFTEXT|> it's. IT'S, été. été, ...; a.) x.. y. e,. f ., g .\n. ÷. ©. c. !! ! b!"]
 
 
 def test_pieces_hold_every_id_once(spark):
