@@ -13,6 +13,7 @@ most ``slack(x) = n - ceil(0.75 n)`` elements of x are missing in y. That gives,
 Steps 1 and 2 sort packed hash ranges, so no row is made for an element. Nothing is capped: a component of any size is cut into more blocks, and
 only links, never candidate pairs, leave a task. Null or empty texts have empty sets, linked with nothing, and are their own component. Texts
 with fewer than five words are one shingle. Repeated rows are copies. Equal texts with equal keys stay separate rows. An empty table gives no rows.
+Keys may be null or shared by different texts: a row stands for its class as (key, hash of the text), the smallest first and null keys last.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentframe.llm.common import materialise, mix64, shingle_hashes, slices, text_buffers, tidy, tidy_table, word_hashes, word_spans
+from agentframe.llm.common import SPACES, materialise, mix64, shingle_hashes, slices, text_buffers, tidy, tidy_table, word_hashes, word_spans
 from agentframe.llm.components import components, forest
 
 WIDTH, PERCENT = 5, 75
@@ -70,16 +71,27 @@ def _in_third(hashes: np.ndarray) -> np.ndarray:
 
 
 def classes_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, d1 and d2 (names of the set), n (its size), third (elements in the third of the hash space)."""
+    """key, __hash (of the text), d1 and d2 (names of the set), n (its size), third (elements in the third of the hash space)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, owner, hashes, counts in sets_of(batch.column(1)):
                 d1, d2 = _node(owner, hashes, counts)
                 third = np.bincount(owner[_in_third(hashes)], minlength=len(counts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(counts)), pa.array(d1), pa.array(d2), pa.array(counts), pa.array(third)], names=[key, "d1", "d2", "n", "third"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(counts)), batch.column(2).slice(a, len(counts)), pa.array(d1), pa.array(d2), pa.array(counts), pa.array(third)], names=[key, "__hash", "d1", "d2", "n", "third"])
 
-    return df.select(key, text).mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, d1 long, d2 long, n long, third long")
+    return df.select(key, text, F.xxhash64(text)).mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, __hash long, d1 long, d2 long, n long, third long")
+
+
+def _row(key: str) -> Column:
+    """What names a row: its key, nulls last, then the hash of its text."""
+    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__hash").alias("hash"))
+
+
+def _rows_of(df: DataFrame, rows: DataFrame, key: str, small: bool) -> DataFrame:
+    """The rows of df (with __hash) that rows(__key, __text_hash) names; null keys are equal."""
+    rows = F.broadcast(rows) if small else rows
+    return df.join(rows, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__text_hash")), "left_semi")
 
 
 def _dealt(df: DataFrame, text: str, ranges: int, whole: bool) -> DataFrame:
@@ -192,14 +204,13 @@ def _ranges(elements: int) -> int:
 
 def shared_sets(df: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
     """(node, n, copies, hashes, dfs): the elements that each class shares with others, for the classes that can link."""
-    one = materialise(classes.where("n > 0").groupBy("d1").agg(F.min("n").alias("n"), F.min("third").alias("third"), F.min(key).alias(key), F.count("*").alias("copies")).withColumn("slack", F.expr(f"n - ({PERCENT} * n + 99) div 100")), "classes")
+    one = materialise(classes.where("n > 0").groupBy("d1").agg(F.min("n").alias("n"), F.min("third").alias("third"), F.min(_row(key)).alias("row"), F.count("*").alias("copies")).withColumn("slack", F.expr(f"n - ({PERCENT} * n + 99) div 100")), "classes")
     total = one.agg(F.sum("n"), F.sum("third"), F.count("*")).first()
     counted = _shared_counts(_dealt(df, text, _ranges(total[1] or 0), False), max(4, total[2] // NODES))
-    left = one.join(counted, one.d1 == counted.node, "left").where(F.coalesce("shared", F.lit(0)) >= F.col("third") - F.col("slack")).select(key, "d1", "n", "slack", "copies")
+    left = one.join(counted, one.d1 == counted.node, "left").where(F.coalesce("shared", F.lit(0)) >= F.col("third") - F.col("slack")).select(F.col("row.key").alias("__key"), F.col("row.hash").alias("__text_hash"), "d1", "n", "slack", "copies")
     left = materialise(left, "alive")
     count, elements = left.agg(F.count("*"), F.sum("n")).first()
-    keys = left.select(key)
-    texts = df.join(F.broadcast(keys) if count <= BROADCAST_ROWS else keys, key, "left_semi")
+    texts = _rows_of(df.withColumn("__hash", F.xxhash64(text)), left.select("__key", "__text_hash"), key, count <= BROADCAST_ROWS)
     found = _shared_elements(_dealt(texts, text, _ranges(elements or 0), True), max(4, (elements or 0) // RANGE))
     sets = found.join(left, found.node == left.d1).where(F.col("shared") >= F.col("n") - F.col("slack"))
     return materialise(sets.select("node", "n", "copies", "hashes", "dfs"), "sets")
@@ -317,17 +328,33 @@ def verified_links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     return dealt.withColumn("task", task).groupBy("task").applyInArrow(tidy_table(run), "a long, b long, degree long")
 
 
-def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id (smallest key reachable by links) and n_links (rows linked with this one) for each row."""
-    docs = df.select(F.col(key), F.col(text).alias("__text"))
+def _groups(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of docs(key, __text), those with elements (d1, first row, copies, label, degree), and the first row of each label."""
     classes = materialise(classes_of(docs, key, "__text"), "set-classes")
     sets = shared_sets(docs, classes, key, "__text")
     links = materialise(verified_links(sets, candidate_groups(sets)), "verified")
     labels = components(links.where("a <> b").select("a", "b"))
     degrees = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("degree").alias("degree"))
-    one = classes.where("n > 0").groupBy("d1").agg(F.min(key).alias("first"), F.count("*").alias("copies"))
+    one = classes.where("n > 0").groupBy("d1").agg(F.min(_row(key)).alias("first"), F.count("*").alias("copies"))
     known = one.join(labels, one.d1 == labels.node, "left").drop("node").join(degrees, F.col("d1") == degrees.node, "left").withColumn("label", F.coalesce("label", "d1"))
-    first = known.groupBy("label").agg(F.min("first").alias("component"))
-    per_class = known.join(first, "label").select("d1", "component", (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("links"))
+    return classes, known, known.groupBy("label").agg(F.min("first").alias("component"))
+
+
+def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id (smallest key reachable by links) and n_links (rows linked with this one) for each row."""
+    classes, known, first = _groups(df.select(F.col(key), F.col(text).alias("__text")), key)
+    per_class = known.join(first, "label").select("d1", F.col("component.key").alias("component"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("links"))
     out = classes.join(per_class, "d1", "left")
     return out.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col(key)).otherwise(F.col("component")).alias("component_id"), F.when(F.col("n") == 0, 0).otherwise(F.col("links")).alias("n_links"))
+
+
+def first_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of linked rows, all columns: that with the smallest key, nulls last, then text hash. Rows without words link with none and stay."""
+    classes, _, first = _groups(df.select(F.col(key), F.col(text).alias("__text")), key)
+    rows = materialise(first.select(F.col("component.key").alias("__key"), F.col("component.hash").alias("__text_hash")), "first-of-group")
+    count = rows.count()
+    blank = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES.decode())) == ""
+    kept = _rows_of(df.where(~blank).withColumn("__hash", F.xxhash64(text)), rows, key, count <= BROADCAST_ROWS)
+    if _rows_of(classes.where("n > 0"), rows, key, count <= BROADCAST_ROWS).count() > count:
+        kept = kept.dropDuplicates([key, "__hash"])
+    return kept.select(*df.columns).unionAll(df.where(blank))

@@ -43,13 +43,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of linked documents; of rows that share that doc_id, one."""
+    """One document of each group of linked ones, that with the smallest doc_id (nulls last); documents without words all stay."""
     _bounded(spark)
-    first = jaccard.jaccard_join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    first = materialise(first, "first-of-group")
-    ids = first.select("doc_id")
-    kept = docs.join(F.broadcast(ids) if first.count() <= jaccard.BROADCAST_ROWS else ids, "doc_id", "left_semi")
-    return (kept if first.where("rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])).select(*docs.columns)
+    return jaccard.first_documents(docs).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from agentframe.llm import jaccard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,3 +62,17 @@ def test_matches_brute_force(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_join(df).collect() == []
+
+
+def test_null_and_shared_keys(spark):
+    own = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))
+    # 1 and 2 link only through rows without a key, whose class has no key at all.
+    rows = [(1, own(0, 40)), (None, own(0, 46)), (None, own(0, 46)), (2, own(0, 54))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.n_links) for r in jaccard.jaccard_join(df).collect()}
+    assert got == {(1, 36): (1, 2), (None, 42): (1, 3), (2, 50): (1, 2)}
+
+    rows += [(None, own(3)), (None, own(4)), (5, own(5)), (5, own(6)), (9, own(7)), (9, own(8)), (3, own(8) + " more"), (None, own(9)), (7, own(9)), (8, own(10)), (8, own(10)), (None, None), (None, None), (6, " "), (6, " ")]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    want = [(1, own(0, 40)), (None, own(3)), (None, own(4)), (5, own(5)), (5, own(6)), (9, own(7)), (3, own(8) + " more"), (7, own(9)), (8, own(10)), (None, None), (None, None), (6, " "), (6, " ")]
+    assert sorted(map(repr, (tuple(r)[:2] for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()))) == sorted(map(repr, want))
