@@ -6,6 +6,8 @@ its own); the number of phrases times log2 of the sample's length, divided by th
 entropy. The language with the least wins; ties go to the name that sorts first. Texts are parsed whole, in blocks of ``BLOCK`` bytes that
 step through the automata side by side; a phrase ends where its block ends.
 
+Every byte of the samples is a symbol of its own; bytes that no sample has share symbol 0, which matches nowhere.
+
 Null text and text without a letter give 'und' and score 0. The score is the runner-up's share of the two best phrase counts (1 with one language only).
 """
 
@@ -21,13 +23,14 @@ from pyspark.sql import functions as F
 
 from agentframe.llm.common import SLICE_BYTES, slices, text_buffers
 
-BLOCK, SAMPLE_DOCS, SAMPLE_BYTES, SYMBOLS = 512, 96, 24_000, 64
+BLOCK, SAMPLE_DOCS, SAMPLE_BYTES = 512, 96, 24_000
 
 
 class SuffixAutomaton:
     """Transitions of the suffix automaton of a byte string as a dense table; row 0 is 'no match', row 1 the root."""
 
     def __init__(self, text: bytes, symbol: np.ndarray):
+        self.width = int(symbol.max()) + 1
         step: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in symbol[np.frombuffer(text, np.uint8)].tolist():
@@ -53,11 +56,10 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        self.table = np.zeros((len(step) + 1, SYMBOLS), np.int32)
+        self.table = np.zeros((len(step) + 1, self.width), np.int32)
         for s, to in enumerate(step):
             if to:
                 self.table[s + 1, list(to)] = np.fromiter(to.values(), np.int32, len(to)) + 1
-        self.table[:, 0] = 0
         self.bits = math.log2(len(text) + 1)
 
     def phrases(self, columns: list[np.ndarray], blocks: int) -> np.ndarray:
@@ -66,7 +68,7 @@ class SuffixAutomaton:
         state, count = np.zeros(blocks, np.int32), np.zeros(blocks, np.int64)
         for symbols in columns:
             n = len(symbols)
-            at = flat[state[:n] * SYMBOLS + symbols]
+            at = flat[state[:n] * self.width + symbols]
             over = np.flatnonzero(at == 0)
             count[over] += 1
             at[over] = root[symbols[over]]
@@ -79,12 +81,9 @@ class LanguageModel:
 
     def __init__(self, samples: dict[str, bytes]):
         samples = {k: _folded(v) for k, v in sorted(samples.items()) if v}
-        used = np.zeros(256, np.int64)
-        for text in samples.values():
-            used += np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-        common = [int(b) for b in np.argsort(-used, kind="stable")[: SYMBOLS - 1] if used[b]]
+        used = np.unique(np.frombuffer(b"".join(samples.values()), np.uint8))
         self.symbol = np.zeros(256, np.int32)
-        self.symbol[common] = np.arange(1, len(common) + 1)
+        self.symbol[used] = np.arange(1, len(used) + 1)
         lower = np.arange(256)
         lower[65:91] += 32
         self.symbol = self.symbol[lower]

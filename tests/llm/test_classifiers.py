@@ -26,6 +26,21 @@ def test_phrases_match_brute_force():
     assert np.allclose(costs, [longest_match_phrases(t, model) for t in texts])
 
 
+def test_phrases_of_many_scripts_match_brute_force():
+    rng = random.Random(8)
+    scripts = {"ar": (0x627, 0x649), "el": (0x3B1, 0x3C9), "en": (97, 122), "hi": (0x905, 0x939), "ja": (0x3041, 0x3093), "ru": (0x430, 0x44F), "zh": (0x4E00, 0x9FA0)}
+    vocab = {k: ["".join(chr(rng.randint(a, b)) for _ in range(rng.randint(1, 6))) for _ in range(60)] for k, (a, b) in scripts.items()}
+    say = lambda k, n: " ".join(rng.choice(vocab[k]) for _ in range(n)).encode()
+    samples = {k: say(k, 300) for k in scripts}
+    texts = [say(k, 12) for k in scripts for _ in range(4)] + [bytes(range(128, 256))]
+    assert len(set(b"".join(samples.values()))) > 100 and max(map(len, texts)) <= langid.BLOCK
+    got = langid.LanguageModel(samples)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    costs = got.costs(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert np.allclose(costs / [a.bits for a in got.automata], [[longest_match_phrases(t, samples[k]) for k in got.names] for t in texts])
+    assert [got.names[k] for k in costs[:-1].argmin(1)] == [k for k in scripts for _ in range(4)]
+
+
 VOCAB = {"aa": "der und das ist nicht ein haus baum".split(), "bb": "the and of with house tree not one".split()}
 
 
