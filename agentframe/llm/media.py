@@ -81,8 +81,20 @@ def _jpeg(b: bytes, at: int) -> int | None:
 def _wav(b: bytes, at: int) -> int | None:
     if b[at + 8 : at + 12] != b"WAVE":
         return None
-    end = at + 8 + struct.unpack("<I", b[at + 4 : at + 8])[0]
-    return end - at if end <= len(b) and wav_samples(b[at:end]) is not None else None
+    end, p, described = at + 8 + struct.unpack("<I", b[at + 4 : at + 8])[0], at + 12, False
+    if end > len(b):
+        return None
+    while p + 8 <= end:
+        kind, n = struct.unpack("<4sI", b[p : p + 8])
+        if p + 8 + n > end:
+            return None
+        if kind == b"fmt ":
+            code, channels, _, _, block = struct.unpack("<HHIIH", b[p + 8 : p + 22]) if n >= 16 else (0,) * 5
+            described = code > 0 and channels > 0 and block > 0
+        if kind == b"data":
+            return end - at if described else None
+        p += 8 + n + n % 2
+    return None
 
 
 def _bmp(b: bytes, at: int) -> int | None:
@@ -157,6 +169,14 @@ def objects(value: bytes, automaton: ahocorasick.Automaton) -> list[tuple[int, i
     return out
 
 
+def sniffed(value: bytes, declared: str | None, automaton: ahocorasick.Automaton) -> tuple[str, int, bool, list[tuple[int, int, str]]]:
+    """(true type, length of the object at the start or of the value, whether the declared type is wrong, carved objects)."""
+    found = objects(value, automaton)
+    whole = found[0] if found and found[0][0] == 0 else None
+    kind = whole[2] if whole else "application/octet-stream"
+    return kind, whole[1] if whole else len(value), declared is not None and declared != kind, found[1:] if whole else found
+
+
 def sniff(df: DataFrame, content: str, declared: str | None = None) -> DataFrame:
     """Adds media_type (corrected), media_length, declared_wrong and carved (array of start, length, type) to df."""
     schema = "media_type string, media_length long, declared_wrong boolean, carved array<struct<start:long,length:long,type:string>>"
@@ -167,13 +187,11 @@ def sniff(df: DataFrame, content: str, declared: str | None = None) -> DataFrame
             kinds, lengths, wrong, carved = [], [], [], []
             said = batch.column(declared).to_pylist() if declared else [None] * batch.num_rows
             for value, given in zip(batch.column(content), said, strict=True):
-                raw = value.as_py() or b""
-                found = objects(raw, automaton)
-                whole = found[0] if found and found[0][0] == 0 else None
-                kinds.append(whole[2] if whole else "application/octet-stream")
-                lengths.append(whole[1] if whole else len(raw))
-                wrong.append(given is not None and given != kinds[-1])
-                carved.append([{"start": s, "length": n, "type": k} for s, n, k in found if (s, n, k) != whole])
+                kind, length, differs, inner = sniffed(value.as_py() or b"", given, automaton)
+                kinds.append(kind)
+                lengths.append(length)
+                wrong.append(differs)
+                carved.append([{"start": s, "length": n, "type": k} for s, n, k in inner])
             extra = [pa.array(kinds, pa.string()), pa.array(lengths, pa.int64()), pa.array(wrong, pa.bool_()), pa.array(carved, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string())])))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "media_type", "media_length", "declared_wrong", "carved"])
 
@@ -200,8 +218,8 @@ def text_as_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             for value in batch.column(1):
                 raw = (value.as_py() or "").encode()
                 stored = wav_of(pad(raw))
-                found = objects(stored, automaton)
-                if not found or found[0] != (0, len(stored), "audio/wav"):
+                kind, length, wrong, _ = sniffed(stored, "audio/wav", automaton)
+                if wrong or length != len(stored):
                     raise ValueError("a stored value does not validate as WAV")
                 back = wav_samples(stored)
                 inner = objects(back, automaton)
@@ -209,7 +227,7 @@ def text_as_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 mean = int(x.sum(dtype=np.int64)) / len(x)
                 crossings = int(np.count_nonzero(np.diff(x >= 128)))
                 feature = f"wav:{RATE}:{len(x)}:{mean:.2f}:{float(x.std()):.2f}:{x.min()}:{x.max()}:{crossings}:{len(inner)}"
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, "audio/wav", len(inner)))
+                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, kind, len(inner)))
             names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "n_carved"]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)

@@ -36,3 +36,30 @@ def test_sniffing_corrects_and_carves(spark):
     assert [(c.start, c.length, c.type) for c in got[1].carved] == [(4, len(png), "image/png"), (8 + len(png), len(wav), "audio/wav")]
     assert got[2].media_type == "application/octet-stream" and got[2].declared_wrong
     assert got[3].media_length == 0 and got[4].declared_wrong
+
+
+def _wave(code, channels, bits, data, extra=b""):
+    block = channels * bits // 8
+    form = struct.pack("<HHIIHH", code, channels, 44100, 44100 * block, block, bits) + extra
+    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"data" + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_any_well_formed_wave_is_audio(spark):
+    good = [_wave(1, 2, 16, b"\1\2" * 64), _wave(3, 1, 32, b"\0" * 64), _wave(0xFFFE, 6, 24, b"\0" * 36, b"\x16\0" + b"\0" * 22)]
+    bad = [good[0][:-1], good[0].replace(b"fmt ", b"fmtx"), good[0].replace(b"data", b"datx"), good[0].replace(struct.pack("<I", 128), struct.pack("<I", 999))]
+    df = spark.createDataFrame([(i, v, "audio/wav") for i, v in enumerate([*good, *bad, b"junk" + good[0] + b"end"])], "id int, body binary, type string")
+    got = {r.id: r for r in media.sniff(df, "body", "type").collect()}
+    for i, v in enumerate(good):
+        assert (got[i].media_type, got[i].media_length, got[i].declared_wrong, got[i].carved) == ("audio/wav", len(v), False, [])
+        assert media.wav_samples(v) is None
+    assert all(got[i].media_type == "application/octet-stream" and got[i].declared_wrong for i in (3, 4, 5, 6))
+    assert [tuple(c) for c in got[7].carved] == [(4, len(good[0]), "audio/wav")]
+
+
+def test_stored_type_is_the_sniffed_one(spark, monkeypatch):
+    monkeypatch.setitem(media.VALIDATORS, "audio/wav", lambda b, at: None)
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert media.sniffed(media.wav_of(b"ab"), "audio/wav", media.signature_automaton()) == ("application/octet-stream", 46, True, [])
+    monkeypatch.undo()
+    assert [r.media_type for r in media.text_as_media(df).collect()] == ["audio/wav"]
