@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from agentframe.llm.common import materialise
 
 LINE_DOCS, LINE_SHARE, MIN_WORDS, KEPT_SHARE, WINDOW, BROADCAST_ROWS = 20, 0.2, 10, 0.2, 5, 1 << 20
+#: Texts whose limited lines are broadcast at most.
+BROADCAST_TEXTS = 1 << 16
 BLANK = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,13 +88,13 @@ def _hosted(df: DataFrame, text: str, host: str, *others) -> DataFrame:
 
 
 def limited_words(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(host, content, copies, n_limited_words) for the texts of docs(host, content, text) that have words in limited lines."""
+    """(host, content, copies, n_limited_words, lines) for the texts of docs(host, content, text) that have words in limited lines."""
     per_line = line_words(docs)
     copies = docs.groupBy("host", "content").agg(F.count("*").alias("copies"))
     hosts = copies.groupBy("host").agg(F.count("*").alias("host_docs"))
     limited = per_line.groupBy("host", "line").agg(F.count("*").alias("docs")).join(hosts, "host").where((F.col("docs") >= line_docs) & (F.col("docs") >= line_share * F.col("host_docs"))).select("host", "line")
-    lost = per_line.join(limited, ["host", "line"]).groupBy("host", "content").agg(F.sum("words").alias("lost"))
-    return lost.join(copies, ["host", "content"]).select("host", "content", "copies", F.expr("lost div copies").alias("n_limited_words"))
+    lost = per_line.join(limited, ["host", "line"]).groupBy("host", "content").agg(F.sum("words").alias("lost"), F.collect_set("line").alias("lines"))
+    return lost.join(copies, ["host", "content"]).select("host", "content", "copies", F.expr("lost div copies").alias("n_limited_words"), "lines")
 
 
 def depleted(n_words: Column, n_limited: Column) -> Column:
@@ -102,7 +104,7 @@ def depleted(n_words: Column, n_limited: Column) -> Column:
 def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """key, the base counts, base_failed, n_limited_words, depleted and kept for each row."""
     docs = _hosted(df, text, host, F.col(key).alias("__key"))
-    lost = limited_words(docs, line_docs, line_share).drop("copies")
+    lost = limited_words(docs, line_docs, line_share).drop("copies", "lines")
     out = base_rules(docs).drop("text").join(lost, ["host", "content"], "left").withColumn("n_limited_words", F.coalesce("n_limited_words", F.lit(0)).cast("long"))
     out = out.withColumn("depleted", depleted(F.col("n_words"), F.col("n_limited_words")))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_limited_words", "depleted"]
@@ -110,14 +112,18 @@ def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host:
 
 
 def kept_documents(df: DataFrame, text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """The rows of df that quality_rules keeps, all columns. The texts do not travel: depleted contents are broadcast up to BROADCAST_ROWS of them, joined by shuffle beyond."""
+    """The rows of df that quality_rules keeps, all columns, their texts without limited lines. Depleted contents are broadcast up to BROADCAST_ROWS of them, limited lines up to BROADCAST_TEXTS texts, joined by shuffle beyond."""
     docs = _hosted(df, text, host, F.struct(*df.columns).alias("__row"))
     texts = docs.drop("__row")
     words_of = line_words(texts).groupBy("host", "content").agg(F.sum("words").alias("total"))
     lost = limited_words(texts, line_docs, line_share).join(words_of, ["host", "content"])
-    gone = materialise(lost.where(depleted(F.expr("total div copies"), F.col("n_limited_words"))).select("host", "content"), "depleted")
+    lost = materialise(lost.select("host", "content", "lines", depleted(F.expr("total div copies"), F.col("n_limited_words")).alias("gone")), "limited-lines")
+    gone, cut = lost.where("gone").select("host", "content"), lost.where("not gone").select("host", "content", "lines")
     passed = base_rules(docs).where(~F.col("base_failed")).select("__row", "host", "content")
-    return passed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["host", "content"], "left_anti").select("__row.*")
+    kept = passed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["host", "content"], "left_anti")
+    kept = kept.join(F.broadcast(cut) if cut.count() <= BROADCAST_TEXTS else cut, ["host", "content"], "left")
+    left = F.filter(F.split(F.col("__row")[text], "\n", -1), lambda x: ~F.array_contains("lines", F.xxhash64(normalised(x))))
+    return kept.select(F.col("__row").withField(text, F.when(F.col("lines").isNull(), F.col("__row")[text]).otherwise(F.array_join(left, "\n"))).alias("__row")).select("__row.*")
 
 
 SQL = f"""

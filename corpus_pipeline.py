@@ -29,9 +29,9 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without the lines that LINE_DOCS different texts of their host have, whatever share of it that is."""
     _bounded(spark)
-    return quality.kept_documents(docs)
+    return _sized(quality.kept_documents(docs, line_share=0.0)).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import corpus_pipeline
 from agentframe.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,3 +45,14 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "one two", "s")] * 3, "doc_id long, text string, source string")
     assert len(quality.quality_rules(df).collect()) == 3
     assert quality.quality_rules(df.limit(0)).collect() == []
+
+
+def test_pipeline_removes_lines_by_count_alone(spark):
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(14))
+    footer = "all rights of this page are kept by its many owners"
+    rows = [(i, f"{own(i)}\n\n  {footer.upper()}\nend {i}" if i < 20 else own(i), "h") for i in range(160)]
+    rows += [(200, f"{footer}\nshort rest", "h"), (201, f"{own(201)}\n{footer}", "other"), (202, f"{own(3)}\n{footer}", None)]
+    df = spark.createDataFrame([(i, t, h, len(t)) for i, t, h in rows], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality_stage(spark, df, "").collect()}
+    want = {i: f"{own(i)}\n\nend {i}" if i < 20 else t for i, t, _ in rows if i != 200}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
