@@ -12,8 +12,8 @@ TEXTS = [None, "", "Hello  world don't", "naïve É́ test x Σς ΑΣ\x1cb", "
 
 
 def test_pieces_hold_every_id_once(spark):
-    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)], "doc_id long, text string, ids string")
-    rows = packing.pack_documents(df, PATH, group_docs=4).collect()
+    df = spark.createDataFrame([(i, t, "clash", 1, 2) for i, t in enumerate(TEXTS)], "doc_id long, text string, ids string, key int, grp int")
+    rows = packing.pack_documents(df, PATH, group_bytes=12_000).collect()
     whole = Tokenizer.from_file(PATH)
     want = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(TEXTS)}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
@@ -36,6 +36,17 @@ def test_pieces_hold_every_id_once(spark):
         assert at <= 4096 and at & (at - 1) == 0
 
 
+def test_equal_rows_spread_over_groups(spark):
+    df = spark.createDataFrame([(None, "equal words in every row")] * 600, "doc_id long, text string").coalesce(2)
+    rows = packing.pack_documents(df, PATH, group_bytes=4096).collect()
+    ids = len(Tokenizer.from_file(PATH).encode("equal words in every row", add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in rows) == 600 * ids
+    per_group = defaultdict(int)
+    for r in rows:
+        per_group[r.sequence_id >> 32] += r.length
+    assert len(per_group) > 8 and max(per_group.values()) < 0.3 * 600 * ids
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 
