@@ -26,6 +26,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest columns, the words under passages of over 50 words that stand elsewhere too, and the text that is left without both."""
     return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).drop("kept")
 
 

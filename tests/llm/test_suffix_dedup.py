@@ -3,7 +3,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
+from agentframe.llm import induction
 from agentframe.llm import suffix_dedup as sd
 
 
@@ -33,35 +35,110 @@ def corpus():
 
 
 def test_matches_brute_force(spark, monkeypatch):
-    df = spark.createDataFrame([(*r, "x") for r in corpus()], "doc_id long, text string, uid string")
+    df = spark.createDataFrame([(*r, "x", 7, "kept") for r in corpus()], "doc_id long, text string, uid string, key int, remaining_text string")
     want = brute([(i, (t or "").encode()) for i, t in corpus()])
-    assert sorted(tuple(r)[:5] for r in sd.suffix_dedup(df).collect()) == want
-    monkeypatch.setattr(sd, "MEMBERS", 3)
-    monkeypatch.setattr(sd, "CHUNK", 700)
-    monkeypatch.setattr(sd, "BROADCAST_ROWS", 0)
-    assert sorted(tuple(r)[:5] for r in sd.suffix_dedup(df.repartition(4)).collect()) == want
+    assert sorted(tuple(r)[:5] for r in sd.suffix_dedup(df, passages=False).collect()) == want
+    for name, value in (("MEMBERS", 3), ("CHUNK", 700), ("BROADCAST_ROWS", 0), ("SHARD", 5), ("QUEUE_ROWS", 64)):
+        monkeypatch.setattr(sd, name, value)
+    assert sorted(tuple(r)[:5] for r in sd.suffix_dedup(df.repartition(4), passages=False).collect()) == want
     assert sd.suffix_dedup(df.limit(0)).collect() == []
 
 
+def passage_words(rows, least=51):
+    """Words of each row under strings of least words that stand elsewhere too."""
+    split = [(t or "").lower().split() for t in rows]
+    seen = Counter(tuple(ws[i : i + least]) for ws in split for i in range(len(ws) - least + 1))
+    out = []
+    for ws in split:
+        out.append({i + k for i in range(len(ws) - least + 1) if seen[tuple(ws[i : i + least])] > 1 for k in range(least)})
+    return out
+
+
+def test_passages_match_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    short, long, fifty = words(51), words(90), words(50)
+    rows = [None, "", short, words(30) + " " + short + "\n" + words(40), words(5) + "\t" + short.upper().replace("É", "é") + " " + words(3), fifty + " " + words(9), words(9) + " " + fifty, long, words(20) + " " + long + " " + words(20), long[:200] + " x " + long[200:], words(300), "a " * 60, words(60) + " " + short + " " + words(7) + " " + long + " end"]
+    want = passage_words(rows)
+    assert len(want[4]) == 51 and not want[5] and not want[10]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    for small in (False, True):
+        if small:
+            for name, value in (("MEMBERS", 2), ("CHUNK", 120), ("SHARD", 3), ("QUEUE_ROWS", 16), ("WORD_CHUNK", 50)):
+                monkeypatch.setattr(sd, name, value)
+        got = {r.doc_id: r for r in sd.suffix_dedup(df).collect()}
+        assert [got[i].n_passage_words for i in range(len(rows))] == [len(x) for x in want]
+        assert got[3].remaining_text.split() == [w for i, w in enumerate(rows[3].split()) if i not in want[3]]
+        assert got[10].remaining_text == rows[10] and got[5].remaining_text == rows[5]
+
+
 def test_queue_spills_and_keeps_order(tmp_path):
     rng = np.random.default_rng(3)
-    queue, pushed = sd.TupleQueue(str(tmp_path), 50), []
+    queue, pushed = induction.TupleQueue(str(tmp_path), 50), []
     for _ in range(9):
         key = rng.integers(0, 6, 30)
         queue.push(key, np.arange(30), np.full(30, len(pushed)))
         pushed.append(key)
     assert queue.runs
-    rows = np.concatenate(list(queue.drain()), 1)
+    batches = list(queue.drain())
+    rows = np.concatenate(batches, 1)
     keys = np.concatenate(pushed)
-    assert (rows[0] == np.sort(keys)).all()
+    assert max(b.shape[1] for b in batches) <= 60 and (rows[0] == np.sort(keys)).all()
     assert (rows[1] + 30 * rows[2] == np.argsort(keys, kind="stable")).all() and not list(tmp_path.iterdir())
 
 
-def test_induction_through_spilled_queues(tmp_path):
-    rng = random.Random(1)
-    shared = bytes(rng.choice(b"ab") for _ in range(700))
-    bodies = [own + shared for own in (b"", b"xyz", b"mnopqrstu")]
-    rel = np.array([300 + len(b) - 700 for b in bodies])
-    count = np.array([len(b) - 399 for b in bodies])
-    got = sd.repeated_windows(np.zeros(3, np.int64), rel, count, bodies, str(tmp_path), 1)
-    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == [(m, len(bodies[m]) - 700 + s) for m in range(3) for s in range(301)]
+def _shard(rng, length, kind, strings):
+    """Members around anchors: pieces of a few base strings with single changes, each text once."""
+    base, found = [[rng.randrange(3) for _ in range(2 * length)] for _ in range(3)], {}
+    for k in range(strings):
+        rel = rng.randrange(0, length - 2)
+        own = rng.choice(base)[length - 2 - rel :][: rng.randint(1, rel + 1) + length - 1]
+        if rng.random() < 0.4:
+            own[rng.randrange(len(own))] = rng.randrange(3)
+        if rel < len(own) <= rel + length:
+            found[k % 4, rel, tuple(own)] = k
+    rows = [(anchor - 2, rel, np.array(own, kind), k) for (anchor, rel, own), k in found.items()]
+    places = {}
+    for anchor, rel, own, k in rows:
+        for i in range(min(len(own) - length, rel) + 1):
+            places.setdefault((anchor, rel - i, tuple(own[i : i + length])), set()).add((k, i))
+    return rows, {x for same in places.values() if len(same) > 1 for x in same}
+
+
+def _found(rows, length, folder, limit):
+    def batches():
+        for a in range(0, len(rows), 4):
+            part = rows[a : a + 4]
+            anchor, rel, own, number = zip(*part, strict=True)
+            yield np.array(anchor), np.array(rel), np.array([len(x) for x in own]), np.concatenate(own), np.array(number)
+
+    return {(int(n), i) for _, numbers, first, end in induction.repeated_windows(batches(), length, str(folder), limit) for n, a, b in zip(numbers, first, end, strict=True) for i in range(a, b)}
+
+
+@pytest.mark.parametrize(("kind", "length"), [(np.uint8, 16), (np.int64, 9)])
+def test_external_induction_matches_brute_force(tmp_path, kind, length):
+    rng = random.Random(5)
+    for trial in range(5):
+        rows, want = _shard(rng, length, kind, 30)
+        for limit in (1, 7, 1 << 20):
+            folder = tmp_path / f"{trial}-{limit}"
+            folder.mkdir()
+            assert _found(rows, length, folder, limit) == want
+
+
+def test_shard_far_larger_than_memory(tmp_path):
+    """Hundreds of members of up to 31 bytes with queues of 64 tuples: every queue spills, and no batch nor run in memory passes twice the limit."""
+    rows, want = _shard(random.Random(8), 16, np.uint8, 1500)
+    sizes, plain = [], induction.TupleQueue.drain
+
+    def watched(self):
+        for batch in plain(self):
+            sizes.append(batch.shape[1])
+            yield batch
+
+    induction.TupleQueue.drain = watched
+    try:
+        assert len(rows) > 300 and _found(rows, 16, tmp_path, 64) == want
+    finally:
+        induction.TupleQueue.drain = plain
+    assert max(sizes) <= 128 and sum(sizes) > 100 * 64
