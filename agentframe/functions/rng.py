@@ -41,13 +41,15 @@ def _fold(z: Column, shift: int) -> Column:
 
 
 def mix64(z: Column) -> Column:
-    """SplitMix64's finaliser."""
-    return _once(mul64(_fold(z, 30), MIX_A), lambda y: _once(mul64(_fold(y, 27), MIX_B), lambda x: _fold(x, 31)))
+    """SplitMix64's finaliser. Each stage is bound to a name, so z stands in the expression once."""
+    return _once(z, lambda w: _once(mul64(_fold(w, 30), MIX_A), lambda y: _once(mul64(_fold(y, 27), MIX_B), lambda x: _fold(x, 31))))
 
 
-def child_seed(seed: int, step: Column, agent: Column) -> Column:
-    """The seed of an agent's own stream in one step."""
+def child_seed(seed: int, step: int | Column, agent: Column) -> Column:
+    """The seed of an agent's own stream in one step. A step known beforehand costs nothing per row."""
     first = _python_mix64(seed ^ GOLDEN)
+    if isinstance(step, int):
+        return mix64(F.lit(signed(_python_mix64(first ^ step))).bitwiseXOR(agent))
     return mix64(mix64(F.lit(signed(first)).bitwiseXOR(step)).bitwiseXOR(agent))
 
 

@@ -21,10 +21,12 @@ def freed(dead: DataFrame) -> DataFrame:
     return dead.groupBy("idx", "gen").agg(F.max("seq").alias("freed_seq")).select("idx", (F.col("gen") + 1).alias("gen"), "freed_seq")
 
 
-def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with its rows numbered from 1 by order, without bringing all rows into one task: range partitions are numbered and offset by the sizes before them."""
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ranged = df.repartitionByRange(int(parts), *order).withColumn("__p", F.spark_partition_id())
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        ranged = ranged.checkpoint()
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
     within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
@@ -33,8 +35,8 @@ def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 def insert(agents: DataFrame, free: DataFrame, newborn: DataFrame, top: int) -> DataFrame:
     """agents and newborn (seq, ...): births in order of seq take free slots (idx, gen, freed_seq), last freed first, then new ones above top."""
-    born = _numbered(newborn, [F.col("seq").asc()], "k")
-    slots = _numbered(free, [F.col("freed_seq").desc(), F.col("idx").asc()], "k").select("k", "idx", "gen")
+    born = numbered(newborn, [F.col("seq").asc()], "k")
+    slots = numbered(free, [F.col("freed_seq").desc(), F.col("idx").asc()], "k").select("k", "idx", "gen")
     spare = free.count()
     placed = born.join(slots, "k", "left").withColumns({"idx": F.coalesce("idx", F.col("k") - spare + top), "gen": F.coalesce("gen", F.lit(0))})
     return agents.unionByName(placed.select(*agents.columns))

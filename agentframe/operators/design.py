@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentframe.functions import rng
+from agentframe.operators.agents import numbered
 
 # Degree, coefficients and first direction numbers of the first dimensions of the published Joe-Kuo table (dimension 1 is van der Corput's).
 DIRECTIONS = [(1, 0, [1]), (2, 1, [1, 3]), (3, 1, [1, 3, 1]), (3, 2, [1, 1, 1]), (4, 1, [1, 1, 3, 3]), (4, 4, [1, 3, 5, 13]), (5, 2, [1, 1, 5, 5, 17]), (5, 4, [1, 1, 5, 5, 5]), (5, 7, [1, 1, 7, 11, 19])]
@@ -29,17 +31,25 @@ def latin_hypercube(spark: SparkSession, ranges: list[tuple[float, float]], n: i
     cells = spark.range(n).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(len(ranges) - 1))).alias("dim"))
     word = rng.child_seed(seed, F.col("dim").cast("long"), F.col("row"))
     cells = cells.withColumn("h", F.shiftrightunsigned(word, 1))
-    stratum = F.row_number().over(Window.partitionBy("dim").orderBy("h", "row")) - 1
+    cells = numbered(cells, [F.col("dim").asc(), F.col("h").asc(), F.col("row").asc()], "__k")
+    stratum = F.col("__k") - 1 - F.col("dim") * n
     jitter = rng.uniform(rng.mix64(F.col("h")))
     low, high = (F.element_at(F.array(*[F.lit(float(r[i])) for r in ranges]), F.col("dim") + 1) for i in (0, 1))
     return cells.withColumn("u", (stratum + jitter) / n).select("row", "dim", (low + F.col("u") * (high - low)).alias("value"))
 
 
-def direction_numbers(dimension: int) -> list[int]:
+def read_directions(path: str) -> list[tuple[int, int, list[int]]]:
+    """The rows of a published table of direction numbers (d, s, a, m_1 .. m_s with a heading), such as the one for 21,201 dimensions, in place of DIRECTIONS."""
+    with open(path) as lines:
+        rows = [list(map(int, line.split())) for line in lines if line[:1].isdigit()]
+    return [(s, a, m) for _, s, a, *m in rows]
+
+
+def direction_numbers(dimension: int, directions: list[tuple[int, int, list[int]]] = DIRECTIONS) -> list[int]:
     """BITS direction numbers of a dimension from 0, by the primitive polynomial's recurrence."""
     if dimension == 0:
         return [1 << (BITS - 1 - i) for i in range(BITS)]
-    s, a, m = DIRECTIONS[dimension - 1]
+    s, a, m = directions[dimension - 1]
     v = [m[i] << (BITS - 1 - i) for i in range(min(s, BITS))]
     for i in range(s, BITS):
         new = v[i - s] ^ (v[i - s] >> s)
@@ -50,20 +60,21 @@ def direction_numbers(dimension: int) -> list[int]:
     return v
 
 
-def sobol_point(i: Column, dimension: int) -> Column:
-    """The i-th Sobol' coordinate: direction numbers of the Gray code's bits, combined by exclusive or. No state, no join."""
+def sobol_point(i: Column, dimension: int, directions: list[tuple[int, int, list[int]]] = DIRECTIONS) -> Column:
+    """The i-th Sobol' coordinate, an error from 2 ** BITS on: direction numbers of the Gray code's bits, combined by exclusive or. No state, no join."""
+    i = F.when(i < (1 << BITS), i).otherwise(F.raise_error(F.lit("beyond the last point")).cast("long"))
     gray = i.bitwiseXOR(F.shiftright(i, 1))
-    bits = [F.when(F.shiftright(gray, j).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(v).cast("long")).otherwise(F.lit(0).cast("long")) for j, v in enumerate(direction_numbers(dimension)[:24])]
+    bits = [F.when(F.shiftright(gray, j).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(v).cast("long")).otherwise(F.lit(0).cast("long")) for j, v in enumerate(direction_numbers(dimension, directions))]
     return reduce(lambda x, y: x.bitwiseXOR(y), bits).cast("double") / float(1 << BITS)
 
 
-def sobol_design(spark: SparkSession, params: int, n: int) -> DataFrame:
+def sobol_design(spark: SparkSession, params: int, n: int, directions: list[tuple[int, int, list[int]]] = DIRECTIONS) -> DataFrame:
     """(row, a0.., b0..): 2 * params coordinates after a skip of the next power of two."""
-    if not 0 < 2 * params <= len(DIRECTIONS) + 1:
+    if not 0 < 2 * params <= len(directions) + 1:
         raise ValueError("too many parameters for the table")
     skip = 1 << max(0, (n - 1).bit_length())
     i = F.col("id") + skip
-    named = [sobol_point(i, k).alias(f"{'ab'[k // params]}{k % params}") for k in range(2 * params)]
+    named = [sobol_point(i, k, directions).alias(f"{'ab'[k // params]}{k % params}") for k in range(2 * params)]
     return spark.range(n).select(F.col("id").alias("row"), *named)
 
 
@@ -116,3 +127,8 @@ def morris_effects(runs: DataFrame, delta: float) -> DataFrame:
     w = Window.partitionBy("traj").orderBy("k")
     ee = runs.withColumn("ee", (F.col("y") - F.lag("y").over(w)) / delta).where("k > 0")
     return ee.groupBy("dim").agg(F.avg("ee").alias("mu"), F.avg(F.abs("ee")).alias("mu_star"), F.coalesce(F.stddev_samp("ee"), F.lit(float("nan"))).alias("sigma"))
+
+
+def evaluate_all(points: DataFrame, outcome: Callable[[DataFrame], DataFrame], params: int) -> DataFrame:
+    """(param, s1, st) of a model over Saltelli points (row, block, x0..): outcome takes (row, block, x0..) and adds y, for all points at once."""
+    return sobol_indices(outcome(points).select("row", "block", "y"), params)

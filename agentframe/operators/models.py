@@ -23,27 +23,34 @@ def cell_id(spec: GridSpec) -> Column:
     return (F.col("y") * spec.width + F.col("x")).cast("long")
 
 
+def _gathered(cells: DataFrame, spec: GridSpec, value: str, sends: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, y, value, k): each cell's value and how many of its Moore neighbours send. Cells and what they send go through one shuffle, no join."""
+    told = F.transform(F.when(sends, g._targets(spec, g.offsets(g.MOORE))).otherwise(F.array()), lambda t: F.struct(t["x"].alias("x"), t["y"].alias("y"), F.lit(None).cast(cells.schema[value].dataType).alias("v"), F.lit(1).alias("k")))
+    own = F.array(F.struct("x", "y", F.col(value).alias("v"), F.lit(0).alias("k")))
+    rows = cells.select(*by, F.inline(F.concat(own, told)))
+    return rows.groupBy(*by, "x", "y").agg(F.max("v").alias(value), F.sum("k").alias("k"))
+
+
 def life_step(cells: DataFrame, spec: GridSpec) -> DataFrame:
-    """(x, y, alive): birth with three neighbours, survival with two or three. Only living cells send rows."""
-    sent = g.neighbour_positions(cells.where("alive").select("x", "y"), spec).groupBy(F.col("nx").alias("x"), F.col("ny").alias("y")).agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return cells.join(sent, ["x", "y"], "left").select("x", "y", ((n == 3) | (F.col("alive") & (n == 2))).alias("alive"))
+    """(x, y, alive): birth with three neighbours, survival with two or three. Only living cells send."""
+    n = F.col("k")
+    return _gathered(cells, spec, "alive", F.col("alive")).select("x", "y", ((n == 3) | (F.col("alive") & (n == 2))).alias("alive"))
 
 
-def sir_step(cells: DataFrame, spec: GridSpec, step: int, seed: int, beta: float, gamma: float) -> DataFrame:
-    """(x, y, status): a synchronous SIR step on a full raster; draws belong to (seed, step, cell)."""
-    sick = g.neighbour_positions(cells.where("status = 'I'").select("x", "y"), spec).groupBy(F.col("nx").alias("x"), F.col("ny").alias("y")).agg(F.count("*").alias("k"))
-    u = rng.uniform(rng.child_seed(seed, F.lit(step).cast("long"), cell_id(spec)))
-    k = F.coalesce("k", F.lit(0))
-    new = F.when((F.col("status") == "S") & (k > 0) & (u < 1 - F.pow(F.lit(1 - beta), k)), "I").when((F.col("status") == "I") & (u < gamma), "R").otherwise(F.col("status"))
-    return cells.join(sick, ["x", "y"], "left").select("x", "y", new.alias("status"))
+def sir_step(cells: DataFrame, spec: GridSpec, step: int, seed: int, beta: float | Column, gamma: float, by: tuple[str, ...] = (), agent: Column | None = None, acts: Column | None = None) -> DataFrame:
+    """(by, x, y, status): a synchronous SIR step on full rasters, one for each value of by, of the cells that act (all unless stated); draws belong to (seed, step, agent), the cell unless stated."""
+    u = rng.uniform(rng.child_seed(seed, step, cell_id(spec) if agent is None else agent))
+    k, beta = F.col("k"), F.lit(beta) if isinstance(beta, float) else beta
+    new = F.when((F.col("status") == "S") & (k > 0) & (F.col("u") < 1 - F.pow(1 - beta, k)), "I").when((F.col("status") == "I") & (F.col("u") < gamma), "R").otherwise(F.col("status"))
+    new = new if acts is None else F.when(acts, new).otherwise(F.col("status"))
+    return _gathered(cells, spec, "status", F.col("status") == "I", by).withColumn("u", u).select(*by, "x", "y", new.alias("status"))
 
 
 def network_sir_step(nodes: DataFrame, edges: DataFrame, step: int, seed: int, beta: float, gamma: float) -> DataFrame:
     """(id, status): the same rule over edges (src, dst)."""
     sick = nodes.where("status = 'I'").select(F.col("id").alias("dst"))
     seen = edges.join(sick, "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"))
-    u = rng.uniform(rng.child_seed(seed, F.lit(step).cast("long"), F.col("id")))
+    u = rng.uniform(rng.child_seed(seed, step, F.col("id")))
     k = F.coalesce("k", F.lit(0))
     new = F.when((F.col("status") == "S") & (k > 0) & (u < 1 - F.pow(F.lit(1 - beta), k)), "I").when((F.col("status") == "I") & (u < gamma), "R").otherwise(F.col("status"))
     return nodes.join(seen, "id", "left").select("id", new.alias("status"))
@@ -51,7 +58,7 @@ def network_sir_step(nodes: DataFrame, edges: DataFrame, step: int, seed: int, b
 
 def walk_step(walkers: DataFrame, spec: GridSpec, step: int, seed: int) -> DataFrame:
     """(idx, x, y): each walker to a random Moore neighbour."""
-    word = rng.child_seed(seed, F.lit(step).cast("long"), F.col("idx"))
+    word = rng.child_seed(seed, step, F.col("idx"))
     moved = g.random_neighbour(walkers.select("idx", "x", "y"), spec, word)
     return moved.select("idx", F.coalesce("nx", "x").cast("int").alias("x"), F.coalesce("ny", "y").cast("int").alias("y"))
 
@@ -63,23 +70,60 @@ def pheromone_step(field: DataFrame, walkers: DataFrame, spec: GridSpec, rate: f
     return g.diffuse(fed, spec, "v", rate).select("x", "y", (F.col("v") * (1 - fade)).alias("v"))
 
 
-def chase_step(predators: DataFrame, prey: DataFrame, spec: s.SpaceSpec, radius: float, stride: float) -> DataFrame:
-    """(idx, px, py): each predator moves by stride towards the nearest prey within radius, not past it; without prey it stays."""
+def chase_step(predators: DataFrame, prey: DataFrame, spec: s.SpaceSpec, radius: float, stride: float, angle: Column | None = None) -> DataFrame:
+    """(idx, px, py): each predator moves by stride towards the nearest prey within radius, not past it; without prey it moves by stride along angle, or stays where that is not given."""
     pairs = s.radius_join(predators, prey, spec, radius)
     near = pairs.groupBy("idx").agg(F.min(F.struct("dist", "q_idx", "q_px", "q_py")).alias("b"))
     out = predators.join(near, "idx", "left")
     dx = s.delta(spec, F.col("px"), F.col("b.q_px"), spec.width)
     dy = s.delta(spec, F.col("py"), F.col("b.q_py"), spec.height)
     part = F.when(F.col("b.dist") > stride, stride / F.col("b.dist")).otherwise(1.0)
-    nx, ny = s.wrap(spec, F.col("px") + F.coalesce(dx * part, F.lit(0.0)), F.col("py") + F.coalesce(dy * part, F.lit(0.0)))
+    roam = (F.lit(0.0), F.lit(0.0)) if angle is None else (stride * F.cos(angle), stride * F.sin(angle))
+    nx, ny = s.wrap(spec, F.col("px") + F.coalesce(dx * part, roam[0]), F.col("py") + F.coalesce(dy * part, roam[1]))
     return out.select("idx", nx.alias("px"), ny.alias("py"))
 
 
-def run(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], steps: int, cut: int = 5) -> DataFrame:
-    """state after steps; lineage is cut every cut steps by a reliable checkpoint where a checkpoint folder is set."""
-    kept = state.sparkSession.conf.get("spark.checkpoint.dir", None)
+def settled(df: DataFrame) -> DataFrame:
+    """df worked out once, though read more than once: by a reliable checkpoint, which ends lineage, where a checkpoint folder is set, else kept by Spark as it can."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
+def run(
+    state: DataFrame,
+    step: Callable[[DataFrame, int], DataFrame],
+    steps: int,
+    cut: int = 5,
+    finished: Callable[[DataFrame], Column] | None = None,
+    before: Callable[[DataFrame, int], DataFrame] | None = None,
+    after: Callable[[DataFrame, int], DataFrame] | None = None,
+) -> DataFrame:
+    """state after steps, or as soon as some row of it makes finished true, which is asked before each step; hooks change the state before and after a step.
+
+    finished is an aggregate of the state (a boolean column). Lineage is cut every cut steps, and each step where finished is asked.
+    """
     for k in range(steps):
+        if finished is not None:
+            state = settled(state)
+            if state.agg(finished(state).alias("done")).first()["done"]:
+                return state
+        state = before(state, k) if before else state
         state = step(state, k)
-        if kept and (k + 1) % cut == 0 and k + 1 < steps:
-            state = state.checkpoint()
+        state = after(state, k) if after else state
+        if finished is None and (k + 1) % cut == 0 and k + 1 < steps:
+            state = settled(state)
     return state
+
+
+def run_collected(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], steps: int, reporters: dict[str, Column], by: tuple[str, ...] = (), stride: int = 1, cut: int = 5) -> DataFrame:
+    """(by, step, reporters...): aggregates of the state before the first step and after every stride steps."""
+    if stride <= 0:
+        raise ValueError("a stride is positive")
+    report = lambda s, k: s.groupBy(*by).agg(*[c.alias(n) for n, c in reporters.items()]).select(*by, F.lit(k).cast("long").alias("step"), *reporters)
+    rows = report(state, 0)
+    for k in range(1, steps + 1):
+        state = step(state, k - 1)
+        if k % cut == 0 and k < steps:
+            state = settled(state)
+        if k % stride == 0:
+            rows = rows.unionByName(report(state, k))
+    return rows

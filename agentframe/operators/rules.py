@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentframe.operators.space import SpaceSpec, radius_join, wrap
+
 # Share of a day's rain that falls in an hour, by (day, hour).
 HOURLY = [(0, 6, 0.70), (0, 7, 0.30), (1, 4, 0.40), (1, 5, 0.30), (1, 12, 0.20), (1, 18, 0.10), (2, 2, 0.50), (2, 8, 0.30), (2, 14, 0.20)]
 GRAVITY = 9.81
+# Chances to move in an hour's time budget with and without a dog near; weights of food, risk, cohesion and dog in a sheep's heading.
+MOVE_NEAR_DOG, MOVE_ALONE = 0.62, 0.80
+STEERING = (0.3, 0.2, 0.2, 0.3)
 
 
 def hourly_rain(daily: DataFrame) -> DataFrame:
@@ -56,6 +61,16 @@ def activity(hour: Column, peak: float, amplitude: float, sigma: float, base: fl
     return F.least(base + amplitude * F.exp(-(d * d) / (2 * sigma * sigma)), F.lit(1.0))
 
 
+def remembered(zones: Column, most: int = 64) -> Column:
+    """The latest zones, as many as an animal remembers, of an array in the order of their steps."""
+    return F.slice(zones, F.greatest(F.size(zones) - most + 1, F.lit(1)), most)
+
+
+def avoids(risk: Column, chilla: Column, aversion: Column) -> Column:
+    """Whether remembered risk, which a chilla feels 1.8 times, passes the animal's aversion."""
+    return risk * F.when(chilla, 1.8).otherwise(1.0) > aversion
+
+
 def zone_risk(zones: Column, x: Column, y: Column, now: Column, ttl: int = 168, radius: float = 400.0) -> Column:
     """Summed risk of remembered danger zones (px, py, step): fades with age and distance."""
     alive = F.filter(zones, lambda z: (now - z["step"]) < ttl)
@@ -80,3 +95,81 @@ def spread(flows: DataFrame, children: int, radius: float) -> DataFrame:
     around = flows.select("*", F.explode(F.sequence(F.lit(0), F.lit(children - 1))).alias("child"))
     angle = F.col("child") * (2 * F.pi() / children)
     return around.select("idx", "child", (F.col("px") + radius * F.cos(angle)).alias("px"), (F.col("py") + radius * F.sin(angle)).alias("py"), (F.col("volume") / (children + 1)).alias("volume"), (F.col("velocity") * 0.8).alias("velocity"))
+
+
+def flow_alive(volume: Column, velocity: Column, stuck: Column) -> tuple[Column, Column]:
+    """(alive, velocity) of a flow: it dies when its volume is under 0.05; a stuck one slows by a tenth and dies under 0.01."""
+    slowed = F.when(stuck, velocity * 0.9).otherwise(velocity)
+    return ~(volume < 0.05) & ~(stuck & (slowed < 0.01)), slowed
+
+
+def search_radii(velocity: Column) -> tuple[Column, Column]:
+    """The window in which a flow looks for its next cell, and the wider one of its second try."""
+    first = F.least(F.greatest(3 * F.floor(velocity).cast("int"), F.lit(2)), F.lit(10))
+    return first, F.least(first + 5, F.lit(20))
+
+
+def fan_radius(radius: Column, slope: Column, factor: float, threshold: float) -> Column:
+    """The radius that a flow marks: wider by factor where the next cell is flatter than threshold."""
+    return F.when((F.lit(factor) > 1.0) & above(-slope, -threshold), radius * factor).otherwise(radius)
+
+
+def sheep_condition(fear: Column, age: Column, energy: Column, lamb: Column, quality: Column) -> dict[str, Column]:
+    """fear, age, lamb and energy after an hour: fear fades, lambs older than 120 days are grown, grass feeds, fear costs."""
+    calmer = F.greatest(fear - F.when(lamb, 0.05).otherwise(0.1), F.lit(0.0))
+    older = age + 1 / 24.0
+    fed = energy + F.when(lamb, quality).otherwise(quality * 2) - 1.0 - calmer * 2
+    return {"fear": calmer, "age": older, "energy": F.least(fed, F.lit(100.0)), "lamb": lamb & ~(older > 120)}
+
+
+def moves(word_uniform: Column, dog_near: Column) -> Column:
+    """Whether the hour's activity is one that moves the animal."""
+    return word_uniform < F.when(dog_near, MOVE_NEAR_DOG).otherwise(MOVE_ALONE)
+
+
+def heading(food: tuple[Column, Column], risk: tuple[Column, Column], cohesion: tuple[Column, Column], dog: tuple[Column, Column], noise: tuple[Column, Column]) -> tuple[Column, Column]:
+    """The unit vector of the weighted pulls and some noise; zero where they cancel."""
+    x, y = (sum((w * pull[i] for w, pull in zip(STEERING, (food, risk, cohesion, dog), strict=True)), noise[i]) for i in (0, 1))
+    n = F.sqrt(x * x + y * y)
+    return F.when(n > 0, x / n).otherwise(0.0), F.when(n > 0, y / n).otherwise(0.0)
+
+
+def choose_prey(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, prey, score) of pairs (keys, prey, kind, lamb, vulnerability) in sight: the most vulnerable, sheep 0.3 less with two hares or more about, lambs 0.2 more; ties go to the smallest prey."""
+    hares = F.count_if(F.col("kind") == "hare").over(Window.partitionBy(*keys))
+    score = F.col("vulnerability") - F.when((F.col("kind") == "sheep") & (hares >= 2), 0.3).otherwise(0.0) + F.when(F.col("lamb"), 0.2).otherwise(0.0)
+    best = F.max_by(F.struct("prey", "score"), F.struct("score", -F.col("prey")))
+    return pairs.withColumn("score", score).groupBy(*keys).agg(best.alias("b")).select(*keys, "b.prey", "b.score")
+
+
+def attack(prey_distance: Column, dog_distance: Column, stalked: Column) -> Column:
+    """strike, stalk or none for prey within 50: with a dog within 1200 the hunter lies in wait for an hour and strikes the next."""
+    near = prey_distance < 50
+    return F.when(near & (stalked | ~F.coalesce(dog_distance < 1200, F.lit(False))), "strike").when(near, "stalk").otherwise("none")
+
+
+def deterred(contacts: DataFrame, foxes: DataFrame, spec: SpaceSpec, radius: float = 200.0) -> DataFrame:
+    """(fox, n): foxes that see a dog at contact (idx, px, py: the dogs in contact) within radius, and by how many. The one in contact is among them."""
+    seen = radius_join(contacts, foxes, spec, radius)
+    return seen.groupBy(F.col("q_idx").alias("fox")).agg(F.count("*").alias("n"))
+
+
+def patrol(dogs: DataFrame, flock: DataFrame, radius: float = 250.0, speed: float = 300.0) -> DataFrame:
+    """(idx, px, py, angle): dogs (idx, px, py, angle) head for their place on a circle round the flock's middle, an angle of 0.1 on."""
+    middle = flock.agg(F.avg("px").alias("cx"), F.avg("py").alias("cy"))
+    out = dogs.crossJoin(F.broadcast(middle)).withColumn("angle", F.col("angle") + 0.1)
+    dx = F.col("cx") + radius * F.cos("angle") - F.col("px")
+    dy = F.col("cy") + radius * F.sin("angle") - F.col("py")
+    n = F.sqrt(dx * dx + dy * dy)
+    go = lambda c, d: F.col(c) + F.when(n > 0, d / n * speed).otherwise(0.0)
+    return out.select("idx", go("px", dx).alias("px"), go("py", dy).alias("py"), "angle")
+
+
+def flee(hares: DataFrame, foxes: DataFrame, spec: SpaceSpec, radius: float = 80.0, speed: float = 800.0) -> DataFrame:
+    """(idx, px, py, fled): hares run straight away from the nearest fox within radius, others stay; places are kept inside the space."""
+    pairs = radius_join(hares, foxes, spec, radius)
+    near = pairs.groupBy("idx").agg(F.min(F.struct("dist", "q_idx", "q_px", "q_py")).alias("b"))
+    out = hares.join(near, "idx", "left")
+    away = lambda c: F.when(F.col("b.dist") > 0, (F.col(f"p{c}") - F.col(f"b.q_p{c}")) / F.col("b.dist") * speed).otherwise(0.0)
+    nx, ny = wrap(spec, F.col("px") + F.coalesce(away("x"), F.lit(0.0)), F.col("py") + F.coalesce(away("y"), F.lit(0.0)))
+    return out.select("idx", nx.alias("px"), ny.alias("py"), F.col("b").isNotNull().alias("fled"))

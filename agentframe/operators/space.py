@@ -55,11 +55,13 @@ def with_buckets(points: DataFrame, spec: SpaceSpec) -> DataFrame:
 def radius_join(centres: DataFrame, points: DataFrame, spec: SpaceSpec, radius: float) -> DataFrame:
     """centres (px, py, ...) with q_<column> of each of points within radius, and dist; a point is within radius of itself.
 
-    The theta-join becomes an equi-join: each centre looks into the buckets that its circle can touch, each once also on a torus.
+    The theta-join becomes an equi-join: each centre looks into the buckets that its circle can touch, each once also on a torus. Across the edge of a torus whose last
+    bucket is cut short, a circle can reach one bucket further. Crowded buckets are split by adaptive execution.
     """
-    span = math.ceil(min(radius, 2 * max(spec.width, spec.height)) / spec.cell) + 1
-    counts = [min(2 * span + 1, n) if spec.torus else 2 * span + 1 for n in (spec.columns, spec.rows)]
-    shift = F.array(*[F.struct(F.lit(i - span).alias("sx"), F.lit(j - span).alias("sy")) for i in range(counts[0]) for j in range(counts[1])])
+    reach = math.ceil(min(radius, 2 * max(spec.width, spec.height)) / spec.cell)
+    spans = [reach + (1 if spec.torus and size % spec.cell else 0) for size in (spec.width, spec.height)]
+    counts = [min(2 * s + 1, n) if spec.torus else 2 * s + 1 for s, n in zip(spans, (spec.columns, spec.rows), strict=True)]
+    shift = F.array(*[F.struct(F.lit(i - spans[0]).alias("sx"), F.lit(j - spans[1]).alias("sy")) for i in range(counts[0]) for j in range(counts[1])])
     spread = with_buckets(centres, spec).select("*", F.inline(shift)).withColumns({"jx": F.col("bx") + F.col("sx"), "jy": F.col("by") + F.col("sy")})
     if spec.torus:
         spread = spread.withColumns({"jx": F.pmod("jx", F.lit(spec.columns)), "jy": F.pmod("jy", F.lit(spec.rows))})

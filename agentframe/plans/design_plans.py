@@ -42,7 +42,7 @@ def design_lhs(spark, sf_dir):
     return d.latin_hypercube(spark, [(0.0, 2.0), (1.0, 3.0), (2.0, 4.0)], N, SEED).select("row", "dim", F.round("value", 6).alias("value"))
 
 
-_DIRS = ", ".join(f"({k}, {j}, {v})" for k in range(4) for j, v in enumerate(d.direction_numbers(k)[:24]))
+_DIRS = ", ".join(f"({k}, {j}, {v})" for k in range(4) for j, v in enumerate(d.direction_numbers(k)))
 _POINT = f"(SELECT p.range AS \"row\", dim, bit_xor(v)::DOUBLE / {1 << d.BITS} AS u FROM range({N}) p, (VALUES {_DIRS}) t(dim, j, v) WHERE (xor(p.range + {N}, (p.range + {N}) >> 1) >> j) & 1 = 1 GROUP BY ALL)"
 _WIDE = ", ".join(f"max(u) FILTER (WHERE dim = {k}) AS {'ab'[k // 2]}{k % 2}" for k in range(4))
 

@@ -16,7 +16,7 @@ CUSTOMERS = "(SELECT c_custkey AS idx, ((c_custkey * 7919) % 100003) / CAST(100.
 NET = "(SELECT o_custkey AS src, 1000000 + l_suppkey AS dst, CAST(sum(l_quantity) AS BIGINT) AS w FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"
 AGENTS = "(SELECT c_custkey AS idx, 0 AS gen, c_mktsegment AS grp, CAST(round(abs(c_acctbal) * 100) AS BIGINT) AS wealth FROM customer)"
 PANEL = "(SELECT CAST((epoch_us(ts) - 1704067200000000) // 3600000000 AS BIGINT) AS step, user_id AS idx, value FROM events)"
-ENS = "(SELECT event_type AS config, user_id % 30 AS seed, CAST((epoch_us(ts) - 1704067200000000) // 86400000000 AS BIGINT) AS step, round(avg(value), 6) AS v FROM events GROUP BY ALL)"
+ENS = "(SELECT *, micro / 1e6 AS v FROM (SELECT event_type AS config, user_id % 30 AS seed, CAST((epoch_us(ts) - 1704067200000000) // 86400000000 AS BIGINT) AS step, CAST((20000 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) // (2 * count(*)) AS BIGINT) AS micro FROM events GROUP BY ALL))"
 CONF = "(SELECT doc_id, quality = 1 AS truth, toxic = 1 AS pred FROM labels)"
 SPACE = SpaceSpec(1000.0, 1000.0, 10.0)
 TORUS = SpaceSpec(1000.0, 1000.0, 10.0, torus=True)
@@ -67,7 +67,10 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("config"), (F.col("user_id") % 30).alias("seed"), _bin(86400000000).alias("step"), "value")
-    return rows.groupBy("config", "seed", "step").agg(F.round(F.avg("value"), 6).alias("v"))
+    """(config, seed, step, micro, v): mean values in whole millionths, worked out from whole cents, so no order of additions changes them."""
+    cents = F.sum(F.round(F.col("value") * 100).cast("long"))
+    means = rows.groupBy("config", "seed", "step").agg(cents.alias("cents"), F.count("*").alias("n"))
+    return means.select("config", "seed", "step", F.expr("(20000 * cents + n) div (2 * n)").alias("micro")).withColumn("v", F.col("micro") / 1e6)
 
 
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:

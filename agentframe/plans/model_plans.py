@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agentframe.functions import rng
-from agentframe.operators import batch, kernels, models, rules
+from agentframe.operators import models, populations, rules
 from agentframe.operators import space as s
+from agentframe.operators.graph import both_ways
 from agentframe.operators.grid import GridSpec
 from agentframe.plans.declare import query
 from agentframe.plans.fixtures import CUSTOMERS, GRID, HEIGHT, NET, POINTS, TORUS, WIDTH, customers, grid, grid_spec, net, panel, points, table
@@ -69,11 +70,15 @@ def _network_sql(steps: int) -> str:
     return "WITH " + ", ".join(parts) + f" SELECT id, status FROM s{steps}"
 
 
+def _network(spark, sf_dir):
+    """(edges both ways, nodes with status) of the trade network, settled because each step reads them."""
+    edges = models.settled(both_ways(net(spark, sf_dir).select("src", "dst")))
+    return edges, edges.select(F.col("src").alias("id")).distinct().withColumn("status", F.when(F.col("id") % 40 == 0, "I").otherwise("S"))
+
+
 @query(_network_sql(2))
 def model_network_sir_sync(spark, sf_dir):
-    one = net(spark, sf_dir).select("src", "dst")
-    edges = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    start = edges.select(F.col("src").alias("id")).distinct().withColumn("status", F.when(F.col("id") % 40 == 0, "I").otherwise("S"))
+    edges, start = _network(spark, sf_dir)
     return models.run(start, lambda c, k: models.network_sir_step(c, edges, k, 22, 0.2, 0.1), 2)
 
 
@@ -135,6 +140,19 @@ def model_prey_kernel(spark, sf_dir):
     return out.select("idx", F.round("px", 5).alias("px"), F.round("py", 5).alias("py"))
 
 
+@query(
+    f"""WITH p AS (SELECT a.idx, {_D('a.px', 'b.px')} AS tx, {_D('a.py', 'b.py')} AS ty, b.idx AS q FROM {CUSTOMERS} a, {POINTS} b), n AS (SELECT idx, q, tx, ty, sqrt(tx * tx + ty * ty) AS d FROM p WHERE sqrt(tx * tx + ty * ty) <= 20),
+    b AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, q) AS k FROM n),
+    m AS (SELECT c.idx, px + coalesce(CASE WHEN d > 3 THEN tx * 3 / d ELSE tx END, 3 * cos({u01('h')} * 2 * pi())) AS px, py + coalesce(CASE WHEN d > 3 THEN ty * 3 / d ELSE ty END, 3 * sin({u01('h')} * 2 * pi())) AS py FROM {child_sql(CUSTOMERS, 24, '0', 'idx')} c LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (idx))
+    SELECT idx, round(px - floor(px / 1000) * 1000, 4) AS px, round(py - floor(py / 1000) * 1000, 4) AS py FROM m"""
+)
+def model_prey_roaming(spark, sf_dir):
+    """Predators step towards the nearest prey within reach, or at random without one."""
+    angle = rng.uniform(rng.child_seed(24, 0, F.col("idx"))) * (2 * F.pi())
+    out = models.chase_step(customers(spark, sf_dir), points(spark, sf_dir), TORUS, 20.0, 3.0, angle)
+    return out.select("idx", F.round("px", 4).alias("px"), F.round("py", 4).alias("py"))
+
+
 @query()
 def model_boids(spark, sf_dir):
     """Three flocking steps."""
@@ -142,80 +160,183 @@ def model_boids(spark, sf_dir):
     return models.run(start, lambda b, _: s.flock(b, TORUS, 40.0, (1.5, 1.0, 0.8), 2.0), 3)
 
 
-def _sweep(spark, values, name, kernel, columns, schema, seeds=4):
-    configs = spark.createDataFrame([(v,) for v in values], f"{name} double")
-    table_ = batch.tasks(configs, spark.range(seeds).withColumnRenamed("id", "seed"))
-    return batch.run_all(table_, kernel, [name, "seed"], columns, f"{name} double, seed long, {schema}")
+_CELLS = f"(SELECT CAST(count(*) AS BIGINT) FROM {GRID})"
 
 
-def _sir_kernel(row):
-    series = kernels.sir(20, 20, 5, float(row.get("beta", 0.08)), 0.1, int(row["seed"]), 120)
-    return [(max(i for _, _, i, _ in series), series[-1][3])]
+def _runs_sql(runs: str, steps: int, beta: str, by: str) -> str:
+    """CTEs s0 .. s<steps> of synchronous SIR rasters, one for each row of runs (run and the columns by)."""
+    parts = [f"r AS ({runs})", f"s0 AS (SELECT {by}, run, x, y, CASE WHEN cap > 47 THEN 'I' ELSE 'S' END AS status FROM {GRID}, r)"]
+    for k in range(steps):
+        near = f"(SELECT run, nx AS x, ny AS y, count(*) AS k FROM (SELECT run, {_MOD('x + dx', WIDTH)} AS nx, {_MOD('y + dy', HEIGHT)} AS ny FROM s{k}, {_OFF} WHERE status = 'I') GROUP BY ALL)"
+        drawn = child_sql(f"(SELECT *, run * {_CELLS} + y * {WIDTH} + x AS cell FROM s{k})", 31, str(k), "cell")
+        rule = _RULE("cell").replace("0.8e0", f"(1 - {beta})")
+        parts.append(f"s{k + 1} AS (SELECT {by}, c.run, c.x, c.y, {rule} FROM {drawn} c LEFT JOIN {near} USING (run, x, y))")
+    return "WITH " + ", ".join(parts)
 
 
-@query()
-def ensemble_sir(spark, sf_dir):
-    """One run a seed."""
-    return batch.run_all(spark.range(8).withColumnRenamed("id", "seed"), _sir_kernel, ["seed"], ["peak", "r_final"], "seed long, peak long, r_final long")
+_COUNTS = "count_if(status = 'S')::BIGINT AS s, count_if(status = 'I')::BIGINT AS i, count_if(status = 'R')::BIGINT AS r"
 
 
-@query()
-def sweep_sir(spark, sf_dir):
-    return _sweep(spark, [0.04, 0.08, 0.16], "beta", _sir_kernel, ["peak", "r_final"], "peak long, r_final long")
+def _series_sql(runs: str, steps: int, beta: str, by: str) -> str:
+    each = " UNION ALL ".join(f"SELECT {by}, {k}::BIGINT AS step, {_COUNTS} FROM s{k} GROUP BY {by}" for k in range(steps + 1))
+    return f"{_runs_sql(runs, steps, beta, by)} {each}"
 
 
-@query()
-def sweep_schelling(spark, sf_dir):
-    return _sweep(spark, [0.25, 0.375, 0.5], "tolerance", lambda r: [kernels.schelling(20, 20, 0.85, float(r["tolerance"]), int(r["seed"]), 60)[-1][1:]], ["similarity", "happy"], "similarity double, happy double")
+def _sir_series(spark, sf_dir, runs, by, beta, steps):
+    """(by, step, s, i, r) of one synchronous SIR raster for each row of runs (run, by), all in the same steps."""
+    spec = grid_spec(spark, sf_dir, True)
+    start = grid(spark, sf_dir).select("x", "y", F.when(F.col("cap") > 47, "I").otherwise("S").alias("status"))
+    start = start.crossJoin(F.broadcast(runs))
+    keys = ("run", *by)
+    agent = F.col("run") * (spec.width * spec.height) + models.cell_id(spec)
+    reporters = {n.lower(): F.count_if(F.col("status") == n) for n in "SIR"}
+    step = lambda c, k: models.sir_step(c, spec, k, 31, beta, 0.1, keys, agent)
+    return models.run_collected(start, step, steps, reporters, keys).drop("run")
 
 
-@query()
-def sweep_sugarscape(spark, sf_dir):
-    return _sweep(spark, [1.0, 2.0], "growback", lambda r: [kernels.sugarscape(20, 20, 80, int(r["growback"]), int(r["seed"]), 40)[-1][1:3]], ["population", "gini"], "population long, gini double")
+def _seeds(spark, n):
+    return spark.range(n).select(F.col("id").alias("run"), F.col("id").alias("seed"))
 
 
-def _series(spark, kernel, columns, schema):
-    return batch.run_all(spark.range(4).withColumnRenamed("id", "seed"), kernel, ["seed"], columns, f"seed long, {schema}")
+_SEEDS = "SELECT range AS run, range AS seed FROM range(4)"
 
 
-@query()
+@query(_series_sql(_SEEDS, 3, "0.08e0", "seed"))
 def model_sir(spark, sf_dir):
-    return _series(spark, lambda r: kernels.sir(25, 25, 5, 0.08, 0.1, int(r["seed"]), 200), ["step", "s", "i", "r"], "step long, s long, i long, r long")
+    """Series of four seeded runs."""
+    return _sir_series(spark, sf_dir, _seeds(spark, 4), ("seed",), 0.08, 3)
 
 
-@query()
+@query(f"SELECT seed, max(i) AS peak, arg_max(r, step) AS r_final FROM ({_series_sql(_SEEDS, 3, '0.08e0', 'seed')}) GROUP BY seed")
+def ensemble_sir(spark, sf_dir):
+    """Peak and final size of each run of an ensemble."""
+    return model_sir(spark, sf_dir).groupBy("seed").agg(F.max("i").alias("peak"), F.max_by("r", "step").alias("r_final"))
+
+
+_BETAS = "SELECT a.range * 2 + b.range AS run, (4 * pow(2, a.range) / 100)::DOUBLE AS beta, b.range AS seed FROM range(3) a, range(2) b"
+
+
+@query(f"SELECT beta, seed, max(i) AS peak, arg_max(r, step) AS r_final FROM ({_series_sql(_BETAS, 2, 'beta', 'beta, seed')}) GROUP BY ALL")
+def sweep_sir(spark, sf_dir):
+    """Three transmission rates by two seeds; every run advances in the same job."""
+    runs = spark.range(6).select(F.col("id").alias("run"), (4 * F.pow(F.lit(2.0), F.expr("id div 2")) / 100).alias("beta"), (F.col("id") % 2).alias("seed"))
+    series = _sir_series(spark, sf_dir, runs, ("beta", "seed"), F.col("beta"), 2)
+    return series.groupBy("beta", "seed").agg(F.max("i").alias("peak"), F.max_by("r", "step").alias("r_final"))
+
+
+def _ordered_sql() -> str:
+    parts = [f"s0 AS (SELECT x, y, CASE WHEN cap > 47 THEN 'I' ELSE 'S' END AS status FROM {GRID})"]
+    for k in range(4):
+        near = f"(SELECT nx AS x, ny AS y, count(*) AS k FROM (SELECT x + dx AS nx, y + dy AS ny FROM s{k}, {_OFF} WHERE status = 'I') GROUP BY ALL)"
+        drawn = child_sql(f"(SELECT *, y * {WIDTH} + x AS cell FROM s{k})", 32, str(k), "cell")
+        rule = _RULE("cell").removesuffix(" AS status")
+        parts.append(f"s{k + 1} AS (SELECT c.x, c.y, CASE WHEN c.x % 2 + 2 * (c.y % 2) = {k} THEN {rule} ELSE status END AS status FROM {drawn} c LEFT JOIN {near} USING (x, y))")
+    return "WITH " + ", ".join(parts) + " SELECT x, y, status FROM s4"
+
+
+@query(_ordered_sql())
 def sched_ordered(spark, sf_dir):
-    """A serial run: agents act in turn and see what was done before them in the same step."""
-    return model_sir(spark, sf_dir).groupBy("seed").agg(F.max("step").alias("steps"), F.max("i").alias("peak"))
+    """One step in order: agents act in turn and see what was done before them in the same step. Cells of one colour of four are no neighbours, so they act at once."""
+    spec = grid_spec(spark, sf_dir)
+    state = grid(spark, sf_dir).select("x", "y", F.when(F.col("cap") > 47, "I").otherwise("S").alias("status"))
+    turn = lambda k: F.col("x") % 2 + 2 * (F.col("y") % 2) == k
+    return models.run(state, lambda c, k: models.sir_step(c, spec, k, 32, 0.2, 0.1, acts=turn(k)), 4)
 
 
-@query()
+@query("WITH " + _network_sql(2).removeprefix("WITH ").rsplit(" SELECT", 1)[0] + " " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS step, {_COUNTS} FROM s{k}" for k in range(3)))
 def model_network_sir(spark, sf_dir):
-    """Serial SIR on small-world networks."""
+    """The series of a synchronous SIR run over the trade network."""
+    edges, start = _network(spark, sf_dir)
+    reporters = {n.lower(): F.count_if(F.col("status") == n) for n in "SIR"}
+    return models.run_collected(start, lambda c, k: models.network_sir_step(c, edges, k, 22, 0.2, 0.1), 2, reporters)
 
-    def kernel(row):
-        near = [[] for _ in range(400)]
-        for a, b in kernels.small_world(400, 4, 0.1, int(row["seed"])):
-            near[a].append(b)
-            near[b].append(a)
-        return kernels.sir(20, 20, 5, 0.06, 0.1, int(row["seed"]), 200, near)
 
-    return _series(spark, kernel, ["step", "s", "i", "r"], "step long, s long, i long, r long")
+_CROWD = f"(SELECT y * {WIDTH} + x AS idx, x, y, CAST(cap % 2 AS INT) AS grp FROM {GRID} WHERE cap % 10 < 8)"
 
 
-@query()
+def _schelling_sql(steps: int, tolerance: str, runs: str) -> str:
+    parts = [f"r AS ({runs})", f"a0 AS (SELECT run, tolerance, idx, x, y, grp FROM {_CROWD}, r)"]
+    for k in range(steps + 1):
+        told = f"(SELECT run, x + dx AS x, y + dy AS y, grp AS g FROM a{k}, {_OFF})"
+        parts.append(f"n{k} AS (SELECT a.run, a.tolerance, a.idx, a.x, a.y, a.grp, count(g) AS n, count_if(g = a.grp)::BIGINT AS same FROM a{k} a LEFT JOIN {told} t ON a.run = t.run AND a.x = t.x AND a.y = t.y GROUP BY ALL)")
+        drawn = child_sql(f"(SELECT *, run * {_CELLS} + idx AS agent FROM n{k} WHERE n > 0 AND same < {tolerance} * n)", 33, str(k), "agent")
+        free = f"(SELECT run, cell, min(idx) AS idx FROM (SELECT run, idx, floor({u01('h')} * {WIDTH} * {HEIGHT})::BIGINT AS cell FROM {drawn}) p WHERE cell < {_CELLS} AND NOT EXISTS (SELECT 1 FROM a{k} o WHERE o.run = p.run AND o.y * {WIDTH} + o.x = p.cell) GROUP BY run, cell)"
+        parts.append(f"a{k + 1} AS (SELECT a.run, a.tolerance, a.idx, CAST(coalesce(cell % {WIDTH}, a.x) AS INT) AS x, CAST(coalesce(cell // {WIDTH}, a.y) AS INT) AS y, a.grp FROM a{k} a LEFT JOIN {free} f ON a.run = f.run AND a.idx = f.idx)")
+    each = " UNION ALL ".join(f"SELECT run, tolerance, {k}::BIGINT AS step, sum(same)::BIGINT AS same, sum(n)::BIGINT AS n, count_if(n = 0 OR same >= tolerance * n)::BIGINT AS happy FROM n{k} GROUP BY ALL" for k in range(steps + 1))
+    return "WITH " + ", ".join(parts) + " " + each
+
+
+def _schelling(spark, sf_dir, runs, steps):
+    """(run, tolerance, step, same, n, happy): like neighbours, neighbours and content agents of each run."""
+    spec, cells = grid_spec(spark, sf_dir), grid(spark, sf_dir).select("x", "y", "cap")
+    start = cells.where(F.col("cap") % 10 < 8).select(models.cell_id(spec).alias("idx"), "x", "y", (F.col("cap") % 2).cast("int").alias("grp")).crossJoin(F.broadcast(runs))
+    by, state, rows = ("run", "tolerance"), start, None
+    for k in range(steps + 1):
+        seen = populations.alike(state, spec, by)
+        one = seen.groupBy(*by).agg(F.sum("same").alias("same"), F.sum("n").alias("n"), F.count_if((F.col("n") == 0) | (F.col("same") >= F.col("tolerance") * F.col("n"))).alias("happy")).withColumn("step", F.lit(k).cast("long"))
+        rows = one if rows is None else rows.unionByName(one)
+        if k < steps:
+            state = models.settled(populations.schelling_step(state, cells, spec, k, 33, F.col("tolerance"), by, F.col("run") * (spec.width * spec.height) + F.col("idx")))
+    return rows
+
+
+_ONE_RUN = "SELECT range AS run, 0.375e0 AS tolerance FROM range(2)"
+
+
+@query(f"SELECT run AS seed, step, round(same / n, 6) AS similarity, happy FROM ({_schelling_sql(2, 'tolerance', _ONE_RUN)})")
 def model_schelling(spark, sf_dir):
-    return _series(spark, lambda r: kernels.schelling(25, 25, 0.85, 0.375, int(r["seed"]), 60), ["step", "similarity", "happy"], "step long, similarity double, happy double")
+    """Similarity and content agents of two seeded runs."""
+    rows = _schelling(spark, sf_dir, spark.range(2).select(F.col("id").alias("run"), F.lit(0.375).alias("tolerance")), 2)
+    return rows.select(F.col("run").alias("seed"), "step", F.round(F.col("same") / F.col("n"), 6).alias("similarity"), "happy")
+
+
+_TOLERANCES = "SELECT range AS run, (range + 2) / 8e0 AS tolerance FROM range(3)"
+
+
+@query(f"SELECT tolerance, same, n, happy FROM ({_schelling_sql(1, 'tolerance', _TOLERANCES)}) WHERE step = 1")
+def sweep_schelling(spark, sf_dir):
+    """One step for three tolerances."""
+    runs = spark.range(3).select(F.col("id").alias("run"), ((F.col("id") + 2) / 8.0).alias("tolerance"))
+    return _schelling(spark, sf_dir, runs, 1).where("step = 1").select("tolerance", "same", "n", "happy")
+
+
+def _sugar(spark, sf_dir, growths, steps):
+    """(growth, step, population, wealth) of an ensemble over growth rates on the two-peak terrain."""
+    spec, by = grid_spec(spark, sf_dir, True), ("growth",)
+    top = F.greatest(models.capacity_band(spec, 0.75, 0.25), models.capacity_band(spec, 0.25, 0.75))
+    rates = spark.createDataFrame([(g,) for g in growths], "growth int")
+    there = grid(spark, sf_dir).select("x", "y", "cap", models.cell_id(spec).alias("idx"))
+    cells = there.select("x", "y", top.alias("cap")).withColumn("sugar", F.col("cap")).crossJoin(F.broadcast(rates))
+    agents = there.where(F.col("cap") % 5 == 0).select("idx", "x", "y", (F.col("idx") % 4 + 1).cast("int").alias("vision"), (F.col("idx") % 3 + 1).cast("int").alias("metabolism"), (F.col("idx") % 7 + 3).cast("int").alias("wealth")).crossJoin(F.broadcast(rates))
+    report = lambda a, k: a.groupBy(*by).agg(F.count("*").alias("population"), F.sum("wealth").alias("wealth")).withColumn("step", F.lit(k).cast("long"))
+    rows = report(agents, 0)
+    for k in range(steps):
+        agents, cells = (models.settled(x) for x in populations.sugar_step(agents, cells, spec, F.col("growth"), by))
+        rows = rows.unionByName(report(agents, k + 1))
+    return rows
 
 
 @query()
 def model_sugarscape(spark, sf_dir):
-    return _series(spark, lambda r: kernels.sugarscape(25, 25, 100, 1, int(r["seed"]), 60), ["step", "population", "gini", "mean_wealth"], "step long, population long, gini double, mean_wealth double")
+    return _sugar(spark, sf_dir, [1], 2).select("step", "population", "wealth")
+
+
+@query()
+def sweep_sugarscape(spark, sf_dir):
+    return _sugar(spark, sf_dir, [1, 2], 1).where("step = 1").select("growth", "population", "wealth")
 
 
 @query()
 def model_predator_prey_grid(spark, sf_dir):
-    return _series(spark, lambda r: kernels.grazers(20, 20, 80, 6, int(r["seed"]), 60), ["step", "grazers", "wolves", "grass"], "step long, grazers long, wolves long, grass double")
+    """(step, grazers, wolves): grazers of the customers' places, wolves that eat those they meet."""
+    spec, start = _walkers(spark, sf_dir)
+    grazers, wolves = start.where("idx % 4 > 0"), start.where("idx % 4 = 0")
+    report = lambda k: grazers.agg(F.count("*").alias("grazers")).crossJoin(wolves.agg(F.count("*").alias("wolves"))).withColumn("step", F.lit(k).cast("long"))
+    rows = report(0)
+    for k in range(2):
+        grazers, wolves = populations.hunt_step(grazers, wolves, spec, k, 41)
+        rows = rows.unionByName(report(k + 1))
+    return rows
 
 
 _HOURS = ", ".join(f"({d}, {h}, {f!r}e0)" for d, h, f in rules.HOURLY)
@@ -295,7 +416,7 @@ def rule_kill_probability(spark, sf_dir):
     return group.select("idx", F.round(p, 6).alias("p"))
 
 
-@query()
+@query("SELECT 500::BIGINT AS n, 0::BIGINT AS different")
 def sched_partition_invariance(spark, sf_dir):
     """A step dealt out over one and over eight partitions gives the same state."""
     spec = GridSpec(40, 40, True)

@@ -12,7 +12,6 @@ from agentframe.plans.fixtures import AGENTS, CUSTOMERS, ENS, GRID, HEIGHT, WIDT
 
 
 #: Means of rounded values fall on ties of further rounding; both forms shift them alike.
-_OFF_TIES = 3.3e-8
 
 
 @query(f"SELECT grp, count_if(wealth > 500000)::BIGINT AS rich, round(avg(CASE WHEN wealth > 500000 THEN 1e0 ELSE 0e0 END), 6) AS fraction FROM {AGENTS} GROUP BY grp")
@@ -83,20 +82,38 @@ def field_fixed_point(spark, sf_dir):
     return spark.range(201).select(F.col("id").alias("step"), F.round(v, 3).alias("mean_field"), F.round(v - d * keep / 0.05, 3).alias("gap"))
 
 
-@query(f"SELECT config, step, round(avg(v) + 3.3e-8, 4) AS mean_v, round(stddev_pop(v) + 3.3e-8, 4) AS sd_v FROM {ENS} GROUP BY ALL")
+def _spread_sql(values: str, ddof: int) -> str:
+    """The standard deviation of whole millionths from exact sums."""
+    return f"round(sqrt((count(*) * sum({values}::HUGEINT * {values}) - sum({values})::HUGEINT * sum({values}))::DOUBLE / (count(*) * (count(*) - {ddof}))) / 1e6, 6)"
+
+
+def _mean_sql(values: str) -> str:
+    return f"CAST((2 * sum({values}) + count(*)) // (2 * count(*)) AS BIGINT) / 1e6"
+
+
+def _exact(groups, value: str, ddof: int, mean: str, sd: str, *more):
+    """Groups with count, mean (to the nearest millionth) and standard deviation of whole millionths, from exact sums. A sample of one has no deviation."""
+    wide = F.col(value).cast("decimal(19,0)")
+    s = groups.agg(F.count("*").alias("__n"), F.sum(value).alias("__s"), F.sum(wide).alias("__w"), F.sum(wide * wide).alias("__q"), *more)
+    scatter = (F.col("__n") * F.col("__q") - F.col("__w") * F.col("__w")).cast("double")
+    deviation = F.when(F.col("__n") > ddof, F.round(F.sqrt(scatter / (F.col("__n") * (F.col("__n") - ddof))) / 1e6, 6))
+    return s.withColumns({mean: F.expr("(2 * __s + __n) div (2 * __n)") / 1e6, sd: deviation})
+
+
+@query(f"SELECT config, step, {_mean_sql('micro')} AS mean_v, {_spread_sql('micro', 0)} AS sd_v FROM {ENS} GROUP BY ALL")
 def ensemble_summary(spark, sf_dir):
-    return ensemble(spark, sf_dir).groupBy("config", "step").agg(F.round(F.avg("v") + _OFF_TIES, 4).alias("mean_v"), F.round(F.stddev_pop("v") + _OFF_TIES, 4).alias("sd_v"))
+    return _exact(ensemble(spark, sf_dir).groupBy("config", "step"), "micro", 0, "mean_v", "sd_v").select("config", "step", "mean_v", "sd_v")
 
 
-@query(f"SELECT config, round(avg(v) + 3.3e-8, 4) AS mean_v, round(stddev_samp(v) + 3.3e-8, 4) AS sd_v, max(v) AS top FROM {ENS} GROUP BY ALL")
+@query(f"SELECT config, {_mean_sql('micro')} AS mean_v, CASE WHEN count(*) > 1 THEN {_spread_sql('micro', 1)} END AS sd_v, max(v) AS top FROM {ENS} GROUP BY ALL")
 def ensemble_summary_sample(spark, sf_dir):
-    return ensemble(spark, sf_dir).groupBy("config").agg(F.round(F.avg("v") + _OFF_TIES, 4).alias("mean_v"), F.round(F.stddev_samp("v") + _OFF_TIES, 4).alias("sd_v"), F.max("v").alias("top"))
+    return _exact(ensemble(spark, sf_dir).groupBy("config"), "micro", 1, "mean_v", "sd_v", F.max("v").alias("top")).select("config", "mean_v", "sd_v", "top")
 
 
-@query(f"SELECT config, count(*) AS runs, round(avg(peak) + 3.3e-8, 4) AS mean_peak, round(stddev_pop(peak) + 3.3e-8, 4) AS sd_peak FROM (SELECT config, seed, max(v) AS peak FROM {ENS} GROUP BY ALL) GROUP BY config")
+@query(f"SELECT config, count(*) AS runs, {_mean_sql('peak')} AS mean_peak, {_spread_sql('peak', 0)} AS sd_peak FROM (SELECT config, seed, max(micro) AS peak FROM {ENS} GROUP BY ALL) GROUP BY config")
 def sweep_aggregate(spark, sf_dir):
-    runs = ensemble(spark, sf_dir).groupBy("config", "seed").agg(F.max("v").alias("peak"))
-    return runs.groupBy("config").agg(F.count("*").alias("runs"), F.round(F.avg("peak") + _OFF_TIES, 4).alias("mean_peak"), F.round(F.stddev_pop("peak") + _OFF_TIES, 4).alias("sd_peak"))
+    runs = ensemble(spark, sf_dir).groupBy("config", "seed").agg(F.max("micro").alias("peak"))
+    return _exact(runs.groupBy("config"), "peak", 0, "mean_peak", "sd_peak").select("config", F.col("__n").alias("runs"), "mean_peak", "sd_peak")
 
 
 @query(f"SELECT idx, round(avg(y), 6) AS y FROM (SELECT idx, (CAST((idx * 31 + r * 100000) % 997 AS DOUBLE)) AS y FROM {AGENTS}, range(5) t(r)) GROUP BY idx")

@@ -38,7 +38,7 @@ def rng_byte_stream(spark, sf_dir):
     return first_draws(spark.range(8).withColumnRenamed("id", "seed"), 64).select("seed", "k", F.hex("word").alias("bytes"))
 
 
-@query()
+@query("SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL")
 def stream_hourly_totals(spark, sf_dir):
-    """The events table read as a stream: totals per hour behind a watermark."""
+    """The events table read as a stream: totals in cents of the hours that the watermark has passed."""
     return hourly_totals(spark, sf_dir)

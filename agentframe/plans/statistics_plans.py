@@ -36,9 +36,18 @@ def stats_pad_locf(spark, sf_dir):
     return e.pad_locf(ensemble(spark, sf_dir), ["config", "seed"], "v", 40).select("config", "seed", "step", F.coalesce("v", F.lit(-1.0)).alias("v"))
 
 
-@query(f"SELECT config, step, round(avg(v) + 3.3e-8, 4) AS v FROM {ENS} GROUP BY ALL")
+_MEANS = f"(SELECT config, step, CAST((2 * sum(micro) + count(*)) // (2 * count(*)) AS BIGINT) AS micro FROM {ENS} GROUP BY ALL)"
+
+
+def _means(spark, sf_dir):
+    """(config, step, micro): mean curves to the nearest millionth."""
+    sums = ensemble(spark, sf_dir).groupBy("config", "step").agg(F.sum("micro").alias("s"), F.count("*").alias("n"))
+    return sums.select("config", "step", F.expr("(2 * s + n) div (2 * n)").alias("micro"))
+
+
+@query(f"SELECT config, step, micro / 1e6 AS v FROM {_MEANS}")
 def stats_mean_curve(spark, sf_dir):
-    return ensemble(spark, sf_dir).groupBy("config", "step").agg(F.round(F.avg("v") + 3.3e-8, 4).alias("v"))
+    return _means(spark, sf_dir).select("config", "step", (F.col("micro") / 1e6).alias("v"))
 
 
 @query(f"WITH s AS (SELECT step, avg(v) FILTER (WHERE config = 'view') AS ma, avg(v) FILTER (WHERE config = 'click') AS mb, var_samp(v) FILTER (WHERE config = 'view') AS va, var_samp(v) FILTER (WHERE config = 'click') AS vb, count(v) FILTER (WHERE config = 'view') AS na, count(v) FILTER (WHERE config = 'click') AS nb FROM {ENS} GROUP BY step), z AS (SELECT step, CASE WHEN sqrt(va / na + vb / nb) > 0 THEN (ma - mb) / sqrt(va / na + vb / nb) ELSE 0 END AS z FROM s) SELECT step, round(z, 6) AS z, abs(z) < 1.96e0 AS pass FROM z")
@@ -46,12 +55,12 @@ def stats_ztest(spark, sf_dir):
     return e.z_test(ensemble(spark, sf_dir), "config", "view", "click", "v", "step").select("step", F.round("z", 6).alias("z"), "pass")
 
 
-@query(f"WITH m AS (SELECT config, step, avg(v) AS v FROM {ENS} GROUP BY ALL) SELECT a.config AS a, b.config AS b, round(max(abs(a.v - b.v)) + 3.3e-8, 4) AS gap FROM m a JOIN m b USING (step) WHERE a.config < b.config GROUP BY ALL")
+@query(f"WITH m AS {_MEANS} SELECT a.config AS a, b.config AS b, max(abs(a.micro - b.micro)) / 1e6 AS gap FROM m a JOIN m b USING (step) WHERE a.config < b.config GROUP BY ALL")
 def stats_curve_diff(spark, sf_dir):
     """The greatest gap between the mean curves of two configurations."""
-    m = ensemble(spark, sf_dir).groupBy("config", "step").agg(F.avg("v").alias("v"))
-    a, b = (m.select("step", F.col("config").alias(n), F.col("v").alias(f"v{n}")) for n in "ab")
-    return a.join(b, "step").where("a < b").groupBy("a", "b").agg(F.round(F.max(F.abs(F.col("va") - F.col("vb"))) + 3.3e-8, 4).alias("gap"))
+    m = _means(spark, sf_dir)
+    a, b = (m.select("step", F.col("config").alias(n), F.col("micro").alias(f"v{n}")) for n in "ab")
+    return a.join(b, "step").where("a < b").groupBy("a", "b").agg((F.max(F.abs(F.col("va") - F.col("vb"))) / 1e6).alias("gap"))
 
 
 _TIMES = "(SELECT CAST(p_size % 4 AS INT) AS side, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS engine, p_retailprice AS ms FROM part)"
@@ -92,6 +101,17 @@ def stats_wilcoxon(spark, sf_dir):
     return e.wilcoxon(_runs(spark, sf_dir), "seed", "config", "v").select("a", "b", F.round("w", 6).alias("w"), "n")
 
 
+@query(f"SELECT round(exp(-chi2 / 2) * (1 + chi2 / 2), 6) AS p, k FROM (WITH s AS (SELECT config, sum(rank_) AS r, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY seed ORDER BY v) + (count(*) OVER (PARTITION BY seed, v) - 1) / 2e0 AS rank_ FROM {_FULL}) GROUP BY config) SELECT round(12e0 / (max(n) * count(*) * (count(*) + 1)) * sum(r * r) - 3e0 * max(n) * (count(*) + 1), 6) AS chi2, max(n) AS n, count(*) AS k FROM s) WHERE k = 5")
+def stats_friedman_p(spark, sf_dir):
+    out = e.friedman(_runs(spark, sf_dir), "seed", "config", "v")
+    return out.where("k = 5").select(F.round(e.friedman_p(F.round("chi2", 6), F.col("k")), 6).alias("p"), "k")
+
+
+@query(f"WITH w AS (WITH d AS (SELECT a.config AS a, b.config AS b, a.v - b.v AS d FROM {_FULL} a JOIN {_FULL} b USING (seed) WHERE a.config < b.config AND a.v <> b.v), r AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2e0 AS r FROM d) SELECT a, b, round(least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)), 6) AS w, count(*) AS n FROM r GROUP BY ALL), z AS (SELECT a, b, greatest((n * (n + 1) / 4e0 - w - 0.5e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24e0), 0) AS z FROM w), t AS (SELECT *, 1 / (1 + 0.2316419e0 * z) AS t FROM z) SELECT a, b, round(least(1e0, 2 * exp(-z * z / 2) * 0.3989422804014327e0 * t * (0.319381530e0 + t * (-0.356563782e0 + t * (1.781477937e0 + t * (-1.821255978e0 + t * 1.330274429e0))))), 6) AS p FROM t")
+def stats_wilcoxon_p(spark, sf_dir):
+    return e.wilcoxon(_runs(spark, sf_dir), "seed", "config", "v").select("a", "b", F.round(e.wilcoxon_p(F.round("w", 6), F.col("n")), 6).alias("p"))
+
+
 _P = f"(SELECT config, (count(*) % 97) / 2000e0 AS p FROM {ENS} GROUP BY config)"
 
 

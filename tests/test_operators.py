@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from agentframe.functions import rng
 from agentframe.functions.chacha import Stream
 from agentframe.functions.statistics import chi2_tail, signed_rank_p
-from agentframe.operators import agents, batch, collect, design, graph, grid, kernels, models, space
+from agentframe.operators import agents, batch, collect, design, graph, grid, models, populations, space
 from agentframe.sources import raster, tables
 
 
@@ -20,6 +20,7 @@ def test_mix64_matches_plain_integers(spark):
 
 
 def test_exact_stream_reproduces_published_draws():
+    # Published draws.
     draw = Stream(1)
     assert [draw.below(100) for _ in range(8)] == [40, 8, 59, 21, 28, 71, 46, 15]
     items = list(range(10))
@@ -99,7 +100,8 @@ def test_graph_generators(spark):
         assert len(g) == len(pairs) == 150 and (g.src != g.dst).all()
     ba = graph.barabasi_albert(spark, 300, 2, seeds).toPandas()
     degree = ba[ba.seed == 0][["src", "dst"]].stack().value_counts()
-    assert len(ba[ba.seed == 0]) == 2 + 2 * 297 and degree.max() > 4 * degree.mean()
+    assert 540 < len(ba[ba.seed == 0]) <= 2 + 2 * 297 and degree.max() > 4 * degree.mean()
+    assert len(ba) == len(ba.drop_duplicates()) and (ba.src > ba.dst)[ba.src > 2].all()
 
 
 def test_slots_are_reused_last_freed_first(spark):
@@ -131,14 +133,82 @@ def test_latin_hypercube_has_one_point_a_stratum(spark):
         assert sorted(int(r.value * 20) for r in rows if r.dim == dim) == list(range(20))
 
 
-def test_serial_models_keep_their_promises():
-    series = kernels.sir(20, 20, 5, 0.2, 0.1, 1, 300)
-    assert all(s + i + r == 400 for _, s, i, r in series) and series[-1][2] == 0 and series == kernels.sir(20, 20, 5, 0.2, 0.1, 1, 300)
-    happy = kernels.schelling(20, 20, 0.9, 0.375, 2, 40)
-    assert happy[-1][1] > happy[0][1]
-    sugar = kernels.sugarscape(30, 30, 150, 1, 3, 60)
-    assert sugar[-1][1] < 150 and sugar[-1][2] > sugar[0][2]
-    assert kernels.grazers(20, 20, 60, 5, 4, 30)[-1][0] == 30
+def test_populations_keep_their_promises(spark):
+    spec = grid.GridSpec(6, 6, True)
+    cells = grid.from_fn(spark, spec, cap=F.lit(4), sugar=F.lit(4))
+    rows = [(i, i % 6, i // 6, i % 2) for i in range(24)]
+    crowd = spark.createDataFrame(rows, "idx long, x int, y int, grp int")
+    moved = populations.schelling_step(crowd, cells, spec, 0, 1, F.lit(0.9)).collect()
+    assert sorted(r.idx for r in moved) == list(range(24)) and len({(r.x, r.y) for r in moved}) == 24
+    assert any((r.x, r.y) != rows[r.idx][1:3] for r in moved)
+    eaters = crowd.select("idx", "x", "y", F.lit(2).alias("vision"), F.lit(1).alias("metabolism"), F.lit(1).alias("wealth"))
+    fed, left = populations.sugar_step(eaters, cells, spec, F.lit(1))
+    fed = fed.collect()
+    assert len({(r.x, r.y) for r in fed}) == len(fed) == 24 and all(r.wealth == 4 for r in fed)
+    assert left.where("sugar = 1").count() == 24
+    wolves = spark.createDataFrame([(100, 2, 2)], "idx long, x int, y int")
+    grazers, after = populations.hunt_step(crowd.select("idx", "x", "y"), wolves, spec, 0, 3)
+    assert 23 <= grazers.count() <= 24 and after.count() == 1
+
+
+def test_run_until_finished_with_hooks_and_series(spark):
+    start = spark.createDataFrame([(0, 0)], "idx long, v long")
+    step = lambda s, k: s.withColumn("v", F.col("v") + 1)
+    done = models.run(start, step, 50, finished=lambda s: F.max("v") >= 4, after=lambda s, k: s.withColumn("last", F.lit(k)))
+    assert tuple(done.first()) == (0, 4, 3)
+    series = models.run_collected(start, step, 6, {"top": F.max("v")}, stride=3)
+    assert sorted(tuple(r) for r in series.collect()) == [(0, 0), (3, 3), (6, 6)]
+    with pytest.raises(ValueError):
+        models.run_collected(start, step, 1, {}, stride=0)
+
+
+def test_model_evaluated_over_a_design(spark):
+    points = design.saltelli(design.sobol_design(spark, 2, 256), 2)
+    got = {r.param: r.s1 for r in design.evaluate_all(points, lambda p: p.withColumn("y", 3 * F.col("x0") + F.col("x1")), 2).collect()}
+    assert abs(got[0] - 0.9) < 0.05 and abs(got[1] - 0.1) < 0.05
+
+
+def test_sobol_uses_all_bits_and_read_tables(spark, tmp_path):
+    far = [r.u for r in spark.createDataFrame([(1,), (1 + (1 << 25),)], "id long").select(design.sobol_point(F.col("id"), 3).alias("u")).collect()]
+    assert far[0] != far[1]
+    with pytest.raises(PySparkException):
+        spark.createDataFrame([(1 << 31,)], "id long").select(design.sobol_point(F.col("id"), 0)).collect()
+    lines = ["d s a m_i"] + [f"{k + 2} {s} {a} {' '.join(map(str, m))}" for k, (s, a, m) in enumerate(design.DIRECTIONS)]
+    (tmp_path / "table").write_text("\n".join(lines))
+    assert design.read_directions(str(tmp_path / "table")) == design.DIRECTIONS
+    with pytest.raises(ValueError):
+        design.sobol_design(spark, 6, 8)
+
+
+def test_torus_with_a_cut_bucket_reaches_across_its_edge(spark):
+    rand = np.random.default_rng(8)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rand.random((150, 2)) * 23)]
+    df = spark.createDataFrame(pts, "idx int, px double, py double")
+    gap = lambda a, b: min(abs(a - b), 23 - abs(a - b))
+    for radius in (5.0, 6.0, 9.0):
+        got = sorted((r.idx, r.q_idx) for r in space.radius_join(df, df, space.SpaceSpec(23.0, 23.0, 5.0, True), radius).collect())
+        assert got == sorted((i, j) for i, x, y in pts for j, u, v in pts if math.hypot(gap(x, u), gap(y, v)) <= radius)
+
+
+def test_line_numbers_and_sinks(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        (tmp_path / "p.csv").write_text("".join(f"{i},{i / 2}\n" for i in range(300)))
+        rows = tables.read_parameters(spark, str(tmp_path / "p.csv"), ["a", "b"])
+        assert rows.rdd.getNumPartitions() > 1 and all(r.idx == r.a for r in rows.collect()) and rows.count() == 300
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    tables.write_losses(rows.select("idx", (F.col("a") / 3).alias("loss")), str(tmp_path / "loss"))
+    lines = [line for f in sorted((tmp_path / "loss").glob("part*")) for line in f.read_text().split()]
+    assert lines == [f"{i / 3:.6f}" for i in range(300)]
+    runs = spark.createDataFrame([("de", 0, 0.5, 10, 1.0), ("ga", 1, 0.7, 20, 2.0)], "method string, run int, best double, evals int, p double")
+    tables.write_results(runs, str(tmp_path / "runs"))
+    tables.write_best(runs, ["p"], str(tmp_path / "best"))
+    assert spark.read.json(str(tmp_path / "best")).first().p == 2.0 and spark.read.csv(str(tmp_path / "runs"), header=True).count() == 2
+    mark = spark.createDataFrame([(1, 0), (1, 0), (2, 2)], "x int, y int")
+    raster.write_footprint(mark, str(tmp_path / "mark"), 3, 3)
+    assert (tmp_path / "mark").read_bytes() == bytes([0, 1, 0, 0, 0, 0, 0, 0, 1])
+    assert [tuple(r) for r in raster.window(mark.distinct(), 1, 1, 2, 2).collect()] == [(1, 1)]
 
 
 def test_optimisers_climb(spark):
