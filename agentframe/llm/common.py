@@ -45,6 +45,12 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def without(df: DataFrame, *added: str) -> DataFrame:
+    """df without the columns that an operator is about to add, whatever their case: the operator's own take their place."""
+    names = {a.lower() for a in added}
+    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in names])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
