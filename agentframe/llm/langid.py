@@ -3,11 +3,13 @@
 For each language a bounded sample of labelled text becomes a suffix automaton: the automaton accepts exactly the substrings of the sample. A text is
 parsed against it from left to right into the longest phrases that occur in the sample (a symbol that never occurs is a phrase of
 its own); the number of phrases times log2 of the sample's length, divided by the text's length, estimates the cross
-entropy. The language with the least wins; ties go to the name that sorts first. Texts are parsed whole, in blocks of ``BLOCK`` bytes that
-step through the automata side by side; a phrase ends where its block ends.
+entropy. The language with the least wins; ties go to the name that sorts first. Texts of any length are parsed whole: blocks of ``BLOCK`` bytes step through the
+automata side by side, first as if a phrase began with each block, then again from the state that the block before ended in, until the parse meets the earlier
+one; when no block's first state changes any more, the phrases are those of one pass over the text.
 
 Every byte of the samples is a symbol of its own; bytes that no sample has share symbol 0, which matches nowhere.
 
+Repeated rows get the same result; an empty table gives no rows. Input columns with the name of an added one give way to it.
 Null text and text without a letter give 'und' and score 0. The score is the runner-up's share of the two best phrase counts (1 with one language only).
 """
 
@@ -21,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentframe.llm.common import SLICE_BYTES, slices, text_buffers
+from agentframe.llm.common import SLICE_BYTES, slices, text_buffers, without
 
-BLOCK, SAMPLE_DOCS, SAMPLE_BYTES = 512, 96, 24_000
+#: Bytes of a block; rounds of parsing all blocks side by side at most; documents and bytes a language that are learned from.
+BLOCK, ROUNDS, SAMPLE_DOCS, SAMPLE_BYTES = 512, 6, 96, 24_000
 
 
 class SuffixAutomaton:
@@ -62,18 +65,54 @@ class SuffixAutomaton:
                 self.table[s + 1, list(to)] = np.fromiter(to.values(), np.int32, len(to)) + 1
         self.bits = math.log2(len(text) + 1)
 
-    def phrases(self, columns: list[np.ndarray], blocks: int) -> np.ndarray:
-        """Phrases of each block. columns[t]: the symbols at place t of the blocks long enough, longest blocks first."""
-        flat, root = self.table.reshape(-1), self.table[1]
-        state, count = np.zeros(blocks, np.int32), np.zeros(blocks, np.int64)
-        for symbols in columns:
+    def _step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after symbols, and where a phrase begins with them."""
+        at = self.table.reshape(-1)[state * self.width + symbols]
+        new = at == 0
+        over = np.flatnonzero(new)
+        at[over] = self.table[1][symbols[over]]
+        return at, new
+
+    def phrases(self, columns: list[np.ndarray], before: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each block. columns[t]: the symbols at place t of the blocks long enough, longest blocks first; before: the block before each of
+        the same text, a whole one, or -1; place: how many are before it."""
+        blocks, steps = len(before), len(columns)
+        states, begins = np.zeros((steps, blocks), np.int32), np.zeros((steps, blocks), bool)
+        state = np.zeros(blocks, np.int32)
+        for t, symbols in enumerate(columns):
             n = len(symbols)
-            at = flat[state[:n] * self.width + symbols]
-            over = np.flatnonzero(at == 0)
-            count[over] += 1
-            at[over] = root[symbols[over]]
-            state[:n] = at
-        return count
+            states[t, :n], begins[t, :n] = self._step(state[:n], symbols)
+            state = states[t]
+        first = np.zeros(blocks, np.int32)
+
+        def again(own: np.ndarray) -> bool:
+            """Parses blocks from the states that the blocks before them end in, as far as that changes them."""
+            start = states[steps - 1, before[own]]
+            moved = start != first[own]
+            own, state = own[moved], start[moved]
+            first[own] = state
+            changed = len(own) > 0
+            for t, symbols in enumerate(columns):
+                state, own = state[own < len(symbols)], own[own < len(symbols)]
+                if not len(own):
+                    break
+                state, new = self._step(state, symbols[own])
+                begins[t, own] = new
+                differ = state != states[t, own]
+                states[t, own] = state
+                own, state = own[differ], state[differ]
+            return changed
+
+        later = np.flatnonzero(before >= 0)
+        rounds = 0
+        while len(later) and again(later):
+            rounds += 1
+            if rounds == ROUNDS:  # phrases longer than blocks: from here block by block, each once
+                order = later[np.argsort(place[later], kind="stable")]
+                for part in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+                    again(part)
+                break
+        return begins.sum(0)
 
 
 class LanguageModel:
@@ -100,11 +139,15 @@ class LanguageModel:
         order = np.argsort(-size, kind="stable")
         begin, size, owner = begin[order], size[order], owner[order]
         symbols = self.symbol[data]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        nth = (np.arange(len(order)) - np.repeat(np.cumsum(per) - per, per))[order]
+        before = np.where(nth > 0, number[np.maximum(order - 1, 0)], -1)
         alive = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")
         columns = [symbols[begin[:n] + t] for t, n in enumerate(alive.tolist())]
         out = np.zeros((len(lengths), len(self.automata)))
         for k, automaton in enumerate(self.automata):
-            out[:, k] = np.bincount(owner, automaton.phrases(columns, len(size)), len(lengths)) * automaton.bits
+            out[:, k] = np.bincount(owner, automaton.phrases(columns, before, nth), len(lengths)) * automaton.bits
         return out
 
 
@@ -136,6 +179,7 @@ def sample(df: DataFrame, key: str, text: str, lang: str, docs: int = SAMPLE_DOC
 
 def identify(df: DataFrame, samples: dict[str, bytes], text: str = "text") -> DataFrame:
     """df with lang_pred and score."""
+    df = without(df, "lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", lang_pred string, score double"
     held = df.sparkSession.sparkContext.broadcast(samples)
     place = df.columns.index(text)

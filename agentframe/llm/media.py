@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from agentframe.llm.common import without
+
 RATE, BLOCK = 8000, 576
 
 # Magic numbers of public formats, with the distance of the magic number from the start of the object.
@@ -179,6 +181,7 @@ def sniffed(value: bytes, declared: str | None, automaton: ahocorasick.Automaton
 
 def sniff(df: DataFrame, content: str, declared: str | None = None) -> DataFrame:
     """Adds media_type (corrected), media_length, declared_wrong and carved (array of start, length, type) to df."""
+    df = without(df, *{"media_type", "media_length", "declared_wrong", "carved"} - {content, declared})
     schema = "media_type string, media_length long, declared_wrong boolean, carved array<struct<start:long,length:long,type:string>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 
-from agentframe.llm.common import BYTE_VALUES, mix64, powers, slices, text_buffers
+from agentframe.llm.common import BYTE_VALUES, mix64, powers, slices, text_buffers, without
 
 UNIT, THETA, BYTE_WEIGHT, TEXT_BYTES = 40, 1.0, 1e-5, 4 << 20
 _UNITS = re.compile(rb" ?[^ \n]{1,%d}[\x80-\xbf]{0,3}|[ \n]" % UNIT)
@@ -219,6 +219,7 @@ def decode_ids(ids: np.ndarray, words: Vocabulary) -> bytes:
 
 def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", theta: float = THETA) -> DataFrame:
     """df with pieces: array of the sampled piece ids."""
+    df = without(df, "pieces")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", pieces array<int>"
     k, t = df.columns.index(key), df.columns.index(text)
 
@@ -236,6 +237,7 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", t
 
 def decode(df: DataFrame, model: str, pieces: str = "pieces") -> DataFrame:
     """df with decoded: the text of its pieces."""
+    df = without(df, "decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", decoded string"
     p = df.columns.index(pieces)
 

@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Text is folded (A-Z lower-cased, ASCII that is not a letter or digit becomes a space) and its n-grams of ``SIZES`` bytes are hashed into ``BUCKETS``. On a bounded
-sample of labelled rows, the log ratio of each n-gram's smoothed document frequency in toxic and in other texts is computed; the ``KEPT`` n-grams
+sample of labelled rows, read whole, the log ratio of each n-gram's smoothed document frequency in toxic and in other texts is computed; the ``KEPT`` n-grams
 with the strongest evidence are kept, and logistic regression is trained on presence times ratio. Out-of-fold scores
-calibrate the result (Platt). Scoring reads whole texts. Null and empty text score as a text without n-grams. Labels that
-are null, or rows without labels, are not learned from; without both classes every score is 0.
+calibrate the result (Platt). Scoring reads whole texts of any length. Null and empty text score as a text without n-grams. Labels that
+are null, or rows without labels, are not learned from; a row labelled both ways is toxic; without both classes every score is 0. N-grams of equal strength are kept in the
+order of their buckets. Repeated rows get the same score; an empty table gives no rows. Input columns with the name of an added one give way to it.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentframe.llm.common import BYTE_VALUES, mix64, powers, slices, text_buffers
+from agentframe.llm.common import BYTE_VALUES, mix64, powers, slices, text_buffers, without
 from agentframe.llm.langid import held_out
 
 SIZES, BUCKETS, KEPT, LEAST_TEXTS = (4, 5, 6, 7, 8), 1 << 22, 2000, 5
-#: Labelled rows of each class that are learned from, about; and the most characters of one of them.
-SAMPLE_ROWS, SAMPLE_CHARS = 900, 8000
+#: Labelled rows of each class that are learned from, about.
+SAMPLE_ROWS = 900
 THRESHOLD = 0.3
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -78,16 +79,28 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
 
 
+def _bounded(texts: list[str], limit: int = 1 << 20) -> Iterator[int]:
+    """Ends of runs of texts of about limit characters each, or of one text."""
+    held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= limit or i + 1 == len(texts):
+            yield i + 1
+            held = 0
+
+
 def _present(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) pairs, each once."""
     rows, buckets = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for a in range(0, len(texts), 100):
-        data, offsets = _joined(texts[a : a + 100])
+    a = 0
+    for b in _bounded(texts):
+        data, offsets = _joined(texts[a:b])
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         found = [owner[: len(bucket)][inside] * BUCKETS + bucket[inside] for bucket, inside in grams(data, offsets)]
         flat = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         rows.append((flat // BUCKETS + a).astype(np.int32))
         buckets.append((flat % BUCKETS).astype(np.int32))
+        a = b
     return np.concatenate(rows), np.concatenate(buckets)
 
 
@@ -161,19 +174,20 @@ def train(texts: list[str], labels: list[int], prior: float | None = None) -> Nb
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[list[str], list[int], float | None]:
     """About SAMPLE_ROWS texts of each class, those with the smallest hash of the key, and the true share of the toxic class."""
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(key)).select(key, F.col(label).cast("int").alias("__y")).dropDuplicates([key])
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out(key)).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("__y"))
     counts = {r[0]: r[1] for r in known.groupBy("__y").count().collect()}
     if len(counts) < 2:
         return [], [], None
     place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.when(F.col("__y") == 1, min(1.0, SAMPLE_ROWS / counts[1])).otherwise(min(1.0, SAMPLE_ROWS / counts[0]))
-    chosen = docs.where(F.length(text) <= SAMPLE_CHARS).select(key, F.col(text).alias("__t")).join(F.broadcast(known.where(place < share).select(key, "__y")), key)
+    chosen = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("__t")).join(F.broadcast(known.where(place < share).select(key, "__y")), key)
     rows = sorted(chosen.select(F.col(key).cast("string").alias("k"), "__t", "__y").collect(), key=lambda r: (r.k, r["__t"]))
     return [r["__t"] for r in rows], [r["__y"] for r in rows], counts[1] / (counts[0] + counts[1])
 
 
 def score(df: DataFrame, model: NbLinear, text: str = "text") -> DataFrame:
     """df with score and predicted."""
+    df = without(df, "score", "predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", score double, predicted int"
     held = df.sparkSession.sparkContext.broadcast(model)
     place = df.columns.index(text)

@@ -83,3 +83,40 @@ def test_toxicity_on_held_out_rows(spark):
     assert got[2000].score == got[2001].score and got[2002].predicted == 1
     assert toxicity.toxicity(df.limit(0), marks).collect() == []
     assert {r.predicted for r in toxicity.toxicity(df, marks.where("toxic = 0")).collect()} == {0}
+
+
+def test_phrases_cross_blocks(monkeypatch):
+    rng = random.Random(13)
+    model = ("".join(rng.choice("abcd ") for _ in range(400)) + "z" * 300).encode()
+    texts = ["".join(rng.choice("abcdx ") for _ in range(n)).encode() for n in (513, 3000)] + [model * 4, b"z" * 2500, b"x" * 700, model[100:350] * 9]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    want = [longest_match_phrases(t, model) for t in texts]
+    for block, rounds in ((512, 6), (16, 6), (7, 1)):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "ROUNDS", rounds)
+        got = langid.LanguageModel({"a": model})
+        assert np.allclose(got.costs(np.frombuffer(b"".join(texts), np.uint8), offsets)[:, 0] / got.automata[0].bits, want)
+
+
+def test_ratios_and_margins_match_brute_force():
+    """Naive Bayes log-count ratios of whole n-grams, and margins as sums of weights over the n-grams that a text has."""
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 40))) + ("poison" if i % 3 == 0 else "") for i in range(90)]
+    y = np.array([float(i % 3 == 0) for i in range(90)])
+    rows, buckets = toxicity._present(texts)
+    name = lambda g: int(next(b for b, ok in toxicity.grams(np.frombuffer(g, np.uint8), np.array([0, len(g)])) if len(b) == 1 and ok.all())[0])
+    sets = [{name(t.encode()[i : i + n]) for n in toxicity.SIZES for i in range(len(t) - n + 1)} for t in texts]
+    assert sorted(zip(rows.tolist(), buckets.tolist(), strict=True)) == sorted((i, g) for i, s in enumerate(sets) for g in s)
+    kept, weights, intercept = toxicity._fit(rows, buckets, y, np.arange(90))
+    ratio = {}
+    for g in set().union(*sets):
+        toxic, clean = (sum(g in s for s, v in zip(sets, y, strict=True) if v == c) for c in (1, 0))
+        if toxic + clean >= toxicity.LEAST_TEXTS:
+            ratio[g] = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / ((1 - y).sum() + 1))
+    assert set(kept.tolist()) <= set(ratio)
+    x = np.array([[ratio[b] if b in s else 0.0 for b in kept.tolist()] for s in sets])
+    w, b = toxicity._logistic(x, y, 0.02)
+    assert np.allclose(weights, w * [ratio[k] for k in kept.tolist()]) and np.isclose(intercept, b)
+    data, offsets = toxicity._joined(texts)
+    of = dict(zip(kept.tolist(), weights.tolist(), strict=True))
+    assert np.allclose(toxicity.NbLinear(kept, weights, intercept, 1, 0).margins(data, offsets), [intercept + sum(of.get(g, 0.0) for g in s) for s in sets])
