@@ -4,17 +4,18 @@ The key of a line is the line with ASCII white space stripped and A-Z lower-case
 has for each non-empty key the number of documents with it; adding documents adds to it, deleting them subtracts. Keys
 with at least ``limit`` documents go into one cuckoo filter per shard (32-bit fingerprints, two buckets of four), which lose and gain keys as
 counts cross the limit. A line is dropped when its key is in the filter and not among the false positives, which are found exactly by
-probing with every key of the table that is under the limit. Filters are broadcast in waves of ``WAVE_KEYS`` keys at most;
-with more keys the documents pass once for each wave, so memory is bounded at every size.
+probing with every key of the table that is under the limit. Filters are broadcast up to ``WAVE_KEYS`` keys; with more keys, the lines of each
+different text are joined with the table by key instead and folded back by text, in one pass, so memory is bounded at every size.
 
-Null or empty text is one empty line, which is never dropped. When all lines go, the empty text stays. Repeated rows count as documents.
+Null or empty text is one empty line, which is never dropped. When all lines go, the empty text stays. Repeated rows count as documents. A count at the limit
+drops the line. Texts of any length are split whole. An empty table gives no rows. Input columns with the name of an added one give way to it.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentframe.llm.common import SPACES, materialise, mix64, tidy
+from agentframe.llm.common import SPACES, discard, materialise, mix64, tidy, without
 
+#: Documents of a dropped line at least; keys of a filter, and of all filters that are broadcast, at most; slots of a bucket; keys that a task counts before it sends them on.
 LIMIT, SHARD_KEYS, WAVE_KEYS, BUCKET, FLUSH = 10, 1 << 16, 1 << 22, 4, 200_000
 
 
@@ -56,8 +58,8 @@ class CuckooFilter:
         return (self.slots[a] == fp[:, None]).any(1) | (self.slots[b] == fp[:, None]).any(1)
 
     def insert(self, digests: np.ndarray) -> bool:
-        """False if a key finds no place; the filter is then to be built anew, larger."""
-        mask, rng = len(self.slots) - 1, np.random.default_rng(7)
+        """False, with the filter as it was, if a key finds no place; the filter is then to be built anew, larger."""
+        mask, rng, before = len(self.slots) - 1, np.random.default_rng(7), self.slots.copy()
         for fp, a, b in zip(*(x.tolist() for x in self.places(digests)), strict=True):
             at = a if (self.slots[a] == 0).any() else b
             for _ in range(500):
@@ -69,6 +71,7 @@ class CuckooFilter:
                 fp, self.slots[at, k] = int(self.slots[at, k]), fp
                 at ^= int(mix64(np.array([fp], np.uint64))[0]) & mask
             else:
+                self.slots = before
                 return False
         return True
 
@@ -157,19 +160,18 @@ class LineIndex:
 
 
 def shift_filters(filters: DataFrame, before: LineIndex, after: LineIndex, shards: int) -> DataFrame:
-    """The filters of before brought to after by insertions and deletions of the keys that crossed the limit, shard by shard."""
-    up = after.frequent().join(before.frequent(), ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(True).alias("up"))
-    down = before.frequent().join(after.frequent(), ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(False).alias("up"))
-    changes = up.unionByName(down).withColumn("shard", F.pmod("h2", F.lit(shards)))
+    """The filters of before brought to after by insertions and deletions of the keys that crossed the limit, shard by shard. A shard that is full grows: it is built anew from its keys."""
+    was, now = before.frequent().select("h1", "h2", F.lit(True).alias("was")), after.frequent().select("h1", "h2", F.lit(True).alias("now"))
+    changes = was.join(now, ["h1", "h2"], "full").withColumn("shard", F.pmod("h2", F.lit(shards)))
 
     def run(old: pa.Table, moved: pa.Table) -> pa.Table:
         shard = (old if old.num_rows else moved).column("shard")[:1]
         found = CuckooFilter(CuckooFilter.frombytes(old.column("filter")[0].as_py()).slots.copy()) if old.num_rows else CuckooFilter.sized(SHARD_KEYS)
         digests = np.stack([moved.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2")], 1)
-        rises = moved.column("up").to_numpy(zero_copy_only=False).astype(bool)
-        found.delete(digests[~rises])
-        if not found.insert(digests[rises]):
-            raise ValueError("a shard is full: build the filters anew with more shards")
+        was, now = (np.array(moved.column(c).is_valid()) for c in ("was", "now"))
+        found.delete(digests[was & ~now])
+        if not found.insert(digests[now & ~was]):
+            found = CuckooFilter.of(digests[now])
         return pa.table({"shard": shard, "filter": pa.array([found.tobytes()], pa.binary())})
 
     return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(run, "shard long, filter binary")
@@ -188,53 +190,91 @@ def _probe(filters: dict[int, CuckooFilter], shards: int, digests: np.ndarray) -
 def drop_lines(docs: DataFrame, index: LineIndex, text: str = "text") -> DataFrame:
     """docs with kept_text in place of text, n_lines and n_dropped; every other column of docs stays."""
     spark = docs.sparkSession
-    shards = max(1, -(-index.frequent().count() // SHARD_KEYS))
-    per_wave = WAVE_KEYS // SHARD_KEYS
+    docs = without(docs, *{"kept_text", "n_lines", "n_dropped"} - {text}).withColumnRenamed(text, "kept_text")
+    keys = index.frequent().count()
+    if keys > WAVE_KEYS:
+        return _dropped_by_join(docs, index)
+    shards = max(1, -(-keys // SHARD_KEYS))
     built = materialise(index.filters(shards), "line-filters")
-    state = docs.withColumnRenamed(text, "kept_text").withColumns({"n_lines": F.lit(None).cast("long"), "n_dropped": F.lit(0).cast("long")})
-    for a in range(0, shards, per_wave):
-        wave = {r.shard: bytes(r["filter"]) for r in built.where(F.col("shard").between(a, a + per_wave - 1)).collect()}
-        if a:
-            state = materialise(state, "line-wave")
-        held = spark.sparkContext.broadcast(wave)
-
-        def false_hits(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            filters = {k: CuckooFilter.frombytes(v) for k, v in held.value.items()}
-            for batch in batches:
-                digests = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in (0, 1)], 1)
-                yield batch.filter(pa.array(_probe(filters, shards, digests)))
-
-        wrong = index.refs.where(F.col("refs") < index.limit).select("h1", "h2").mapInArrow(false_hits, "h1 long, h2 long")
-        exceptions = {np.array([r.h1, r.h2], "<i8").tobytes() for r in wrong.toLocalIterator()}
-        state = state.mapInArrow(tidy(_dropper(held, shards, exceptions, state.columns)), state.schema)
-    return state
-
-
-def _dropper(held, shards: int, exceptions: set[bytes], names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = spark.sparkContext.broadcast({r.shard: bytes(r["filter"]) for r in built.collect()})
+    discard(built)
+
+    def false_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = {k: CuckooFilter.frombytes(v) for k, v in held.value.items()}
+        for batch in batches:
+            digests = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in (0, 1)], 1)
+            yield batch.filter(pa.array(_probe(filters, shards, digests)))
+
+    wrong = index.refs.where(F.col("refs") < index.limit).select("h1", "h2").mapInArrow(false_hits, "h1 long, h2 long")
+    exceptions = {np.array([r.h1, r.h2], "<i8").tobytes() for r in wrong.toLocalIterator()}
+
+    def hits() -> Callable[[np.ndarray, np.ndarray, pa.RecordBatch], np.ndarray]:
         filters = {k: CuckooFilter.frombytes(v) for k, v in held.value.items()}
+
+        def of(digests: np.ndarray, owner: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+            hit = _probe(filters, shards, digests)
+            if exceptions:
+                for k in np.flatnonzero(hit):
+                    hit[k] = digests[k].tobytes() not in exceptions
+            return hit
+
+        return of
+
+    return _dropped(docs, hits)
+
+
+def _dropped_by_join(docs: DataFrame, index: LineIndex) -> DataFrame:
+    """drop_lines with the table of counts itself: the lines of each different text meet the frequent keys in a join, whose crowded keys adaptive execution splits."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, digests = [], [np.zeros((0, 2), np.uint64)]
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.unique(key_digests((value.as_py() or "").encode().split(b"\n")), axis=0)
+                names += [name] * len(own)
+                digests.append(own)
+            both = np.concatenate(digests).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["__name", "h1", "h2"])
+
+    named = docs.withColumn("__name", F.md5(F.coalesce("kept_text", F.lit(""))))
+    said = named.select("__name", "kept_text").mapInArrow(tidy(lines), "__name string, h1 long, h2 long")
+    gone = said.join(index.frequent().select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("__name").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
+
+    def hits() -> Callable[[np.ndarray, np.ndarray, pa.RecordBatch], np.ndarray]:
+        def of(digests: np.ndarray, owner: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+            sets = [{(k["h1"], k["h2"]) for k in own or ()} for own in part.column(part.schema.get_field_index("__gone")).to_pylist()]
+            pairs = map(tuple, digests.view(np.int64).tolist())
+            return np.array([pair in sets[k] for pair, k in zip(pairs, owner.tolist(), strict=True)], bool)
+
+        return of
+
+    return _dropped(named.join(gone, "__name", "left"), hits).drop("__name", "__gone")
+
+
+def _dropped(docs: DataFrame, hits: Callable[[], Callable[[np.ndarray, np.ndarray, pa.RecordBatch], np.ndarray]]) -> DataFrame:
+    """docs (.., kept_text) without the lines that hits tells by their digests, with n_lines and n_dropped."""
+    place, docs_names = docs.columns.index("kept_text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = hits()
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                columns = dict(zip(names, part.columns, strict=True))
-                split = [(v.as_py() or "").encode().split(b"\n") for v in columns["kept_text"]]
-                digests = key_digests([x for lines in split for x in lines])
-                hit = _probe(filters, shards, digests)
-                if exceptions:
-                    for k in np.flatnonzero(hit):
-                        hit[k] = digests[k].tobytes() not in exceptions
+                split = [(v.as_py() or "").encode().split(b"\n") for v in part.column(place)]
+                size = np.array([len(lines) for lines in split], np.int64)
+                hit = of(key_digests([x for lines in split for x in lines]), np.repeat(np.arange(len(split)), size), part)
                 kept, dropped, at = [], [], 0
                 for lines in split:
                     gone = hit[at : at + len(lines)]
                     at += len(lines)
                     dropped.append(int(gone.sum()))
                     kept.append((b"\n".join(x for x, g in zip(lines, gone.tolist(), strict=True) if not g) if dropped[-1] else b"\n".join(lines)).decode())
-                columns["n_lines"] = pa.array([known if known is not None else len(lines) for known, lines in zip(columns["n_lines"].to_pylist(), split, strict=True)], pa.int64())
-                columns["n_dropped"] = pa.array(np.array(dropped, np.int64) + columns["n_dropped"].to_numpy(zero_copy_only=False))
-                columns["kept_text"] = pa.array(kept, pa.string())
-                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+                columns = list(part.columns)
+                columns[place] = pa.array(kept, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(size), pa.array(dropped, pa.int64())], names=[*docs_names, "n_lines", "n_dropped"])
 
-    return run
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_dropped long"
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:

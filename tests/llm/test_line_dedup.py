@@ -28,6 +28,9 @@ def test_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ld, "SHARD_KEYS", 2)
     monkeypatch.setattr(ld, "WAVE_KEYS", 2)
     assert sorted(map(tuple, ld.line_dedup(df, limit=5).collect())) == brute(rows_of(), 5)
+    taken = df.withColumn("Kept_Text", ld.F.lit("zz")).withColumn("n_dropped", ld.F.lit("x"))
+    out = ld.drop_lines(taken, ld.LineIndex.of(taken, limit=5))
+    assert out.columns == ["doc_id", "kept_text", "n_lines", "n_dropped"] and sorted((r.doc_id, r.n_lines, r.n_dropped) for r in out.collect()) == sorted(x[:3] for x in brute(rows_of(), 5))
     assert ld.line_dedup(df.limit(0)).collect() == []
 
 
@@ -53,3 +56,16 @@ def test_cuckoo_filter_keeps_every_key():
     found.delete(digests[:1000])
     assert not found.contains(digests[:1000]).any() and found.contains(digests[1000:2000]).all()
     assert np.count_nonzero(found.slots) == 1000
+
+
+def test_full_filters_grow_and_keep_what_they_had(spark):
+    few = spark.createDataFrame([(i, "one\ntwo") for i in range(12)], "doc_id long, text string")
+    many = spark.createDataFrame([(50 + i, "\n".join(f"line {k}" for k in range(400))) for i in range(12)], "doc_id long, text string")
+    start = ld.LineIndex.of(few)
+    grown = start.insert(many)
+    moved = ld.shift_filters(start.filters(1), start, grown, 1).collect()
+    found = ld.CuckooFilter.frombytes(bytes(moved[0]["filter"]))
+    assert found.contains(ld.key_digests([b"one", b"two", *(f"line {k}".encode() for k in range(400))])).all()
+    small = ld.CuckooFilter.of(ld.key_digests([b"a", b"b"]))
+    before = small.slots.copy()
+    assert not small.insert(ld.key_digests([str(i).encode() for i in range(500)])) and (small.slots == before).all()

@@ -57,3 +57,13 @@ def test_stages_match_brute_force(spark):
 def test_empty_table_passes_through(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_columns_with_clashing_names_pass_through(spark):
+    added = {"n_lines": 77, "n_dropped": "zz", "kept_text": "mine", "spans": 3, "__row": 4, "__text": "t", "host": "h", "lines": 1, "content": 2, "key": 5}
+    docs = spark.createDataFrame([(*r, *added.values()) for r in corpus()], "doc_id long, text string, lang string, source string, n_chars long, n_lines int, n_dropped string, kept_text string, spans int, `__row` int, `__text` string, host string, lines int, content int, key int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, ""), "clash")
+        rows = docs.collect()
+        assert len(rows) > 10 and all({k: r[k] for k in added} == added for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= len(rows)
