@@ -38,8 +38,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents without the lines that many documents share."""
     _bounded(spark)
     index = line_dedup.LineIndex.of(docs)
-    kept = line_dedup.drop_lines(docs, index).withColumnRenamed("kept_text", "text")
-    return _sized(kept.select(*docs.columns))
+    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), F.col("text").alias("__text"))
+    kept = line_dedup.drop_lines(packed, index, "__text")
+    return _sized(kept.select(F.col("__row").withField("text", F.col("kept_text")).alias("__row")).select("__row.*"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
