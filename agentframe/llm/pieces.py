@@ -1,13 +1,14 @@
 """SentencePiece encoding by forward filtering and backward sampling over the piece lattice, and lossless decoding.
 
-A text is a dummy space and itself, with spaces written as the mark U+2581; no piece but a run of marks, which is not used, crosses a mark, so the lattice splits
-into units (a mark and what follows up to the next space or line end, ``UNIT`` bytes at most). Arcs are the vocabulary's pieces, with
+A text is a dummy space and itself, with spaces written as the mark U+2581; marks stand only at the beginning of pieces or make up a whole piece, and no piece
+holds a line end, so the lattice splits exactly into units: a run of spaces with what follows up to the next space or line end, of any length. Arcs are the vocabulary's pieces, with
 weight ``(rank + 2) ** -theta`` (the model orders its pieces by merge rank), and, for characters that are no piece, their single bytes with a small weight, so that every text has a path. The forward pass sums the weights
-of all paths to each place; the backward pass samples arcs from the end with their exact posterior probabilities. Each draw is a hash of the
+of all paths to each place, as logarithms in units over ``UNIT`` bytes; the backward pass samples arcs from the end with their exact posterior probabilities. Each draw is a hash of the
 row's key, the unit's number and the step, so a row gets the same pieces wherever it is computed; equal texts under other keys get other samples.
 
 Decoding joins the pieces, turns marks into spaces and takes the dummy space off: it gives back the text, a literal U+2581 included, which
-is only ever written as bytes. Null and empty texts have no pieces and decode to the empty text.
+is only ever written as bytes. Null and empty texts have no pieces and decode to the empty text. Repeated rows get the same pieces. Texts of any length are encoded
+whole; memory grows with the longest run without a space. An empty table gives no rows. Input columns with the name of an added one give way to it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from agentframe.llm.common import BYTE_VALUES, mix64, powers, slices, text_buffers, without
 
 UNIT, THETA, BYTE_WEIGHT, TEXT_BYTES = 40, 1.0, 1e-5, 4 << 20
-_UNITS = re.compile(rb" ?[^ \n]{1,%d}[\x80-\xbf]{0,3}|[ \n]" % UNIT)
+_UNITS = re.compile(rb" *[^ \n]+| +|\n")
 _MARK, _HIDDEN = b"\xe2\x96\x81", b"\xff\xfe\xfd"
 #: Bytes of the character that a byte opens; the hidden bytes stand alone.
 _WIDTHS = np.ones(256, np.int8)
@@ -51,7 +52,7 @@ class Vocabulary:
             if model.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
                 self.raw[i] = bytes([int(piece[3:5], 16)])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and "▁" not in piece[1:]:
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and "▁" not in piece.lstrip("▁"):
                 names[piece.encode()] = i
                 weight[i] = (2.0 - model.get_score(i)) ** -theta
                 self.raw[i] = piece.replace("▁", " ").encode()
@@ -99,9 +100,9 @@ class Vocabulary:
 
 
 class Lattice:
-    """Arcs into each place of many units side by side. Place numbers run through all units; arcs are sorted by their end."""
+    """Arcs into each place of many units side by side. Place numbers run through all units; arcs are sorted by their end. With logs, sums are held as logarithms."""
 
-    def __init__(self, units: list[bytes], words: Vocabulary):
+    def __init__(self, units: list[bytes], words: Vocabulary, logs: bool = False):
         shown = [u.replace(_MARK, _HIDDEN).replace(b" ", _MARK) for u in units]
         size = np.array([len(s) for s in shown], np.int64)
         data = np.frombuffer(b"".join(shown), np.uint8)
@@ -112,7 +113,6 @@ class Lattice:
         offset = np.arange(len(data)) - begin
         left = np.repeat(size, size) - offset
         sums, back = words.prefix(data)
-        marked = np.array([u[:1] == b" " for u in units], bool)
         opens = (data & 0xC0) != 0x80
         single = np.zeros(len(data), bool)
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -124,7 +124,7 @@ class Lattice:
             if n <= 4:
                 single[at[opens[at] & (_WIDTHS[data[at]] == n)]] = True
         known = single[np.maximum.accumulate(np.where(opens, np.arange(len(data)), 0))]
-        alone = np.flatnonzero(~(known | (marked[unit] & (offset < 3))))
+        alone = np.flatnonzero(~known)
         found.append((0, alone, words.bytes[data[alone]]))
         per = np.zeros(len(data), np.int64)
         for _, last, _ in found:
@@ -142,17 +142,23 @@ class Lattice:
         b = np.repeat(node, per)
         self.start = b - length
         forward = np.zeros(len(data) + len(units))
-        forward[self.first] = 1
+        forward[self.first] = 0 if logs else 1
+        weight = np.log(weight) if logs else weight
         places = np.flatnonzero(per)
-        places = places[np.argsort(offset[places].astype(np.int16), kind="stable")]
+        places = places[np.argsort(offset[places] if logs else offset[places].astype(np.int16), kind="stable")]
         cuts = np.searchsorted(offset[places], np.arange(int(offset.max(initial=-1)) + 2))
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             if x < y:
                 ends = places[x:y]
                 heads = np.cumsum(per[ends]) - per[ends]
                 own = np.arange(int(per[ends].sum())) + np.repeat(begin_arc[ends] - heads, per[ends])
-                forward[node[ends]] = np.add.reduceat(forward[self.start[own]] * weight[own], heads)
-        share = forward[self.start] * weight / forward[b]
+                if logs:
+                    paths = forward[self.start[own]] + weight[own]
+                    best = np.maximum.reduceat(paths, heads)
+                    forward[node[ends]] = best + np.log(np.add.reduceat(np.exp(paths - np.repeat(best, per[ends])), heads))
+                else:
+                    forward[node[ends]] = np.add.reduceat(forward[self.start[own]] * weight[own], heads)
+        share = np.exp(forward[self.start] + weight - forward[b]) if logs else forward[self.start] * weight / forward[b]
         total = np.cumsum(share)
         head = np.repeat(begin_arc, per) - 1
         self.bound = b + np.minimum(total - np.where(head >= 0, total[head], 0), 1.0)
@@ -208,7 +214,18 @@ def encode_texts(texts: list[bytes], seeds: np.ndarray, words: Vocabulary) -> tu
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     index = np.arange(len(flat)) - np.repeat(np.cumsum(per) - per, per)
     seed = mix64(np.repeat(seeds, per) + index.astype(np.uint64) * np.uint64(_ODD))
-    ids, count = Lattice(list(number), words).sample(flat, seed)
+    names, lattice = list(number), lambda some, logs: Lattice([names[i] for i in some.tolist()], words, logs)
+    long = np.array([len(u) > UNIT for u in names], bool)
+    if not long.any():
+        ids, count = Lattice(names, words).sample(flat, seed)
+    else:
+        apart, rank = long[flat], np.where(long, np.cumsum(long), np.cumsum(~long)) - 1
+        parts = [lattice(np.flatnonzero(long == logs), logs).sample(rank[flat[apart == logs]], seed[apart == logs]) for logs in (False, True)]
+        count = np.zeros(len(flat), np.int64)
+        count[~apart], count[apart] = parts[0][1], parts[1][1]
+        from_long = np.repeat(apart, count)
+        ids = np.zeros(len(from_long), np.int32)
+        ids[~from_long], ids[from_long] = parts[0][0], parts[1][0]
     ends = np.concatenate([[0], np.cumsum(count)])
     return ids, ends[np.concatenate([[0], np.cumsum(per)])]
 

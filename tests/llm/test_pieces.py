@@ -22,25 +22,42 @@ def test_round_trip_and_seeds(spark):
     assert pieces.round_trip(df.limit(0), MODEL).collect() == []
 
 
-def test_samples_follow_the_posterior():
+def paths_of(shown, at=0):
+    """Weight of every path over a unit by the pieces it takes, by brute force; single bytes only where a character is no piece."""
     words = pieces.vocabulary(MODEL)
     names = {words.raw[i]: i for i in range(len(words.raw)) if words.weight[i] > 0}
-    unit, weights = b" abide", {}
-
-    def walk(at, path, w):
-        if at == len(unit):
-            weights[tuple(path)] = w
-        for end in range(at + 1, len(unit) + 1):
-            if (i := names.get(unit[at:end])) is not None:
-                walk(end, [*path, i], w * words.weight[i])
-
-    walk(0, [], 1.0)
-    total = sum(weights.values())
-    n = 20_000
-    ids, ends = pieces.encode_texts([unit[1:]] * n, pieces.key_seeds(list(range(n))), words)
-    got = Counter(tuple(ids[a:b].tolist()) for a, b in pairwise(ends.tolist()))
-    assert set(got) <= set(weights)
-    for path, w in weights.items():
-        p = w / total
-        assert abs(got[path] / n - p) < 5 * math.sqrt(p / n) + 1e-4
-    assert np.isclose(sum(got.values()), n)
+    ends = [{(): 1.0}] + [{} for _ in shown]
+    for b in range(1, len(shown) + 1):
+        for a in range(max(0, b - 48), b):
+            if (i := names.get(shown[a:b])) is not None:
+                for path, w in ends[a].items():
+                    ends[b][*path, i] = ends[b].get((*path, i), 0.0) + w * words.weight[i]
+    return ends[-1]
+
+
+def test_samples_follow_the_posterior(monkeypatch):
+    """Short units, runs of spaces, and units held as logarithms."""
+    words, n = pieces.vocabulary(MODEL), 20_000
+    for text, most in ((b"abide", 40), (b"abide", 3), (b"    to", 40), (b"    to", 2)):
+        monkeypatch.setattr(pieces, "UNIT", most)
+        weights = paths_of(b" " + text)
+        total = sum(weights.values())
+        ids, ends = pieces.encode_texts([text] * n, pieces.key_seeds(list(range(n))), words)
+        got = Counter(tuple(ids[a:b].tolist()) for a, b in pairwise(ends.tolist()))
+        assert set(got) <= set(weights)
+        for path, w in weights.items():
+            p = w / total
+            assert abs(got[path] / n - p) < 5 * math.sqrt(p / n) + 1e-4
+        assert np.isclose(sum(got.values()), n)
+
+
+def test_long_units_have_no_cut():
+    """In a run of 3,000 characters without a space, pieces lie across every multiple of 40 bytes as often as elsewhere, and nothing is lost."""
+    words = pieces.vocabulary(MODEL)
+    text = ("international" * 300).encode()
+    ids, ends = pieces.encode_texts([text, b"x" * 90 + "é日本".encode() * 50], pieces.key_seeds([1, 2]), words)
+    assert pieces.decode_ids(ids[: ends[1]], words) == text and pieces.decode_ids(ids[ends[1] :], words) == b"x" * 90 + "é日本".encode() * 50
+    size = np.array([len(words.raw[i]) for i in ids[: ends[1]].tolist()])
+    stops = set((np.cumsum(size) - 1).tolist())
+    cut = np.mean([k in stops for k in range(40, 3900, 40)])
+    assert cut < 0.9 and abs(cut - np.mean([k in stops for k in range(3900)])) < 0.2
