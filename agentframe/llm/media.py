@@ -3,15 +3,19 @@
 ``sniff`` looks at binary values. The automaton finds every place of a magic number in one pass; the validator of that
 format then walks the structure (chunk lengths, check sums, end marks) and gives the length of the object, or nothing. An object
 at offset 0 sets the true type; any other valid object outside it is carved. Null counts as an empty value, whose type is
-``application/octet-stream``. Ties at one offset go to the format listed first; overlapping objects to the earliest, then longest.
+``application/octet-stream``. Overlapping objects go to the earliest, then longest; hits inside an accepted object are not walked. End marks are looked up once a
+value, so time grows with the value's length. Repeated rows get the same result; an empty table gives no rows. Input columns with the name of an added one give way to it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -33,6 +37,9 @@ MAGIC = [
     (b"%PDF-", 0, "application/pdf"),
     (b"PK\x03\x04", 0, "application/zip"),
     (b"P5\n", 0, "image/x-portable-graymap"),
+    (b"WEBP", 8, "image/webp"),
+    (b"OggS", 0, "application/ogg"),
+    (b"ftyp", 4, "video/mp4"),
 ]
 
 
@@ -68,18 +75,64 @@ def _gif(b: bytes, at: int) -> int | None:
 
 
 def _jpeg(b: bytes, at: int) -> int | None:
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
+    """Segments by their lengths; after a scan's head its coded bytes, up to the next mark that is neither a stuffed byte nor a restart."""
+    p, scanned = at + 2, False
+    while p + 2 <= len(b) and b[p] == 0xFF:
         kind = b[p + 1]
+        if kind == 0xD9:
+            return p + 2 - at if scanned else None
+        if kind < 0xC0 or p + 4 > len(b):
+            return None
+        n = struct.unpack(">H", b[p + 2 : p + 4])[0]
+        if n < 2:
+            return None
+        p += 2 + n
         if kind == 0xDA:
-            end = b.find(b"\xff\xd9", p + 4)
-            return end + 2 - at if end >= 0 else None
-        if kind < 0xC0:
+            scanned, p = True, b.find(b"\xff", p)
+            while 0 <= p < len(b) - 1 and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
+                p = b.find(b"\xff", p + 2)
+            if p < 0:
+                return None
+    return None
+
+
+def _webp(b: bytes, at: int) -> int | None:
+    if b[at : at + 4] != b"RIFF" or at + 20 > len(b) or b[at + 12 : at + 16] not in (b"VP8 ", b"VP8L", b"VP8X"):
+        return None
+    n = 8 + struct.unpack("<I", b[at + 4 : at + 8])[0]
+    return n if n >= 20 and at + n <= len(b) else None
+
+
+def _ogg(b: bytes, at: int) -> int | None:
+    """Pages of one stream by their segment tables, from the one that begins it to the one that ends it."""
+    p, stream = at, None
+    while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
+        flags, serial, segments = b[p + 5], b[p + 14 : p + 18], b[p + 26]
+        if stream is None and not flags & 2:
+            return None
+        stream = stream or serial
+        end = p + 27 + segments + sum(b[p + 27 : p + 27 + segments])
+        if end > len(b) or serial != stream:
             return None
-        p += 2 + struct.unpack(">H", b[p + 2 : p + 4])[0]
+        if flags & 4:
+            return end - at
+        p = end
     return None
 
 
+def _mp4(b: bytes, at: int) -> int | None:
+    """Boxes by their lengths; there must be one of type moov."""
+    p, moov = at, False
+    while p + 8 <= len(b):
+        n, kind = struct.unpack(">I4s", b[p : p + 8])
+        if n == 1 and p + 16 <= len(b):
+            n = struct.unpack(">Q", b[p + 8 : p + 16])[0]
+        if n < 8 or p + n > len(b) or not kind.isalnum():
+            break
+        moov, p = moov or kind == b"moov", p + n
+    return p - at if moov else None
+
+
 def _wav(b: bytes, at: int) -> int | None:
     if b[at + 8 : at + 12] != b"WAVE":
         return None
@@ -106,14 +159,31 @@ def _bmp(b: bytes, at: int) -> int | None:
     return n if zero == 0 and header in (12, 40, 108, 124) and 14 + header <= start <= n <= len(b) - at else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+_PDF_HEAD, _PDF_END = re.compile(rb"%PDF-"), re.compile(rb"startxref\s+(\d{1,19})\s+%%EOF")
+_PDF_TABLE = re.compile(rb"xref|\d+\s+\d+\s+obj")
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    return end + 22 - at if end >= 0 and end + 22 <= len(b) and struct.unpack("<I", b[end + 16 : end + 20])[0] < end - at else None
+def _pdf_lengths(b: bytes) -> dict[int, int]:
+    """The length of each PDF by its start: up to its last end mark, of as many revisions as it has, whose table stands where it is said to."""
+    heads = [m.start() for m in _PDF_HEAD.finditer(b)]
+    out = {}
+    for m in _PDF_END.finditer(b) if heads else ():
+        at = heads[bisect_right(heads, m.start()) - 1] if heads[0] < m.start() else None
+        if at is not None and int(m[1]) < m.start() - at and _PDF_TABLE.match(b, at + int(m[1])):
+            out[at] = m.end() - at
+    return out
+
+
+def _zip_lengths(b: bytes) -> dict[int, int]:
+    """The length of each ZIP by its start, which its end record implies: the directory lies before the record, the comment behind it."""
+    out, end = {}, b.find(b"PK\x05\x06")
+    while 0 <= end <= len(b) - 22:
+        entries, size, offset, comment = struct.unpack("<HIIH", b[end + 10 : end + 22])
+        at = end - size - offset
+        if at >= 0 and end + 22 + comment <= len(b) and (entries == 0 or b[at + offset : at + offset + 4] == b"PK\x01\x02"):
+            out.setdefault(at, end + 22 + comment - at)
+        end = b.find(b"PK\x05\x06", end + 4)
+    return out
 
 
 def _pgm(b: bytes, at: int) -> int | None:
@@ -124,7 +194,9 @@ def _pgm(b: bytes, at: int) -> int | None:
     return n if at + n <= len(b) else None
 
 
-VALIDATORS = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "audio/wav": _wav, "image/bmp": _bmp, "application/pdf": _pdf, "application/zip": _zip, "image/x-portable-graymap": _pgm}
+VALIDATORS = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "audio/wav": _wav, "image/bmp": _bmp, "image/x-portable-graymap": _pgm, "image/webp": _webp, "application/ogg": _ogg, "video/mp4": _mp4}
+#: Formats whose ends are looked up once for all of a value.
+ENDS = {"application/pdf": _pdf_lengths, "application/zip": _zip_lengths}
 
 
 def wav_samples(b: bytes) -> bytes | None:
@@ -158,16 +230,23 @@ def signature_automaton() -> ahocorasick.Automaton:
 
 def objects(value: bytes, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, length, type) of the valid, non-overlapping media objects in value."""
-    hits = []
-    for last, (size, before, kind) in automaton.iter(value.decode("latin-1")):
-        start = last + 1 - size - before
-        if start >= 0 and (n := VALIDATORS[kind](value, start)):
-            hits.append((start, -n, kind))
+    hits = [(last + 1 - size - before, kind) for last, (size, before, kind) in automaton.iter(value.decode("latin-1"))]
+    lengths: dict[str, dict[int, int]] = {}
     out, end = [], 0
-    for start, n, kind in sorted(hits):
-        if start >= end:
-            out.append((start, -n, kind))
-            end = start - n
+    for start, kinds in groupby(sorted(h for h in hits if h[0] >= 0), key=lambda h: h[0]):
+        if start < end:
+            continue
+        found = []
+        for _, kind in kinds:
+            if kind in ENDS and kind not in lengths:
+                lengths[kind] = ENDS[kind](value)
+            n = lengths[kind].get(start) if kind in ENDS else VALIDATORS[kind](value, start)
+            if n:
+                found.append((n, kind))
+        if found:
+            n, kind = max(found)
+            out.append((start, n, kind))
+            end = start + n
     return out
 
 

@@ -1,5 +1,9 @@
 import hashlib
+import io
+import random
 import struct
+import time
+import zipfile
 import zlib
 
 from agentframe.llm import media
@@ -63,3 +67,66 @@ def test_stored_type_is_the_sniffed_one(spark, monkeypatch):
     assert media.sniffed(media.wav_of(b"ab"), "audio/wav", media.signature_automaton()) == ("application/octet-stream", 46, True, [])
     monkeypatch.undo()
     assert [r.media_type for r in media.text_as_media(df).collect()] == ["audio/wav"]
+
+
+def _zip_bytes(comment=b""):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a.txt", "first PK\3\4 inside")
+        z.writestr("b.txt", "second")
+        z.comment = comment
+    return held.getvalue()
+
+
+def test_other_formats_end_where_their_structure_ends():
+    automaton = media.signature_automaton()
+    first = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\nxref\n0 1\ntrailer\n<<>>\nstartxref\n30\n%%EOF"
+    pdf = first.replace(b"30\n%%EOF", b"%d\n%%%%EOF" % first.index(b"xref\n0"))
+    revised = pdf + b"\n2 0 obj\n<<>>\nendobj\nxref\n0 1\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF" % (len(pdf) + 21)
+    jpeg = b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\3xcoded\xff\0more\xff\xd3\xff\xd9"
+    webp = b"RIFF" + struct.pack("<I", 16) + b"WEBPVP8L" + struct.pack("<I", 4) + b"abcd"
+    page = lambda flags, data: b"OggS\0" + bytes([flags]) + b"\0" * 8 + b"strm" + b"\0" * 8 + bytes([1, len(data)]) + data
+    ogg = page(2, b"head") + page(0, b"middle") + page(4, b"end")
+    mp4 = b"\0\0\0\x10ftypisom\0\0\0\0" + b"\0\0\0\x0cmoovabcd" + b"\0\0\0\x09mdatx"
+    cases = [(revised, "application/pdf"), (_zip_bytes(), "application/zip"), (_zip_bytes(b"a comment"), "application/zip"), (jpeg, "image/jpeg"), (webp, "image/webp"), (ogg, "application/ogg"), (mp4, "video/mp4")]
+    for value, kind in cases:
+        assert media.sniffed(value, kind, automaton) == (kind, len(value), False, [])
+        assert media.objects(b"junk" + value + b"tail", automaton) == [(4, len(value), kind)]
+        assert media.objects(value[: len(value) // 2], automaton) == []
+    assert media.objects(b"".join(v for v, _ in cases), automaton) == [(sum(len(v) for v, _ in cases[:i]), len(cases[i][0]), cases[i][1]) for i in range(len(cases))]
+    assert media.objects(jpeg.replace(b"\xff\xd9", b"\xff\0"), automaton) == [] and media.objects(pdf.replace(b"xref\n0", b"xxxx\n0"), automaton) == []
+
+
+def test_signature_hits_match_plain_search():
+    rng = random.Random(3)
+    parts = [m for m, _, _ in media.MAGIC] + [b"RIF", b"Ogg", b"xx", b"\0", b"%PD"]
+    value = b"".join(rng.choice(parts) for _ in range(4000))
+    got = sorted((last + 1 - size, size) for last, (size, _, _) in media.signature_automaton().iter(value.decode("latin-1")))
+    assert got == sorted((i, len(m)) for m, _, _ in media.MAGIC for i in range(len(value)) if value.startswith(m, i))
+
+
+def test_time_grows_with_length():
+    automaton = media.signature_automaton()
+    seconds = []
+    for n in (100_000, 400_000):
+        began = time.process_time()
+        assert media.objects(b"%PDF-x PK\3\4 startxref " * (n // 22), automaton) == []
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 12 * seconds[0] + 1
+
+
+def test_features_match_plain_numbers(spark):
+    texts = ["abc", "é" * 300, ""]
+    rows = {r.doc_id: r for r in media.text_as_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        x = list(t.encode()) + [255] * ((-len(t.encode()) % 576) if t else 576)
+        mean = sum(x) / len(x)
+        deviation = (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:], strict=False))
+        assert rows[i].feature == f"wav:8000:{len(x)}:{mean:.2f}:{deviation:.2f}:{min(x)}:{max(x)}:{crossings}:0"
+
+
+def test_clashing_columns_give_way(spark):
+    df = spark.createDataFrame([(1, _png(), "mine", 5)], "id int, body binary, Media_Type string, carved int")
+    row = media.sniff(df, "body").collect()[0]
+    assert row.asDict().keys() == {"id", "body", "media_type", "media_length", "declared_wrong", "carved"} and row.media_type == "image/png"
