@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentframe.llm.common import materialise
+from agentframe.llm.common import discard, materialise
 
 #: Links that a task contracts at a time.
 CHUNK = 1 << 20
@@ -49,7 +49,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links (a, b); label is the smallest node of the component.
 
     Tasks first contract their links to trees. Then labels pass along links and jump through labels of labels, so the rounds grow with the
-    logarithm of a component's width; each round's labels are a written table.
+    logarithm of a component's width; each round's labels are a written table, which goes when the next one is there.
     """
     links = materialise(links.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct(), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -59,6 +59,8 @@ def components(links: DataFrame) -> DataFrame:
         hooked = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         moved = materialise(hooked.join(jump, "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")), "labels")
+        discard(labels)
         labels = moved.select("node", "label")
         if moved.where("moved").isEmpty():
+            discard(links)
             return labels

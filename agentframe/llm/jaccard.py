@@ -13,7 +13,9 @@ most ``slack(x) = n - ceil(0.75 n)`` elements of x are missing in y. That gives,
 Steps 1 and 2 sort packed hash ranges, so no row is made for an element. Nothing is capped: a component of any size is cut into more blocks, and
 only links, never candidate pairs, leave a task. Null or empty texts have empty sets, linked with nothing, and are their own component. Texts
 with fewer than five words are one shingle. Repeated rows are copies. Equal texts with equal keys stay separate rows. An empty table gives no rows.
-Keys may be null or shared by different texts: a row stands for its class as (key, hash of the text), the smallest first and null keys last.
+Keys may be null or shared by different texts: a row stands for its class as (key, hash of the text), the smallest first and null keys last. Of equal
+keys the smaller hash stands. Texts of any length are read whole. Names of 64 bits stand for shingles and sets: with n different sets a wrong union has the chance n ** 2 / 2 ** 65.
+The operators' results have columns of their own, or those of the input, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentframe.llm.common import SPACES, materialise, mix64, shingle_hashes, slices, text_buffers, tidy, tidy_table, word_hashes, word_spans
+from agentframe.llm.common import SPACES, discard, materialise, mix64, shingle_hashes, slices, text_buffers, tidy, tidy_table, word_hashes, word_spans
 from agentframe.llm.components import components, forest
 
 WIDTH, PERCENT = 5, 75
@@ -213,7 +215,9 @@ def shared_sets(df: DataFrame, classes: DataFrame, key: str, text: str) -> DataF
     texts = _rows_of(df.withColumn("__hash", F.xxhash64(text)), left.select("__key", "__text_hash"), key, count <= BROADCAST_ROWS)
     found = _shared_elements(_dealt(texts, text, _ranges(elements or 0), True), max(4, (elements or 0) // RANGE))
     sets = found.join(left, found.node == left.d1).where(F.col("shared") >= F.col("n") - F.col("slack"))
-    return materialise(sets.select("node", "n", "copies", "hashes", "dfs"), "sets")
+    sets = materialise(sets.select("node", "n", "copies", "hashes", "dfs"), "sets")
+    discard(one, left)
+    return sets
 
 
 def _ordered(h: np.ndarray, df: np.ndarray, order: int) -> np.ndarray:
@@ -251,7 +255,9 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
     rows = materialise(sets.mapInArrow(tidy(run), "token long, node long, weight double"), "prefixes")
     leaders = rows.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("m")).where("m > 1").select("token", F.col("top.node").alias("a"))
     links = rows.join(leaders, "token").select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    return components(links).select("node", F.col("label").alias("grp"))
+    groups = components(links).select("node", F.col("label").alias("grp"))
+    discard(rows)
+    return groups
 
 
 def _matrix(sets: list[np.ndarray], universe: np.ndarray) -> np.ndarray:
@@ -333,6 +339,7 @@ def _groups(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]
     classes = materialise(classes_of(docs, key, "__text"), "set-classes")
     sets = shared_sets(docs, classes, key, "__text")
     links = materialise(verified_links(sets, candidate_groups(sets)), "verified")
+    discard(sets)
     labels = components(links.where("a <> b").select("a", "b"))
     degrees = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("degree").alias("degree"))
     one = classes.where("n > 0").groupBy("d1").agg(F.min(_row(key)).alias("first"), F.count("*").alias("copies"))

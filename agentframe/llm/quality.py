@@ -3,7 +3,8 @@
 Lines are normalised (ASCII white space stripped, A-Z lower-cased) and hashed; a line is limited where it stands in at least
 ``LINE_DOCS`` and in ``LINE_SHARE`` of a host's different texts. Exact copies of a text count once, so copying does not
 make a text boilerplate. A document is depleted, and rejected, when without its limited lines fewer than ``MIN_WORDS`` words or less than ``KEPT_SHARE``
-of its words are left. Null text has no words; a null host is the host ''. Repeated rows get the same verdict. An empty table gives no rows.
+of its words are left. Null text has no words; a null host is the host ''. Repeated rows get the same verdict. Counts and shares at a limit count as reaching it.
+Texts of any length are read whole. An empty table gives no rows. Columns of the input cannot clash: they travel packed, and results have names of their own.
 """
 
 from __future__ import annotations
