@@ -28,11 +28,11 @@ def scratch_root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends, a lost executor costs nothing."""
+def materialise(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends, a lost executor costs nothing. options are the writer's."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/agentframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

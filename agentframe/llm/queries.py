@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agentframe.llm import jaccard, langid, line_dedup, media, packing, pieces, quality, secrets, suffix_dedup, toxicity
+from agentframe.llm import extract, jaccard, langid, line_dedup, media, packing, pieces, quality, resample, search, secrets, suffix_dedup, toxicity
 from agentframe.llm.common import documents
 
 
@@ -50,6 +50,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -61,8 +73,13 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_html_extraction": op13_html_extraction,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.SQL,
     "op2_line_dedup": line_dedup.SQL,
+    "op11_importance_resampling": resample.SQL,
+    "op12_ranked_search": search.SQL,
 }
