@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agentframe.operators.ranks import tie_counts
+
 
 def every(df: DataFrame, stride: int) -> DataFrame:
     """The steps that a collector with this stride keeps."""
@@ -27,10 +29,8 @@ def panel(state: DataFrame, keys: list[str], reporters: dict[str, Column]) -> Da
 
 
 def gini(df: DataFrame, group: str, wealth: str) -> DataFrame:
-    """(group, gini) of non-negative integers; 0 for no wealth. Equal values are ranked together, so each group's window runs over its distinct values."""
-    counts = df.groupBy(group, wealth).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(group).orderBy(wealth)
-    ranked = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """(group, gini) of non-negative integers; 0 for no wealth. Equal values are ranked together, different ones over range partitions."""
+    ranked = tie_counts(df, [group], wealth)
     ranks = F.col("upto") * (F.col("upto") + 1) - (F.col("upto") - F.col("n")) * (F.col("upto") - F.col("n") + 1)
     total = ranked.withColumn("ranks", ranks).groupBy(group).agg(F.sum(F.col("ranks").cast("decimal(38,0)") * F.col(wealth)).alias("a"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col(wealth)).alias("s"))
     value = (F.col("a").cast("double") - (F.col("n") + 1).cast("double") * F.col("s")) / (F.col("n").cast("double") * F.col("s"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentframe.operators import ranks
+
 
 def confusion(df: DataFrame, *by: str) -> DataFrame:
     """(by, tp, fp, fn, truth_n) of boolean truth and pred."""
@@ -41,7 +43,7 @@ def z_test(df: DataFrame, group: str, a, b, value: str, *by: str) -> DataFrame:
 
 
 def tie_ranks(df: DataFrame, by: list[str], value: Column, name: str = "rank") -> DataFrame:
-    """df with ranks of value, ties sharing their mean rank."""
+    """df with ranks of value, ties sharing their mean rank. For groups of a bounded number of rows, as the methods of a block; ranks.mean_ranks takes groups of any size."""
     df = df.withColumn("__v", value)
     first = F.rank().over(Window.partitionBy(*by).orderBy("__v"))
     ties = F.count("*").over(Window.partitionBy(*by, "__v"))
@@ -75,11 +77,11 @@ def wilcoxon_p(w: Column, n: Column) -> Column:
 
 
 def wilcoxon(df: DataFrame, block: str, method: str, value: str) -> DataFrame:
-    """(a, b, w, n) of each pair of methods: the smaller signed-rank sum over non-zero differences."""
+    """(a, b, w, n) of each pair of methods: the smaller signed-rank sum over non-zero differences. A pair's blocks are ranked over range partitions."""
     left = df.select(block, F.col(method).alias("a"), F.col(value).alias("va"))
     right = df.select(block, F.col(method).alias("b"), F.col(value).alias("vb"))
     diff = left.join(right, block).where("a < b").withColumn("d", F.col("va") - F.col("vb")).where("d <> 0")
-    ranked = tie_ranks(diff, ["a", "b"], F.abs("d"))
+    ranked = ranks.mean_ranks(diff, ["a", "b"], F.abs("d"))
     return ranked.groupBy("a", "b").agg(F.least(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0))).alias("w"), F.count("*").alias("n"))
 
 
@@ -92,10 +94,11 @@ def holm(df: DataFrame, p: str, *order: str) -> DataFrame:
 
 
 def parity(df: DataFrame, a: str, b: str, by: list[str], *order: str) -> DataFrame:
-    """(by, pearson, spearman of ordinal ranks, rmse, mae, bias) of two columns."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(c, *order))
+    """(by, pearson, spearman of ordinal ranks, rmse, mae, bias) of two columns; groups of any size are ranked over range partitions."""
     d = F.col(a) - F.col(b)
-    ranked = df.withColumns({"__ra": rank(a), "__rb": rank(b)})
+    ranked = df
+    for c, name in ((a, "__ra"), (b, "__rb")):
+        ranked = ranks.numbered_within(ranked, by, [F.col(x) for x in (c, *order)], name)
     return ranked.groupBy(*by).agg(F.corr(a, b).alias("pearson"), F.corr("__ra", "__rb").alias("spearman"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"))
 
 

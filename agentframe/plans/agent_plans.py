@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from agentframe.functions import rng
 from agentframe.operators import agents as a
-from agentframe.operators import collect
+from agentframe.operators import collect, ranks
 from agentframe.plans.declare import query
 from agentframe.plans.fixtures import AGENTS, PANEL, agents, panel, table
 from agentframe.plans.random_plans import child_sql
@@ -86,7 +85,7 @@ def sched_peers(spark, sf_dir):
 def sched_random_order(spark, sf_dir):
     """Each step's activation order within a group: by the agents' random words of that step."""
     there = agents(spark, sf_dir).withColumn("h", F.shiftrightunsigned(rng.child_seed(1, F.lit(3).cast("long"), F.col("idx")), 1))
-    return there.select("idx", F.row_number().over(Window.partitionBy("grp").orderBy("h", "idx")).alias("turn"))
+    return ranks.numbered_within(there, ["grp"], [F.col("h"), F.col("idx")], "turn").select("idx", F.col("turn").cast("int").alias("turn"))
 
 
 @query(f"WITH one AS (SELECT idx, grp, wealth + 1 AS w FROM {AGENTS}), two AS (SELECT *, max(w) OVER (PARTITION BY grp) AS top FROM one) SELECT idx, w * 10 + (w = top)::INT AS counter FROM two")
