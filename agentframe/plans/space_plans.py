@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from agentframe.operators import nearest as near
 from agentframe.operators import space as s
 from agentframe.plans.declare import query
 from agentframe.plans.fixtures import CUSTOMERS, POINTS, SPACE, TORUS, customers, points
@@ -133,3 +134,42 @@ def boids_step(spark, sf_dir):
     boids = customers(spark, sf_dir).select("idx", "px", "py", (F.col("idx") % 7 - 3).cast("double").alias("vx"), (F.col("idx") % 5 - 2).cast("double").alias("vy"))
     out = s.flock(boids, TORUS, 40.0, (1.5, 1.0, 0.8), 2.0)
     return out.select("idx", *[F.round(c, 4).alias(c) for c in ("vx", "vy", "px", "py")])
+
+
+_FAR = f"(SELECT a.idx, b.idx AS q_idx, b.px AS q_px, b.py AS q_py, sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) AS dist FROM {CUSTOMERS} a, {POINTS} b)"
+_ROUND = f"(SELECT a.idx, b.idx AS q_idx, sqrt(pow({_GAP('a.px', 'b.px')}, 2) + pow({_GAP('a.py', 'b.py')}, 2)) AS dist FROM {CUSTOMERS} a, {CUSTOMERS} b)"
+_KNN = lambda pairs, k: f"SELECT idx, k AS rank, q_idx, round(dist, 6) AS dist FROM (SELECT *, CAST(row_number() OVER (PARTITION BY idx ORDER BY dist, q_idx) AS INT) AS k FROM {pairs}) WHERE k <= {k}"
+
+
+@query(_KNN(_FAR, 3))
+def nearest_k(spark, sf_dir):
+    """The three orders nearest to each customer, however far they are."""
+    out = near.k_nearest(customers(spark, sf_dir), points(spark, sf_dir), SPACE, 3)
+    return out.select("idx", "rank", "q_idx", F.round("dist", 6).alias("dist"))
+
+
+@query(_KNN(_ROUND, 4))
+def nearest_k_torus(spark, sf_dir):
+    """Each customer and the three nearest others on a torus."""
+    there = customers(spark, sf_dir)
+    return near.k_nearest(there, there, TORUS, 4).select("idx", "rank", "q_idx", F.round("dist", 6).alias("dist"))
+
+
+@query(f"SELECT idx, count(*) AS n, round(avg(q_px), 6) AS cx, round(avg(q_py), 6) AS cy FROM {_FAR} WHERE dist <= 180 GROUP BY idx")
+def radius_wide_centroid(spark, sf_dir):
+    """How many orders lie within 180 of each customer, and their middle; parts of the plane that lie inside are counted as a whole."""
+    out = near.within(customers(spark, sf_dir), points(spark, sf_dir), SPACE, 180.0)
+    return out.select("idx", "n", F.round(F.col("sx") / F.col("n"), 6).alias("cx"), F.round(F.col("sy") / F.col("n"), 6).alias("cy"))
+
+
+@query(f"SELECT idx, n FROM {CUSTOMERS}, (SELECT count(*) AS n FROM {POINTS})")
+def radius_infinite(spark, sf_dir):
+    """An infinite radius finds all."""
+    return near.within(customers(spark, sf_dir), points(spark, sf_dir), SPACE, float("inf")).select("idx", "n")
+
+
+@query(f"SELECT idx, q_idx, round(dist, 6) AS dist FROM {_ROUND} WHERE dist <= 40")
+def radius_pairs_any(spark, sf_dir):
+    """Pairs within 40 on a torus without a grid of buckets."""
+    there = customers(spark, sf_dir)
+    return near.pairs_within(there, there, TORUS, 40.0).select("idx", "q_idx", F.round("dist", 6).alias("dist"))
