@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from agentframe.operators.quantiles import exact_quantiles
 from agentframe.operators.streams import first_draws
 from agentframe.plans.declare import query
 from agentframe.plans.fixtures import GRID, PANEL, grid, panel
@@ -27,8 +28,9 @@ def mask_window(spark, sf_dir):
 def raster_percentile_norm(spark, sf_dir):
     """Values scaled between the 2nd and 98th percentiles and clipped."""
     cells = grid(spark, sf_dir)
-    ends = cells.agg(F.percentile("v", [0.02, 0.98]).alias("q"))
-    scaled = (F.col("v") - F.get("q", 0)) / (F.get("q", 1) - F.get("q", 0))
+    found = exact_quantiles(cells, [], "v", [0.02, 0.98])
+    ends = found.agg(F.max(F.when(F.col("q") < 0.5, F.col("value"))).alias("lo"), F.max(F.when(F.col("q") > 0.5, F.col("value"))).alias("hi"))
+    scaled = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     return cells.crossJoin(F.broadcast(ends)).select("x", "y", F.round(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)), 6).alias("v"))
 
 

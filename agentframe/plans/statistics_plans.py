@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agentframe.operators import evaluate as e
+from agentframe.operators.quantiles import exact_quantiles
 from agentframe.plans.declare import query
 from agentframe.plans.fixtures import AGENTS, CONF, ENS, GRID, agents, confusion, ensemble, grid, table
 
@@ -69,7 +70,7 @@ _TIMES = "(SELECT CAST(p_size % 4 AS INT) AS side, CASE WHEN p_partkey % 2 = 0 T
 @query(f"WITH m AS (SELECT side, engine, median(ms) AS ms FROM {_TIMES} GROUP BY ALL) SELECT side, round(max(ms) FILTER (WHERE engine = 'a'), 6) AS a, round(max(ms) FILTER (WHERE engine = 'b'), 6) AS b, round(max(ms) FILTER (WHERE engine = 'a') / max(ms) FILTER (WHERE engine = 'b'), 6) AS ratio FROM m GROUP BY side")
 def stats_median_pivot(spark, sf_dir):
     times = table(spark, sf_dir, "part").select((F.col("p_size") % 4).cast("int").alias("side"), F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b").alias("engine"), F.col("p_retailprice").alias("ms"))
-    wide = times.groupBy("side").pivot("engine", ["a", "b"]).agg(F.percentile("ms", 0.5))
+    wide = exact_quantiles(times, ["side", "engine"], "ms", [0.5]).groupBy("side").pivot("engine", ["a", "b"]).agg(F.max("value"))
     return wide.select("side", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.col("a") / F.col("b"), 6).alias("ratio"))
 
 
