@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentframe.operators import ranks
@@ -59,11 +61,44 @@ def friedman(df: DataFrame, block: str, method: str, value: str) -> DataFrame:
     return s.select(chi2.alias("chi2"), "n", "k")
 
 
+def log_gamma_half(twice: Column) -> Column:
+    """log of the gamma function at half of a positive integer."""
+    steps = F.sequence(F.lit(1), F.greatest(F.floor((twice - 1) / 2), F.lit(1)).cast("int"))
+    odd = twice % 2 == 1
+    logs = F.transform(steps, lambda i: F.when(i <= F.floor((twice - 1) / 2), F.log(F.when(odd, i - 0.5).otherwise(i.cast("double")))).otherwise(0.0))
+    return F.aggregate(logs, F.when(odd, 0.5 * math.log(math.pi)).otherwise(0.0).cast("double"), lambda a, t: a + t)
+
+
+def chi2_tail(x: Column, d: Column, terms: int = 400) -> Column:
+    """The chance of a chi-square variable of d degrees of freedom above x: a fixed number of terms of the series below the mean, of the continued fraction above it."""
+    a, h = d / 2.0, x / 2.0
+    scale = F.exp(-h + a * F.log(h) - log_gamma_half(d.cast("int")))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct((1 / a).alias("t"), (1 / a).alias("s")), lambda z, k: F.struct((z["t"] * h / (a + k)).alias("t"), (z["s"] + z["t"] * h / (a + k)).alias("s")), lambda z: z["s"])
+    fraction = F.aggregate(F.sequence(F.lit(terms), F.lit(1), F.lit(-1)), (h + 2 * terms + 1 - a), lambda t, i: h + 2 * i - 1 - a - i * (i - a) / t)
+    return F.when(x <= 0, 1.0).when(h < a + 1, 1 - scale * series).otherwise(scale / fraction)
+
+
 def friedman_p(chi2: Column, methods: Column) -> Column:
-    """The chance of a Friedman statistic as great, for 3, 5, 7, ... methods in closed form, for other numbers null."""
-    half = chi2 / 2
-    terms = F.transform(F.sequence(F.lit(0), F.greatest(((methods - 1) / 2 - 1).cast("int"), F.lit(0))), lambda i: F.pow(half, i) / F.factorial(i))
-    return F.when(methods % 2 == 1, F.exp(-half) * F.aggregate(terms, F.lit(0.0).cast("double"), lambda a, t: a + t))
+    """The chance of a Friedman statistic as great, for any number of methods."""
+    return F.when(methods > 1, chi2_tail(chi2, methods - 1))
+
+
+def signed_rank_table(spark: SparkSession, most: int) -> DataFrame:
+    """(n, chances): for n differences without ties, up to most, the chance of each smaller rank sum 0, 1, 2, ... or less. A row an n; counts stay whole up to n = 53."""
+    if not 1 <= most <= 53:
+        raise ValueError("exact chances are there for 1 to 53 differences")
+    sums = F.sequence(F.lit(0), (F.col("n") * (F.col("n") + 1) / 2).cast("int"))
+    first = F.transform(sums, lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    ways = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), first, lambda w, r: F.transform(w, lambda v, s: v + F.when(s >= r, F.get(w, s - r)).otherwise(0.0)))
+    upto = F.aggregate("ways", F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("all")), lambda z, v: F.struct((z["s"] + v).alias("s"), F.concat(z["all"], F.array((z["s"] + v) / F.pow(F.lit(2.0), F.col("n")))).alias("all")), lambda z: z["all"])
+    return spark.range(1, most + 1).withColumnRenamed("id", "n").withColumn("ways", ways).select("n", upto.alias("chances"))
+
+
+def with_wilcoxon_p(tests: DataFrame, exact_up_to: int = 25) -> DataFrame:
+    """tests (w, n, tied, ...) with p: exact for as many differences without ties, by the normal approximation beyond; 1 without differences."""
+    table = F.broadcast(signed_rank_table(tests.sparkSession, exact_up_to))
+    exact = F.least(F.lit(1.0), 2 * F.get("chances", F.floor("w").cast("int")))
+    return tests.join(table, "n", "left").withColumn("p", F.when(F.col("chances").isNotNull() & ~F.col("tied"), exact).otherwise(wilcoxon_p(F.col("w"), F.col("n")))).drop("chances")
 
 
 def wilcoxon_p(w: Column, n: Column) -> Column:
@@ -77,12 +112,12 @@ def wilcoxon_p(w: Column, n: Column) -> Column:
 
 
 def wilcoxon(df: DataFrame, block: str, method: str, value: str) -> DataFrame:
-    """(a, b, w, n) of each pair of methods: the smaller signed-rank sum over non-zero differences. A pair's blocks are ranked over range partitions."""
+    """(a, b, w, n, tied) of each pair of methods: the smaller signed-rank sum over non-zero differences. A pair's blocks are ranked over range partitions."""
     left = df.select(block, F.col(method).alias("a"), F.col(value).alias("va"))
     right = df.select(block, F.col(method).alias("b"), F.col(value).alias("vb"))
     diff = left.join(right, block).where("a < b").withColumn("d", F.col("va") - F.col("vb")).where("d <> 0")
     ranked = ranks.mean_ranks(diff, ["a", "b"], F.abs("d"))
-    return ranked.groupBy("a", "b").agg(F.least(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0))).alias("w"), F.count("*").alias("n"))
+    return ranked.groupBy("a", "b").agg(F.least(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0))).alias("w"), F.count("*").alias("n"), (F.count("*") > F.countDistinct(F.abs("d"))).alias("tied"))
 
 
 def holm(df: DataFrame, p: str, *order: str) -> DataFrame:

@@ -113,6 +113,40 @@ def stats_wilcoxon_p(spark, sf_dir):
     return e.wilcoxon(_runs(spark, sf_dir), "seed", "config", "v").select("a", "b", F.round(e.wilcoxon_p(F.round("w", 6), F.col("n")), 6).alias("p"))
 
 
+_FEW = lambda names: f"(SELECT * FROM {_FULL} WHERE config IN ({', '.join(repr(n) for n in names)}))"
+_KINDS = ["click", "error", "purchase", "signup", "view"]
+_TAIL = "1 - list_sum(list_transform(range(400), lambda i: exp(-chi2 / 2 + ((k - 1) / 2e0 + i) * ln(chi2 / 2) - lgamma((k - 1) / 2e0 + i + 1))))"
+
+
+def _friedman_sql(names):
+    return f"(WITH s AS (SELECT config, sum(rank_) AS r, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY seed ORDER BY v) + (count(*) OVER (PARTITION BY seed, v) - 1) / 2e0 AS rank_ FROM {_FEW(names)}) GROUP BY config) SELECT round(12e0 / (max(n) * count(*) * (count(*) + 1)) * sum(r * r) - 3e0 * max(n) * (count(*) + 1), 6) AS chi2, count(*) AS k FROM s)"
+
+
+@query("SELECT k, chi2, round(" + _TAIL + ", 6) AS p FROM (" + " UNION ALL ".join(f"SELECT * FROM {_friedman_sql(_KINDS[:m])}" for m in (2, 3, 4, 5)) + ")")
+def stats_friedman_any_k(spark, sf_dir):
+    """Friedman's test of the first two to five methods, with its chance for even and odd numbers of them."""
+    runs, out = _runs(spark, sf_dir), None
+    for m in (2, 3, 4, 5):
+        one = e.friedman(runs.where(F.col("config").isin(_KINDS[:m])), "seed", "config", "v").select("k", F.round("chi2", 6).alias("chi2"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("k", "chi2", F.round(e.friedman_p(F.col("chi2"), F.col("k")), 6).alias("p"))
+
+
+_SIGNED = f"(WITH d AS (SELECT a.config AS a, b.config AS b, a.seed, a.v - b.v AS d FROM {_FULL} a JOIN {_FULL} b USING (seed) WHERE a.config < b.config AND a.v <> b.v), g AS (SELECT d.*, m FROM d, (SELECT unnest([7, 16, 25]) AS m) WHERE seed < m), r AS (SELECT *, rank() OVER (PARTITION BY a, b, m ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, m, abs(d)) - 1) / 2e0 AS r FROM g) SELECT a, b, m, round(least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)), 6) AS w, count(*) AS n, count(*) > count(DISTINCT abs(d)) AS tied FROM r GROUP BY ALL)"
+_WAYS = "list_reduce(list_concat([list_transform(range(n * (n + 1) // 2 + 1), lambda s: CASE WHEN s = 0 THEN 1 ELSE 0 END)], list_transform(range(1, n + 1), lambda r: [CAST(r AS INT)])), lambda acc, e: list_transform(range(len(acc)), lambda s: CAST(acc[s + 1] + CASE WHEN s >= e[1] THEN acc[s + 1 - e[1]] ELSE 0 END AS INT)))"
+
+
+@query(f"SELECT a, b, m, w, n, round(least(1e0, 2 * list_sum(ways[1:CAST(floor(w) AS INT) + 1]) / pow(2, n)), 6) AS p FROM (SELECT *, {_WAYS} AS ways FROM {_SIGNED} WHERE NOT tied)")
+def stats_wilcoxon_exact(spark, sf_dir):
+    """Exact chances of the signed-rank statistic over the first 7, 16 and 25 runs of each pair without ties."""
+    runs, out = _runs(spark, sf_dir), None
+    for m in (7, 16, 25):
+        one = e.wilcoxon(runs.where(F.col("seed") < m), "seed", "config", "v").withColumn("m", F.lit(m))
+        out = one if out is None else out.unionByName(one)
+    tested = e.with_wilcoxon_p(out.where(~F.col("tied")).withColumn("w", F.round("w", 6)))
+    return tested.select("a", "b", "m", "w", "n", F.round("p", 6).alias("p"))
+
+
 _P = f"(SELECT config, (count(*) % 97) / 2000e0 AS p FROM {ENS} GROUP BY config)"
 
 
