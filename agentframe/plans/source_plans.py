@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from agentframe.operators.quantiles import exact_quantiles
 from agentframe.operators.streams import first_draws
 from agentframe.plans.declare import query
-from agentframe.plans.fixtures import GRID, PANEL, grid, panel
+from agentframe.plans.fixtures import ENS, GRID, HEIGHT, PANEL, WIDTH, ensemble, grid, grid_spec, panel, table
+from agentframe.sources import raster, tables
+from agentframe.sources.raster_source import read_raster, write_raster
+from agentframe.sources.shared import shared_folder
 from agentframe.sources.tables import series_lines
 from agentframe.streaming.windows import hourly_totals
 
@@ -44,3 +49,77 @@ def rng_byte_stream(spark, sf_dir):
 def stream_hourly_totals(spark, sf_dir):
     """The events table read as a stream: totals in cents of the hours that the watermark has passed."""
     return hourly_totals(spark, sf_dir)
+
+
+def _place(spark, name):
+    return f"{shared_folder(spark)}/agentframe/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT x, y, round(v, 2) AS v, CAST(cap AS DOUBLE) AS cap FROM {GRID} WHERE x >= 3 AND x < 17 AND y >= 5 AND y < 60")
+def raster_stack_window(spark, sf_dir):
+    """The grid written as two raster layers in bands, and a window of both read back by byte ranges."""
+    spec, place = grid_spec(spark, sf_dir), _place(spark, "stack")
+    write_raster(grid(spark, sf_dir), place, spec.width, spec.height, ["v", "cap"], band=16)
+    out = read_raster(spark, place, ["v", "cap"], (3, 5, 17, 60), chunk=4 * spec.width * 20).where("not isnan(v)")
+    return out.select("x", "y", F.round(F.col("v").cast("double"), 2).alias("v"), F.col("cap").cast("double").alias("cap"))
+
+
+@query(f"SELECT CAST(i % {WIDTH} AS INT) AS x, CAST(i // {WIDTH} AS INT) AS y, CAST(i IN (SELECT y * {WIDTH} + x FROM {GRID} WHERE cap = 17) AS INT) AS mark FROM (SELECT unnest(range({WIDTH} * {HEIGHT})) AS i)")
+def raster_footprint(spark, sf_dir):
+    """The footprint of a mask written as bytes and read back, all cells."""
+    spec, place = grid_spec(spark, sf_dir), _place(spark, "footprint")
+    raster.write_footprint(grid(spark, sf_dir).where("cap = 17"), place, spec.width, spec.height)
+    return read_raster(spark, place, ["footprint"]).select("x", "y", F.col("footprint").cast("int").alias("mark"))
+
+
+_LINES = "(SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, CAST(o_orderkey AS DOUBLE) AS a, o_totalprice AS b FROM orders WHERE o_orderkey % 3 = 0)"
+
+
+@query(f"SELECT idx, printf('%.6f', round(a + b, 2)) AS loss FROM {_LINES}")
+def io_parameter_losses(spark, sf_dir):
+    """Parameters as headerless CSV, numbered by line as they are read; a loss a line, in their order, read back."""
+    place = _place(spark, "parameters")
+    rows = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    rows.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select(F.col("o_orderkey").cast("double"), "o_totalprice").write.csv(f"{place}/in")
+    read = tables.read_parameters(spark, f"{place}/in", ["a", "b"])
+    tables.write_losses(read.select("idx", F.round(F.col("a") + F.col("b"), 2).alias("loss")), f"{place}/out")
+    return tables.read_parameters(spark, f"{place}/out", ["loss"]).select("idx", F.format_string("%.6f", "loss").alias("loss"))
+
+
+_BEST = f"(SELECT config AS method, seed AS run, max(micro) AS micro, count(*) AS evals FROM {ENS} GROUP BY ALL)"
+
+
+@query(f"SELECT method, run, round(micro / 1e6, 6) AS best, evals FROM {_BEST}")
+def io_result_csv(spark, sf_dir):
+    """Results of each method and run through their CSV."""
+    place = _place(spark, "results")
+    results = ensemble(spark, sf_dir).groupBy(F.col("config").alias("method"), F.col("seed").alias("run")).agg((F.max("micro") / 1e6).alias("best"), F.count("*").alias("evals"))
+    tables.write_results(results, place)
+    return spark.read.csv(place, header=True, schema="method string, run long, best double, evals long").select("method", "run", F.round("best", 6).alias("best"), "evals")
+
+
+@query(f"SELECT method, run, micro / 1e6 AS best FROM {_BEST} ORDER BY micro DESC, method DESC, run DESC LIMIT 1")
+def io_best_json(spark, sf_dir):
+    """The best of all results through its JSON."""
+    place = _place(spark, "best")
+    results = ensemble(spark, sf_dir).groupBy(F.col("config").alias("method"), F.col("seed").alias("run")).agg((F.max("micro") / 1e6).alias("best"))
+    tables.write_best(results.withColumn("score", F.struct("best", "method", "run")), ["method", "run", "best"], place, "score")
+    return spark.read.schema("method string, run long, best double").json(place)
+
+
+@query(f"SELECT x, y, v, 7 AS step FROM {GRID}")
+def io_checkpoint_restore(spark, sf_dir):
+    """State and schedule saved and loaded again."""
+    place = _place(spark, "saved")
+    tables.save_checkpoint({"cells": grid(spark, sf_dir).select("x", "y", "v")}, {"seed": 3, "step": 7}, place)
+    saved, state = tables.load_checkpoint(spark, ["cells"], place)
+    return saved["cells"].withColumn("step", F.lit(state["step"]))
+
+
+@query(f"SELECT seed, step, CAST(sum(micro) AS BIGINT) AS micro FROM {ENS} WHERE config = 'view' GROUP BY ALL")
+def io_ensemble_csv(spark, sf_dir):
+    """One CSV a seed, written by seed and read back with the seed from the file's folder."""
+    place = _place(spark, "runs")
+    rows = ensemble(spark, sf_dir).where("config = 'view'").select("step", "micro", F.concat(F.lit("run_"), F.col("seed")).alias("name"))
+    rows.repartition("name").write.partitionBy("name").csv(place, header=True)
+    return tables.read_ensemble(spark, f"{place}/*", "step long, micro long").groupBy("seed", "step").agg(F.sum("micro").alias("micro"))

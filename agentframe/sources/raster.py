@@ -1,31 +1,11 @@
-"""Raw little-endian float32 rasters and stacks of them, read through Spark's file source."""
+"""Raster stacks of a folder, and windows of them; the data source behind it reads and writes by byte ranges."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-
-def read_f32(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
-    """(path, x, y, v) of row-major rasters; a file of another size than width * height * 4 bytes is an error. Each file is a task's work; many files read side by side."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                if len(content) != 4 * width * height:
-                    raise ValueError(f"{name}: {len(content)} bytes instead of {4 * width * height}")
-                values = np.frombuffer(content, "<f4")
-                for row in range(0, height, 512):
-                    part = values[row * width : (row + 512) * width]
-                    cell = np.arange(row * width, row * width + len(part))
-                    yield pd.DataFrame({"path": name, "x": (cell % width).astype(np.int32), "y": (cell // width).astype(np.int32), "v": part})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(decode, "path string, x int, y int, v float")
+from agentframe.sources.raster_source import read_raster, write_raster
 
 
 def read_meta(spark: SparkSession, folder: str) -> Row:
@@ -33,6 +13,11 @@ def read_meta(spark: SparkSession, folder: str) -> Row:
     return spark.read.option("multiline", True).json(f"{folder}/meta.json").first()
 
 
+def read_stack(spark: SparkSession, folder: str, layers: list[str]) -> DataFrame:
+    """(x, y, <layer>...) of the rasters named in folder/meta.json (width, height): a row has all layers, without a join."""
+    return read_raster(spark, folder, layers)
+
+
 def read_window(spark: SparkSession, folder: str, layers: list[str]) -> DataFrame:
     """(x, y, px, py, <layer>...): the stack with each cell's middle in map units, rows and columns counted in the full raster that meta.json's window is cut from."""
     meta = read_meta(spark, folder)
@@ -40,40 +25,12 @@ def read_window(spark: SparkSession, folder: str, layers: list[str]) -> DataFram
     return read_stack(spark, folder, layers).withColumns({"px": at("x", meta.window.col_start), "py": at("y", meta.window.row_start)})
 
 
-def read_stack(spark: SparkSession, folder: str, layers: list[str]) -> DataFrame:
-    """(x, y, <layer>...) of the rasters named in folder/meta.json (width, height), one aggregation for all layers."""
-    meta = read_meta(spark, folder)
-    cells = read_f32(spark, f"{folder}/*.f32", meta.width, meta.height).withColumn("layer", F.regexp_extract("path", r"([^/]+)\.f32$", 1))
-    return cells.where(F.col("layer").isin(layers)).groupBy("x", "y").pivot("layer", layers).agg(F.first("v"))
-
-
 def window(cells: DataFrame, left: int, top: int, width: int, height: int) -> DataFrame:
     """The cells of a window of a raster, counted from its corner."""
     inside = F.col("x").between(left, left + width - 1) & F.col("y").between(top, top + height - 1)
     return cells.where(inside).withColumns({"x": F.col("x") - left, "y": F.col("y") - top})
 
 
-def footprint_rows(cells: DataFrame, width: int, height: int) -> DataFrame:
-    """(y, row): a byte string of 0 and 1 for each raster row, 1 where cells (x, y) has a cell; rows without one are there too. One after another they are the raw row-major file."""
-    marked = cells.select("x", "y").distinct().groupBy("y").agg(F.collect_list("x").alias("xs"))
-    rows = cells.sparkSession.range(height).select(F.col("id").cast("int").alias("y")).join(marked, "y", "left")
-    bits = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.when(F.array_contains(F.coalesce("xs", F.array().cast("array<int>")), x), "01").otherwise("00"))
-    return rows.select("y", F.unhex(F.concat_ws("", bits)).alias("row"))
-
-
 def write_footprint(cells: DataFrame, path: str, width: int, height: int) -> None:
-    """The footprint as raw bytes in row-major order, in one local file; rows come to the driver one partition at a time."""
-    with open(path, "wb") as out:
-        for row in footprint_rows(cells, width, height).repartitionByRange("y").sortWithinPartitions("y").toLocalIterator():
-            out.write(bytes(row["row"]))
-
-
-def write_f32(grid: DataFrame, path: str, value: str) -> None:
-    """One row-major float32 record per raster row, as a binary column of a Parquet table sorted by row."""
-    packed = grid.groupBy("y").agg(F.sort_array(F.collect_list(F.struct("x", F.col(value).cast("float").alias("v")))).alias("cells"))
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "row": [np.array([c["v"] for c in cells], "<f4").tobytes() for cells in batch["cells"]]})
-
-    packed.mapInPandas(pack, "y int, row binary").write.mode("overwrite").parquet(path)
+    """A raster of bytes, 1 where cells (x, y) has a cell, 0 elsewhere, as the layer footprint in the folder path."""
+    write_raster(cells.select("x", "y", F.lit(1).alias("footprint")), path, width, height, ["footprint"], kind="u8")

@@ -48,9 +48,10 @@ def write_best(results: DataFrame, names: list[str], path: str, value: str = "be
 
 
 def read_ensemble(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """(seed, ...) of one CSV with header per seed, the seed being the last number in the file's name."""
+    """(seed, ...) of one CSV with header per seed, the seed being the last number in the file's name, or in that of the folder that holds a seed's part files."""
     rows = spark.read.csv(pattern, header=True, schema=schema)
-    return rows.withColumn("seed", F.regexp_extract(F.input_file_name(), r"(\d+)[^\d/]*$", 1).cast("long"))
+    name = F.regexp_replace(F.input_file_name(), r"/part-[^/]*$", "")
+    return rows.withColumn("seed", F.regexp_extract(name, r"(\d+)[^\d/]*$", 1).cast("long"))
 
 
 def save_checkpoint(tables: dict[str, DataFrame], state: dict, path: str) -> None:
