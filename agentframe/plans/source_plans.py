@@ -14,6 +14,7 @@ from agentframe.sources import raster, tables
 from agentframe.sources.raster_source import read_raster, write_raster
 from agentframe.sources.shared import shared_folder
 from agentframe.sources.tables import series_lines
+from agentframe.streaming.memory import run_to_table
 from agentframe.streaming.windows import hourly_totals
 
 
@@ -51,6 +52,21 @@ def stream_hourly_totals(spark, sf_dir):
     return hourly_totals(spark, sf_dir)
 
 
+_FELT = "(SELECT event_id, user_id, epoch_us(ts) AS us, value * 10 AS x, CAST(event_id * 37 % 1000 AS DOUBLE) AS y, event_type = 'error' AS danger FROM events WHERE epoch_us(ts) // 1000 <= (SELECT max(epoch_us(ts) // 1000) FROM events) - 600000)"
+_RISK = "CASE WHEN sqrt(pow(x - zx, 2) + pow(y - zy, 2)) < 400 THEN (1 - (us - since) / 604800e6) * (1 - sqrt(pow(x - zx, 2) + pow(y - zy, 2)) / 400) ELSE 0 END"
+
+
+@query(
+    f"""WITH e AS {_FELT}, z AS (SELECT e.event_id, e.x, e.y, e.us, d.x AS zx, d.y AS zy, d.us AS since, row_number() OVER (PARTITION BY e.event_id ORDER BY d.us DESC, d.event_id DESC) AS k FROM e JOIN e d ON d.user_id = e.user_id AND d.danger AND (d.us < e.us OR d.us = e.us AND d.event_id < e.event_id)),
+    r AS (SELECT event_id, count(*) AS zones, sum({_RISK}) AS risk FROM z WHERE k <= 64 AND us - since < 604800000000 GROUP BY event_id) SELECT event_id, user_id, coalesce(zones, 0) AS zones, round(coalesce(risk, 0), 6) AS risk FROM e LEFT JOIN r USING (event_id)"""
+)
+def stream_danger_memory(spark, sf_dir):
+    """The risk that each user feels at each event, from errors remembered for 168 hours, 64 at most: keyed state of a stream."""
+    rows = lambda s: s.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") * 10).alias("x"), (F.col("event_id") * 37 % 1000).cast("double").alias("y"), (F.col("event_type") == "error").alias("danger"))
+    felt = run_to_table(spark, sf_dir, "events*.parquet", rows)
+    return felt.select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "zones", F.round("risk", 6).alias("risk"))
+
+
 def _place(spark, name):
     return f"{shared_folder(spark)}/agentframe/{name}-{uuid.uuid4().hex}"
 
