@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from agentframe.functions import rng
 from agentframe.operators import agents as a
-from agentframe.operators import collect, ranks
+from agentframe.operators import collect, paths, ranks
 from agentframe.plans.declare import query
 from agentframe.plans.fixtures import AGENTS, PANEL, agents, panel, table
 from agentframe.plans.random_plans import child_sql
@@ -110,3 +110,20 @@ def agent_panel(spark, sf_dir):
 @query(f"SELECT step, CAST(count(*) AS DOUBLE) AS n, round(avg(value), 6) AS mean, max(value) AS top FROM {PANEL} GROUP BY step")
 def reporter_series(spark, sf_dir):
     return collect.series(panel(spark, sf_dir), {"n": F.count("*"), "mean": F.round(F.avg("value"), 6), "top": F.max("value")})
+
+
+_MOVES = "(SELECT o_custkey AS idx, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS step, CAST(o_orderkey * 37 % 801 - 400 AS DOUBLE) AS dx, CAST(o_orderkey * 91 % 601 - 300 AS DOUBLE) AS dy FROM orders)"
+_CLAMP = lambda c, d, n: f"least(greatest(w.{c} + m.{d}, 0), {n})"
+
+
+@query(
+    f"""WITH RECURSIVE m AS {_MOVES}, w AS (SELECT DISTINCT idx, CAST(0 AS BIGINT) AS step, 500e0 AS px, 400e0 AS py, 0e0 AS way, CAST(0 AS BIGINT) AS hits FROM m UNION ALL
+    SELECT m.idx, m.step, {_CLAMP('px', 'dx', 1000)}, {_CLAMP('py', 'dy', 800)}, w.way + abs({_CLAMP('px', 'dx', 1000)} - w.px) + abs({_CLAMP('py', 'dy', 800)} - w.py),
+    w.hits + CASE WHEN {_CLAMP('px', 'dx', 1000)} <> w.px + m.dx OR {_CLAMP('py', 'dy', 800)} <> w.py + m.dy THEN 1 ELSE 0 END FROM w JOIN m ON m.idx = w.idx AND m.step = w.step + 1) SELECT * FROM w WHERE step > 0"""
+)
+def agent_paths(spark, sf_dir):
+    """Each customer's walk by its orders, stopped at the edges: a table function over ordered partitions."""
+    orders = table(spark, sf_dir, "orders")
+    moves = ranks.numbered_within(orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "step").select(
+        F.col("o_custkey").alias("idx"), "step", (F.col("o_orderkey") * 37 % 801 - 400).cast("double").alias("dx"), (F.col("o_orderkey") * 91 % 601 - 300).cast("double").alias("dy"))
+    return paths.follow(moves, 1000.0, 800.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from agentframe.operators import digest
 from agentframe.operators import evaluate as e
 from agentframe.operators.quantiles import exact_quantiles
 from agentframe.plans.declare import query
@@ -190,3 +191,14 @@ def state_digest(spark, sf_dir):
     """A digest of the sorted state of each band of rows."""
     rows = grid(spark, sf_dir).select((F.col("y") % 10).alias("part"), F.struct("y", "x", F.concat_ws(",", "x", "y", "cap").alias("s")).alias("r"))
     return rows.groupBy("part").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["s"]), ";")).alias("digest"))
+
+
+_UP = lambda src: f"(SELECT part, node // 4 AS node, CASE WHEN count(*) = 1 THEN max(digest) ELSE md5(string_agg(digest, '' ORDER BY node)) END AS digest, sum(rows) AS rows FROM {src} GROUP BY part, node // 4)"
+_LEAVES = f"(SELECT part, (k - 1) // 16 AS node, md5(string_agg(line, ';' ORDER BY k)) AS digest, count(*) AS rows FROM (SELECT cap % 3 AS part, x || ',' || y || ',' || cap AS line, row_number() OVER (PARTITION BY cap % 3 ORDER BY y, x) AS k FROM {GRID}) GROUP BY part, (k - 1) // 16)"
+
+
+@query(f"SELECT part, digest, CAST(rows AS BIGINT) AS rows FROM {_UP(_UP(_UP(_UP(_UP(_UP(_UP(_LEAVES)))))))}")
+def state_merkle(spark, sf_dir):
+    """The root of a hash tree over each part of the state, sixteen rows a leaf and four nodes a node."""
+    cells = grid(spark, sf_dir).withColumn("part", F.col("cap") % 3)
+    return digest.merkle(cells, ["part"], [F.col("y"), F.col("x")], F.concat_ws(",", "x", "y", "cap"), leaf=16, fan=4)
