@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agentframe.operators import ranks
+
 
 def lookup(agents: DataFrame, ids: DataFrame) -> DataFrame:
     """ids (idx, gen, ...) with the agents' columns; a stale generation finds nothing."""
@@ -22,15 +24,8 @@ def freed(dead: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with its rows numbered from 1 by order, without bringing all rows into one task: range partitions are numbered and offset by the sizes before them."""
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.repartitionByRange(int(parts), *order).withColumn("__p", F.spark_partition_id())
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        ranged = ranged.checkpoint()
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return ranged.join(F.broadcast(before), "__p").withColumn(name, within + F.col("__before")).drop("__p", "__before")
+    """df with its rows numbered from 1 by order, without bringing all rows into one task."""
+    return ranks.numbered_within(df, [], order, name)
 
 
 def insert(agents: DataFrame, free: DataFrame, newborn: DataFrame, top: int) -> DataFrame:

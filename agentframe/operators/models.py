@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -84,8 +85,23 @@ def chase_step(predators: DataFrame, prey: DataFrame, spec: s.SpaceSpec, radius:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df worked out once, though read more than once: by a reliable checkpoint, which ends lineage, where a checkpoint folder is set, else kept by Spark as it can."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    """df worked out once, though read more than once: written as a table in the shared folder, which ends lineage and survives lost executors; where no folder is set, kept by Spark as it can."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        return df.persist()
+    path = f"{root.rstrip('/')}/agentframe/state-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def let_go(df: DataFrame) -> None:
+    """Deletes the table of a settled df that nothing reads any more."""
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/agentframe/state-" in name:
+            path = hadoop(name)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run(
@@ -99,18 +115,28 @@ def run(
 ) -> DataFrame:
     """state after steps, or as soon as some row of it makes finished true, which is asked before each step; hooks change the state before and after a step.
 
-    finished is an aggregate of the state (a boolean column). Lineage is cut every cut steps, and each step where finished is asked.
+    finished is an aggregate of the state (a boolean column). Lineage is cut every cut steps, and each step where finished is asked; the tables of earlier cuts go.
     """
+    last = None
+
+    def cut_off(state: DataFrame) -> DataFrame:
+        nonlocal last
+        now = settled(state)
+        if last is not None:
+            let_go(last)
+        last = now
+        return now
+
     for k in range(steps):
         if finished is not None:
-            state = settled(state)
+            state = cut_off(state)
             if state.agg(finished(state).alias("done")).first()["done"]:
                 return state
         state = before(state, k) if before else state
         state = step(state, k)
         state = after(state, k) if after else state
         if finished is None and (k + 1) % cut == 0 and k + 1 < steps:
-            state = settled(state)
+            state = cut_off(state)
     return state
 
 
