@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: The largest slice of text, in bytes, whose numpy temporaries are alive at once.
 SLICE_BYTES = 2 << 20
@@ -45,10 +46,23 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> str:
+    """name as Spark takes it whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str = "") -> DataFrame:
+    """df.mapInArrow(run) for a run that yields df's columns, in order, and the added ones (DDL). The columns pass under numbers, so their names may hold dots, blanks or ticks."""
+    own = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)])
+    more = StructType.fromDDL(added) if added else StructType()
+    out = df.toDF(*own.names).mapInArrow(run, StructType([*own.fields, *more.fields]))
+    return out.toDF(*df.columns, *more.names)
+
+
 def without(df: DataFrame, *added: str) -> DataFrame:
     """df without the columns that an operator is about to add, whatever their case: the operator's own take their place."""
     names = {a.lower() for a in added}
-    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in names])
+    return df.select(*[quoted(c) for c in df.columns if c.lower() not in names])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from agentframe.llm.common import materialise, without
+from agentframe.llm.common import materialise, quoted, without
 from agentframe.llm.markup import HEADINGS, Page
 
 #: A path wins with this share of its host's pages, and at least so many; a vote needs this share of the page's best score, and so does the winner's container.
@@ -170,7 +170,7 @@ def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
             types = (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["host", "path", "shown", "share", "best"])
 
-    cast = pages.select(host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html")).where("host is not null").mapInArrow(run, schema)
+    cast = pages.select(host(F.col(quoted(url))).alias("host"), F.col(quoted(html)).alias("html")).where("host is not null").mapInArrow(run, schema)
     counted = cast.groupBy("host", "path").agg(F.min("shown").alias("shown"), F.sum("share").alias("votes"), F.count_if("best").alias("firsts"), F.count("*").alias("n"))
     counted = materialise(counted, "path-votes")
     total = counted.groupBy("host").agg(F.sum("firsts").alias("pages"))
@@ -189,7 +189,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     winners = materialise(winning_paths(votes(pages, url, html)), "path-winners")
     small = winners.count() <= BROADCAST_HOSTS
     kept = without(pages, "text", "n_chars")
-    rows = pages.select(F.struct(*[f"`{c}`" for c in kept.columns]).alias("row"), host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
+    rows = pages.select(F.struct(*map(quoted, kept.columns)).alias("row"), host(F.col(quoted(url))).alias("host"), F.col(quoted(html)).alias("html"))
     rows = rows.join(F.broadcast(winners) if small else winners, "host", "left").select("row", "html", "winners")
     schema = StructType([StructField("row", kept.schema), StructField("text", StringType()), StructField("n_chars", LongType())])
 

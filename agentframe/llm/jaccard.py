@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentframe.llm.common import SPACES, discard, materialise, mix64, shingle_hashes, slices, text_buffers, tidy, tidy_table, word_hashes, word_spans
+from agentframe.llm.common import SPACES, discard, materialise, mix64, quoted, shingle_hashes, slices, text_buffers, tidy, tidy_table, word_hashes, word_spans
 from agentframe.llm.components import components, forest
 
 WIDTH, PERCENT = 5, 75
@@ -364,4 +364,4 @@ def first_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     kept = _rows_of(df.where(~blank).withColumn("__hash", F.xxhash64(text)), rows, key, count <= BROADCAST_ROWS)
     if _rows_of(classes.where("n > 0"), rows, key, count <= BROADCAST_ROWS).count() > count:
         kept = kept.dropDuplicates([key, "__hash"])
-    return kept.select(*df.columns).unionAll(df.where(blank))
+    return kept.select(*map(quoted, df.columns)).unionAll(df.where(blank))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentframe.llm.common import SLICE_BYTES, slices, text_buffers, without
+from agentframe.llm.common import SLICE_BYTES, mapped, slices, text_buffers, without
 
 #: Bytes of a block; rounds of parsing all blocks side by side at most; documents and bytes a language that are learned from.
 BLOCK, ROUNDS, SAMPLE_DOCS, SAMPLE_BYTES = 512, 6, 96, 24_000
@@ -180,7 +180,6 @@ def sample(df: DataFrame, key: str, text: str, lang: str, docs: int = SAMPLE_DOC
 def identify(df: DataFrame, samples: dict[str, bytes], text: str = "text") -> DataFrame:
     """df with lang_pred and score."""
     df = without(df, "lang_pred", "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", lang_pred string, score double"
     held = df.sparkSession.sparkContext.broadcast(samples)
     place = df.columns.index(text)
 
@@ -202,7 +201,7 @@ def identify(df: DataFrame, samples: dict[str, bytes], text: str = "text") -> Da
                     names, score = ["und"] * (b - a), np.zeros(b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, "lang_pred string, score double")
 
 
 _models: dict[int, LanguageModel] = {}

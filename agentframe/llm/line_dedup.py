@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentframe.llm.common import SPACES, discard, materialise, mix64, tidy, without
+from agentframe.llm.common import SPACES, discard, mapped, materialise, mix64, tidy, without
 
 #: Documents of a dropped line at least; keys of a filter, and of all filters that are broadcast, at most; slots of a bucket; keys that a task counts before it sends them on.
 LIMIT, SHARD_KEYS, WAVE_KEYS, BUCKET, FLUSH = 10, 1 << 16, 1 << 22, 4, 200_000
@@ -240,20 +240,23 @@ def _dropped_by_join(docs: DataFrame, index: LineIndex) -> DataFrame:
     said = named.select("__name", "kept_text").mapInArrow(tidy(lines), "__name string, h1 long, h2 long")
     gone = said.join(index.frequent().select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("__name").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
 
+    both = named.join(gone, "__name", "left")
+    place = both.columns.index("__gone")
+
     def hits() -> Callable[[np.ndarray, np.ndarray, pa.RecordBatch], np.ndarray]:
         def of(digests: np.ndarray, owner: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
-            sets = [{(k["h1"], k["h2"]) for k in own or ()} for own in part.column(part.schema.get_field_index("__gone")).to_pylist()]
+            sets = [{(k["h1"], k["h2"]) for k in own or ()} for own in part.column(place).to_pylist()]
             pairs = map(tuple, digests.view(np.int64).tolist())
             return np.array([pair in sets[k] for pair, k in zip(pairs, owner.tolist(), strict=True)], bool)
 
         return of
 
-    return _dropped(named.join(gone, "__name", "left"), hits).drop("__name", "__gone")
+    return _dropped(both, hits).drop("__name", "__gone")
 
 
 def _dropped(docs: DataFrame, hits: Callable[[], Callable[[np.ndarray, np.ndarray, pa.RecordBatch], np.ndarray]]) -> DataFrame:
     """docs (.., kept_text) without the lines that hits tells by their digests, with n_lines and n_dropped."""
-    place, docs_names = docs.columns.index("kept_text"), docs.columns
+    place = docs.columns.index("kept_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = hits()
@@ -271,10 +274,9 @@ def _dropped(docs: DataFrame, hits: Callable[[], Callable[[np.ndarray, np.ndarra
                     kept.append((b"\n".join(x for x, g in zip(lines, gone.tolist(), strict=True) if not g) if dropped[-1] else b"\n".join(lines)).decode())
                 columns = list(part.columns)
                 columns[place] = pa.array(kept, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(size), pa.array(dropped, pa.int64())], names=[*docs_names, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(size), pa.array(dropped, pa.int64())], names=[*part.schema.names, "n_lines", "n_dropped"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_dropped long"
-    return docs.mapInArrow(tidy(run), schema)
+    return mapped(docs, tidy(run), "n_lines long, n_dropped long")
 
 
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from agentframe.llm.common import without
+from agentframe.llm.common import mapped, without
 
 RATE, BLOCK = 8000, 576
 
@@ -262,13 +262,14 @@ def sniff(df: DataFrame, content: str, declared: str | None = None) -> DataFrame
     """Adds media_type (corrected), media_length, declared_wrong and carved (array of start, length, type) to df."""
     df = without(df, *{"media_type", "media_length", "declared_wrong", "carved"} - {content, declared})
     schema = "media_type string, media_length long, declared_wrong boolean, carved array<struct<start:long,length:long,type:string>>"
+    places = [df.columns.index(c) for c in (content, declared or content)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = signature_automaton()
         for batch in batches:
             kinds, lengths, wrong, carved = [], [], [], []
-            said = batch.column(declared).to_pylist() if declared else [None] * batch.num_rows
-            for value, given in zip(batch.column(content), said, strict=True):
+            said = batch.column(places[1]).to_pylist() if declared else [None] * batch.num_rows
+            for value, given in zip(batch.column(places[0]), said, strict=True):
                 kind, length, differs, inner = sniffed(value.as_py() or b"", given, automaton)
                 kinds.append(kind)
                 lengths.append(length)
@@ -277,7 +278,7 @@ def sniff(df: DataFrame, content: str, declared: str | None = None) -> DataFrame
             extra = [pa.array(kinds, pa.string()), pa.array(lengths, pa.int64()), pa.array(wrong, pa.bool_()), pa.array(carved, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string())])))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "media_type", "media_length", "declared_wrong", "carved"])
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + schema)
+    return mapped(df, run, schema)
 
 
 def pad(payload: bytes) -> bytes:

@@ -25,7 +25,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 
-from agentframe.llm.common import BYTE_VALUES, mix64, powers, slices, text_buffers, without
+from agentframe.llm.common import BYTE_VALUES, mapped, mix64, powers, slices, text_buffers, without
 
 UNIT, THETA, BYTE_WEIGHT, TEXT_BYTES = 40, 1.0, 1e-5, 4 << 20
 _UNITS = re.compile(rb" *[^ \n]+| +|\n")
@@ -237,7 +237,6 @@ def decode_ids(ids: np.ndarray, words: Vocabulary) -> bytes:
 def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", theta: float = THETA) -> DataFrame:
     """df with pieces: array of the sampled piece ids."""
     df = without(df, "pieces")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", pieces array<int>"
     k, t = df.columns.index(key), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,13 +248,12 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", t
                 ids, ends = encode_texts([(v.as_py() or "").encode() for v in part.column(t)], key_seeds(part.column(k).to_pylist()), words)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], names=[*part.schema.names, "pieces"])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, "pieces array<int>")
 
 
 def decode(df: DataFrame, model: str, pieces: str = "pieces") -> DataFrame:
     """df with decoded: the text of its pieces."""
     df = without(df, "decoded")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", decoded string"
     p = df.columns.index(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +262,7 @@ def decode(df: DataFrame, model: str, pieces: str = "pieces") -> DataFrame:
             texts = [decode_ids(np.array(v.as_py() or [], np.int64), words).decode() for v in batch.column(p)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, "decoded string")
 
 
 def round_trip(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", theta: float = THETA) -> DataFrame:

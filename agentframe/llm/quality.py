@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentframe.llm.common import materialise
+from agentframe.llm.common import materialise, quoted
 
 LINE_DOCS, LINE_SHARE, MIN_WORDS, KEPT_SHARE, WINDOW, BROADCAST_ROWS = 20, 0.2, 10, 0.2, 5, 1 << 20
 #: Texts whose limited lines are broadcast at most.
@@ -114,7 +114,7 @@ def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host:
 
 def kept_documents(df: DataFrame, text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """The rows of df that quality_rules keeps, all columns, their texts without limited lines. Depleted contents are broadcast up to BROADCAST_ROWS of them, limited lines up to BROADCAST_TEXTS texts, joined by shuffle beyond."""
-    docs = _hosted(df, text, host, F.struct(*df.columns).alias("__row"))
+    docs = _hosted(df, text, host, F.struct(*map(quoted, df.columns)).alias("__row"))
     texts = docs.drop("__row")
     words_of = line_words(texts).groupBy("host", "content").agg(F.sum("words").alias("total"))
     lost = limited_words(texts, line_docs, line_share).join(words_of, ["host", "content"])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from agentframe.llm.common import discard, materialise, slices, text_buffers, tidy
+from agentframe.llm.common import discard, materialise, quoted, slices, text_buffers, tidy
 from agentframe.llm.terms import lowered, run_crcs, term_spans
 
 BUCKETS, LONGEST, SEED, PERCENT, LEAST_WORDS = 10_000, 1, 2024, 10, 20
@@ -47,7 +47,7 @@ def csr_blocks(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS, lon
                 arrays = [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(indptr), pa.array((cells % buckets).astype(np.int32)), pa.array(counts.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([listed(x) for x in arrays], names=[f.name for f in schema.fields])
 
-    return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), schema)
+    return docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _values(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
@@ -126,7 +126,7 @@ def resample(
 ) -> DataFrame:
     """key, n_features, weight, score and rank for each row of docs."""
     blocks = materialise(csr_blocks(docs, key, text, buckets, longest), "resample-csr")
-    wanted = csr_blocks(target.select(F.lit(0).alias("key"), F.col(f"`{target_text}`").alias("text")), "key", "text", buckets, longest)
+    wanted = csr_blocks(target.select(F.lit(0).alias("key"), F.col(quoted(target_text)).alias("text")), "key", "text", buckets, longest)
     scored = weights(blocks, gains(column_sums(blocks, buckets), column_sums(wanted, buckets))).withColumn("score", F.col("weight") + gumbel(F.col("key"), seed))
     out = ranked(scored, percent, least_words)
     discard(blocks)

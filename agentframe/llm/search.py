@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from agentframe.llm.common import discard, materialise, slices, text_buffers, tidy
+from agentframe.llm.common import discard, materialise, quoted, slices, text_buffers, tidy
 from agentframe.llm.terms import lowered, term_hashes, term_spans
 
 K, LENGTH_SHARE, SATURATION = 20, 25, 12
@@ -95,7 +95,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_
         if held:
             yield shard(held)
 
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), schema)
+    rows = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text")).mapInArrow(tidy(run), schema)
     return materialise(rows, "search-index", **{"parquet.block.size": 16 << 20})
 
 
@@ -110,7 +110,7 @@ class Query:
 
 def read_queries(texts: DataFrame, name: str, text: str) -> list[Query]:
     """The queries of one wave, which the caller bounds."""
-    rows = sorted(texts.select(F.col(f"`{name}`").alias("name"), F.col(f"`{text}`").alias("text")).collect(), key=lambda r: (r.name is None, str(r.name), r["text"] or ""))
+    rows = sorted(texts.select(F.col(quoted(name)).alias("name"), F.col(quoted(text)).alias("text")).collect(), key=lambda r: (r.name is None, str(r.name), r["text"] or ""))
     out = []
     for r in rows:
         data = np.frombuffer((r["text"] or "").encode(), np.uint8)
@@ -264,9 +264,9 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
 
 def waves(queries: DataFrame, name: str, text: str, limit: int = WAVE_BYTES) -> list[DataFrame]:
     """The queries in groups of about limit bytes, by a hash of their names and texts."""
-    size = queries.agg(F.sum(F.octet_length(F.col(f"`{text}`")) + 100)).first()[0] or 0
+    size = queries.agg(F.sum(F.octet_length(F.col(quoted(text))) + 100)).first()[0] or 0
     n = -(-2 * size // limit) if size > limit else 1
-    group = F.pmod(F.xxhash64(F.col(f"`{name}`").cast("string"), F.col(f"`{text}`")), F.lit(n))
+    group = F.pmod(F.xxhash64(F.col(quoted(name)).cast("string"), F.col(quoted(text))), F.lit(n))
     return [queries.where(group == i) for i in range(n)] if n > 1 else [queries]
 
 
@@ -281,7 +281,7 @@ def ranked_search(
         asked = read_queries(wave, name, query_text)
         found = materialise(search(index, asked, statistics(index, asked), k), "search-found")
         named = docs.sparkSession.createDataFrame([(i, q.name) for i, q in enumerate(asked)], schema)
-        rows = best_of(found, k).join(F.broadcast(named), "query").select(F.col(f"`{name}`"), F.col("rank").cast("int"), F.col("key").alias(key), "score")
+        rows = best_of(found, k).join(F.broadcast(named), "query").select(F.col(quoted(name)), F.col("rank").cast("int"), F.col("key").alias(key), "score")
         out = rows if out is None else out.unionByName(rows)
     discard(index)
     return out

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentframe.llm.common import BYTE_VALUES, mix64, powers, slices, text_buffers, without
+from agentframe.llm.common import BYTE_VALUES, mapped, mix64, powers, slices, text_buffers, without
 from agentframe.llm.langid import held_out
 
 SIZES, BUCKETS, KEPT, LEAST_TEXTS = (4, 5, 6, 7, 8), 1 << 22, 2000, 5
@@ -188,7 +188,6 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
 def score(df: DataFrame, model: NbLinear, text: str = "text") -> DataFrame:
     """df with score and predicted."""
     df = without(df, "score", "predicted")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", score double, predicted int"
     held = df.sparkSession.sparkContext.broadcast(model)
     place = df.columns.index(text)
 
@@ -200,7 +199,7 @@ def score(df: DataFrame, model: NbLinear, text: str = "text") -> DataFrame:
                 got = held.value.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got), pa.array((got >= THRESHOLD).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, "score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:

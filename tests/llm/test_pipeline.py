@@ -3,9 +3,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from agentframe.llm import extract, langid, media, pieces, toxicity
 from tests.llm.test_jaccard import brute as brute_links
 from tests.llm.test_line_dedup import ld
 from tests.llm.test_quality import brute as brute_quality
@@ -59,6 +61,41 @@ def test_empty_table_passes_through(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+ODD = {"meta.url": "u", "a b": 1, "a`b": 2, "with": 3, "x.y.z": {"p.q": 4}}
+
+
+def odd_names(spark, rows, columns):
+    schema = ", ".join([*columns.split(", "), "`meta.url` string", "`a b` int", "`a``b` int", "`with` int", "`x.y.z` struct<`p.q`: int>"])
+    return spark.createDataFrame([(*r, "u", 1, 2, 3, {"p.q": 4}) for r in rows], schema)
+
+
+def has_odd_names(row):
+    return [row[k] for k in ("meta.url", "a b", "a`b", "with")] == ["u", 1, 2, 3] and row["x.y.z"]["p.q"] == 4
+
+
+def test_columns_of_any_name_pass_through(spark, monkeypatch):
+    docs = odd_names(spark, corpus(), "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, ""), "odd")
+        assert docs.columns[-5:] == list(ODD) and docs.count() > 10 and all(map(has_odd_names, docs.collect()))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 10
+
+
+def test_operators_keep_columns_of_any_name(spark, monkeypatch):
+    docs = odd_names(spark, corpus(), "doc_id long, text string, lang string, source string, n_chars long")
+    pages = odd_names(spark, [(1, "http://h/1", "<p>one</p>"), (2, None, None)], "page_id long, url string, html string")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    index = ld.LineIndex.of(docs)
+    made = {
+        "media": media.sniff(docs.withColumn("raw", F.col("text").cast("binary")), "raw", "lang"), "pieces": pieces.decode(pieces.encode(docs, model), model), "langid": langid.identify(docs, langid.sample(docs, "doc_id", "text", "lang"), "text"),
+        "toxicity": toxicity.score(docs, toxicity.train([], [])), "lines": ld.drop_lines(docs, index), "extract": extract.extract(pages),
+    }
+    monkeypatch.setattr(ld, "WAVE_KEYS", 0)
+    made["lines by join"] = ld.drop_lines(docs, index)
+    for name, out in made.items():
+        assert out.count() > 0 and all(map(has_odd_names, out.collect())), name
+
+
 def test_columns_with_clashing_names_pass_through(spark):
     added = {"n_lines": 77, "n_dropped": "zz", "kept_text": "mine", "spans": 3, "__row": 4, "__text": "t", "host": "h", "lines": 1, "content": 2, "key": 5}
     docs = spark.createDataFrame([(*r, *added.values()) for r in corpus()], "doc_id long, text string, lang string, source string, n_chars long, n_lines int, n_dropped string, kept_text string, spans int, `__row` int, `__text` string, host string, lines int, content int, key int")
