@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentframe.llm import jaccard, line_dedup, packing, quality, secrets
-from agentframe.llm.common import documents, materialise
+from agentframe.llm.common import documents, materialise, quoted
 
 
 #: Texts that pass between Spark and Python at a time; whole rows, so results do not depend on it.
@@ -31,14 +31,14 @@ def _sized(docs: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that LINE_DOCS different texts of their host have, whatever share of it that is."""
     _bounded(spark)
-    return _sized(quality.kept_documents(docs, line_share=0.0)).select(*docs.columns)
+    return _sized(quality.kept_documents(docs, line_share=0.0)).select(*map(quoted, docs.columns))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many documents share."""
     _bounded(spark)
     index = line_dedup.LineIndex.of(docs)
-    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), F.col("text").alias("__text"))
+    packed = docs.select(F.struct(*map(quoted, docs.columns)).alias("__row"), F.col("text").alias("__text"))
     kept = line_dedup.drop_lines(packed, index, "__text")
     return _sized(kept.select(F.col("__row").withField("text", F.col("kept_text")).alias("__row")).select("__row.*"))
 
@@ -46,14 +46,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, that with the smallest doc_id (nulls last); documents without words all stay."""
     _bounded(spark)
-    return jaccard.first_documents(docs).select(*docs.columns)
+    return jaccard.first_documents(docs).select(*map(quoted, docs.columns))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked."""
     _bounded(spark)
     detector = secrets.detector_for(docs, "doc_id", "text")
-    return _sized(secrets.mask(docs, detector)).select(*docs.columns)
+    return _sized(secrets.mask(docs, detector)).select(*map(quoted, docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
