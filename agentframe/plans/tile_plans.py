@@ -31,11 +31,11 @@ def tile_window_stats(spark, sf_dir):
 
 
 @query(
-    f"""WITH g AS {GRID}, o AS (SELECT CAST(a.i AS INT) AS dx, CAST(b.i AS INT) AS dy FROM range(-12, 8) AS a(i), range(-12, 13) AS b(i))
+    f"""WITH g AS {GRID}, o AS (SELECT CAST(i AS INT) AS dx, CAST(j AS INT) AS dy FROM (SELECT unnest(range(-12, 8)) AS i), (SELECT unnest(range(-least(12, h - 1), least(12, h - 1 - least(12, h - 1)) + 1)) AS j FROM (SELECT {HEIGHT} AS h)))
     SELECT c.x, c.y, count(*) AS n, round(avg(n.v), 4) AS mean, max(n.v) AS most FROM g c, o JOIN g n ON n.x = (c.x + dx + {WIDTH}) % {WIDTH} AND n.y = (c.y + dy + {HEIGHT}) % {HEIGHT} GROUP BY ALL"""
 )
 def tile_focal_mean_torus(spark, sf_dir):
-    """Focal means and maxima at radius 12 on a torus that is narrower than the window: no column counts twice."""
+    """Focal means and maxima at radius 12 on a torus that is narrower than the window: no column counts twice, and no row where it is lower too."""
     tiles, tiling = _tiles(spark, sf_dir, "v", torus=True)
     return t.cells_of(t.window_stats(tiles, tiling, 12, "v"), tiling).select("x", "y", F.col("n").cast("long").alias("n"), F.round("mean", 4).alias("mean"), "most")
 

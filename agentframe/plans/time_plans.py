@@ -33,12 +33,12 @@ def time_latest_event(spark, sf_dir):
 
 @query(
     f"""WITH e AS (SELECT ts, max(event_id) AS event_id FROM events GROUP BY ts)
-    SELECT o_orderkey, CASE WHEN m.ts - e.ts <= INTERVAL 2 MINUTE THEN e.event_id END AS event_id FROM {_MOMENTS} m ASOF LEFT JOIN e ON m.ts > e.ts"""
+    SELECT o_orderkey, CASE WHEN m.ts - e.ts <= INTERVAL 2 MINUTE THEN e.event_id ELSE -1 END AS event_id FROM {_MOMENTS} m ASOF LEFT JOIN e ON m.ts > e.ts"""
 )
 def time_latest_of_all(spark, sf_dir):
     """The last event of anybody before each order, if it is no older than two minutes: one key holds all rows."""
     left, right = _moments(spark, sf_dir).withColumn("one", F.lit(1)), _events(spark, sf_dir, "event_id").withColumn("one", F.lit(1))
-    return temporal.asof_join(left, right, ["one"], "ts", ["event_id"], ties=["event_id"], most=120.0, strictly=True).select("o_orderkey", "event_id")
+    return temporal.asof_join(left, right, ["one"], "ts", ["event_id"], ties=["event_id"], most=120.0, strictly=True).select("o_orderkey", F.coalesce("event_id", F.lit(-1)).alias("event_id"))
 
 
 @query(f"SELECT event_id, count(*) AS n, min(o_orderkey) AS first FROM {_MOMENTS} m JOIN events e ON m.user_id = e.user_id AND m.ts >= e.ts AND m.ts < e.ts + to_seconds(CAST(e.event_id % 7 * (e.event_id % 7) * 1800 AS BIGINT)) GROUP BY event_id")
