@@ -3,7 +3,7 @@
 ``sniff`` looks at binary values. The automaton finds every place of a magic number in one pass; the validator of that
 format then walks the structure (chunk lengths, check sums, end marks) and gives the length of the object, or nothing. An object
 at offset 0 sets the true type; any other valid object outside it is carved. Null counts as an empty value, whose type is
-``application/octet-stream``. Overlapping objects go to the earliest, then longest; hits inside an accepted object are not walked. End marks are looked up once a
+``application/octet-stream``. Overlapping objects go to the earliest, then longest; hits inside an accepted object are not walked. Every place of a chain is walked once and end marks are looked up once a
 value, so time grows with the value's length. Repeated rows get the same result; an empty table gives no rows. Input columns with the name of an added one give way to it.
 """
 
@@ -13,7 +13,7 @@ import hashlib
 import re
 import struct
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -43,57 +43,148 @@ MAGIC = [
 ]
 
 
-def _png(b: bytes, at: int) -> int | None:
-    p = at + 8
-    while p + 12 <= len(b):
+class Value(bytes):
+    """A value with what is known of the chains that were walked in it: each place is walked once, wherever the walk began."""
+
+    def known(self, kind: str) -> dict:
+        return self.__dict__.setdefault(kind, {})
+
+    def crc(self, a: int, b: int) -> int:
+        """CRC-32 of self[a:b]; of long ranges from running sums, so ranges that overlap cost no more than others."""
+        if b - a <= 2 * _CRC_STEP:
+            return zlib.crc32(self[a:b])
+        if "sums" not in self.__dict__:
+            self.sums = [0]
+            for k in range(0, len(self) - _CRC_STEP, _CRC_STEP):
+                self.sums.append(zlib.crc32(self[k : k + _CRC_STEP], self.sums[-1]))
+        upto = lambda p: zlib.crc32(self[p // _CRC_STEP * _CRC_STEP : p], self.sums[p // _CRC_STEP])
+        return upto(b) ^ _crc_shifted(upto(a), b - a)
+
+
+_CRC_STEP = 4096
+
+
+def _apply(columns: list[int], v: int) -> int:
+    out = 0
+    for c in columns:
+        if v & 1:
+            out ^= c
+        v >>= 1
+        if not v:
+            break
+    return out
+
+
+def _zero_bytes() -> list[list[int]]:
+    """The effect on a CRC-32 of 1, 2, 4, ... bytes 0 behind what it sums, as columns over its bits."""
+    bit = [0xEDB88320, *(1 << k for k in range(31))]
+    powers = [bit]
+    for _ in range(3 + 32):
+        powers.append([_apply(powers[-1], c) for c in powers[-1]])
+    return powers[3:]
+
+
+_ZERO_BYTES = _zero_bytes()
+
+
+def _crc_shifted(crc: int, n: int) -> int:
+    k = 0
+    while n:
+        if n & 1:
+            crc = _apply(_ZERO_BYTES[k], crc)
+        n >>= 1
+        k += 1
+    return crc
+
+
+def _end_of(known: dict, p: int, step) -> int | None:
+    """Where the chain from p ends well: step gives the next place, or a tuple with the end or None."""
+    path = []
+    while p not in known:
+        path.append(p)
+        p = step(p)
+        if isinstance(p, tuple):
+            end = p[0]
+            break
+    else:
+        end = known[p]
+    known.update(dict.fromkeys(path, end))
+    return end
+
+
+def _png(b: Value, at: int) -> int | None:
+    def step(p: int) -> int | tuple:
+        if p + 12 > len(b):
+            return (None,)
         n, kind = struct.unpack(">I4s", b[p : p + 8])
-        if p + 12 + n > len(b) or zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack(">I", b[p + 8 + n : p + 12 + n])[0]:
-            return None
-        p += 12 + n
-        if kind == b"IEND":
-            return p - at
-    return None
+        if p + 12 + n > len(b) or b.crc(p + 4, p + 8 + n) != struct.unpack(">I", b[p + 8 + n : p + 12 + n])[0]:
+            return (None,)
+        return (p + 12 + n,) if kind == b"IEND" else p + 12 + n
 
+    end = _end_of(b.known("png"), at + 8, step)
+    return None if end is None else end - at
 
-def _gif(b: bytes, at: int) -> int | None:
+
+def _gif(b: Value, at: int) -> int | None:
     if at + 13 > len(b):
         return None
-    p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
-    while p < len(b):
+
+    def blocks(p: int) -> int | tuple:
+        """Over the sub-blocks from p."""
+        return (None,) if p >= len(b) else p + b[p] + 1 if b[p] else (p + 1,)
+
+    def step(p: int) -> int | tuple:
+        if p >= len(b):
+            return (None,)
         if b[p] == 0x3B:
-            return p + 1 - at
+            return (p + 1,)
         if b[p] == 0x2C and p + 10 < len(b):
-            p += 10 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0) + 1
+            first = p + 10 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0) + 1
         elif b[p] == 0x21:
-            p += 2
+            first = p + 2
         else:
-            return None
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        p += 1
-    return None
+            return (None,)
+        after = _end_of(b.known("gif blocks"), first, blocks)
+        return (None,) if after is None else after
+
+    end = _end_of(b.known("gif"), at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0), step)
+    return None if end is None else end - at
+
+
+_JPEG_MARK = re.compile(rb"\xff(?=[^\x00\xd0-\xd7])", re.DOTALL)
+
 
+def _jpeg(b: Value, at: int) -> int | None:
+    """Segments by their lengths; after a scan's head its coded bytes, up to the next mark that is neither a stuffed byte nor a restart. Marks are looked up once a value."""
 
-def _jpeg(b: bytes, at: int) -> int | None:
-    """Segments by their lengths; after a scan's head its coded bytes, up to the next mark that is neither a stuffed byte nor a restart."""
-    p, scanned = at + 2, False
-    while p + 2 <= len(b) and b[p] == 0xFF:
+    def step(state: tuple[int, bool]) -> tuple:
+        p, scanned = state
+        if p + 2 > len(b) or b[p] != 0xFF:
+            return None, True
         kind = b[p + 1]
         if kind == 0xD9:
-            return p + 2 - at if scanned else None
-        if kind < 0xC0 or p + 4 > len(b):
-            return None
-        n = struct.unpack(">H", b[p + 2 : p + 4])[0]
-        if n < 2:
-            return None
-        p += 2 + n
-        if kind == 0xDA:
-            scanned, p = True, b.find(b"\xff", p)
-            while 0 <= p < len(b) - 1 and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
-                p = b.find(b"\xff", p + 2)
-            if p < 0:
-                return None
-    return None
+            return (p + 2 if scanned else None), True
+        if kind < 0xC0 or p + 4 > len(b) or (n := struct.unpack(">H", b[p + 2 : p + 4])[0]) < 2:
+            return None, True
+        if kind != 0xDA:
+            return (p + 2 + n, scanned), False
+        marks = b.known("jpeg marks")
+        if not marks:
+            marks["at"] = [m.start() for m in _JPEG_MARK.finditer(b)]
+        k = bisect_left(marks["at"], p + 2 + n)
+        return ((marks["at"][k], True), False) if k < len(marks["at"]) else (None, True)
+
+    known, path, state = b.known("jpeg"), [], (at + 2, False)
+    while state not in known:
+        path.append(state)
+        state, last = step(state)
+        if last:
+            end = state
+            break
+    else:
+        end = known[state]
+    known.update(dict.fromkeys(path, end))
+    return None if end is None else end - at
 
 
 def _webp(b: bytes, at: int) -> int | None:
@@ -103,53 +194,68 @@ def _webp(b: bytes, at: int) -> int | None:
     return n if n >= 20 and at + n <= len(b) else None
 
 
-def _ogg(b: bytes, at: int) -> int | None:
+def _ogg(b: Value, at: int) -> int | None:
     """Pages of one stream by their segment tables, from the one that begins it to the one that ends it."""
-    p, stream = at, None
-    while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
-        flags, serial, segments = b[p + 5], b[p + 14 : p + 18], b[p + 26]
-        if stream is None and not flags & 2:
-            return None
-        stream = stream or serial
-        end = p + 27 + segments + sum(b[p + 27 : p + 27 + segments])
-        if end > len(b) or serial != stream:
-            return None
-        if flags & 4:
-            return end - at
-        p = end
-    return None
 
+    def step(p: int) -> int | tuple:
+        if p + 27 > len(b) or b[p : p + 5] != b"OggS\0":
+            return (None,)
+        end = p + 27 + b[p + 26] + sum(b[p + 27 : p + 27 + b[p + 26]])
+        if end > len(b):
+            return (None,)
+        return (end,) if b[p + 5] & 4 else end if b[end + 14 : end + 18] == b[p + 14 : p + 18] else (None,)
 
-def _mp4(b: bytes, at: int) -> int | None:
-    """Boxes by their lengths; there must be one of type moov."""
-    p, moov = at, False
-    while p + 8 <= len(b):
-        n, kind = struct.unpack(">I4s", b[p : p + 8])
+    if at + 27 > len(b) or not b[at + 5] & 2:
+        return None
+    end = _end_of(b.known("ogg"), at, step)
+    return None if end is None else end - at
+
+
+def _mp4(b: Value, at: int) -> int | None:
+    """Boxes by their lengths, as far as they go; there must be one of type moov."""
+    known, path, p = b.known("mp4"), [], at
+    while p not in known:
+        n, kind = struct.unpack(">I4s", b[p : p + 8]) if p + 8 <= len(b) else (0, b"")
         if n == 1 and p + 16 <= len(b):
             n = struct.unpack(">Q", b[p + 8 : p + 16])[0]
         if n < 8 or p + n > len(b) or not kind.isalnum():
+            known[p] = (p, False)
             break
-        moov, p = moov or kind == b"moov", p + n
-    return p - at if moov else None
+        path.append((p, kind == b"moov"))
+        p += n
+    end, moov = known[p]
+    for place, found in reversed(path):
+        moov = moov or found
+        known[place] = (end, moov)
+    return end - at if moov else None
 
 
-def _wav(b: bytes, at: int) -> int | None:
+def _wav(b: Value, at: int) -> int | None:
+    """Chunks by their lengths up to the data, which a format chunk must describe, all within the stated length."""
     if b[at + 8 : at + 12] != b"WAVE":
         return None
-    end, p, described = at + 8 + struct.unpack("<I", b[at + 4 : at + 8])[0], at + 12, False
+    end = at + 8 + struct.unpack("<I", b[at + 4 : at + 8])[0]
     if end > len(b):
         return None
-    while p + 8 <= end:
-        kind, n = struct.unpack("<4sI", b[p : p + 8])
-        if p + 8 + n > end:
-            return None
-        if kind == b"fmt ":
-            code, channels, _, _, block = struct.unpack("<HHIIH", b[p + 8 : p + 22]) if n >= 16 else (0,) * 5
-            described = code > 0 and channels > 0 and block > 0
-        if kind == b"data":
-            return end - at if described else None
-        p += 8 + n + n % 2
-    return None
+    known, path, p = b.known("wav"), [], at + 12
+    while p not in known:
+        kind, n = struct.unpack("<4sI", b[p : p + 8]) if p + 8 <= len(b) else (b"", 0)
+        if not kind or p + 8 + n > len(b):
+            known[p] = (None, None)
+        elif kind == b"data":
+            known[p] = (p + 8 + n, None)
+        else:
+            described = None
+            if kind == b"fmt ":
+                code, channels, _, _, block = struct.unpack("<HHIIH", b[p + 8 : p + 22]) if n >= 16 else (0,) * 5
+                described = code > 0 and channels > 0 and block > 0
+            path.append((p, described))
+            p += 8 + n + n % 2
+    data, last = known[p]
+    for place, described in reversed(path):
+        last = described if last is None else last
+        known[place] = (data, last)
+    return end - at if data is not None and data <= end and last else None
 
 
 def _bmp(b: bytes, at: int) -> int | None:
@@ -230,6 +336,7 @@ def signature_automaton() -> ahocorasick.Automaton:
 
 def objects(value: bytes, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, length, type) of the valid, non-overlapping media objects in value."""
+    value = Value(value)
     hits = [(last + 1 - size - before, kind) for last, (size, before, kind) in automaton.iter(value.decode("latin-1"))]
     lengths: dict[str, dict[int, int]] = {}
     out, end = [], 0

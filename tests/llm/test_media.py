@@ -6,6 +6,8 @@ import time
 import zipfile
 import zlib
 
+import pytest
+
 from agentframe.llm import media
 
 
@@ -130,3 +132,47 @@ def test_clashing_columns_give_way(spark):
     df = spark.createDataFrame([(1, _png(), "mine", 5)], "id int, body binary, Media_Type string, carved int")
     row = media.sniff(df, "body").collect()[0]
     assert row.asDict().keys() == {"id", "body", "media_type", "media_length", "declared_wrong", "carved"} and row.media_type == "image/png"
+
+
+def _pages(n):
+    return b"".join(b"OggS\0\2" + b"\0" * 8 + b"same" + b"\0" * 8 + b"\2\1\1" + b"xx" for _ in range(n))
+
+
+@pytest.mark.parametrize(
+    "many",
+    [lambda n: b"\0\0\0\x08ftyp" * n, _pages, lambda n: b"\x89PNG\r\n\x1a\n" * n, lambda n: (b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 36 * n) + b"IDAT") * n, lambda n: b"GIF89a" + b"\0" * 7 + b"!\xff" + b"\x02GI" * n, lambda n: b"\xff\xd8\xff\xda\0\2" * n,
+     lambda n: (b"RIFF" + struct.pack("<I", 9 * n) + b"WAVEjunk\0\0\0\0") * n, lambda n: b"\0\0\0\x10ftyp\0\0\0\x08free" * n],
+)
+def test_time_grows_with_the_length(many):
+    automaton = media.signature_automaton()
+
+    def seconds(n):
+        began = time.process_time()
+        media.objects(many(n), automaton)
+        return time.process_time() - began
+
+    seconds(500)
+    one, four = min(seconds(2000) for _ in range(2)), seconds(8000)
+    assert four < 8 * one + 0.15
+
+
+def test_sums_of_ranges():
+    value = media.Value(bytes(i * i % 251 for i in range(50_000)))
+    for a, b in ((0, 50_000), (1, 49_999), (4096, 40_960), (5, 9000), (0, 8192), (100, 100), (8191, 49_152)):
+        assert value.crc(a, b) == zlib.crc32(value[a:b])
+
+
+def test_walks_from_any_place_agree():
+    """What one walk learnt does not change another: each object alone and all of them after each other."""
+    gif = b"GIF89a\1\0\1\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\2D\1\0;"
+    jpeg = b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\2xx\xff\0yy\xff\xd9"
+    box = b"\0\0\0\x10ftypisom0000\0\0\0\x08moov"
+    ogg = b"OggS\0\2" + b"\0" * 8 + b"same" + b"\0" * 8 + b"\1\2xx" + b"OggS\0\4" + b"\0" * 8 + b"same" + b"\0" * 8 + b"\1\2xx"
+    parts = [_png(), gif, jpeg, media.wav_of(b"\x80" * 20), ogg, box]
+    whole = b"..".join(p for p in parts)
+    found = media.objects(whole, media.signature_automaton())
+    assert [n for _, n, _ in found] == [len(p) for p in parts]
+    at = 0
+    for (start, _, _), part in zip(found, parts, strict=True):
+        assert start == at
+        at += len(part) + 2
