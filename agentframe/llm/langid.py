@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from agentframe.llm.common import SLICE_BYTES, mapped, slices, text_buffers, without
 
-#: Bytes of a block; rounds of parsing all blocks side by side at most; documents and bytes a language that are learned from.
+#: Bytes of a block; rounds of parsing all blocks side by side at most; documents, and characters of all of them, a language that are learned from.
 BLOCK, ROUNDS, SAMPLE_DOCS, SAMPLE_BYTES = 512, 6, 96, 24_000
+#: Places of a long text that its share comes from.
+PLACES = 4
 
 
 class SuffixAutomaton:
@@ -164,16 +166,20 @@ def held_out(key: str) -> Column:
 
 
 def sample(df: DataFrame, key: str, text: str, lang: str, docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """About docs rows of each language, those with the smallest hash of the key, cut at size bytes in all: what is learned from is bounded, whatever the input."""
+    """About docs rows of each language, those with the smallest hash of the key: what is learned from is bounded, whatever the input. Each row gives an equal share of size, long texts from PLACES evenly spread places."""
     rows = df.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, docs / n)))]) if counts else None
     found: dict[str, bytes] = {}
     if counts:
         place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = rows.where(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.substring(text, 1, size).alias("text"), place.alias("place"), F.col(key).cast("string").alias("key"))
+        quota = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(max(PLACES, size // min(docs, n))))])[F.col(lang)]
+        part = F.floor(quota / PLACES).cast("int")
+        spread = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.substring(text, F.floor((F.length(text) - part) * i / (PLACES - 1)).cast("int") + 1, part))
+        own = F.when(F.length(text) <= quota, F.col(text)).otherwise(F.array_join(spread, "\n"))
+        chosen = rows.where(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), own.alias("text"), place.alias("place"), F.col(key).cast("string").alias("key"))
         for r in sorted(chosen.collect(), key=lambda r: (r.place, r.key)):
-            found[r.lang] = (found.get(r.lang, b"") + b"\n" + r.text.encode())[:size]
+            found[r.lang] = found.get(r.lang, b"") + b"\n" + r.text.encode()
     return found
 
 

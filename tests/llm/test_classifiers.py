@@ -120,3 +120,12 @@ def test_ratios_and_margins_match_brute_force():
     data, offsets = toxicity._joined(texts)
     of = dict(zip(kept.tolist(), weights.tolist(), strict=True))
     assert np.allclose(toxicity.NbLinear(kept, weights, intercept, 1, 0).margins(data, offsets), [intercept + sum(of.get(g, 0.0) for g in s) for s in sets])
+
+
+def test_every_chosen_document_is_learned_from(spark):
+    """Long texts give parts of their beginning, middle and end, and leave room for the others."""
+    rows = [(i, f"begin{i} " + "x" * 50_000 + f" middle{i} " + "x" * 50_000 + f" end{i}", "aa") for i in range(6)] + [(10 + i, f"short{i}", "aa") for i in range(6)]
+    learned = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 20, 2400)["aa"].decode()
+    seen = [r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert len(seen) > 5 and all(f"short{i - 10}" in learned if i >= 10 else f"begin{i} " in learned and f"end{i}" in learned for i in seen)
+    assert len(learned) < 3000
