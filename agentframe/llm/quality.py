@@ -89,13 +89,14 @@ def _hosted(df: DataFrame, text: str, host: str, *others) -> DataFrame:
 
 
 def limited_words(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(host, content, copies, n_limited_words, lines) for the texts of docs(host, content, text) that have words in limited lines."""
+    """(host, content, copies, n_limited_words, n_common_words, lines) for the texts of docs(host, content, text) that have words in lines of line_docs texts: n_common_words counts all of those, n_limited_words and lines those that are limited, for their share of the host too."""
     per_line = line_words(docs)
     copies = docs.groupBy("host", "content").agg(F.count("*").alias("copies"))
     hosts = copies.groupBy("host").agg(F.count("*").alias("host_docs"))
-    limited = per_line.groupBy("host", "line").agg(F.count("*").alias("docs")).join(hosts, "host").where((F.col("docs") >= line_docs) & (F.col("docs") >= line_share * F.col("host_docs"))).select("host", "line")
-    lost = per_line.join(limited, ["host", "line"]).groupBy("host", "content").agg(F.sum("words").alias("lost"), F.collect_set("line").alias("lines"))
-    return lost.join(copies, ["host", "content"]).select("host", "content", "copies", F.expr("lost div copies").alias("n_limited_words"), "lines")
+    limited = per_line.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= line_docs).join(hosts, "host").select("host", "line", (F.col("docs") >= line_share * F.col("host_docs")).alias("limited"))
+    strict = lambda c: F.when(F.col("limited"), c)
+    lost = per_line.join(limited, ["host", "line"]).groupBy("host", "content").agg(F.coalesce(F.sum(strict(F.col("words"))), F.lit(0)).alias("lost"), F.sum("words").alias("common"), F.collect_set(strict(F.col("line"))).alias("lines"))
+    return lost.join(copies, ["host", "content"]).select("host", "content", "copies", F.expr("lost div copies").alias("n_limited_words"), F.expr("common div copies").alias("n_common_words"), "lines")
 
 
 def depleted(n_words: Column, n_limited: Column) -> Column:
@@ -103,12 +104,12 @@ def depleted(n_words: Column, n_limited: Column) -> Column:
 
 
 def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """key, the base counts, base_failed, n_limited_words, depleted and kept for each row."""
+    """key, the base counts, base_failed, n_limited_words, depleted and kept for each row; n_common_words and common_depleted say the same of all lines of line_docs texts, whatever their share of the host."""
     docs = _hosted(df, text, host, F.col(key).alias("__key"))
     lost = limited_words(docs, line_docs, line_share).drop("copies", "lines")
-    out = base_rules(docs).drop("text").join(lost, ["host", "content"], "left").withColumn("n_limited_words", F.coalesce("n_limited_words", F.lit(0)).cast("long"))
-    out = out.withColumn("depleted", depleted(F.col("n_words"), F.col("n_limited_words")))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_limited_words", "depleted"]
+    out = base_rules(docs).drop("text").join(lost, ["host", "content"], "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_limited_words", "n_common_words")})
+    out = out.withColumns({"depleted": depleted(F.col("n_words"), F.col("n_limited_words")), "common_depleted": depleted(F.col("n_words"), F.col("n_common_words"))})
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_limited_words", "depleted", "n_common_words", "common_depleted"]
     return out.select(F.col("__key").alias(key), *names, (~F.col("base_failed") & ~F.col("depleted")).alias("kept"))
 
 
@@ -117,7 +118,7 @@ def kept_documents(df: DataFrame, text: str = "text", host: str = "source", line
     docs = _hosted(df, text, host, F.struct(*map(quoted, df.columns)).alias("__row"))
     texts = docs.drop("__row")
     words_of = line_words(texts).groupBy("host", "content").agg(F.sum("words").alias("total"))
-    lost = limited_words(texts, line_docs, line_share).join(words_of, ["host", "content"])
+    lost = limited_words(texts, line_docs, line_share).where("n_limited_words > 0").join(words_of, ["host", "content"])
     lost = materialise(lost.select("host", "content", "lines", depleted(F.expr("total div copies"), F.col("n_limited_words")).alias("gone")), "limited-lines")
     gone, cut = lost.where("gone").select("host", "content"), lost.where("not gone").select("host", "content", "lines")
     passed = base_rules(docs).where(~F.col("base_failed")).select("__row", "host", "content")
@@ -134,11 +135,12 @@ win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win), range(0, 5) AS r(k) WHERE c > 1 GROUP BY doc_id),
 lines AS (SELECT host, text, doc_id, translate(regexp_replace(x, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS line, len(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '')) AS n FROM (SELECT host, text, doc_id, unnest(ls) AS x FROM w)),
 hosts AS (SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY host),
-limited AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS docs FROM lines GROUP BY ALL) JOIN hosts USING (host) WHERE docs >= {LINE_DOCS} AND docs >= {LINE_SHARE} * host_docs),
-lost AS (SELECT doc_id, sum(n)::BIGINT AS n FROM lines JOIN limited USING (host, line) GROUP BY doc_id),
+limited AS (SELECT host, line, docs >= {LINE_SHARE} * host_docs AS strict FROM (SELECT host, line, count(DISTINCT text) AS docs FROM lines GROUP BY ALL) JOIN hosts USING (host) WHERE docs >= {LINE_DOCS}),
+lost AS (SELECT doc_id, coalesce(sum(n) FILTER (WHERE strict), 0)::BIGINT AS n, sum(n)::BIGINT AS common FROM lines JOIN limited USING (host, line) GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_limited_words FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
-f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_limited_words > 0 AND (n_words - n_limited_words < {MIN_WORDS} OR n_words - n_limited_words < {KEPT_SHARE} * n_words) AS depleted FROM b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_limited_words, depleted, NOT base_failed AND NOT depleted AS kept FROM f
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_limited_words, coalesce(lost.common, 0)::BIGINT AS n_common_words FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_limited_words > 0 AND (n_words - n_limited_words < {MIN_WORDS} OR n_words - n_limited_words < {KEPT_SHARE} * n_words) AS depleted,
+  n_common_words > 0 AND (n_words - n_common_words < {MIN_WORDS} OR n_words - n_common_words < {KEPT_SHARE} * n_words) AS common_depleted FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_limited_words, depleted, n_common_words, common_depleted, NOT base_failed AND NOT depleted AS kept FROM f
 """

@@ -25,7 +25,9 @@ def brute(rows, line_docs, line_share):
         lost = sum(len(WORD.findall(x)) for x in ls if len(lines[h or "", norm(x)]) >= max(line_docs, line_share * len(hosts[h or ""])))
         failed = len(ws) < 10 or 100 * rep > 20 * len(ws)
         depleted = lost > 0 and (len(ws) - lost < 10 or len(ws) - lost < 0.2 * len(ws))
-        out[i] = (len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t or "")), len(ls) - len(set(ls)), rep, failed, lost, depleted, not failed and not depleted)
+        common = sum(len(WORD.findall(x)) for x in ls if len(lines[h or "", norm(x)]) >= line_docs)
+        shared = common > 0 and (len(ws) - common < 10 or len(ws) - common < 0.2 * len(ws))
+        out[i] = (len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t or "")), len(ls) - len(set(ls)), rep, failed, lost, depleted, common, shared, not failed and not depleted)
     return out
 
 
@@ -39,6 +41,8 @@ def test_matches_brute_force(spark):
     got = {r.doc_id: tuple(r)[1:] for r in quality.quality_rules(df, line_docs=4, line_share=0.5).collect()}
     assert got == brute(rows, 4, 0.5)
     assert got[10][-1] is False and got[0][-1] is True
+    got = {r.doc_id: tuple(r)[1:] for r in quality.quality_rules(df, line_docs=4, line_share=0.95).collect()}
+    assert got == brute(rows, 4, 0.95) and got[10][-3:] == (24, True, False)
 
 
 def test_repeated_rows_and_empty_table(spark):
