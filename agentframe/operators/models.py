@@ -104,52 +104,66 @@ def let_go(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def run(
+Hook = Callable[[DataFrame, int], DataFrame]
+
+
+def simulate(
     state: DataFrame,
-    step: Callable[[DataFrame, int], DataFrame],
+    step: Hook,
     steps: int,
+    *,
     cut: int = 5,
     finished: Callable[[DataFrame], Column] | None = None,
-    before: Callable[[DataFrame, int], DataFrame] | None = None,
-    after: Callable[[DataFrame, int], DataFrame] | None = None,
-) -> DataFrame:
-    """state after steps, or as soon as some row of it makes finished true, which is asked before each step; hooks change the state before and after a step.
-
-    finished is an aggregate of the state (a boolean column). Lineage is cut every cut steps, and each step where finished is asked; the tables of earlier cuts go.
+    before: Hook | None = None,
+    after: Hook | None = None,
+    reporters: dict[str, Column] | None = None,
+    by: tuple[str, ...] = (),
+    stride: int = 1,
+) -> tuple[DataFrame, DataFrame | None]:
+    """(state, series) after steps, or as soon as some row of the state makes finished true, which is asked before each step.
+
+    Hooks change the state before and after a step. finished is an aggregate of the state (a boolean column). series has (by, step, reporters...), aggregates of the state before the first
+    step, after every stride steps, and after the last; without reporters it is None. A state that is reported or asked is worked out once; others are cut off every cut steps.
+    Tables of earlier states go unless a series reads them.
     """
-    last = None
+    if stride <= 0:
+        raise ValueError("a stride is positive")
+    report = lambda s, k: s.groupBy(*by).agg(*[c.alias(n) for n, c in reporters.items()]).select(*by, F.lit(k).cast("long").alias("step"), *reporters)
+    last, rows, reported, done = None, report(state, 0) if reporters else None, 0, 0
 
     def cut_off(state: DataFrame) -> DataFrame:
         nonlocal last
         now = settled(state)
-        if last is not None:
+        if last is not None and not reporters:
             let_go(last)
         last = now
         return now
 
     for k in range(steps):
         if finished is not None:
-            state = cut_off(state)
+            state = state if state is last else cut_off(state)
             if state.agg(finished(state).alias("done")).first()["done"]:
-                return state
+                break
         state = before(state, k) if before else state
         state = step(state, k)
         state = after(state, k) if after else state
-        if finished is None and (k + 1) % cut == 0 and k + 1 < steps:
+        done = k + 1
+        if reporters and done % stride == 0:
             state = cut_off(state)
-    return state
+            rows, reported = rows.unionByName(report(state, done)), done
+        elif finished is None and done % cut == 0 and done < steps:
+            state = cut_off(state)
+    if reporters and reported < done:
+        rows = rows.unionByName(report(state, done)) if done % stride else rows
+    return state, rows
 
 
-def run_collected(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], steps: int, reporters: dict[str, Column], by: tuple[str, ...] = (), stride: int = 1, cut: int = 5) -> DataFrame:
-    """(by, step, reporters...): aggregates of the state before the first step and after every stride steps."""
-    if stride <= 0:
-        raise ValueError("a stride is positive")
-    report = lambda s, k: s.groupBy(*by).agg(*[c.alias(n) for n, c in reporters.items()]).select(*by, F.lit(k).cast("long").alias("step"), *reporters)
-    rows = report(state, 0)
-    for k in range(1, steps + 1):
-        state = step(state, k - 1)
-        if k % cut == 0 and k < steps:
-            state = settled(state)
-        if k % stride == 0:
-            rows = rows.unionByName(report(state, k))
-    return rows
+def run(state: DataFrame, step: Hook, steps: int, cut: int = 5, finished: Callable[[DataFrame], Column] | None = None, before: Hook | None = None, after: Hook | None = None) -> DataFrame:
+    """The state that simulate ends with."""
+    return simulate(state, step, steps, cut=cut, finished=finished, before=before, after=after)[0]
+
+
+def run_collected(state: DataFrame, step: Hook, steps: int, reporters: dict[str, Column], by: tuple[str, ...] = (), stride: int = 1) -> DataFrame:
+    """The series of simulate, at every stride steps only."""
+    rows = simulate(state, step, steps, reporters=reporters, by=by, stride=stride)[1]
+    return rows if steps % stride == 0 else rows.where(F.col("step") % stride == 0)

@@ -34,6 +34,15 @@ def wrap(spec: SpaceSpec, x: Column, y: Column) -> tuple[Column, Column]:
     return turn(x, spec.width), turn(y, spec.height)
 
 
+def positions(points: DataFrame, ids: DataFrame, strict: bool = True) -> DataFrame:
+    """ids (idx, gen, ...) with px and py of points (idx, gen, px, py). An id whose point is gone, or whose slot has another generation, is an error; not strict: it has stale true and no place."""
+    found = ids.join(points.select("idx", "gen", "px", "py", F.lit(True).alias("__there")), ["idx", "gen"], "left").withColumn("stale", F.col("__there").isNull()).drop("__there")
+    if not strict:
+        return found
+    message = F.concat(F.lit("stale id "), F.col("idx").cast("string"), F.lit(" of generation "), F.col("gen").cast("string"))
+    return found.withColumn("px", F.when(F.col("stale"), F.raise_error(message).cast("double")).otherwise(F.col("px"))).drop("stale")
+
+
 def delta(spec: SpaceSpec, a: Column, b: Column, size: float) -> Column:
     """The shortest signed way from a to b along one axis."""
     d = b - a

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from agentframe.functions import rng
 from agentframe.operators import agents as a
-from agentframe.operators import collect, paths, ranks
+from agentframe.operators import collect, models, paths, ranks
 from agentframe.plans.declare import query
 from agentframe.plans.fixtures import AGENTS, PANEL, agents, panel, table
 from agentframe.plans.random_plans import child_sql
@@ -127,3 +127,17 @@ def agent_paths(spark, sf_dir):
     moves = ranks.numbered_within(orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "step").select(
         F.col("o_custkey").alias("idx"), "step", (F.col("o_orderkey") * 37 % 801 - 400).cast("double").alias("dx"), (F.col("o_orderkey") * 91 % 601 - 300).cast("double").alias("dy"))
     return paths.follow(moves, 1000.0, 800.0)
+
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT 0 AS step, idx, wealth FROM {AGENTS} UNION ALL SELECT step + 1, idx, (wealth + 10) // 2 FROM w WHERE step < 12 AND wealth >= 50),
+    ended AS (SELECT min(step) AS last FROM (SELECT step, max(wealth) AS top FROM w GROUP BY step) WHERE top < 100000)
+    SELECT CAST(step AS BIGINT) AS step, count(*) AS agents, CAST(sum(wealth) AS BIGINT) AS wealth FROM w, ended WHERE step <= last AND (step = 0 OR wealth >= 50) AND (step % 2 = 0 OR step = last) GROUP BY step"""
+)
+def sched_until_finished(spark, sf_dir):
+    """Wealth is halved until nobody has 100,000; a hook before each step gives ten to all, one after it drops the poor; every second step and the last are collected."""
+    start = agents(spark, sf_dir).select("idx", "wealth")
+    _, series = models.simulate(
+        start, lambda s, _: s.withColumn("wealth", F.expr("wealth div 2")), 12, finished=lambda s: F.max("wealth") < 100000, before=lambda s, _: s.withColumn("wealth", F.col("wealth") + 10),
+        after=lambda s, _: s.where("wealth >= 50"), reporters={"agents": F.count("*"), "wealth": F.sum("wealth")}, stride=2)
+    return series

@@ -404,6 +404,20 @@ def rule_danger_zones(spark, sf_dir):
     return customers(spark, sf_dir).join(zones, "idx", "left").select("idx", F.round(F.coalesce(risk, F.lit(0.0)), 6).alias("risk"))
 
 
+@query(
+    f"""WITH z AS (SELECT o_custkey AS idx, o_orderkey % 1000 * 1e0 AS zx, o_orderkey * 7 % 1000 * 1e0 AS zy, o_orderkey % 300 AS step, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 300 DESC, o_orderkey % 1000 DESC, o_orderkey * 7 % 1000 DESC) AS k FROM orders),
+    r AS (SELECT c.idx, round(coalesce(sum(CASE WHEN 300 - step < 168 AND sqrt(pow(px - zx, 2) + pow(py - zy, 2)) < 400 THEN (1 - (300 - step) / 168e0) * (1 - sqrt(pow(px - zx, 2) + pow(py - zy, 2)) / 400) ELSE 0 END) FILTER (WHERE k <= 4), 0), 6) AS risk FROM {CUSTOMERS} c LEFT JOIN z USING (idx) GROUP BY c.idx)
+    SELECT idx, risk, risk * CASE WHEN idx % 4 = 0 THEN 1.8e0 ELSE 1e0 END > 0.2e0 AS avoids FROM r"""
+)
+def rule_danger_avoidance(spark, sf_dir):
+    """Each agent remembers its four latest zones, and avoids a place whose remembered risk passes its aversion; every fourth feels 1.8 times as much."""
+    zone = F.struct((F.col("o_orderkey") % 300).alias("step"), (F.col("o_orderkey") % 1000).cast("double").alias("px"), (F.col("o_orderkey") * 7 % 1000).cast("double").alias("py"))
+    zones = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("idx")).agg(rules.remembered(F.sort_array(F.collect_list(zone)), 4).alias("zones"))
+    risk = F.round(F.coalesce(rules.zone_risk(F.col("zones"), F.col("px"), F.col("py"), F.lit(300)), F.lit(0.0)), 6)
+    felt = customers(spark, sf_dir).join(zones, "idx", "left").select("idx", risk.alias("risk"))
+    return felt.select("idx", "risk", rules.avoids(F.col("risk"), F.col("idx") % 4 == 0, F.lit(0.2)).alias("avoids"))
+
+
 @query(
     f"""WITH n AS (SELECT a.idx, count(*) - 1 AS grp FROM {CUSTOMERS} a, {CUSTOMERS} b WHERE sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) <= 50 GROUP BY a.idx), d AS (SELECT idx, CASE WHEN idx % 3 = 0 THEN idx % 500 END AS dog, CASE WHEN idx % 4 = 0 THEN idx % 40 END AS mother FROM {CUSTOMERS})
     SELECT idx, round(least(greatest(0.26e0 * ((idx % 7) / 7e0) + 0.05e0 * ((idx % 11) / 11e0) + coalesce(-0.20e0 * (1 - dog / 500e0), 0) - 0.03e0 * least(grp / 10e0, 1) + 0.03e0 * (1 - (idx % 100) / 100e0) + CASE WHEN mother < 20 THEN -0.12e0 * (1 - mother / 20e0) ELSE 0 END, 0.02e0), 0.35e0), 6) AS p FROM n JOIN d USING (idx)"""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from agentframe.operators import agents
 from agentframe.operators import nearest as near
 from agentframe.operators import space as s
 from agentframe.plans.declare import query
-from agentframe.plans.fixtures import CUSTOMERS, POINTS, SPACE, TORUS, customers, points
+from agentframe.plans.fixtures import CUSTOMERS, POINTS, SPACE, TORUS, customers, points, table
 
 _WIDE = "(SELECT idx, px * 3 - 1000 AS px, py * 3 - 1000 AS py FROM " + POINTS + ")"
 _LAST = "CAST(999.9999999999999 AS DOUBLE)"
@@ -173,3 +174,17 @@ def radius_pairs_any(spark, sf_dir):
     """Pairs within 40 on a torus without a grid of buckets."""
     there = customers(spark, sf_dir)
     return near.pairs_within(there, there, TORUS, 40.0).select("idx", "q_idx", F.round("dist", 6).alias("dist"))
+
+
+_DEAD_IDS = f"(SELECT idx FROM {POINTS} WHERE idx % 7 = 3)"
+
+
+@query(f"SELECT o_orderkey AS ask, (o_orderkey * 31 % (SELECT count(*) FROM orders))::BIGINT AS idx, CAST(o_orderkey % 5 = 0 AS INT) AS gen, p.px IS NULL AS stale, round(coalesce(p.px, -1), 6) AS px, round(coalesce(p.py, -1), 6) AS py FROM orders LEFT JOIN (SELECT *, 0 AS gen FROM {POINTS} WHERE idx NOT IN (SELECT idx FROM {_DEAD_IDS})) p ON p.idx = o_orderkey * 31 % (SELECT count(*) FROM orders) AND p.gen = CAST(o_orderkey % 5 = 0 AS INT)")
+def point_remove_lookup(spark, sf_dir):
+    """Points are removed, then looked up by id and generation: ids of removed points and of other generations are stale."""
+    there = points(spark, sf_dir).withColumn("gen", F.lit(0))
+    left = agents.remove(there, there.where("idx % 7 = 3"))
+    orders = table(spark, sf_dir, "orders")
+    ids = orders.select(F.col("o_orderkey").alias("ask"), (F.col("o_orderkey") * 31 % orders.count()).alias("idx"), (F.col("o_orderkey") % 5 == 0).cast("int").alias("gen"))
+    out = s.positions(left, ids, strict=False)
+    return out.select("ask", "idx", "gen", "stale", F.round(F.coalesce("px", F.lit(-1.0)), 6).alias("px"), F.round(F.coalesce("py", F.lit(-1.0)), 6).alias("py"))

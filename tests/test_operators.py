@@ -245,3 +245,23 @@ def test_collectors(spark):
     assert collect.gini(spark.createDataFrame([("a", 0), ("a", 0)], "g string, w long"), "g", "w").first().gini == 0
     with pytest.raises(ValueError):
         collect.every(state, 0)
+
+
+def test_one_loop_with_hooks_stop_and_series(spark):
+    start = spark.createDataFrame([(1, 5), (2, 9)], "idx long, v long")
+    state, series = models.simulate(start, lambda s, k: s.withColumn("v", F.col("v") + 1), 9, finished=lambda s: F.max("v") >= 16, before=lambda s, k: s.withColumn("v", F.col("v") + k), reporters={"top": F.max("v")}, by=("idx",), stride=3)
+    assert {r.idx: r.v for r in state.collect()} == {1: 15, 2: 19}
+    assert sorted(map(tuple, series.collect())) == [(1, 0, 5), (1, 3, 11), (1, 4, 15), (2, 0, 9), (2, 3, 15), (2, 4, 19)]
+    assert models.simulate(start, lambda s, k: s, 3)[1] is None
+    with pytest.raises(ValueError):
+        models.simulate(start, lambda s, k: s, 3, stride=0)
+
+
+def test_stale_ids_are_errors(spark):
+    there = spark.createDataFrame([(1, 0, 2.0, 3.0), (2, 4, 5.0, 6.0)], "idx long, gen int, px double, py double")
+    ids = spark.createDataFrame([(1, 0), (2, 4), (2, 3), (9, 0)], "idx long, gen int")
+    got = {(r.idx, r.gen): (r.px, r.stale) for r in space.positions(there, ids, strict=False).collect()}
+    assert got == {(1, 0): (2.0, False), (2, 4): (5.0, False), (2, 3): (None, True), (9, 0): (None, True)}
+    assert space.positions(there, ids.limit(2)).count() == 2
+    with pytest.raises(PySparkException, match="stale id"):
+        space.positions(there, ids).collect()
