@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentframe.functions import rng
+from agentframe.operators import ranks
 from agentframe.operators.models import settled
 
 
@@ -32,10 +33,10 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def random_neighbour(edges: DataFrame, word: Column) -> DataFrame:
-    """(src, dst): one neighbour of each node, uniform by word over src; neighbours are numbered by dst."""
-    w = Window.partitionBy("src")
-    ranked = edges.withColumns({"pos": F.row_number().over(w.orderBy("dst")) - 1, "deg": F.count("*").over(w)})
-    return ranked.where(F.col("pos") == rng.below(word, F.col("deg"))).select("src", "dst")
+    """(src, dst): one neighbour of each node, uniform by word over src; neighbours are numbered by dst, over range partitions, as a hub may have most edges."""
+    placed = ranks.numbered_within(edges.select("src", "dst"), ["src"], [F.col("dst")], "pos")
+    wanted = edges.groupBy("src").agg(F.count("*").alias("deg")).select("src", (rng.below(word, F.col("deg")) + 1).alias("pos"))
+    return placed.join(ranks.sized(wanted), ["src", "pos"]).select("src", "dst")
 
 
 def count_neighbours(edges: DataFrame, status: DataFrame, value: str) -> DataFrame:

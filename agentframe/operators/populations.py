@@ -5,11 +5,12 @@ States carry the columns ``by`` (configuration, seed), so all runs of an ensembl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agentframe.functions import rng
 from agentframe.operators import grid as g
+from agentframe.operators import ranks
 from agentframe.operators.grid import GridSpec
 from agentframe.operators.models import cell_id, walk_step
 
@@ -62,6 +63,6 @@ def hunt_step(grazers: DataFrame, wolves: DataFrame, spec: GridSpec, step: int,
     """(grazers, wolves) (idx, x, y) after a step: all walk, then each cell's wolves eat as many of its grazers, smallest idx first."""
     grazers, wolves = walk_step(grazers, spec, step, seed), walk_step(wolves, spec, step, seed + 1)
     hungry = wolves.groupBy("x", "y").agg(F.count("*").alias("n"))
-    order = F.row_number().over(Window.partitionBy("x", "y").orderBy("idx"))
-    left = grazers.join(hungry, ["x", "y"], "left").withColumn("k", order).where((F.col("k") > F.col("n")) | F.col("n").isNull())
+    placed = ranks.numbered_within(grazers, ["x", "y"], [F.col("idx")], "k")
+    left = placed.join(ranks.sized(hungry), ["x", "y"], "left").where((F.col("k") > F.col("n")) | F.col("n").isNull())
     return left.select("idx", "x", "y"), wolves
