@@ -316,17 +316,52 @@ def _sugar(spark, sf_dir, growths, steps):
     return rows
 
 
-@query()
+def _sugar_sql(growths: list[int], steps: int) -> str:
+    """CTEs a0 .. a<steps> of agents and c0 .. c<steps> of cells: the rule of populations.sugar_step."""
+    band = lambda ax, ay: f"(SELECT CASE WHEN far < 0.18e0 THEN 4 WHEN far < 0.37e0 THEN 3 WHEN far < 0.62e0 THEN 2 WHEN far < 1 THEN 1 ELSE 0 END FROM (SELECT sqrt(pow(x - {ax} * {WIDTH}, 2) + pow(y - {ay} * {HEIGHT}, 2)) / (0.55e0 * least({WIDTH}, {HEIGHT})) AS far))"
+    parts = [
+        f"r AS (SELECT unnest({growths}) AS growth)", f"base AS MATERIALIZED (SELECT x, y, cap, y * {WIDTH} + x AS idx, greatest({band('0.75e0', '0.25e0')}, {band('0.25e0', '0.75e0')}) AS top FROM {GRID})",
+        "c0 AS (SELECT growth, x, y, top AS sugar, top AS cap FROM base, r)", "a0 AS (SELECT growth, idx, x, y, idx % 4 + 1 AS vision, idx % 3 + 1 AS metabolism, idx % 7 + 3 AS wealth FROM base, r WHERE cap % 5 = 0)",
+        "axes AS (SELECT * FROM (VALUES (1, 0, 0), (-1, 0, 1), (0, 1, 2), (0, -1, 3)) v(dx, dy, axis))",
+    ]
+    for k in range(steps):
+        parts += [
+            f"seen{k} AS (SELECT growth, idx, {_MOD('x + dx * dist', WIDTH)} AS nx, {_MOD('y + dy * dist', HEIGHT)} AS ny, dist, axis FROM a{k}, axes, (SELECT unnest(range(1, 5)) AS dist) WHERE dist <= vision)",
+            f"open{k} AS (SELECT s.* FROM seen{k} s LEFT JOIN a{k} a ON a.growth = s.growth AND a.x = s.nx AND a.y = s.ny WHERE a.idx IS NULL UNION ALL SELECT growth, idx, x, y, 0, -1 FROM a{k})",
+            f"wish{k} AS (SELECT * FROM (SELECT o.growth, o.idx, nx, ny, row_number() OVER (PARTITION BY o.growth, o.idx ORDER BY sugar DESC, dist, axis) AS k FROM open{k} o JOIN c{k} c ON c.growth = o.growth AND c.x = nx AND c.y = ny) WHERE k = 1)",
+            f"won{k} AS (SELECT growth, nx, ny, min(idx) AS idx FROM wish{k} GROUP BY ALL)",
+            f"put{k} AS (SELECT a.growth, a.idx, coalesce(nx, x) AS x, coalesce(ny, y) AS y, vision, metabolism, wealth FROM a{k} a LEFT JOIN won{k} w ON w.growth = a.growth AND w.idx = a.idx)",
+            f"a{k + 1} AS (SELECT * FROM (SELECT p.growth, idx, p.x, p.y, vision, metabolism, wealth + sugar - metabolism AS wealth FROM put{k} p JOIN c{k} c ON c.growth = p.growth AND c.x = p.x AND c.y = p.y) WHERE wealth > 0)",
+            f"c{k + 1} AS (SELECT c.growth, c.x, c.y, least(CASE WHEN p.idx IS NULL THEN sugar ELSE 0 END + c.growth, cap) AS sugar, cap FROM c{k} c LEFT JOIN put{k} p ON p.growth = c.growth AND p.x = c.x AND p.y = c.y)",
+        ]
+    return "WITH " + ", ".join(parts)
+
+
+@query(_sugar_sql([1], 2) + " " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS step, count(*) AS population, sum(wealth)::BIGINT AS wealth FROM a{k}" for k in range(3)))
 def model_sugarscape(spark, sf_dir):
     return _sugar(spark, sf_dir, [1], 2).select("step", "population", "wealth")
 
 
-@query()
+@query(_sugar_sql([1, 2], 1) + " SELECT growth, count(*) AS population, sum(wealth)::BIGINT AS wealth FROM a1 GROUP BY growth")
 def sweep_sugarscape(spark, sf_dir):
     return _sugar(spark, sf_dir, [1, 2], 1).where("step = 1").select("growth", "population", "wealth")
 
 
-@query()
+def _hunt_sql(steps: int) -> str:
+    """Grazers and wolves walk, then each cell's wolves eat as many of its grazers, smallest idx first."""
+    parts = [f"s AS {_START}", "g0 AS (SELECT * FROM s WHERE idx % 4 > 0)", "v0 AS (SELECT * FROM s WHERE idx % 4 = 0)"]
+    for k in range(steps):
+        for name, seed in (("g", 41), ("v", 42)):
+            drawn = child_sql(f"{name}{k}", seed, str(k), "idx")
+            near = f"(SELECT idx, h, {_MOD('x + dx', WIDTH)} AS nx, {_MOD('y + dy', HEIGHT)} AS ny, row_number() OVER (PARTITION BY idx ORDER BY dy, dx) - 1 AS p FROM {drawn}, {_OFF})"
+            to = f"v{k + 1}" if name == "v" else f"m{k}"
+            parts.append(f"{to} AS (SELECT idx, CAST(nx AS INT) AS x, CAST(ny AS INT) AS y FROM {near} WHERE p = floor({u01('h')} * 8)::BIGINT)")
+        parts.append(f"g{k + 1} AS (SELECT idx, x, y FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY idx) AS k FROM m{k}) LEFT JOIN (SELECT x, y, count(*) AS n FROM v{k + 1} GROUP BY ALL) USING (x, y) WHERE n IS NULL OR k > n)")
+    each = " UNION ALL ".join(f"SELECT (SELECT count(*) FROM g{k}) AS grazers, (SELECT count(*) FROM v{k}) AS wolves, {k}::BIGINT AS step" for k in range(steps + 1))
+    return "WITH " + ", ".join(parts) + " " + each
+
+
+@query(_hunt_sql(2))
 def model_predator_prey_grid(spark, sf_dir):
     """(step, grazers, wolves): grazers of the customers' places, wolves that eat those they meet."""
     spec, start = _walkers(spark, sf_dir)
