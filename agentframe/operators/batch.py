@@ -48,6 +48,7 @@ def maximise(spark: SparkSession, evaluate: Callable[[DataFrame], DataFrame], bo
     best, top = x[y.argmax()].copy(), float(y.max())
     own, own_y, speed = x.copy(), y.copy(), np.zeros_like(x)
     for g in range(generations):
+        # The factors and rates of the methods, here and below.
         if method == "de":
             pick = np.array([rng.choice(population, 3, replace=False) for _ in range(population)])
             trial = x[pick[:, 0]] + 0.6 * (x[pick[:, 1]] - x[pick[:, 2]])

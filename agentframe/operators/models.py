@@ -14,10 +14,17 @@ from agentframe.operators import space as s
 from agentframe.operators.grid import GridSpec
 
 
+# The limits of the capacity bands, from the richest out, and the reach of a peak.
+BANDS, PEAK_REACH = ((0.18, 4), (0.37, 3), (0.62, 2), (1.0, 1)), 0.55
+
+
 def capacity_band(spec: GridSpec, ax: float, ay: float) -> Column:
-    """Capacity 4 to 0 by the distance from a peak at (ax * width, ay * height), relative to 0.55 of the shorter side."""
-    far = F.sqrt(F.pow(F.col("x") - ax * spec.width, F.lit(2)) + F.pow(F.col("y") - ay * spec.height, F.lit(2))) / (0.55 * min(spec.width, spec.height))
-    return F.when(far < 0.18, 4).when(far < 0.37, 3).when(far < 0.62, 2).when(far < 1, 1).otherwise(0)
+    """Capacity 4 to 0 by the distance from a peak at (ax * width, ay * height), relative to PEAK_REACH of the shorter side."""
+    far = F.sqrt(F.pow(F.col("x") - ax * spec.width, F.lit(2)) + F.pow(F.col("y") - ay * spec.height, F.lit(2))) / (PEAK_REACH * min(spec.width, spec.height))
+    band = F.when(far < BANDS[0][0], BANDS[0][1])
+    for limit, capacity in BANDS[1:]:
+        band = band.when(far < limit, capacity)
+    return band.otherwise(0)
 
 
 def cell_id(spec: GridSpec) -> Column:

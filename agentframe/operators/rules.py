@@ -61,6 +61,9 @@ def activity(hour: Column, peak: float, amplitude: float, sigma: float, base: fl
     return F.least(base + amplitude * F.exp(-(d * d) / (2 * sigma * sigma)), F.lit(1.0))
 
 
+# Fixed values of the rules below stand where they are used: 64 zones, 168 hours, 400 m, 1.8 times; the shares and limits of a kill; of flows, sheep, prey, dogs and hares.
+
+
 def remembered(zones: Column, most: int = 64) -> Column:
     """The latest zones, as many as an animal remembers, of an array in the order of their steps."""
     return F.slice(zones, F.greatest(F.size(zones) - most + 1, F.lit(1)), most)

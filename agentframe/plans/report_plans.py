@@ -11,9 +11,6 @@ from agentframe.plans.declare import query
 from agentframe.plans.fixtures import AGENTS, CUSTOMERS, ENS, GRID, HEIGHT, WIDTH, agents, customers, ensemble, grid, grid_spec
 
 
-#: Means of rounded values fall on ties of further rounding; both forms shift them alike.
-
-
 @query(f"SELECT grp, count_if(wealth > 500000)::BIGINT AS rich, round(avg(CASE WHEN wealth > 500000 THEN 1e0 ELSE 0e0 END), 6) AS fraction FROM {AGENTS} GROUP BY grp")
 def report_fraction(spark, sf_dir):
     rich = F.col("wealth") > 500000
