@@ -181,3 +181,12 @@ def sample_points(points: DataFrame, grid: DataFrame, spec: GridSpec, extent: fl
     col = clamp(F.floor(F.col("px") / extent * spec.width), spec.width)
     row = clamp(F.floor((1 - F.col("py") / extent) * spec.height), spec.height)
     return points.withColumns({"x": col, "y": row}).join(grid.select("x", "y", value), ["x", "y"], "left")
+
+
+def best_direction(points: DataFrame, grid: DataFrame, spec: GridSpec, extent: float, value: str, ways: list[tuple[float, float]], reach: float) -> DataFrame:
+    """(idx, direction) of points (idx, px, py): the first of ways, reach away, whose cell has the greatest value, -1 if none has more than the own cell."""
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("ox"), F.lit(y).alias("oy")) for k, (x, y) in enumerate(ways)])
+    probes = points.select("idx", F.col("px").alias("qx"), F.col("py").alias("qy"), F.inline(steps)).select("idx", "k", (F.col("qx") + reach * F.col("ox")).alias("px"), (F.col("qy") + reach * F.col("oy")).alias("py"))
+    best = sample_points(probes, grid, spec, extent, value).groupBy("idx").agg(F.max(F.struct(value, (-F.col("k")).alias("nk"))).alias("b"))
+    own = sample_points(points, grid, spec, extent, value).select("idx", F.col(value).alias("own"))
+    return best.join(own, "idx").select("idx", F.when(F.col("b")[value] > F.col("own"), -F.col("b.nk")).otherwise(-1).alias("direction"))

@@ -176,3 +176,16 @@ def flee(hares: DataFrame, foxes: DataFrame, spec: SpaceSpec, radius: float = 80
     away = lambda c: F.when(F.col("b.dist") > 0, (F.col(f"p{c}") - F.col(f"b.q_p{c}")) / F.col("b.dist") * speed).otherwise(0.0)
     nx, ny = wrap(spec, F.col("px") + F.coalesce(away("x"), F.lit(0.0)), F.col("py") + F.coalesce(away("y"), F.lit(0.0)))
     return out.select("idx", nx.alias("px"), ny.alias("py"), F.col("b").isNotNull().alias("fled"))
+
+
+def hare_step(hares: DataFrame, foxes: DataFrame, ways: DataFrame, angle: Column, spec: SpaceSpec, radius: float = 80.0, run: float = 800.0, walk: float = 120.0, calm: float = 0.15, scared: float = 0.5) -> DataFrame:
+    """(idx, px, py, fear, did) of hares (idx, px, py, fear): those with a fox within radius flee straight from it, those whose fear, less calm, is over scared run along angle, the others walk
+    along their way (idx, ox, oy) to better food, or stay where there is none."""
+    gone = flee(hares.select("idx", "px", "py"), foxes, spec, radius, run).select("idx", F.col("px").alias("fx"), F.col("py").alias("fy"), "fled")
+    out = hares.join(gone, "idx").join(ways, "idx", "left").withColumn("fear", F.greatest(F.col("fear") - calm, F.lit(0.0)))
+    did = F.when(F.col("fled"), "flee").when(F.col("fear") > scared, "panic").otherwise("forage")
+    out = out.withColumn("did", did)
+    go = lambda o, a: F.when(F.col("did") == "panic", run * a).otherwise(walk * F.coalesce(o, F.lit(0.0)))
+    nx, ny = wrap(spec, F.col("px") + go(F.col("ox"), F.cos(angle)), F.col("py") + go(F.col("oy"), F.sin(angle)))
+    kept = lambda a, b: F.when(F.col("did") == "flee", F.col(a)).otherwise(b)
+    return out.select("idx", kept("fx", nx).alias("px"), kept("fy", ny).alias("py"), "fear", "did")

@@ -202,12 +202,7 @@ _AT = lambda px, py: f"least(greatest(CAST(floor(({px}) / 1000 * {WIDTH}) AS INT
 )
 def raster_best_direction(spark, sf_dir):
     """The first of eight directions, 50 away, whose cell has the greatest value, -1 if none has more than the own cell."""
-    spec, cells, there = grid_spec(spark, sf_dir), grid(spark, sf_dir), points(spark, sf_dir)
-    ways = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("ox"), F.lit(y).alias("oy")) for k, (x, y) in enumerate(_COMPASS)])
-    probes = there.select("idx", F.col("px").alias("qx"), F.col("py").alias("qy"), F.inline(ways)).select("idx", "k", (F.col("qx") + 50 * F.col("ox")).alias("px"), (F.col("qy") + 50 * F.col("oy")).alias("py"))
-    best = g.sample_points(probes, cells, spec, 1000.0, "v").groupBy("idx").agg(F.max(F.struct("v", (-F.col("k")).alias("nk"))).alias("b"))
-    own = g.sample_points(there, cells, spec, 1000.0, "v").select("idx", F.col("v").alias("own"))
-    return best.join(own, "idx").select("idx", F.when(F.col("b.v") > F.col("own"), -F.col("b.nk")).otherwise(-1).alias("direction"))
+    return g.best_direction(points(spark, sf_dir), grid(spark, sf_dir), grid_spec(spark, sf_dir), 1000.0, "v", _COMPASS, 50.0)
 
 
 @query(f"SELECT x, y, round(greatest(least(0.5e0 + 0.3e0 * sin(x * 0.7e0) * cos(y * 0.3e0) + 0.2e0 * sin(y * 1.1e0), 1e0), 0e0), 9) AS v FROM {GRID}")

@@ -11,6 +11,7 @@ from agentframe.operators import rules
 from agentframe.operators import space as s
 from agentframe.plans.declare import query
 from agentframe.plans.fixtures import CUSTOMERS, GRID, HEIGHT, SPACE, WIDTH, customers, grid, grid_spec
+from agentframe.plans.grid_plans import _AT, _COMPASS, _COMPASS_SQL
 from agentframe.plans.random_plans import child_sql, u01
 
 _KIND = "CASE WHEN idx % 5 = 0 THEN 'fox' WHEN idx % 5 = 1 THEN 'dog' WHEN idx % 5 < 4 THEN 'sheep' ELSE 'hare' END"
@@ -135,6 +136,29 @@ def rule_hare_flee(spark, sf_dir):
     return out.select("idx", F.round("px", 5).alias("px"), F.round("py", 5).alias("py"), "fled")
 
 
+_HARES = f"(SELECT * FROM {_HERD} WHERE kind = 'hare')"
+_HARE_WORD = child_sql(_HARES, 61, "3", "idx")
+
+
+@query(
+    f"""WITH h AS (SELECT *, greatest(idx % 10 / 10e0 - 0.15e0, 0) AS fear, {u01('h')} * 2 * pi() AS angle FROM {_HARE_WORD}), n AS (SELECT h.idx, f.px AS qx, f.py AS qy, sqrt(pow(f.px - h.px, 2) + pow(f.py - h.py, 2)) AS d, f.idx AS q FROM h JOIN {_HERD} f ON sqrt(pow(f.px - h.px, 2) + pow(f.py - h.py, 2)) <= 12 WHERE f.kind = 'fox'),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, q) AS k FROM n) WHERE k = 1),
+    own AS (SELECT idx, c.v AS own FROM (SELECT idx, {_AT('px', 'py')} FROM h) JOIN {GRID} c USING (x, y)), probe AS (SELECT idx, k, ox, oy, c.v FROM (SELECT idx, k, ox, oy, {_AT('px + 50 * ox', 'py + 50 * oy')} FROM h, (VALUES {_COMPASS_SQL}) o(k, ox, oy)) JOIN {GRID} c USING (x, y)),
+    w AS (SELECT idx, CASE WHEN v > own THEN ox ELSE 0 END AS ox, CASE WHEN v > own THEN oy ELSE 0 END AS oy FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY v DESC, k) AS r FROM probe) JOIN own USING (idx) WHERE r = 1),
+    m AS (SELECT h.idx, h.px, h.py, fear, CASE WHEN b.idx IS NOT NULL THEN 'flee' WHEN fear > 0.5e0 THEN 'panic' ELSE 'forage' END AS did, (h.px - qx) / d AS ax, (h.py - qy) / d AS ay, angle, ox, oy FROM h LEFT JOIN b USING (idx) LEFT JOIN w USING (idx))
+    SELECT idx, round({_TOP.format("px + CASE did WHEN 'flee' THEN ax * 60 WHEN 'panic' THEN 60 * cos(angle) ELSE 15 * ox END")}, 5) AS px, round({_TOP.format("py + CASE did WHEN 'flee' THEN ay * 60 WHEN 'panic' THEN 60 * sin(angle) ELSE 15 * oy END")}, 5) AS py, round(fear, 6) AS fear, did FROM m"""
+)
+def rule_hare_step(spark, sf_dir):
+    """Hares flee foxes within 12, run about while they are scared, and walk to better food otherwise."""
+    herd = _herd(spark, sf_dir)
+    hares = herd.where("kind = 'hare'").select("idx", "px", "py", (F.col("idx") % 10 / 10.0).alias("fear"))
+    best = g.best_direction(hares.select("idx", "px", "py"), grid(spark, sf_dir), grid_spec(spark, sf_dir), 1000.0, "v", _COMPASS, 50.0)
+    way = lambda i: F.when(F.col("direction") < 0, 0.0).otherwise(F.get(F.array(*[F.lit(c[i]) for c in _COMPASS]), F.greatest(F.col("direction"), F.lit(0))))
+    angle = rng.uniform(rng.child_seed(61, F.lit(3).cast("long"), F.col("idx"))) * 2 * F.pi()
+    out = rules.hare_step(hares, herd.where("kind = 'fox'").select("idx", "px", "py"), best.select("idx", way(0).alias("ox"), way(1).alias("oy")), angle, SPACE, 12.0, 60.0, 15.0)
+    return out.select("idx", F.round("px", 5).alias("px"), F.round("py", 5).alias("py"), F.round("fear", 6).alias("fear"), "did")
+
+
 _WRAP = "18446744073709551616::UHUGEINT"
 
 
