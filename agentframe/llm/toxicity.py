@@ -89,19 +89,16 @@ def _bounded(texts: list[str], limit: int = 1 << 20) -> Iterator[int]:
             held = 0
 
 
-def _present(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) pairs, each once."""
-    rows, buckets = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+def _pairs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(texts, buckets): the pairs of a bounded run of texts at a time, each once."""
     a = 0
-    for b in _bounded(texts):
+    for b in _bounded(texts, 1 << 19):
         data, offsets = _joined(texts[a:b])
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         found = [owner[: len(bucket)][inside] * BUCKETS + bucket[inside] for bucket, inside in grams(data, offsets)]
         flat = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        rows.append((flat // BUCKETS + a).astype(np.int32))
-        buckets.append((flat % BUCKETS).astype(np.int32))
+        yield flat // BUCKETS + a, flat % BUCKETS
         a = b
-    return np.concatenate(rows), np.concatenate(buckets)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -123,48 +120,65 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) ->
     return w, b
 
 
-def _fit(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """n: the numbers of the texts to learn from. Buckets, weights, intercept."""
-    use = np.zeros(len(y), bool)
-    use[n] = True
-    at = use[rows]
-    rows, buckets = rows[at], buckets[at]
-    total, toxic = np.bincount(buckets, minlength=BUCKETS), np.bincount(buckets, y[rows], BUCKETS)
+def _chosen(total: np.ndarray, toxic: np.ndarray, n: int, n_toxic: float) -> tuple[np.ndarray, np.ndarray]:
+    """The KEPT buckets with the strongest evidence, and their log ratios, by the counts of n texts with and without a label."""
     seen = np.flatnonzero(total >= LEAST_TEXTS)
-    toxic, clean = toxic[seen], total[seen] - toxic[seen]
-    del total
-    p, q = (toxic + 0.5) / (y[n].sum() + 1), (clean + 0.5) / ((1 - y[n]).sum() + 1)
+    toxic, clean = toxic[seen].astype(float), (total[seen] - toxic[seen]).astype(float)
+    p, q = (toxic + 0.5) / (n_toxic + 1), (clean + 0.5) / (n - n_toxic + 1)
     strength = np.abs(p - q) / np.sqrt((p + q) / 2)
     best = np.sort(np.argsort(-strength, kind="stable")[:KEPT])
-    kept, ratio = seen[best], np.log(p / q)[best]
-    column = np.full(BUCKETS, -1, np.int32)
-    column[kept] = np.arange(len(kept))
+    return seen[best], np.log(p / q)[best]
+
+
+def _fit(kept: np.ndarray, ratio: np.ndarray, rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+    """n: the numbers of the texts to learn from. Weights of the kept buckets and intercept."""
     number = np.full(len(y), -1, np.int64)
     number[n] = np.arange(len(n))
+    at = np.minimum(np.searchsorted(kept, buckets), max(0, len(kept) - 1))
+    ok = (number[rows] >= 0) & (kept[at] == buckets) if len(kept) else np.zeros(len(rows), bool)
     x = np.zeros((len(n), len(kept)))
-    ok = column[buckets] >= 0
-    at = column[buckets[ok]]
-    x[number[rows[ok]], at] = ratio[at]
+    x[number[rows[ok]], at[ok]] = ratio[at[ok]]
     w, b = _logistic(x, y[n], 0.02)
-    return kept, w * ratio, b
+    return w * ratio, b
 
 
 def train(texts: list[str], labels: list[int], prior: float | None = None) -> NbLinear:
-    """Learns from labelled texts; prior is the share of toxic rows that scores are calibrated to (None: as in the sample)."""
+    """Learns from labelled texts; prior is the share of toxic rows that scores are calibrated to (None: as in the sample).
+
+    Two passes over the texts: counts of each bucket by fold and class, then the pairs of the kept buckets only, so memory does not grow with the texts' n-grams.
+    """
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return NbLinear(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, -30.0)
-    rows, buckets = _present(texts)
-    often = (np.bincount(buckets, minlength=BUCKETS) >= LEAST_TEXTS)[buckets]
-    rows, buckets = rows[often], buckets[often]
     folds = 3
+    fold = np.arange(len(y)) % folds
+    counts = np.zeros((folds, 2, BUCKETS), np.int32)
+    for rows, buckets in _pairs(texts):
+        for k in range(folds):
+            for c in (0, 1):
+                own = (fold[rows] == k) & (y[rows] == c)
+                np.add.at(counts[k, c], buckets[own], 1)
+    sets = [np.flatnonzero(fold != k) for k in range(folds)] + [np.arange(len(y))]
+    chosen = []
+    for k, n in enumerate(sets):
+        clean, toxic = (counts[[j for j in range(folds) if j != k], c].sum(0) for c in (0, 1))
+        chosen.append(_chosen(clean + toxic, toxic, len(n), y[n].sum()))
+    del counts
+    wanted = np.zeros(BUCKETS, bool)
+    for kept, _ in chosen:
+        wanted[kept] = True
+    held = [(rows[wanted[buckets]], buckets[wanted[buckets]]) for rows, buckets in _pairs(texts)]
+    rows, buckets = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    fitted = [(kept, *_fit(kept, ratio, rows, buckets, y, n)) for (kept, ratio), n in zip(chosen, sets, strict=True)]
     margin = np.zeros(len(y))
-    for k in range(folds):
-        test = np.arange(k, len(y), folds)
-        kept, w, b = _fit(rows, buckets, y, np.setdiff1d(np.arange(len(y)), test))
-        data, offsets = _joined([texts[i] for i in test])
-        margin[test] = NbLinear(kept, w, b, 1, 0).margins(data, offsets)
-    kept, w, b = _fit(rows, buckets, y, np.arange(len(y)))
+    for k, (kept, w, b) in enumerate(fitted[:folds]):
+        test = np.flatnonzero(fold == k)
+        a = 0
+        for e in _bounded([texts[i] for i in test]):
+            data, offsets = _joined([texts[i] for i in test[a:e]])
+            margin[test[a:e]] = NbLinear(kept, w, b, 1, 0).margins(data, offsets)
+            a = e
+    kept, w, b = fitted[folds]
     slope, offset = _logistic(margin[:, None], y, 1e-6, 2000)
     share = y.mean()
     if prior:
