@@ -103,11 +103,13 @@ def test_ratios_and_margins_match_brute_force():
     rng = random.Random(21)
     texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 40))) + ("poison" if i % 3 == 0 else "") for i in range(90)]
     y = np.array([float(i % 3 == 0) for i in range(90)])
-    rows, buckets = toxicity._present(texts)
+    rows, buckets = (np.concatenate(x) for x in zip(*toxicity._pairs(texts), strict=True))
     name = lambda g: int(next(b for b, ok in toxicity.grams(np.frombuffer(g, np.uint8), np.array([0, len(g)])) if len(b) == 1 and ok.all())[0])
     sets = [{name(t.encode()[i : i + n]) for n in toxicity.SIZES for i in range(len(t) - n + 1)} for t in texts]
     assert sorted(zip(rows.tolist(), buckets.tolist(), strict=True)) == sorted((i, g) for i, s in enumerate(sets) for g in s)
-    kept, weights, intercept = toxicity._fit(rows, buckets, y, np.arange(90))
+    total, toxic = np.bincount(buckets, minlength=toxicity.BUCKETS), np.bincount(buckets, y[rows], toxicity.BUCKETS)
+    kept, ratios = toxicity._chosen(total, toxic, 90, y.sum())
+    weights, intercept = toxicity._fit(kept, ratios, rows, buckets, y, np.arange(90))
     ratio = {}
     for g in set().union(*sets):
         toxic, clean = (sum(g in s for s, v in zip(sets, y, strict=True) if v == c) for c in (1, 0))
