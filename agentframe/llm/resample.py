@@ -1,7 +1,7 @@
 """Target-distribution importance resampling: documents drawn as if from the distribution of a target collection.
 
 Every text's features (runs of 1 to ``LONGEST`` consecutive terms) are hashed into ``BUCKETS`` by CRC-32. The sparse document-by-bucket count matrix is written once
-as CSR blocks, one row of arrays a slice of texts. Column sums of the corpus' and of the target's blocks give the two smoothed distributions,
+as CSR blocks, one row of arrays a slice of texts, four rows a row group, so that no task holds more at once. Column sums of the corpus' and of the target's blocks give the two smoothed distributions,
 a bucket's gain is the scaled logarithm of their ratio, and the product of the matrix with the gains gives each document's weight. A Gumbel variable that depends on the
 document's key alone is added, and the highest scores are drawn: sampling without replacement, the same in every run.
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from agentframe.llm.common import discard, materialise, quoted, slices, text_buffers, tidy
+from agentframe.llm.common import discard, long_rows, materialise, quoted, slices, text_buffers, tidy
 from agentframe.llm.terms import lowered, run_crcs, term_spans
 
 BUCKETS, LONGEST, SEED, PERCENT, LEAST_WORDS = 10_000, 1, 2024, 10, 20
@@ -125,7 +125,7 @@ def resample(
     buckets: int = BUCKETS, longest: int = LONGEST, seed: int = SEED, percent: int = PERCENT, least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """key, n_features, weight, score and rank for each row of docs."""
-    blocks = materialise(csr_blocks(docs, key, text, buckets, longest), "resample-csr")
+    blocks = materialise(csr_blocks(docs, key, text, buckets, longest), "resample-csr", **long_rows(4))
     wanted = csr_blocks(target.select(F.lit(0).alias("key"), F.col(quoted(target_text)).alias("text")), "key", "text", buckets, longest)
     scored = weights(blocks, gains(column_sums(blocks, buckets), column_sums(wanted, buckets))).withColumn("score", F.col("weight") + gumbel(F.col("key"), seed))
     out = ranked(scored, percent, least_words)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from agentframe.llm import resample, terms
 
@@ -84,3 +85,21 @@ def test_crc_of_runs_matches_zlib():
     sums, owner = terms.run_crcs(data, *terms.term_spans(data, offsets), 3)
     want = sorted((k, zlib.crc32(f.encode())) for k, t in enumerate(texts) for f in features(t, 3)[1])
     assert sorted(zip(owner.tolist(), sums.tolist(), strict=True)) == want
+
+
+def test_a_row_group_of_the_matrix_holds_few_blocks(spark, monkeypatch):
+    """Blocks are rows of megabytes: a task that read a row group of a hundred ran out of memory."""
+    groups, write = [], resample.materialise
+
+    def seen(df, name, **options):
+        out = write(df, name, **options)
+        if name == "resample-csr":
+            groups.extend(pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(resample, "materialise", seen)
+    monkeypatch.setattr(resample, "slices", lambda offsets: ((i, i + 1) for i in range(len(offsets) - 1)))
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(30)], "doc_id long, text string").coalesce(1)
+    assert resample.resample(docs, docs.select("text")).count() == 30
+    assert sum(g.num_rows for g in groups) == 30
+    assert max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) <= 4
