@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from agentframe.llm.common import discard, materialise, quoted, slices, text_buffers, tidy
+from agentframe.llm.common import discard, long_rows, materialise, quoted, slices, text_buffers, tidy
 from agentframe.llm.terms import lowered, term_hashes, term_spans
 
 K, LENGTH_SHARE, SATURATION = 20, 25, 12
@@ -54,7 +54,7 @@ def skyline(rank: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The index of docs, one row a shard, written as a table in small row groups. Keys may be of any type whose values compare."""
+    """The index of docs, one row a shard and one shard a row group, so that no task holds more than one at once. Keys may be of any type whose values compare."""
     ints, longs = ArrayType(IntegerType()), ArrayType(LongType())
     fields = {"lengths": longs, "terms": longs, "starts": longs, "docs": ints, "tfs": ints, "sky_starts": longs, "sky_tf": longs, "sky_length": longs, "n_docs": LongType(), "n_terms": LongType()}
     schema = StructType([StructField("keys", ArrayType(docs.schema[key].dataType)), *(StructField(k, v) for k, v in fields.items())])
@@ -96,7 +96,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_
             yield shard(held)
 
     rows = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text")).mapInArrow(tidy(run), schema)
-    return materialise(rows, "search-index", **{"parquet.block.size": 16 << 20})
+    return materialise(rows, "search-index", **long_rows(1))
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from agentframe.llm import search
@@ -96,3 +97,15 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "the")], "doc_id long, text string")
     assert search.ranked_search(some, queries.where("false")).collect() == []
     assert search.ranked_search(some.withColumn("text", search.F.lit(None).cast("string")), queries).collect() == []
+
+
+def test_a_row_group_of_the_index_holds_one_shard(spark):
+    """Shards are rows of megabytes: a task that wrote or read a hundred of them at once ran out of memory."""
+    docs = spark.createDataFrame([(i, f"word{i} other{i} third{i}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        index = search.build_index(docs, shard_bytes=100)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")) for f in index.inputFiles()]
+    assert index.count() == 6 == sum(f.num_row_groups for f in files)
