@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agentframe.operators import ranks
+from agentframe.operators.nearest import found_nearest, within
 from agentframe.operators.space import SpaceSpec, radius_join, wrap
+from agentframe.sources.shared import settled
 
 # Share of a day's rain that falls in an hour, by (day, hour).
 HOURLY = [(0, 6, 0.70), (0, 7, 0.30), (1, 4, 0.40), (1, 5, 0.30), (1, 12, 0.20), (1, 18, 0.10), (2, 2, 0.50), (2, 8, 0.30), (2, 14, 0.20)]
@@ -137,12 +140,23 @@ def heading(food: tuple[Column, Column], risk: tuple[Column, Column], cohesion:
     return F.when(n > 0, x / n).otherwise(0.0), F.when(n > 0, y / n).otherwise(0.0)
 
 
-def choose_prey(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, prey, score) of pairs (keys, prey, kind, lamb, vulnerability) in sight: the most vulnerable, sheep 0.3 less with two hares or more about, lambs 0.2 more; ties go to the smallest prey."""
-    hares = F.count_if(F.col("kind") == "hare").over(Window.partitionBy(*keys))
-    score = F.col("vulnerability") - F.when((F.col("kind") == "sheep") & (hares >= 2), 0.3).otherwise(0.0) + F.when(F.col("lamb"), 0.2).otherwise(0.0)
-    best = F.max_by(F.struct("prey", "score"), F.struct("score", -F.col("prey")))
-    return pairs.withColumn("score", score).groupBy(*keys).agg(best.alias("b")).select(*keys, "b.prey", "b.score")
+def choose_prey(foxes: DataFrame, herd: DataFrame, spec: SpaceSpec, radius: float) -> DataFrame:
+    """(fox, prey, score) for foxes (fox, px, py) that see any of herd (prey, px, py, kind, lamb, vulnerability) within radius: the most vulnerable, sheep 0.3 less with two hares or more
+    about, lambs 0.2 more; ties go to the smallest prey.
+
+    All scores that prey can have, sheep two of them, are put in one order, so that places meet places by their best numbers and not each fox all prey.
+    """
+    sheep, scored = F.col("kind") == "sheep", lambda less: F.col("vulnerability") - F.lit(less) + F.when(F.col("lamb"), 0.2).otherwise(0.0)
+    shy = F.when(sheep, F.array(F.struct(F.lit(False).alias("many"), scored(0.0).alias("score")), F.struct(F.lit(True).alias("many"), scored(0.3).alias("score"))))
+    rows = herd.select("*", F.explode(F.coalesce(shy, F.array(F.struct(F.lit(None).cast("boolean").alias("many"), scored(0.0).alias("score"))))).alias("__s")).select("*", "__s.*").drop("__s")
+    rows = settled(ranks.numbered_within(rows, [], [F.col("score").desc(), F.col("prey")], "place"))
+    least = lambda many: F.min(F.when(F.col("many").eqNullSafe(F.lit(many).cast("boolean")), F.col("place")))
+    there = rows.groupBy("px", "py").agg(F.count_if(F.col("kind") == "hare").alias("hares"), least(None).alias("other"), least(False).alias("few"), least(True).alias("many"))
+    at = foxes.groupBy("px", "py").agg(F.min("fox").alias("one"))
+    best = F.least(F.min("q_other"), F.when(F.sum("q_hares") >= 2, F.min("q_many")).otherwise(F.min("q_few")))
+    seen = radius_join(at, there, spec, radius).groupBy("px", "py").agg(best.alias("place"))
+    chosen = seen.join(rows.select("place", "prey", "score").hint("merge"), "place")
+    return foxes.select("fox", "px", "py").join(chosen.hint("merge"), ["px", "py"]).select("fox", "prey", "score")
 
 
 def attack(prey_distance: Column, dog_distance: Column, stalked: Column) -> Column:
@@ -153,8 +167,7 @@ def attack(prey_distance: Column, dog_distance: Column, stalked: Column) -> Colu
 
 def deterred(contacts: DataFrame, foxes: DataFrame, spec: SpaceSpec, radius: float = 200.0) -> DataFrame:
     """(fox, n): foxes that see a dog at contact (idx, px, py: the dogs in contact) within radius, and by how many. The one in contact is among them."""
-    seen = radius_join(contacts, foxes, spec, radius)
-    return seen.groupBy(F.col("q_idx").alias("fox")).agg(F.count("*").alias("n"))
+    return within(foxes, contacts, spec, radius).select(F.col("idx").alias("fox"), "n")
 
 
 def patrol(dogs: DataFrame, flock: DataFrame, radius: float = 250.0, speed: float = 300.0) -> DataFrame:
@@ -170,9 +183,8 @@ def patrol(dogs: DataFrame, flock: DataFrame, radius: float = 250.0, speed: floa
 
 def flee(hares: DataFrame, foxes: DataFrame, spec: SpaceSpec, radius: float = 80.0, speed: float = 800.0) -> DataFrame:
     """(idx, px, py, fled): hares run straight away from the nearest fox within radius, others stay; places are kept inside the space."""
-    pairs = radius_join(hares, foxes, spec, radius)
-    near = pairs.groupBy("idx").agg(F.min(F.struct("dist", "q_idx", "q_px", "q_py")).alias("b"))
-    out = hares.join(near, "idx", "left")
+    near = found_nearest(hares, foxes, spec, 1, radius).select("idx", F.get("found", 0).alias("b"))
+    out = hares.join(near.hint("merge"), "idx", "left")
     away = lambda c: F.when(F.col("b.dist") > 0, (F.col(f"p{c}") - F.col(f"b.q_p{c}")) / F.col("b.dist") * speed).otherwise(0.0)
     nx, ny = wrap(spec, F.col("px") + F.coalesce(away("x"), F.lit(0.0)), F.col("py") + F.coalesce(away("y"), F.lit(0.0)))
     return out.select("idx", nx.alias("px"), ny.alias("py"), F.col("b").isNotNull().alias("fled"))

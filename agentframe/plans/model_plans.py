@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agentframe.functions import rng
-from agentframe.operators import models, populations, rules
+from agentframe.operators import models, nearest, populations, rules
 from agentframe.operators import space as s
 from agentframe.operators.graph import both_ways
 from agentframe.operators.grid import GridSpec
 from agentframe.plans.declare import query
-from agentframe.plans.fixtures import CUSTOMERS, GRID, HEIGHT, NET, POINTS, TORUS, WIDTH, customers, grid, grid_spec, net, panel, points, table
+from agentframe.plans.fixtures import CUSTOMERS, GRID, HEIGHT, NET, POINTS, SPACE, TORUS, WIDTH, customers, grid, grid_spec, net, panel, points, table
 from agentframe.plans.random_plans import child_sql, u01
 
 _OFF = "(SELECT CAST(a.i AS INT) AS dx, CAST(b.i AS INT) AS dy FROM range(-1, 2) AS a(i), range(-1, 2) AS b(i) WHERE a.i <> 0 OR b.i <> 0)"
@@ -157,7 +157,7 @@ def model_prey_roaming(spark, sf_dir):
 def model_boids(spark, sf_dir):
     """Three flocking steps."""
     start = customers(spark, sf_dir).select("idx", "px", "py", (F.col("idx") % 7 - 3).cast("double").alias("vx"), (F.col("idx") % 5 - 2).cast("double").alias("vy"))
-    return models.run(start, lambda b, _: s.flock(b, TORUS, 40.0, (1.5, 1.0, 0.8), 2.0), 3)
+    return models.run(start, lambda b, _: s.flock(b, TORUS, 40.0, (1.5, 1.0, 0.8), 2.0), 3, cut=1)
 
 
 _CELLS = f"(SELECT CAST(count(*) AS BIGINT) FROM {GRID})"
@@ -459,7 +459,7 @@ def rule_danger_avoidance(spark, sf_dir):
 )
 def rule_kill_probability(spark, sf_dir):
     there = customers(spark, sf_dir)
-    group = s.radius_join(there, there, s.SpaceSpec(1000.0, 1000.0, 50.0), 50.0).groupBy("idx").agg((F.count("*") - 1).alias("grp"))
+    group = nearest.within(there, there, SPACE, 50.0).select("idx", (F.col("n") - 1).alias("grp"))
     i = F.col("idx")
     p = rules.kill_probability(0.26, (i % 7) / 7.0, (i % 11) / 11.0, F.when(i % 3 == 0, i % 500), F.col("grp"), i % 100, F.when(i % 4 == 0, i % 40))
     return group.select("idx", F.round(p, 6).alias("p"))

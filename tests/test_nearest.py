@@ -83,3 +83,30 @@ def test_wide_radius_join_clips_its_buckets(spark, clouds):
     want = sorted((q[0], p[0]) for q in queries for p in points[:300] if gap(PLANE, q, p) <= 40)
     got = space.radius_join(table(spark, queries), table(spark, points[:300]), PLANE, 40.0)
     assert sorted((r.idx, r.q_idx) for r in got.collect()) == want
+
+
+def test_radius_join_does_not_gather_a_side(spark, clouds):
+    """Tables of a few MB were broadcast through the driver, and met in the one task that read the other."""
+    queries, points = clouds
+    plan = space.radius_join(table(spark, queries), table(spark, points), PLANE, 4.0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_discs_equal_single_tests():
+    rng = np.random.default_rng(8)
+    p, q, n = np.round(rng.random((700, 2)) * 20, 1), np.round(rng.random((90, 2)) * 20, 1), rng.integers(1, 9, 700).astype(float)
+    got = nearest.discs(q, p, n, 3.0)
+    near = np.sqrt((q[:, None, 0] - p[:, 0]) ** 2 + (q[:, None, 1] - p[:, 1]) ** 2) <= 3.0
+    assert np.array_equal(got[0], near @ n)
+    assert np.allclose(got[1], near @ (n * p[:, 0]), rtol=1e-12) and np.allclose(got[2], near @ (n * p[:, 1]), rtol=1e-12)
+
+
+@pytest.mark.parametrize("spec", [PLANE, ROUND])
+def test_nearest_within_a_radius_in_rounds(spark, spec):
+    """Evenly spread points, many queries at one place, and some that find less than k."""
+    rng = np.random.default_rng(9)
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((400, 2)) * (50, 60))]
+    queries = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((60, 2)) * (100, 60))] + [(100 + i, 20.0, 20.0) for i in range(40)]
+    got = {(r.idx, r["rank"]): (r.q_idx, r.dist) for r in nearest.k_nearest(table(spark, queries), table(spark, points), spec, 3, 8.0).collect()}
+    want = {(q[0], n + 1): (i, d) for q in queries for n, (d, i) in enumerate(sorted((gap(spec, q, p), p[0]) for p in points)[:3]) if d <= 8}
+    assert got == want
