@@ -110,3 +110,17 @@ def test_nearest_within_a_radius_in_rounds(spark, spec):
     got = {(r.idx, r["rank"]): (r.q_idx, r.dist) for r in nearest.k_nearest(table(spark, queries), table(spark, points), spec, 3, 8.0).collect()}
     want = {(q[0], n + 1): (i, d) for q in queries for n, (d, i) in enumerate(sorted((gap(spec, q, p), p[0]) for p in points)[:3]) if d <= 8}
     assert got == want
+
+
+@pytest.mark.parametrize("spec", [PLANE, ROUND])
+def test_flock_sums_do_not_depend_on_how_boids_are_dealt(spark, spec):
+    """Ways that cancel out leave rounding errors, whose direction is that of a unit vector: they were added in any order."""
+    rng = np.random.default_rng(3)
+    boids = [(i, float(x), float(y), float(i % 7 - 3), float(i % 5 - 2)) for i, (x, y) in enumerate(rng.random((500, 2)) * (100, 60))]
+    df = spark.createDataFrame(boids, "idx long, px double, py double, vx double, vy double")
+    one, many = ({tuple(r) for r in space.flock_sums(df.repartition(n), spec, 12.0).collect()} for n in (1, 7))
+    assert one == many and len(one) == 500
+    got = {r[0]: r for r in one}
+    for b in boids[:40]:
+        near = [p for p in boids if p[0] != b[0] and gap(spec, b, p) <= 12]
+        assert got[b[0]][3] == sum(p[3] for p in near) and got[b[0]][4] == sum(p[4] for p in near)
