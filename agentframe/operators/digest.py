@@ -16,13 +16,14 @@ def leaves(df: DataFrame, by: list[str], order: list[Column], line: Column, leaf
     return runs.select(*keys, "node", F.md5(F.array_join(F.transform("r", lambda r: r["__line"]), ";")).alias("digest"), F.size("r").cast("long").alias("rows"))
 
 
-def merkle(df: DataFrame, by: list[str], order: list[Column], line: Column, leaf: int = 1024, fan: int = 16) -> DataFrame:
-    """(by, digest, rows) of each group: the root over its leaves. A node with one child has the child's digest, so a group's root depends on its own rows alone; no list has more than fan digests."""
+def merkle(df: DataFrame, by: list[str], order: list[Column], line: Column, leaf: int = 1024, fan: int = 16, levels: int | None = None) -> DataFrame:
+    """(by, digest, rows) of each group: the root over its leaves, or, of a tree cut off after levels, each node there. A node with one child has the child's digest, so a group's root depends on its own rows alone; no list has more than fan digests."""
     nodes = leaves(df, by, order, line, leaf)
     nodes = ranks.settled(nodes)
     keys = [f"`{c}`" for c in by]
     most = (nodes.agg(F.max("node")).first()[0] or 0) + 1
-    while most > 1:
+    while most > 1 and levels != 0:
+        levels = None if levels is None else levels - 1
         children = F.sort_array(F.collect_list(F.struct("node", "digest")))
         grouped = nodes.groupBy(*keys, F.expr(f"node div {fan}").alias("up")).agg(children.alias("c"), F.sum("rows").alias("rows"))
         joined = F.md5(F.array_join(F.transform("c", lambda c: c["digest"]), ""))

@@ -44,3 +44,11 @@ def test_digests_do_not_depend_on_the_partitioning(spark):
     before, after = (digest.leaves(d, ["g"], [F.col("v")], F.concat_ws(":", "id", "v"), 10) for d in (rows, rows.withColumn("id", F.when(F.col("id") == 500, -1).otherwise(F.col("id")))))
     assert before.join(after, ["node", "digest"], "left_anti").count() == 1
     assert digest.merkle(rows.limit(0), ["g"], [F.col("v")], F.col("g")).collect() == []
+
+
+def test_a_tree_cut_off_after_levels_has_several_roots(spark):
+    rows = spark.range(90).selectExpr("id % 1 as g", "id as v")
+    out = digest.merkle(rows, ["g"], [F.col("v")], F.col("v").cast("string"), leaf=10, fan=3, levels=1).collect()
+    assert [r.rows for r in out] == [30, 30, 30] and len({r.digest for r in out}) == 3
+    whole = digest.merkle(rows, ["g"], [F.col("v")], F.col("v").cast("string"), leaf=10, fan=3).collect()
+    assert whole == digest.merkle(rows, ["g"], [F.col("v")], F.col("v").cast("string"), leaf=10, fan=3, levels=2).collect() and len(whole) == 1
