@@ -133,9 +133,15 @@ def moves(word_uniform: Column, dog_near: Column) -> Column:
     return word_uniform < F.when(dog_near, MOVE_NEAR_DOG).otherwise(MOVE_ALONE)
 
 
+def pulled(food: tuple[Column, Column], risk: tuple[Column, Column], cohesion: tuple[Column, Column], dog: tuple[Column, Column], noise: tuple[Column, Column]) -> tuple[Column, Column]:
+    """The weighted pulls, added up in this order, and some noise."""
+    parts = [[w * pull[i] for w, pull in zip(STEERING, (food, risk, cohesion, dog), strict=True)] + [noise[i]] for i in (0, 1)]
+    return tuple(sum(p[1:], p[0]) for p in parts)
+
+
 def heading(food: tuple[Column, Column], risk: tuple[Column, Column], cohesion: tuple[Column, Column], dog: tuple[Column, Column], noise: tuple[Column, Column]) -> tuple[Column, Column]:
-    """The unit vector of the weighted pulls and some noise; zero where they cancel."""
-    x, y = (sum((w * pull[i] for w, pull in zip(STEERING, (food, risk, cohesion, dog), strict=True)), noise[i]) for i in (0, 1))
+    """The unit vector of what pulls; zero where that cancels."""
+    x, y = pulled(food, risk, cohesion, dog, noise)
     n = F.sqrt(x * x + y * y)
     return F.when(n > 0, x / n).otherwise(0.0), F.when(n > 0, y / n).otherwise(0.0)
 
