@@ -8,7 +8,7 @@ from agentframe.operators import collect
 from agentframe.operators import grid as g
 from agentframe.operators import space as s
 from agentframe.plans.declare import query
-from agentframe.plans.fixtures import AGENTS, CUSTOMERS, ENS, GRID, HEIGHT, WIDTH, agents, customers, ensemble, grid, grid_spec
+from agentframe.plans.fixtures import AGENTS, CUSTOMERS, ENS, GRID, HEIGHT, WIDTH, agents, customers, ensemble, grid
 
 
 @query(f"SELECT grp, count_if(wealth > 500000)::BIGINT AS rich, round(avg(CASE WHEN wealth > 500000 THEN 1e0 ELSE 0e0 END), 6) AS fraction FROM {AGENTS} GROUP BY grp")
@@ -27,9 +27,8 @@ _PLACED = f"(SELECT idx, grp, CAST(idx % {WIDTH} AS INT) AS x, CAST(idx // {WIDT
 def report_similarity(spark, sf_dir):
     """Mean share of like neighbours, and the share of agents with 0.375 of them; an agent without neighbours counts 1."""
     placed = agents(spark, sf_dir).select("idx", "grp", (F.col("idx") % WIDTH).cast("int").alias("x"), F.expr(f"cast(idx div {WIDTH} as int)").alias("y"))
-    spec = grid_spec(spark, sf_dir)
-    near = g.neighbour_values(g.neighbour_positions(placed, spec), placed, "grp").groupBy("idx").agg(F.count("*").alias("occ"), F.count_if(F.col("grp") == F.col("n_grp")).alias("same"))
-    r = placed.join(near, "idx", "left").select(F.coalesce(F.col("same") / F.col("occ"), F.lit(1.0)).alias("r"))
+    near = g.like_neighbours(placed, g.GridSpec(WIDTH, 1 << 30), "grp")
+    r = near.select(F.coalesce(F.try_divide("same", "occ").cast("double"), F.lit(1.0)).alias("r"))
     return r.agg(F.round(F.avg("r"), 6).alias("similarity"), F.round(F.avg((F.col("r") >= 0.375).cast("double")), 6).alias("happy"))
 
 

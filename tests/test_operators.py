@@ -276,3 +276,16 @@ def test_stencils_and_sir_steps_are_dealt_out(spark):
     assert "BroadcastHashJoin" not in best and "div 32" in best
     step = plan(models.sir_step(cells, spec, 0, 3, 0.2, 0.1))
     assert "SortAggregate" not in step and "div 32" in step
+
+
+def test_like_neighbours_are_counted_without_a_join(spark):
+    """Agents anywhere, also beyond the raster of other tables; null is like none, an agent alone has none around."""
+    cells = {(0, 0): "a", (1, 0): "a", (1, 1): "b", (0, 1): None, (2, 0): None, (19, 5): "a", (0, 6): "a", (4, 90_000): "b", (5, 90_001): "b"}
+    df = spark.createDataFrame([(x, y, k) for (x, y), k in cells.items()], "x int, y int, kind string")
+    out = grid.like_neighbours(df, grid.GridSpec(20, 1 << 30), "kind")
+    want = {}
+    for (x, y), k in cells.items():
+        near = [cells[x + i, y + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (x + i, y + j) in cells]
+        want[x, y] = (len(near), sum(k is not None and n == k for n in near))
+    assert {(r.x, r.y): (r.occ, r.same) for r in out.collect()} == want
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
