@@ -36,3 +36,19 @@ def test_rows_out_of_order_over_many_batches(spark, tmp_path):
             mine = sorted((t, i, x, y, d) for i, u, t, x, y, d in rows if u == key and t // 1000 <= last)
             want |= {i: (n, r) for i, n, r in memory.recall([], mine, 168 * HOUR, 64, 400.0)[1]}
         assert {r.id: (r.zones, pytest.approx(r.risk)) for r in got} == want
+
+
+def test_what_rows_feel_is_worked_out_for_many_pairs_at_once(monkeypatch):
+    """As one row after another, whatever number of pairs is taken together; zones of before count, equal times too."""
+    rng = random.Random(6)
+    start = [(rng.uniform(0, 900), rng.uniform(0, 900), i * HOUR) for i in range(60)]
+    rows = sorted((60 * HOUR + rng.randrange(300) * HOUR, i, rng.uniform(0, 900), rng.uniform(0, 900), rng.random() < 0.7) for i in range(400))
+    zones, want = list(start), []
+    for at, one, x, y, danger in rows:
+        zones = [z for z in zones if at - z[2] < 168 * HOUR]
+        near = [(((x - a) ** 2 + (y - b) ** 2) ** 0.5, t) for a, b, t in zones]
+        want.append((one, len(zones), pytest.approx(sum((1 - (at - t) / (168 * HOUR)) * (1 - d / 400) for d, t in near if d < 400))))
+        zones = [*zones, (x, y, at)][-64:] if danger else zones
+    for pairs in (1, 100, 1 << 18):
+        monkeypatch.setattr(memory, "_PAIRS", pairs)
+        assert memory.recall(start, rows, 168 * HOUR, 64, 400.0) == (zones, want)
