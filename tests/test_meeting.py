@@ -45,3 +45,28 @@ def test_few_points_travel(spark):
     df = table(spark, [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((3000, 2)) * 1000)])
     sent = meeting.met(df, df, SpaceSpec(1000.0, 1000.0, 10.0), 8.0, lambda a, b: iter([pa.RecordBatch.from_pydict({"own": [len(a)], "seen": [len(b)]})]), "own long, seen long").agg(F.sum("own"), F.sum("seen")).first()
     assert sent[0] == 3000 and sent[1] < 1.2 * 3000
+
+
+@pytest.mark.parametrize(("spec", "radius"), [(ROUND, 9.0), (PLANE, 9.0), (ROUND, 30.0), (PLANE, float("inf"))])
+def test_flock_sums_equal_a_plain_loop(spark, monkeypatch, spec, radius):
+    """Also of boids at one place, which feel each other's velocities, and in blocks."""
+    monkeypatch.setattr(meeting, "BLOCK", 150)
+    monkeypatch.setattr(meeting, "SEEN", 60)
+    boids = [(*b, float(b[0] % 7 - 3), float(b[0] % 5 - 2)) for b in cloud(4, 400)]
+    df = spark.createDataFrame(boids, "idx long, px double, py double, vx double, vy double").repartition(5)
+    got = {r[0]: r[1:] for r in space.flock_sums(df, spec, radius).collect()}
+    assert len(got) == 400
+    for b in boids:
+        want = np.zeros(6)
+        for o in boids:
+            if o[0] != b[0] and gap(spec, b, o) <= radius:
+                to = [o[1] - b[1], o[2] - b[2]]
+                to = [d - n * np.sign(d) if spec.torus and abs(d) > n / 2 else d for d, n in zip(to, (100, 60), strict=True)]
+                far = max(np.hypot(*to), 0.01)
+                want += [-to[0] / far, -to[1] / far, o[3], o[4], *to]
+        assert np.allclose(got[b[0]], want, rtol=1e-9, atol=1e-8) and got[b[0]][2:4] == tuple(want[2:4])
+
+
+def test_flocking_counts_alone(spark):
+    """A count of the steps' rows failed: the columns of one side were pruned away."""
+    assert registry.QUERIES["model_boids"](spark, "/root/testdata/sf0.001").count() == registry.QUERIES["boids_step"](spark, "/root/testdata/sf0.001").count() == 150
