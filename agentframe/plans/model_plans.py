@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agentframe.functions import rng
-from agentframe.operators import models, nearest, populations, rules
+from agentframe.operators import epidemics, models, nearest, populations, rules
 from agentframe.operators import space as s
 from agentframe.operators.graph import both_ways
 from agentframe.operators.grid import GridSpec
@@ -201,16 +201,27 @@ def _seeds(spark, n):
 _SEEDS = "SELECT range AS run, range AS seed FROM range(4)"
 
 
-@query(_series_sql(_SEEDS, 3, "0.08e0", "seed"))
+def _whole_sir_sql(runs: str, beta: str, by: str) -> str:
+    """The series of synchronous SIR rasters, each until nobody in its run is infected."""
+    near = f"(SELECT run, nx AS x, ny AS y, count(*) AS k FROM (SELECT run, {_MOD('x + dx', WIDTH)} AS nx, {_MOD('y + dy', HEIGHT)} AS ny FROM s, {_OFF} WHERE status = 'I') GROUP BY ALL)"
+    drawn = child_sql(f"(SELECT *, run * {_CELLS} + y * {WIDTH} + x AS cell FROM s WHERE run IN (SELECT run FROM s WHERE status = 'I'))", 31, "step", "cell")
+    rule = _RULE("cell").replace("0.8e0", f"(1 - {beta})")
+    start = f"SELECT 0::BIGINT AS step, {by}, run, x, y, CASE WHEN cap > 47 THEN 'I' ELSE 'S' END AS status FROM {GRID}, r"
+    return f"WITH RECURSIVE r AS ({runs}), s AS ({start} UNION ALL SELECT step + 1, {by}, c.run, c.x, c.y, {rule} FROM {drawn} c LEFT JOIN {near} USING (run, x, y)) SELECT {by}, step, {_COUNTS} FROM s GROUP BY {by}, step"
+
+
+@query(_whole_sir_sql(_SEEDS, "0.08e0", "seed"))
 def model_sir(spark, sf_dir):
-    """Series of four seeded runs."""
-    return _sir_series(spark, sf_dir, _seeds(spark, 4), ("seed",), 0.08, 3)
+    """Series of four seeded runs, each until nobody is infected."""
+    start = grid(spark, sf_dir).select("x", "y", F.when(F.col("cap") > 47, "I").otherwise("S").alias("status"))
+    return epidemics.sir_to_the_end(start, _seeds(spark, 4), grid_spec(spark, sf_dir, True), 31, 0.08, 0.1, ("seed",))
 
 
 @query(f"SELECT seed, max(i) AS peak, arg_max(r, step) AS r_final FROM ({_series_sql(_SEEDS, 3, '0.08e0', 'seed')}) GROUP BY seed")
 def ensemble_sir(spark, sf_dir):
     """Peak and final size of each run of an ensemble."""
-    return model_sir(spark, sf_dir).groupBy("seed").agg(F.max("i").alias("peak"), F.max_by("r", "step").alias("r_final"))
+    series = _sir_series(spark, sf_dir, _seeds(spark, 4), ("seed",), 0.08, 3)
+    return series.groupBy("seed").agg(F.max("i").alias("peak"), F.max_by("r", "step").alias("r_final"))
 
 
 _BETAS = "SELECT a.range * 2 + b.range AS run, (4 * pow(2, a.range) / 100)::DOUBLE AS beta, b.range AS seed FROM range(3) a, range(2) b"
